@@ -31,11 +31,15 @@ from skarn.llm.common import LOWER, Scratch, binary_buffer, packed_texts, shingl
 from skarn.llm.components import components
 
 SKETCH = 32
-#: Of a full sketch, two sets at a similarity of 0.85 share this many values at least (chance of fewer: below 1e-4).
-NEED = 17
 _INT64_MIN = np.uint64(1 << 63)
 
 
+def need(percent: int) -> int:
+    """Of full sketches, two sets at the threshold share so many values at least (chance of fewer: below 1e-4)."""
+    j = percent / 100
+    return max(1, int(SKETCH * j - 4.7 * (SKETCH * j * (1 - j)) ** 0.5))
+
+
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, offsets = binary_buffer(texts)
@@ -109,8 +113,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     reps = scratch.write(sk.join(classes.select("fp", F.col("class_id").alias("doc_id")), ["fp", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch"), "reps")
 
     size = F.size("sketch")
-    need = F.when(size >= SKETCH, NEED).otherwise(F.greatest(F.lit(1), F.floor(size / 2)))
-    values = reps.select("doc_id", "n", (size - need + 1).alias("room"), size.alias("size"), F.explode("sketch").alias("v"))
+    least = F.when(size >= SKETCH, need(percent)).otherwise(F.greatest(F.lit(1), F.floor(size / 2)))
+    values = reps.select("doc_id", "n", (size - least + 1).alias("room"), size.alias("size"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     listed = values.join(shared, "v").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("room").alias("room"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     room = F.col("room") - (F.col("size") - F.size("vs"))

@@ -12,11 +12,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.substring_dedup import substring_dedup
 
-    out = substring_dedup(_table(spark, sf_dir, "documents"), digest=True)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.common import crc_mod
+    from skarn.llm.toxicity import scored, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = train(docs.where(~held_out), _table(spark, sf_dir, "labels"))
+    return scored(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +47,22 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.common import crc_mod
+    from skarn.llm.language_id import identified, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return identified(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.packing import best_fit_packing
+
+    return best_fit_packing(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
