@@ -45,15 +45,15 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path := f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(path) if not partition_by else self.spark.read.parquet(path)
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
+        self.spark._jvm.System.gc()  # lets Spark delete the shuffle files behind the table
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Frees a table that nothing reads any more."""
-        jvm, path = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        del jvm
 
 
 def crc_mod(doc_id: str, n: int) -> Column:

@@ -9,8 +9,10 @@ at full depth are exactly the repeated windows:
    string inside its first `depth` bytes. Equal windows have equal anchors at equal offsets,
    so neighbouring suffixes that share an anchor (a run) move as one row.
 2. Digit two is the whole run: runs equal in all their bytes repeat in all their windows.
-3. Runs that share digit one but not digit two are opened: one representative of each
-   distinct run gives a digit of full depth for each of its windows.
+3. Runs that share digit one but not digit two are cut by their anchor's offset into strips
+   of STRIP suffixes, one representative for each distinct run. Equal strips repeat in all
+   their windows; a strip leaves if the bytes that all its windows hold are found nowhere else.
+4. What is left of the strips gives a digit of full depth for each window.
 
 Digits are compared by 64-bit hashes, always within one bucket of the digit before (so by
 128 bits in effect). Rows are aggregated before they are shuffled and no bucket is gathered in
@@ -32,11 +34,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skarn.llm.common import BYTE_HASH, U64, Scratch, binary_buffer, doc_blocks, mix, packer, text_bytes
 
 DEPTH = 200
 DIGIT = 32
+#: A run has at most depth - DIGIT + 1 suffixes, in strips of so many.
+STRIP = 43
 KEY = ["id", "tag"]
 #: Suffixes of one text that are worked on together.
 _CHUNK = 1 << 20
@@ -96,6 +101,15 @@ def _chunks(data: np.ndarray, offsets: np.ndarray, depth: int):
             yield i, data[at:end], (offsets[i : j + 1] - lo if j > i + 1 else np.array([0, end - at])), at - lo
 
 
+def _pack(at: np.ndarray, offset: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """First suffix, offset of its anchor and number of suffixes of a run, as one number."""
+    return at.astype(np.int64) << 20 | offset.astype(np.int64) << 10 | count.astype(np.int64)
+
+
+def _unpacked(p: int) -> tuple[int, int, int]:
+    return p >> 20, p >> 10 & 1023, p & 1023
+
+
 def _anchors(batches, depth: int):
     for b in batches:
         data, offsets = binary_buffer(b.column("text"))
@@ -107,28 +121,59 @@ def _anchors(batches, depth: int):
             view, hashed = memoryview(part), xxhash.xxh3_64_intdigest
             whole = np.fromiter((hashed(view[s : s + c + depth - 1]) for s, c in zip(start.tolist(), count.tolist())), U64, len(start))
             whole = mix(whole + (anchor * 512 + count).astype(U64))
-            columns = [digit.view(np.int64), whole.view(np.int64), ids[first + text], tags[first + text], (start - cuts[text] + shift).astype(np.int64), count.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "s", *KEY, "at", "n"])
+            columns = [digit.view(np.int64), whole.view(np.int64), ids[first + text], tags[first + text], _pack(start - cuts[text] + shift, anchor, count)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "s", *KEY, "p"])
 
 
-def _windows(batches, depth: int):
-    """(g, s, k, w): a digit of full depth for each window of the runs asked for."""
+def _segments(batches, depth: int):
+    """(g, s, p, bytes): the bytes under all windows of each run asked for."""
     unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
-        out: list[list] = [[], [], []]
+        rows: list[tuple] = []
         for z, asked in zip(b.column("z").to_pylist(), b.column("asked").to_pylist()):
-            view, hashed = memoryview(unpack(z)), xxhash.xxh3_64_intdigest
+            text = unpack(z)
             for r in asked:
-                at, n = r["at"], r["n"]
-                out[0].append(np.full(n, r["g"]))
-                out[1].append(np.full(n, r["s"]))
-                out[2].append(np.fromiter((hashed(view[p : p + depth]) for p in range(at, at + n)), U64, n))
+                at, _, n = _unpacked(r["p"])
+                rows.append((r["g"], r["s"], r["p"], text[at : at + n + depth - 1]))
+        for i in range(0, len(rows), 1 << 14):
+            columns = list(zip(*rows[i : i + (1 << 14)]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["g", "s", "p", "bytes"])
+
+
+def _strips(batches, depth: int):
+    """(g, s, q, core, strip): digits of the strips of each run."""
+    hashed = xxhash.xxh3_64_intdigest
+    for b in batches:
+        rows: list[tuple] = []
+        for g, s, p, seg in zip(*(b.column(c).to_pylist() for c in ("g", "s", "p", "bytes"))):
+            _, o, n = _unpacked(p)
+            view = memoryview(seg)
+            for q in range((o - n + 1) // STRIP, o // STRIP + 1):
+                lo, hi = o - min(STRIP * q + STRIP - 1, o), o - max(STRIP * q, o - n + 1)
+                core = o - STRIP * q
+                rows.append((g, s, q, hashed(view[core : core + depth - STRIP + 1]), hashed(view[lo : hi + depth], hi - lo)))
+        columns = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), *(pa.array(np.array(c, U64).view(np.int64)) for c in columns[3:])], ["g", "s", "q", "core", "strip"])
+
+
+def _windows(batches, depth: int):
+    """(g, s, k, w): a digit of full depth for window k of a run, of the strips asked for."""
+    hashed = xxhash.xxh3_64_intdigest
+    for b in batches:
+        out: list[list] = [[], [], [], []]
+        for g, s, p, seg, strips in zip(*(b.column(c).to_pylist() for c in ("g", "s", "p", "bytes", "qs"))):
+            _, o, n = _unpacked(p)
+            view = memoryview(seg)
+            ks = [k for q in strips for k in range(o - min(STRIP * q + STRIP - 1, o), o - max(STRIP * q, o - n + 1) + 1)]
+            out[0].append(np.full(len(ks), g))
+            out[1].append(np.full(len(ks), s))
+            out[2].append(np.array(ks, np.int32))
+            out[3].append(np.fromiter((hashed(view[k : k + depth], o - k) for k in ks), U64, len(ks)))
         if out[0]:
-            g, s, w = (np.concatenate(x) for x in out)
-            k = np.concatenate([np.arange(len(x)) for x in out[0]]).astype(np.int32)
+            g, s, k, w = (np.concatenate(x) for x in out)
             for i in range(0, len(g), 1 << 16):
                 cut = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(g[cut]), pa.array(s[cut]), pa.array(k[cut]), pa.array(w[cut].view(np.int64))], ["g", "s", "k", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (g, s, k, w.view(np.int64))], ["g", "s", "k", "w"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,38 +191,57 @@ def _packed(batches):
     z = packer()
     for b in batches:
         texts = [z.compress(x) for x in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *KEY)), pa.array(texts, pa.binary())], ["doc_id", *KEY, "z"])
+        keep = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.binary())], [*keep, "z"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text as bytes, and the key (id, tag): rows are one text if id and text are equal."""
+    """The other columns as row, text as bytes, and the key (id, tag): rows are one text if id and text are equal."""
     text = text_bytes()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("tag"), text.alias("text"))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("tag"), text.alias("text"))
 
 
 def _compact(texts: DataFrame) -> DataFrame:
-    return texts.mapInArrow(_packed, "doc_id long, id long, tag int, z binary")
+    """texts with the compressed bytes z in place of the text."""
+    kept = [f for f in texts.schema.fields if f.name != "text"]
+    return texts.mapInArrow(_packed, T.StructType([*kept, T.StructField("z", T.BinaryType())]))
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
     """(id, tag, at, n): runs of n suffixes from byte at, all of whose windows repeat. texts is keyed."""
-    anchors = scratch.write(texts.mapInArrow(partial(_anchors, depth=depth), "g long, s long, id long, tag int, at long, n int"), "anchors")
+    anchors = scratch.write(texts.select(*KEY, "text").mapInArrow(partial(_anchors, depth=depth), "g long, s long, id long, tag int, p long"), "anchors")
     together = anchors.groupBy("g").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("c > 1").select("g", (F.col("lo") == F.col("hi")).alias("same"))
     alive = scratch.write(anchors.join(together, "g"), "alive")
     scratch.drop("anchors")
-    whole = alive.where("same").select(*KEY, "at", "n")
+    spans = F.array(F.struct(F.shiftright("p", 20).alias("at"), F.col("p").bitwiseAND(1023).alias("n")))
+    whole = alive.where("same").select(*KEY, F.explode(spans).alias("x"))
 
     opened = alive.where("not same")
-    kinds = scratch.write(opened.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct(*KEY, "at", "n")).alias("r")), "kinds")
-    asked = kinds.groupBy(*(F.col(f"r.{c}").alias(c) for c in KEY)).agg(F.collect_list(F.struct("g", "s", F.col("r.at").alias("at"), F.col("r.n").alias("n"))).alias("asked"))
-    one_each = _compact(texts).join(asked, KEY).dropDuplicates(KEY).select("z", "asked")
-    windows = scratch.write(one_each.mapInArrow(partial(_windows, depth=depth), "g long, s long, k int, w long"), "windows")
+    kinds = scratch.write(opened.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct(*KEY, "p")).alias("r")), "kinds")
+    asked = kinds.groupBy(*(F.col(f"r.{c}").alias(c) for c in KEY)).agg(F.collect_list(F.struct("g", "s", "r.p")).alias("asked"))
+    one_each = _compact(texts.select(*KEY, "text")).join(asked, KEY).dropDuplicates(KEY).select("z", "asked")
+    segments = scratch.write(one_each.mapInArrow(partial(_segments, depth=depth), "g long, s long, p long, bytes binary"), "segments")
+    strips = scratch.write(segments.mapInArrow(partial(_strips, depth=depth), "g long, s long, q int, core long, strip long"), "strips")
+    equal = strips.groupBy("g", "q", "strip").agg(F.count("*").alias("c"), F.min("s").alias("one"), F.min("core").alias("core"))
+    # A strip meets others than its equals if its core has more than one kind of strip.
+    mixed = equal.groupBy("g", "q", "core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    same = strips.join(equal.where("c > 1").select("g", "q", "strip"), ["g", "q", "strip"]).select("g", "s", "q")
+    to_open = equal.join(mixed, ["g", "q", "core"]).select("g", F.col("one").alias("s"), "q")
+    qs = to_open.groupBy("g", "s").agg(F.collect_list("q").alias("qs"))
+    windows = scratch.write(segments.join(qs, ["g", "s"]).mapInArrow(partial(_windows, depth=depth), "g long, s long, k int, w long"), "windows")
     met = windows.groupBy("g", "w").agg(F.count("*").alias("c")).where("c > 1").select("g", "w")
     hits = windows.join(met, ["g", "w"]).groupBy("g", "s").agg(F.collect_list("k").alias("ks"))
-    marks = kinds.select("g", "s", "c").join(hits, ["g", "s"], "left").where("c > 1 or ks is not null")
-    one = F.transform("ks", lambda k: F.struct((F.col("at") + k).alias("at"), F.lit(1).alias("n")))
-    partly = opened.join(marks, ["g", "s"]).select(*KEY, F.explode(F.when(F.col("c") > 1, F.array(F.struct("at", "n"))).otherwise(one)).alias("x"))
-    return whole.union(partly.select(*KEY, "x.at", "x.n"))
+    marks = kinds.select("g", "s", "c").join(hits, ["g", "s"], "left").join(same.groupBy("g", "s").agg(F.collect_list("q").alias("whole")), ["g", "s"], "left")
+    marks = scratch.write(marks.where("c > 1 or ks is not null or whole is not null"), "marks")
+    scratch.drop("windows")
+    scratch.drop("segments")
+    first, offset, n = F.shiftright("p", 20), F.shiftright("p", 10).bitwiseAND(1023), F.col("p").bitwiseAND(1023)
+    one = F.transform(F.coalesce("ks", F.array().cast("array<int>")), lambda k: F.struct((first + k).alias("at"), F.lit(1).cast("long").alias("n")))
+    low = lambda q: offset - F.least(q * STRIP + STRIP - 1, offset)
+    high = lambda q: offset - F.greatest(q * STRIP, offset - n + 1)
+    many = F.transform(F.coalesce("whole", F.array().cast("array<int>")), lambda q: F.struct((first + low(q)).alias("at"), (high(q) - low(q) + 1).alias("n")))
+    partly = opened.join(marks, ["g", "s"]).select(*KEY, F.explode(F.when(F.col("c") > 1, spans).otherwise(F.concat(one, many))).alias("x"))
+    return whole.union(partly).select(*KEY, "x.at", "x.n")
 
 
 def _cut(batches, depth: int, digest: bool):
@@ -201,7 +265,7 @@ def _cut(batches, depth: int, digest: bool):
             else:
                 rows["kept_sha256"].append(None)
                 rows["kept_text"].append(kept_characters(data, edges))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), *(pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))))], ["doc_id", "tag", *rows])
+        yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))))], ["row", *rows])
 
 
 def kept_characters(data: bytes, edges: list[int]) -> str:
@@ -217,9 +281,11 @@ def kept_characters(data: bytes, edges: list[int]) -> str:
 
 
 def substring_dedup(docs: DataFrame, depth: int = DEPTH, digest: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, tag, n_bytes, n_removed, n_spans, kept_sha256 (if digest) or kept_text, spans (in bytes)."""
+    """Per row of docs: row (its other columns), n_bytes, n_removed, n_spans, kept_sha256 (if digest) or kept_text, spans (in bytes)."""
     scratch = Scratch(docs.sparkSession, "substrings")
     texts = _keyed(docs)
     spans = scratch.write(repeated_spans(texts, scratch, depth).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("found")), "found")
-    schema = "doc_id long, tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<start: long, stop: long>>"
-    return _compact(texts).join(spans, KEY, "left").select("doc_id", "tag", "z", "found").mapInArrow(partial(_cut, depth=depth, digest=digest), schema)
+    numbers = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+    schema = T.StructType([texts.schema["row"], *numbers, T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(span))])
+    return _compact(texts).join(spans, KEY, "left").select("row", "z", "found").mapInArrow(partial(_cut, depth=depth, digest=digest), schema)
