@@ -31,6 +31,28 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from skarn.llm.lattice_lm import lattice_scores
+
+    return lattice_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.license_scan import license_scan
+
+    out = license_scan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op5_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.max_score import max_score
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return max_score(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.common import crc_mod
     from skarn.llm.toxicity import scored, train
@@ -63,6 +85,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.warc_fixity import aged, audit, records
+
+    archive = records(_table(spark, sf_dir, "pages"))
+    return audit(archive, aged(archive))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
