@@ -159,7 +159,7 @@ def packer():
 def compressed(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
     """The columns keep and the bytes of column text, compressed, as column z."""
     z = packer()
-    for b in batches:
+    for b in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
         texts = [z.compress(x) for x in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.binary())], [*keep, "z"])
 

@@ -130,14 +130,14 @@ def _segments(batches, depth: int):
     unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
         rows: list[tuple] = []
-        for z, asked in zip(b.column("z").to_pylist(), b.column("asked").to_pylist()):
-            text = unpack(z)
-            for r in asked:
+        for i in range(b.num_rows):
+            text = unpack(b.column("z")[i].as_py())
+            for r in b.column("asked")[i].as_py():
                 at, _, n = _unpacked(r["p"])
                 rows.append((r["g"], r["s"], r["p"], text[at : at + n + depth - 1]))
-        for i in range(0, len(rows), 1 << 14):
-            columns = list(zip(*rows[i : i + (1 << 14)]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["g", "s", "p", "bytes"])
+            if rows and (len(rows) >= 1 << 14 or i == b.num_rows - 1):
+                columns, rows = list(zip(*rows)), []
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["g", "s", "p", "bytes"])
 
 
 def _strips(batches, depth: int):
@@ -159,7 +159,7 @@ def _strips(batches, depth: int):
 def _windows(batches, depth: int):
     """(g, s, k, w): a digit of full depth for window k of a run, of the strips asked for."""
     hashed = xxhash.xxh3_64_intdigest
-    for b in batches:
+    for b in _slices(batches, 4096):
         out: list[list] = [[], [], [], []]
         for g, s, p, seg, strips in zip(*(b.column(c).to_pylist() for c in ("g", "s", "p", "bytes", "qs"))):
             _, o, n = _unpacked(p)
@@ -187,9 +187,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _slices(batches, rows: int = 1024):
+    """Batches of at most so many rows, so that what a task holds as Python objects stays small."""
+    for b in batches:
+        yield from (b.slice(i, rows) for i in range(0, b.num_rows, rows))
+
+
 def _packed(batches):
     z = packer()
-    for b in batches:
+    for b in _slices(batches):
         texts = [z.compress(x) for x in b.column("text").to_pylist()]
         keep = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.binary())], [*keep, "z"])
@@ -211,7 +217,8 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Da
     """(id, tag, at, n): runs of n suffixes from byte at, all of whose windows repeat. texts is keyed."""
     anchors = scratch.write(texts.select(*KEY, "text").mapInArrow(partial(_anchors, depth=depth), "g long, s long, id long, tag int, p long"), "anchors")
     together = anchors.groupBy("g").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("c > 1").select("g", (F.col("lo") == F.col("hi")).alias("same"))
-    alive = scratch.write(anchors.join(together, "g"), "alive")
+    # Written first, so that both sides of the join are plain exchanges, whose large partitions Spark splits.
+    alive = scratch.write(anchors.join(scratch.write(together, "together"), "g"), "alive")
     scratch.drop("anchors")
     spans = F.array(F.struct(F.shiftright("p", 20).alias("at"), F.col("p").bitwiseAND(1023).alias("n")))
     whole = alive.where("same").select(*KEY, F.explode(spans).alias("x"))
@@ -246,7 +253,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Da
 
 def _cut(batches, depth: int, digest: bool):
     unpack = zstandard.ZstdDecompressor().decompress
-    for b in batches:
+    for b in _slices(batches):
         rows: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans")}
         for z, found in zip(b.column("z").to_pylist(), b.column("found").to_pylist()):
             data = unpack(z)
