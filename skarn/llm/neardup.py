@@ -8,8 +8,9 @@ sets verifies them, and connected components of the links are the groups.
 Rare values first: two sets at the threshold share at least need() sketch values but for a
 chance below 1e-4, so each sketch lists only its rarest values, one more than it may miss. Values
 of common lines then make no lists. Equal sets are one class before anything is paired.
-A list is paired with one pivot only; when its members are then still in several
-components, all that are outside its largest are compared with every member.
+A list is paired with one pivot only, its most typical member; when its members are then still in
+several components, those outside its largest are compared with every member, where sizes, shared
+shingles (exact, in long lists) and sketches leave a link possible.
 
 Defined results: null, empty or word-less texts have an empty set and stand alone; a null
 doc_id stays a row of its own, linked with nothing; rows that repeat a doc_id are one document by that id's largest
@@ -31,6 +32,8 @@ from skarn.llm.common import LOWER, Scratch, binary_buffer, packed_texts, shingl
 from skarn.llm.components import components
 
 SKETCH = 32
+#: Lists longer than this that stay apart get the bound by shared shingles before their members are paired.
+CROWD = 64
 _INT64_MIN = np.uint64(1 << 63)
 
 
@@ -68,6 +71,17 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(partial(_sketches, width=width), "doc_id long, n long, fp binary, sketch array<long>")
 
 
+def _shingles(batches, width: int):
+    """(doc_id, h): every shingle of every text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+            sets = shingle_sets(pa.array([unpack(z) for z in part.column("z").to_pylist()], pa.binary()), width)
+            ids = np.repeat(part.column("doc_id").to_numpy(), [len(s) for s in sets])
+            for i in range(0, len(ids), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 16)]), pa.array(np.concatenate(sets)[i : i + (1 << 16)].view(np.int64))], ["doc_id", "h"])
+
+
 def _verify(batches, width: int, percent: int):
     unpack = zstandard.ZstdDecompressor().decompress
     cache: dict[int, np.ndarray] = {}
@@ -118,10 +132,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     listed = values.join(shared, "v").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("room").alias("room"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     room = F.col("room") - (F.col("size") - F.size("vs"))
-    lists = scratch.write(listed.where(room > 0).select("doc_id", "n", F.explode(F.slice("vs", 1, room)).alias("x")).select("doc_id", "n", "x.v"), "lists")
-    eligible = lists.select("doc_id").distinct()
-    texts = scratch.write(packed_texts(docs).join(eligible, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    few = scratch.write(reps.join(eligible, "doc_id", "left_semi"), "few")
+    # How typical a text is of the lists it is in: the best pivots are those whose values most others share.
+    typical = F.aggregate("vs", F.lit(0.0), lambda t, x: t + F.log(x["df"]))
+    picked = listed.where(room > 0).select("doc_id", "n", typical.alias("typical"), F.transform(F.slice("vs", 1, room), lambda x: x["v"]).alias("vs"))
+    few = scratch.write(picked.join(reps.select("doc_id", "sketch"), "doc_id"), "few")
+    lists = few.select("doc_id", "n", "typical", F.explode("vs").alias("v"))
+    texts = scratch.write(packed_texts(docs).join(few.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes allow the threshold and whose sketches put it within five deviations."""
@@ -129,18 +145,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
         p = pairs.join(side("b"), "b").join(side("a"), "a")
         return p.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_estimate("sa", "sb") >= percent / 100 - 0.33)).select("a", "b")
 
-    pivots = lists.groupBy("v").agg(F.min("doc_id").alias("a"))
+    pivots = lists.groupBy("v").agg(F.max(F.struct("typical", (-F.col("doc_id")).alias("id"))).alias("top")).select("v", (-F.col("top.id")).alias("a"))
     stars = lists.join(pivots, "v").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     links = scratch.write(_pairs_at_threshold(filtered(stars), texts, width, percent), "links-1")
     roots = scratch.write(components(links, scratch, "cc1"), "roots-1")
 
     # Lists whose members are still apart: those outside the largest component meet every member.
     rooted = lists.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    parts = rooted.groupBy("v", "root").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k")).where("k > 1").select("v", F.col("top.root").alias("top"))
-    apart = scratch.write(rooted.join(parts, "v").join(few.select("doc_id", "sketch"), "doc_id"), "apart")
-    x = apart.where("root <> top").select("v", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
-    y = apart.select("v", F.col("doc_id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
-    close = (F.col("rx") != F.col("ry")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (_estimate("sx", "sy") >= percent / 100 - 0.33)
+    parts = rooted.groupBy("v", "root").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("long")).where("k > 1").select("v", F.col("top.root").alias("top"), "long")
+    apart = scratch.write(rooted.join(scratch.write(parts, "parts"), "v"), "apart")
+    # In long lists, what a text shares with any other there bounds its similarity with each.
+    crowd = apart.where(F.col("long") > CROWD).select("doc_id").distinct()
+    held = scratch.write(texts.join(crowd, "doc_id", "left_semi").mapInArrow(partial(_shingles, width=width), "doc_id long, h long"), "held")
+    twice = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
+    common = held.join(twice, "h").groupBy("doc_id").agg(F.count("*").alias("common"))
+    known = few.select("doc_id", "sketch", "vs").join(common, "doc_id", "left")
+    apart = apart.join(known, "doc_id").withColumn("c", F.when(F.col("long") > CROWD, F.coalesce("common", F.lit(0))).otherwise(F.col("n")))
+    apart = scratch.write(apart.where(100 * F.col("c") >= percent * F.col("n")).select("v", "doc_id", "root", "top", "n", "c", "vs", "sketch"), "bounded")
+    x = apart.where("root <> top").select("v", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("vs").alias("vx"), F.col("sketch").alias("sx"))
+    y = apart.select("v", F.col("doc_id").alias("y"), F.col("root").alias("ry"), (F.col("root") != F.col("top")).alias("too"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("vs").alias("vy"), F.col("sketch").alias("sy"))
+    most = F.least("cx", "cy", "nx", "ny")
+    close = (F.col("rx") != F.col("ry")) & (~F.col("too") | (F.col("x") < F.col("y"))) & (100 * most >= percent * (F.col("nx") + F.col("ny") - most))
+    # A pair is made in the first list that both are in, and in no other.
+    close = close & (F.array_intersect("vx", "vy")[0] == x["v"]) & (_estimate("sx", "sy") >= percent / 100 - 0.33)
     rest = x.join(y, (x["v"] == y["v"]) & close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = scratch.write(_pairs_at_threshold(rest, texts, width, percent), "links-2")
     roots = components(links.union(more), scratch, "cc2")
