@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from skarn.plans.registry import query, table
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-
-
 @query("ext_join_broadcast", "SELECT r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def ext_join_broadcast(spark, d):
     # nation and region have a fixed size of 25 and 5 rows.
@@ -22,7 +19,7 @@ def ext_join_large(spark, d):
     o = table(spark, d, "orders").where("o_orderdate >= timestamp_ntz'1995-01-01'").select("o_orderkey", "o_custkey")
     li = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount")
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum(REVENUE), 0).alias("revenue"))
+    return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 0).alias("revenue"))
 
 
 @query("ext_join_semi_anti", "SELECT (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS with_orders, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS without")

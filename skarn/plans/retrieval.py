@@ -49,7 +49,8 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.vector_scores(e.select(F.col("vec_id").alias("doc_id"), "embedding"), queries, "doc_id").withColumn("score", F.round("score", 9))
 
 
-ROUND6 = F.round("score", 6).alias("score")
+def rounded():
+    return F.round("score", 6).alias("score")
 
 
 @query("tokenize", "SELECT doc_id, len(t) AS n, t[1] AS first, t[-1] AS last FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)")
@@ -70,12 +71,12 @@ def bm25_candidates(spark, d):
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS score FROM bm_top WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return retrieve.top(bm25(spark, d), 10, "query_id", F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", ROUND6)
+    return retrieve.top(bm25(spark, d), 10, "query_id", F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", rounded())
 
 
 @query("vector_topk", f"WITH {VEC_SQL} SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS score FROM vs_top WHERE rank <= 10")
 def vector_topk(spark, d):
-    return retrieve.top(vectors(spark, d), 10, "query_id", F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", ROUND6)
+    return retrieve.top(vectors(spark, d), 10, "query_id", F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", rounded())
 
 
 @query("vector_topk_filtered", "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) AS score FROM embeddings, q WHERE label = 2 ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 9) DESC, vec_id LIMIT 5")
@@ -83,7 +84,7 @@ def vector_topk_filtered(spark, d):
     e = table(spark, d, "embeddings")
     q = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("v")))
     scored = e.where("label = 2").join(q).select("vec_id", F.round(tx.cosine(F.col("embedding"), F.col("v")), 9).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(5).select("vec_id", ROUND6)
+    return scored.orderBy(F.desc("score"), "vec_id").limit(5).select("vec_id", rounded())
 
 
 @query("cosine_matrix", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id < 20")
@@ -99,14 +100,14 @@ FUSED_SQL = f"WITH {BM25_SQL}, {VEC_SQL}, fused AS (SELECT query_id, doc_id, sum
 @query("rrf_fusion", f"{FUSED_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM fused")
 def rrf_fusion(spark, d):
     lists = [retrieve.top(b, 20, "query_id", F.desc("score"), F.col("doc_id")) for b in (bm25(spark, d), vectors(spark, d))]
-    return retrieve.rrf([x.select("query_id", "doc_id", "rank") for x in lists], "doc_id").select("query_id", "doc_id", ROUND6)
+    return retrieve.rrf([x.select("query_id", "doc_id", "rank") for x in lists], "doc_id").select("query_id", "doc_id", rounded())
 
 
 @query("hybrid_search", f"{FUSED_SQL} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS INT) AS rank, doc_id, round(score, 6) AS score FROM fused QUALIFY rank <= 5")
 def hybrid_search(spark, d):
     lists = [retrieve.top(b, 20, "query_id", F.desc("score"), F.col("doc_id")) for b in (bm25(spark, d), vectors(spark, d))]
     fused = retrieve.rrf([x.select("query_id", "doc_id", "rank") for x in lists], "doc_id").withColumn("score", F.round("score", 12))
-    return retrieve.top(fused, 5, "query_id", F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", ROUND6)
+    return retrieve.top(fused, 5, "query_id", F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", rounded())
 
 
 @query("overfetch_topk", f"{FUSED_SQL} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS INT) AS rank, doc_id FROM fused WHERE doc_id % 2 = 0 QUALIFY rank <= 5")
@@ -130,7 +131,7 @@ def reranked(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rerank_topk", f"{RERANK_SQL} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) AS INT) AS rank, doc_id, round(score, 6) AS score FROM scored QUALIFY rank <= 5")
 def rerank_topk(spark, d):
-    return retrieve.top(reranked(spark, d), 5, "query_id", F.desc("score"), F.col("fused_rank")).select("query_id", "rank", "doc_id", ROUND6)
+    return retrieve.top(reranked(spark, d), 5, "query_id", F.desc("score"), F.col("fused_rank")).select("query_id", "rank", "doc_id", rounded())
 
 
 @query("relevance_gate", f"{RERANK_SQL} SELECT i.item_id AS query_id, round(max(score), 6) AS top_score, CASE WHEN max(score) IS NULL THEN 'empty' WHEN max(score) < 0.6 THEN 'low' ELSE 'grounded' END AS mode FROM benchmark i LEFT JOIN scored ON i.item_id = query_id GROUP BY i.item_id")
