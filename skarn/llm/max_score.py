@@ -58,6 +58,13 @@ def top_k(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     """(query row, vector row, score) of the k best vectors of a shard for each query; ids ascend."""
     width = max(queries.shape[1], vectors.shape[1])
     queries, vectors = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) if m.shape[1] < width else m for m in (queries, vectors))
+    if queries.dtype == object:  # beyond doubles: exact sums, held at 64 bits before they are ranked
+        for q, query in enumerate(queries):
+            alive = np.flatnonzero(ids != query_ids[q])
+            part = [min(max(x, _LEAST), _MOST) for x in (vectors[alive] @ query).tolist()]
+            best = sorted(range(len(alive)), key=lambda i: (-part[i], ids[alive[i]]))[:k]
+            yield from ((q, int(alive[b]), part[b]) for b in best)
+        return
     postings = np.ascontiguousarray(vectors.T)
     least, most = postings.min(1), postings.max(1)
     for q, query in enumerate(queries):
@@ -95,7 +102,7 @@ def _search(batches, k: int):
             found = list(top_k(qids, queries, ids, vectors, k))
             if found:
                 q, v, s = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[list(q)]), pa.array(ids[list(v)]), pa.array([min(max(x, _LEAST), _MOST) for x in s], pa.int64())], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qids[list(q)]), pa.array(ids[list(v)]), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
 
 
 def integer_vectors(table: DataFrame, scale: int = 256) -> DataFrame:
