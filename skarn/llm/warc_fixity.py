@@ -15,8 +15,6 @@ ranges move, are `moved`; extra columns are ignored; empty tables give an empty
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,8 +22,6 @@ from pyspark.sql import functions as F
 from skarn.llm.common import Scratch
 
 FILE, FAN, NAMELESS = 4096, 16, 64
-#: FILE records need so many levels of FAN above the leaves; repeated rows may need the rest.
-LEVELS = 5
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -47,35 +43,47 @@ def leaves(archive: DataFrame) -> DataFrame:
     return out.withColumn("hash", F.sha2(F.concat_ws("|", "start", "length", "digest"), 256))
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels of (file, node, hash) from the leaves up; the last has one node a file."""
-    levels = [leaf.select("file", F.col("seq").alias("node"), "hash")]
-    for _ in range(LEVELS):
+def tree(leaf: DataFrame, height: int, scratch: Scratch) -> list[DataFrame]:
+    """Levels of (side, file, node, hash) from the leaves up, for both replicas at once; the last has one node a file."""
+    levels = [leaf.select("side", "file", F.col("seq").alias("node"), "hash")]
+    for k in range(1, height + 1):
         below = levels[-1].withColumn("child", F.col("node") % FAN).withColumn("node", F.floor(F.col("node") / FAN))
         hashes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", "hash"))), lambda x: x["hash"]), "")
-        levels.append(below.groupBy("file", "node").agg(F.sha2(hashes, 256).alias("hash")))
+        levels.append(scratch.write(below.groupBy("side", "file", "node").agg(F.sha2(hashes, 256).alias("hash")), f"level-{k}"))
     return levels
 
 
+def unequal(level: DataFrame) -> DataFrame:
+    """(file, node) of nodes that the replicas do not share."""
+    return level.groupBy("file", "node").agg(F.count("*").alias("n"), F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("n < 2 or lo <> hi").select("file", "node")
+
+
 def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
     """Per record range of replica a or b: file, seq, page_id, start, length, digest, status (sound, corrupt, moved, missing, extra), root_equal."""
     scratch = Scratch(replica_a.sparkSession, "fixity")
-    sides = [scratch.write(leaves(r), f"leaves-{n}") for n, r in enumerate((replica_a, replica_b))]
-    a, b = (tree(s) for s in sides)
-    both = lambda x, y: x.join(y.withColumnRenamed("hash", "other"), ["file", "node"], "full").where(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node")
-    bad_files = both(a[-1], b[-1]).select("file").distinct()
-    suspects = both(a[-1], b[-1])
-    for level in range(LEVELS - 1, -1, -1):
+    leaf = scratch.write(leaves(replica_a).withColumn("side", F.lit(0)).union(leaves(replica_b).withColumn("side", F.lit(1))), "leaves")
+    last, height = leaf.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0], 1
+    while FAN**height <= last:
+        height += 1
+    levels = tree(leaf, height, scratch)
+    suspects = unequal(levels[-1])
+    bad_files = suspects.select("file").distinct().withColumn("bad", F.lit(True))
+    for level in levels[-2::-1]:
         # Children of unequal nodes only.
-        down = suspects.withColumnRenamed("node", "up")
-        x, y = (s[level].withColumn("up", F.floor(F.col("node") / FAN)).join(down, ["file", "up"], "left_semi").select("file", "node", "hash") for s in (a, b))
-        suspects = both(x, y)
+        up = suspects.withColumnRenamed("node", "up")
+        suspects = unequal(level.withColumn("up", F.floor(F.col("node") / FAN)).join(up, ["file", "up"], "left_semi"))
+    suspects = suspects.withColumnRenamed("node", "seq").withColumn("found", F.lit(True))
+    at = lambda side: F.max(F.when(F.col("side") == side, F.struct("page_id", "start", "length", "digest"))).alias(f"r{side}")
+    both = leaf.groupBy("file", "seq").agg(at(0), at(1)).join(suspects, ["file", "seq"], "left").join(bad_files, "file", "left")
     # A range whose bytes differ is corrupt; one whose bytes are the same has only moved.
-    x = sides[0].select("file", "seq", "page_id", "start", "length", "digest")
-    y = sides[1].select("file", "seq", F.col("page_id").alias("b_id"), F.col("start").alias("b_start"), F.col("length").alias("b_length"), F.col("digest").alias("b_digest"))
-    marked = x.join(y, ["file", "seq"], "full").join(suspects.select("file", F.col("node").alias("seq"), F.lit(True).alias("found")), ["file", "seq"], "left").join(bad_files.withColumn("bad", F.lit(True)), "file", "left")
-    status = reduce(lambda w, c: w.when(*c), [(F.col("b_digest").isNull(), "missing"), (F.col("digest").isNull(), "extra"), (F.col("digest") == F.col("b_digest"), "moved")], F.when(F.col("found").isNull(), "sound")).otherwise("corrupt")
-    return marked.select("file", "seq", F.coalesce("page_id", "b_id").alias("page_id"), F.coalesce("start", "b_start").alias("start"), F.coalesce("length", "b_length").alias("length"), F.coalesce("digest", "b_digest").alias("digest"), status.alias("status"), F.col("bad").isNull().alias("root_equal"))
+    status = (
+        F.when(F.col("found").isNull(), "sound")
+        .when(F.col("r1").isNull(), "missing")
+        .when(F.col("r0").isNull(), "extra")
+        .when(F.col("r0.digest") == F.col("r1.digest"), "moved")
+        .otherwise("corrupt")
+    )
+    return both.withColumn("r", F.coalesce("r0", "r1")).select("file", "seq", "r.*", status.alias("status"), F.col("bad").isNull().alias("root_equal"))
 
 
 def aged(archive: DataFrame, modulus: int = 97) -> DataFrame:
