@@ -96,5 +96,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: Byte strings are written as hex, two digits a byte. A byte goes if a repeated window of 200 bytes covers it.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 199)) AS p, h FROM d WHERE length(h) >= 400),
+k AS (SELECT doc_id, p, hash(substring(h, 2 * p + 1, 400)) AS x FROM w),
+r AS (SELECT doc_id, p FROM k WHERE x IN (SELECT x FROM k GROUP BY x HAVING count(*) > 1)),
+i AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER v + 200 THEN 0 ELSE 1 END AS new FROM r WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM i),
+s AS (SELECT doc_id, island, min(p) AS lo, max(p) + 200 AS hi FROM g GROUP BY doc_id, island),
+e AS (SELECT d.doc_id, d.h, coalesce(s.hi, 0) AS start, lead(s.lo) OVER (PARTITION BY d.doc_id ORDER BY s.hi NULLS FIRST) AS nxt, s.lo, s.hi
+  FROM d LEFT JOIN (SELECT doc_id, lo, hi FROM s UNION ALL SELECT doc_id, NULL, NULL FROM d) s ON d.doc_id = s.doc_id)
+SELECT doc_id, CAST(any_value(length(h)) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(sum(hi - lo), 0) AS BIGINT) AS n_removed, count(lo) AS n_spans,
+  sha256(unhex(string_agg(substring(h, CAST(2 * start + 1 AS BIGINT), CAST(2 * (coalesce(nxt, length(h) // 2) - start) AS BIGINT)), '' ORDER BY start))) AS kept_sha256
+FROM e GROUP BY doc_id
+"""
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5
+"""
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS s FROM w),
+c AS (SELECT doc_id, len(s) AS n, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM sh),
+x AS (SELECT doc_id, n, unnest(s) AS v FROM c WHERE doc_id = class_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS id, a AS root FROM both_ways UNION SELECT b, root FROM reach JOIN both_ways ON id = a),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(root, class_id) AS component_id, doc_id = coalesce(root, class_id) AS kept, class_id FROM c LEFT JOIN roots ON class_id = id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express; the others are tested against brute force, round trips or held-out rows."""
+    return {"op2_suffix_array_dedup": OP2_SQL, "op5_max_score": OP5_SQL, "op7_minhash_near_dedup": OP7_SQL}
