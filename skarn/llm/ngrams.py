@@ -9,6 +9,8 @@ from skarn.llm.common import binary_buffer, doc_blocks
 from skarn.llm.decontaminate import squeezed
 
 ORDERS = (3, 4, 5)
+#: Entries of the sparse rows that a step of the fit works on at a time.
+_PART = 1 << 19
 
 
 def hashed(data: np.ndarray, order: int, bits: int) -> np.ndarray:
@@ -57,17 +59,20 @@ def logistic(text: np.ndarray, column: np.ndarray, value: np.ndarray, targets: n
     targets holds 0 or 1 for each row and output. The same input gives the same model.
     """
     rows, outputs = targets.shape
+    text, column, value = text.astype(np.int32), column.astype(np.int32), value.astype(np.float32)
+    parts = [slice(i, i + _PART) for i in range(0, len(text), _PART)]
     w, bias = np.zeros((width, outputs)), np.log((targets.mean(0) + 1e-3) / (1 - targets.mean(0) + 1e-3))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(bias), np.zeros_like(bias)]
     for step in range(1, steps + 1):
-        margins = np.empty((rows, outputs))
+        margins = np.tile(bias, (rows, 1))
         for k in range(outputs):
-            margins[:, k] = np.bincount(text, weights=value * w[column, k], minlength=rows) + bias[k]
+            for p in parts:
+                margins[:, k] += np.bincount(text[p], weights=value[p] * w[column[p], k], minlength=rows)
         error = (1 / (1 + np.exp(-np.clip(margins, -40, 40))) - targets) / rows
-        gradient = np.empty_like(w)
+        gradient = l2 * w
         for k in range(outputs):
-            gradient[:, k] = np.bincount(column, weights=value * error[text, k], minlength=width)
-        gradient += l2 * w
+            for p in parts:
+                gradient[:, k] += np.bincount(column[p], weights=value[p] * error[text[p], k], minlength=width)
         for x, g, m, v in ((w, gradient, moments[0], moments[1]), (bias, error.sum(0), moments[2], moments[3])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)

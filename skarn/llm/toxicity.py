@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from skarn.llm.common import text_bytes
 from skarn.llm.ngrams import ORDERS, distinct_features, logistic
 
-BITS, FEATURES, SAMPLE = 20, 20_000, 3000
+BITS, FEATURES, SAMPLE = 20, 10_000, 2000
 THRESHOLD = 0.3
 
 
@@ -50,9 +50,9 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float) -> Model:
     """share: of toxic rows among all labelled rows; corrects the bias for the sample's own share."""
     if not len(labels) or labels.min() == labels.max():
         return Model(None)
-    counts = np.zeros((2, 1 << BITS), np.float64)
-    for i in range(0, len(texts), 256):
-        for first, _, text, feature in distinct_features(pa.array(texts[i : i + 256], pa.binary()), ORDERS, BITS):
+    counts = np.zeros((2, 1 << BITS), np.float32)
+    for i in range(0, len(texts), 64):
+        for first, _, text, feature in distinct_features(pa.array(texts[i : i + 64], pa.binary()), ORDERS, BITS):
             toxic = labels[i + first + text] == 1
             for k in (0, 1):
                 counts[k] += np.bincount(feature[toxic == k], minlength=1 << BITS)
@@ -67,9 +67,9 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float) -> Model:
     column = np.full(1 << BITS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
     rows, columns = [], []
-    for i in range(0, len(texts), 256):
-        for first, _, text, feature in distinct_features(pa.array(texts[i : i + 256], pa.binary()), ORDERS, BITS, column >= 0):
-            rows.append(text + i + first)
+    for i in range(0, len(texts), 64):
+        for first, _, text, feature in distinct_features(pa.array(texts[i : i + 64], pa.binary()), ORDERS, BITS, column >= 0):
+            rows.append((text + i + first).astype(np.int32))
             columns.append(column[feature])
     rows, columns = np.concatenate(rows), np.concatenate(columns)
     w, bias = logistic(rows, columns, ratio[chosen][columns], labels[:, None].astype(float), len(chosen), 1e-4, 150, 0.03)
