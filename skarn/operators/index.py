@@ -11,30 +11,27 @@ from skarn.functions.text import tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", normalize: bool = False) -> DataFrame:
-    """(key, term, tf): aggregated before the shuffle, partitioned by nothing hotter than a chunk and a term."""
-    return chunks.select(key, F.explode(tokens(F.col("text"), normalize)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def bags(chunks: DataFrame, key: str = "chunk_id", normalize: bool = False) -> DataFrame:
+    """(key, tokens) of chunks that have tokens. A chunk's tokens stay in its row, so counting within a chunk needs no shuffle."""
+    return chunks.select(key, tokens(F.col("text"), normalize).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def doc_lengths(posted: DataFrame, key: str = "chunk_id") -> DataFrame:
-    return posted.groupBy(key).agg(F.sum("tf").alias("n"))
+def postings(bag: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, term, tf) of all terms."""
+    return bag.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def term_stats(posted: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(term, df, idf): a negative idf is replaced by a quarter of the mean over all terms, negatives included."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    total = posted.select(key).distinct().agg(F.count("*").alias("total"))
-    raw = df.join(F.broadcast(total)).withColumn("raw", F.log(F.col("total") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def term_stats(bag: DataFrame) -> DataFrame:
+    """(term, df, idf): a negative idf is replaced by a quarter of the mean over all terms, negatives included.
+
+    Only distinct terms are shuffled, after a partial count in each task.
+    """
+    df = bag.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.join(F.broadcast(bag.agg(F.count("*").alias("total")))).withColumn("raw", F.log(F.col("total") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def corpus_stats(posted: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """One row: chunks with tokens, their mean length, distinct terms."""
-    n = doc_lengths(posted, key).agg(F.count("*").alias("n_chunks"), F.avg("n").alias("avgdl"))
-    return n.join(F.broadcast(posted.agg(F.count_distinct("term").alias("n_terms"))))
-
-
 def insert_absent(store: DataFrame, new: DataFrame, key: str = "chunk_id", order: str = "seq") -> DataFrame:
     """Rows of new that the store lacks; of rows with one key the last by order."""
     last = new.withColumn("_at", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_at = 1").drop("_at")

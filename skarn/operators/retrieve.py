@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skarn.functions.text import cosine
-from skarn.operators.index import B, K1, corpus_stats, doc_lengths, term_stats
+from skarn.operators.index import B, K1, term_stats
 
 RRF_K = 60
 
@@ -20,12 +20,17 @@ def top(df: DataFrame, k: int, by: str | None, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25_scores(posted: DataFrame, query_terms: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score) of every chunk that shares a term; query_terms: query_id, term, qtf (small)."""
+def bm25_scores(bag: DataFrame, query_terms: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, score) of every chunk that shares a term; query_terms: query_id, term, qtf of a small stated query set.
+
+    The query terms are joined to the exploded tokens before anything is grouped, so only hits are
+    shuffled; document frequencies of all terms are needed for the idf that replaces negative ones.
+    """
     asked = F.broadcast(query_terms)
-    # Statistics need all postings; the terms asked for are cut out before the scored join.
-    hits = posted.join(asked, "term").join(F.broadcast(term_stats(posted, key).join(F.broadcast(query_terms.select("term").distinct()), "term")), "term")
-    hits = hits.join(doc_lengths(posted, key), key).join(F.broadcast(corpus_stats(posted, key)))
+    hits = bag.select(key, F.size("tokens").alias("n"), F.explode("tokens").alias("term")).join(asked, "term")
+    hits = hits.groupBy("query_id", key, "term", "qtf", "n").agg(F.count("*").alias("tf"))
+    stats = term_stats(bag).join(F.broadcast(query_terms.select("term").distinct()), "term")
+    hits = hits.join(F.broadcast(stats), "term").join(F.broadcast(bag.agg(F.avg(F.size("tokens")).alias("avgdl"))))
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
     return hits.groupBy("query_id", key).agg(F.sum(part).alias("score"))

@@ -30,8 +30,8 @@ vs_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 """
 
 
-def posted(spark: SparkSession, d: str) -> DataFrame:
-    return index.postings(table(spark, d, "documents"), "doc_id")
+def bag(spark: SparkSession, d: str) -> DataFrame:
+    return index.bags(table(spark, d, "documents"), "doc_id")
 
 
 def asked_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,7 @@ def asked_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.bm25_scores(posted(spark, d), asked_terms(spark, d), "doc_id").withColumn("score", F.round("score", 9))
+    return retrieve.bm25_scores(bag(spark, d), asked_terms(spark, d), "doc_id").withColumn("score", F.round("score", 9))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -61,12 +61,13 @@ def tokenize(spark, d):
 
 @query("bm25_stats", f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def bm25_stats(spark, d):
-    return index.term_stats(posted(spark, d), "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.term_stats(bag(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_candidates", f"WITH {BM25_SQL} SELECT query_id, doc_id FROM bm")
 def bm25_candidates(spark, d):
-    return posted(spark, d).join(F.broadcast(asked_terms(spark, d)), "term").select("query_id", "doc_id").distinct()
+    terms = bag(spark, d).select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    return terms.join(F.broadcast(asked_terms(spark, d)), "term").select("query_id", "doc_id").distinct()
 
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS score FROM bm_top WHERE rank <= 10")
@@ -195,8 +196,8 @@ def cache_constraints(spark, d):
 
 @query("keywords_tfidf", f"WITH {BM25_SQL} SELECT doc_id, term, round(tf * idf, 6) AS weight FROM posted JOIN stats USING (term) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 6) DESC, term) <= 5")
 def keywords_tfidf(spark, d):
-    p = posted(spark, d)
-    w = p.join(index.term_stats(p, "doc_id"), "term").select("doc_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("weight"))
+    b = bag(spark, d)
+    w = index.postings(b, "doc_id").join(index.term_stats(b), "term").select("doc_id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("weight"))
     return retrieve.top(w, 5, "doc_id", F.desc("weight"), F.col("term")).select("doc_id", "term", "weight")
 
 
