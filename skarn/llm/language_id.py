@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from skarn.llm.common import text_bytes
 from skarn.llm.ngrams import blocks, hashed, logistic
 
-BITS, SAMPLE, LANGUAGES, MARGIN = 15, 500, 200, 0.1
+BITS, SAMPLE, LANGUAGES, MARGIN = 15, 300, 100, 0.1
 ORDERS = (2, 3, 4)
 SCALE = 30.0
 
@@ -95,13 +95,13 @@ def fit(texts: list[bytes], langs: list[str]) -> Model:
                 keys.append((np.searchsorted(offsets, np.arange(len(h)), "right") - 1).astype(np.int64) << BITS | h)
             pairs, count = np.unique(np.concatenate(keys), return_counts=True)
             text = pairs >> BITS
-            rows.append(text + i + first)
+            rows.append((text + i + first).astype(np.int32))
             columns.append((pairs & ((1 << BITS) - 1)).astype(np.int32))
-            values.append(count * SCALE / np.maximum(len(ORDERS) * np.diff(offsets), 1)[text])
+            values.append((count * SCALE / np.maximum(len(ORDERS) * np.diff(offsets), 1)[text]).astype(np.float32))
     rows, columns, values = (np.concatenate(x) for x in (rows, columns, values))
     targets = codes[[names.index(x) for x in langs]].astype(float)
     w, bias = logistic(rows, columns, values, targets, 1 << BITS, 1e-5, 60, 0.05)
-    margins = np.stack([np.bincount(rows, weights=values * w[columns, k], minlength=len(texts)) for k in range(w.shape[1])], 1) + bias
+    margins = frequencies(pa.array(texts, pa.binary()), w * SCALE) + bias
     right = ((margins > 0) == (targets > 0.5)).mean(0)
     return Model(names, codes, (w * SCALE).astype(np.float32), bias, np.log((right + 0.01) / (1.01 - right)).clip(0.01))
 
