@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm.common import Scratch
 
-GROUP, OPEN = 8192, 384
+GROUP, OPEN = 8192, 4096
 
 
 @lru_cache(2)
@@ -94,7 +94,7 @@ def best_fit(lengths: list[int], size: int, open_bins: int = OPEN) -> tuple[list
 
 
 def _packed(table: pa.Table, size: int) -> pa.Table:
-    table = table.sort_by("at")
+    table = table.sort_by([("length", "descending"), ("at", "ascending")])
     bins, places = best_fit(table["length"].to_pylist(), size)
     group = table["part"][0].as_py()
     return table.drop_columns(["part", "at"]).append_column("sequence_id", pa.array([(group << 32) + b for b in bins], pa.int64())).append_column("offset", pa.array(places, pa.int64()))
