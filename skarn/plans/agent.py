@@ -57,3 +57,17 @@ def paper_summary(spark, d):
     score = F.round(retrieve.overlap_score(F.col("head"), tx.tokens(F.col("text"))), 6)
     best = rows.groupBy("doc_id", "section").agg(F.max(F.struct(score.alias("score"), (-F.col("chunk_index")).alias("i"))).alias("b"))
     return best.select("doc_id", "section", (-F.col("b.i")).alias("chunk_index"), "b.score")
+
+
+@query("focus_evidence")
+def focus_evidence(spark, d):
+    """How-to questions: of each candidate document the two neighbouring sentences that fit best, statements of use first."""
+    from skarn.operators.chunking import sentence_bigrams
+
+    c = candidates(spark, d).where("query_id = 0").select("doc_id", "text")
+    pairs = sentence_bigrams(c).join(c, "doc_id").withColumn("excerpt", F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")))
+    asked = F.broadcast(table(spark, d, "benchmark").where("item_id = 0").select(tx.tokens(F.col("text")).alias("q")))
+    scored = pairs.join(asked).withColumn("score", F.round(retrieve.overlap_score(F.col("q"), tx.tokens(F.col("excerpt"))), 6)).withColumn("chunk_id", F.col("k"))
+    main = F.col("score") >= 0.1
+    best = evidence.best_per_document(scored, [main & F.col("excerpt").rlike(r"(?i)\b(?:we|our model)\s+(?:use|employ|adopt|add)\b|使用|采用|加入|添加"), main])
+    return best.select("doc_id", "start", "stop", "score", "tier")
