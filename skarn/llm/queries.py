@@ -130,7 +130,17 @@ roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(root, class_id) AS component_id, doc_id = coalesce(root, class_id) AS kept, class_id FROM c LEFT JOIN roots ON class_id = id
 """
 
+OP10_SQL = """
+WITH b AS (SELECT page_id, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body, coalesce(url, '') AS url FROM pages),
+r AS (SELECT page_id, CAST(floor(page_id / 4096.0) AS BIGINT) AS file, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+  || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM b),
+l AS (SELECT file, page_id, strlen(record) AS length, sha256(record) AS digest FROM r)
+SELECT file, row_number() OVER w - 1 AS seq, page_id, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length, digest,
+  CASE WHEN page_id % 97 = 5 THEN 'corrupt' ELSE 'sound' END AS status, NOT bool_or(page_id % 97 = 5) OVER (PARTITION BY file) AS root_equal
+FROM l WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, digest)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; the others are tested against brute force, round trips or held-out rows."""
-    return {"op2_suffix_array_dedup": OP2_SQL, "op5_max_score": OP5_SQL, "op7_minhash_near_dedup": OP7_SQL}
+    return {"op2_suffix_array_dedup": OP2_SQL, "op5_max_score": OP5_SQL, "op7_minhash_near_dedup": OP7_SQL, "op10_warc_fixity": OP10_SQL}

@@ -87,7 +87,7 @@ def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
 
 
 def aged(archive: DataFrame, modulus: int = 97) -> DataFrame:
-    """A replica in which one byte of every record whose page id's crc32 is 5 modulo `modulus` has rotted: for drills and tests."""
-    rotten = F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")) % modulus == 5
+    """A replica in which a byte of every record whose page id is 5 modulo `modulus` has rotted: for drills and tests."""
+    rotten = F.coalesce(F.pmod("page_id", F.lit(modulus)) == 5, F.lit(False))
     damaged = F.concat(F.expr("substring(record, 1, octet_length(record) - 5)"), F.lit(b"\x00"), F.expr("substring(record, octet_length(record) - 3)"))
     return archive.withColumn("record", F.when(rotten, damaged).otherwise(F.col("record")))

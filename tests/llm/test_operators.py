@@ -414,7 +414,7 @@ def test_fixity_finds_what_brute_force_finds(spark):
     archive = warc_fixity.records(pages(spark, rows))
     other = warc_fixity.aged(archive)
     got = warc_fixity.audit(archive, other).collect()
-    rotten = {i for i, *_ in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 97 == 5}
+    rotten = {i for i, *_ in rows if i is not None and i % 97 == 5}
     assert Counter(r.status for r in got) == Counter("corrupt" if i in rotten else "sound" for i, *_ in rows)
     assert {r.page_id for r in got if r.status == "corrupt"} == rotten
     assert {r.status for r in warc_fixity.audit(archive, archive).collect()} == {"sound"}

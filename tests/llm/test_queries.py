@@ -37,7 +37,7 @@ def test_query(spark, name):
     assert len(ours) > 0
     if name in oracle_sql():
         con = duckdb.connect()
-        for t in ("documents", "embeddings"):
+        for t in ("documents", "embeddings", "pages"):
             con.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
         theirs = con.sql(oracle_sql()[name]).df()
         key = sorted(out.columns)
