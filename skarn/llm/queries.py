@@ -141,6 +141,30 @@ FROM l WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, digest)
 """
 
 
+def license_sql() -> str:
+    """The vote in SQL; the templates' runs and the phrases are written out as values."""
+    from skarn.llm.license_scan import K, MIN_COVER, PHRASES, SLACK, TEMPLATES, template_words
+
+    grams = [(f"{label}/{n}", label, i, len(w) - K + 1, " ".join(w[i : i + K])) for label, texts in TEMPLATES.items() for n, w in enumerate(map(template_words, texts)) for i in range(len(w) - K + 1)]
+    values = ", ".join(f"('{t}', '{label}', {at}, {runs}, '{g}')" for t, label, at, runs, g in grams)
+    phrases = " UNION ALL ".join(f"SELECT doc_id, pos, '{label}' AS label FROM each_word WHERE {' AND '.join(f"w[pos + {j + 1}] = '{x}'" for j, x in enumerate(p.split()))}" for p, label in PHRASES.items())
+    return f"""
+WITH t(template, label, place, runs, g) AS (VALUES {values}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+each_word AS (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM d),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS labels FROM ({phrases}) GROUP BY doc_id),
+hits AS (SELECT doc_id, template, label, runs, e.pos - t.place AS diagonal, t.place AS a, e.pos FROM each_word e JOIN t ON e.w[e.pos + 1] || ' ' || e.w[e.pos + 2] || ' ' || e.w[e.pos + 3] = g),
+votes AS (SELECT doc_id, template, label, runs, diagonal, list(a) AS ats, min(pos) AS lo, max(pos) AS hi FROM hits GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER v <= {SLACK} THEN 0 ELSE 1 END AS new FROM votes WINDOW v AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+clusters AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS c FROM steps),
+spans AS (SELECT doc_id, label, len(list_distinct(flatten(list(ats)))) / CAST(runs AS DOUBLE) AS cover FROM clusters GROUP BY doc_id, template, label, runs, c HAVING cover >= {MIN_COVER} AND max(hi) - min(lo) <= runs + {2 * SLACK}),
+found AS (SELECT doc_id, list(label) AS labels, max(cover) AS cover FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(b.labels, f.labels))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END AS score
+FROM d LEFT JOIN base b ON d.doc_id = b.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; the others are tested against brute force, round trips or held-out rows."""
-    return {"op2_suffix_array_dedup": OP2_SQL, "op5_max_score": OP5_SQL, "op7_minhash_near_dedup": OP7_SQL, "op10_warc_fixity": OP10_SQL}
+    return {"op4_license_scan": license_sql(), "op2_suffix_array_dedup": OP2_SQL, "op5_max_score": OP5_SQL, "op7_minhash_near_dedup": OP7_SQL, "op10_warc_fixity": OP10_SQL}
