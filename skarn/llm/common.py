@@ -5,6 +5,7 @@ Everything here works on whole texts as UTF-8 bytes; a null text counts as empty
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes hashed at a time; keeps the working arrays of a task at a few dozen MB.
 BLOCK = 1 << 20
+BATCH_BYTES = 8 << 20
 
 _rng = np.random.default_rng(20240601)
 #: One random 64-bit value for each byte, and an odd base for the polynomial hash.
@@ -56,16 +58,17 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session hand whole texts to Python 8 MB at a time, where it would take more: two workers an executor then stay within a few hundred MB."""
+    if int(re.sub(r"\D", "", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def spread(docs: DataFrame, parts: int) -> DataFrame:
-    """Leaves the input's own partitions as they are unless there are fewer than parts."""
-    return docs if docs.rdd.getNumPartitions() >= parts else docs.repartition(parts)
-
-
 def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 

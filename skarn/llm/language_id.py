@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skarn.llm.common import text_bytes
+from skarn.llm.common import small_batches, text_bytes
 from skarn.llm.ngrams import blocks, hashed, logistic
 
 BITS, SAMPLE, LANGUAGES, MARGIN = 15, 300, 100, 0.1
@@ -133,6 +133,7 @@ def _identify(batches, model):
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs with columns lang_pred, score and ambiguous; any columns of those names are replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])

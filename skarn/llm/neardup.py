@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import LOWER, Scratch, binary_buffer, packed_texts, shingle_hashes, span_hashes, text_bytes, word_spans
+from skarn.llm.common import LOWER, Scratch, binary_buffer, packed_texts, shingle_hashes, small_batches, span_hashes, text_bytes, word_spans
 from skarn.llm.components import components
 
 SKETCH = 32
@@ -120,6 +120,7 @@ def _estimate(a: str, b: str):
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id): groups of documents linked at percent or more."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "neardup")
     sk = scratch.write(sketches(docs, width), "sketches")
     by_id = sk.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "fp")).alias("s")).select("doc_id", "s.n", "s.fp")

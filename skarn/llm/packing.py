@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import Scratch
+from skarn.llm.common import Scratch, small_batches
 
 GROUP, OPEN = 8192, 4096
 
@@ -102,6 +102,7 @@ def _packed(table: pa.Table, size: int) -> pa.Table:
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "packing")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"

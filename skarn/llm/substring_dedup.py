@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skarn.llm.common import BYTE_HASH, U64, Scratch, binary_buffer, doc_blocks, mix, packer, text_bytes
+from skarn.llm.common import BYTE_HASH, U64, Scratch, binary_buffer, doc_blocks, mix, packer, small_batches, text_bytes
 
 DEPTH = 200
 DIGIT = 32
@@ -289,6 +289,7 @@ def kept_characters(data: bytes, edges: list[int]) -> str:
 
 def substring_dedup(docs: DataFrame, depth: int = DEPTH, digest: bool = False) -> DataFrame:
     """Per row of docs: row (its other columns), n_bytes, n_removed, n_spans, kept_sha256 (if digest) or kept_text, spans (in bytes)."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substrings")
     texts = _keyed(docs)
     spans = scratch.write(repeated_spans(texts, scratch, depth).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("found")), "found")

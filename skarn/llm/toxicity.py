@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skarn.llm.common import text_bytes
+from skarn.llm.common import small_batches, text_bytes
 from skarn.llm.ngrams import ORDERS, distinct_features, logistic
 
 BITS, FEATURES, SAMPLE = 20, 10_000, 2000
@@ -104,6 +104,7 @@ def _score(batches, model):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with columns score (0 to 1) and predicted (1 if score >= 0.3); any columns of those names are replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
