@@ -34,6 +34,8 @@ from skarn.llm.components import components
 SKETCH = 32
 #: Lists longer than this that stay apart get the bound by shared shingles before their members are paired.
 CROWD = 64
+#: That bound is summed over so many ranges of shingle hashes, which makes it nearly tight.
+SLOTS = 32
 _INT64_MIN = np.uint64(1 << 63)
 
 
@@ -159,14 +161,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     crowd = apart.where(F.col("long") > CROWD).select("doc_id").distinct()
     held = scratch.write(texts.join(crowd, "doc_id", "left_semi").mapInArrow(partial(_shingles, width=width), "doc_id long, h long"), "held")
     twice = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
-    common = held.join(twice, "h").groupBy("doc_id").agg(F.count("*").alias("common"))
+    slot = F.pmod("h", F.lit(SLOTS))
+    common = held.join(twice, "h").groupBy("doc_id").agg(F.count("*").alias("common"), F.array(*(F.count_if(slot == k).cast("int") for k in range(SLOTS))).alias("slots"))
     known = few.select("doc_id", "sketch", "vs").join(common, "doc_id", "left")
-    apart = apart.join(known, "doc_id").withColumn("c", F.when(F.col("long") > CROWD, F.coalesce("common", F.lit(0))).otherwise(F.col("n")))
-    apart = scratch.write(apart.where(100 * F.col("c") >= percent * F.col("n")).select("v", "doc_id", "root", "top", "n", "c", "vs", "sketch"), "bounded")
-    x = apart.where("root <> top").select("v", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("vs").alias("vx"), F.col("sketch").alias("sx"))
-    y = apart.select("v", F.col("doc_id").alias("y"), F.col("root").alias("ry"), (F.col("root") != F.col("top")).alias("too"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("vs").alias("vy"), F.col("sketch").alias("sy"))
+    apart = apart.join(known, "doc_id").withColumn("c", F.when(F.col("long") > CROWD, F.coalesce("common", F.lit(0))).otherwise(F.col("n"))).withColumn("slots", F.when(F.col("long") > CROWD, F.col("slots")))
+    apart = scratch.write(apart.where(100 * F.col("c") >= percent * F.col("n")).select("v", "doc_id", "root", "top", "n", "c", "slots", "vs", "sketch"), "bounded")
+    x = apart.where("root <> top").select("v", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("slots").alias("lx"), F.col("vs").alias("vx"), F.col("sketch").alias("sx"))
+    y = apart.select("v", F.col("doc_id").alias("y"), F.col("root").alias("ry"), (F.col("root") != F.col("top")).alias("too"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("slots").alias("ly"), F.col("vs").alias("vy"), F.col("sketch").alias("sy"))
     most = F.least("cx", "cy", "nx", "ny")
     close = (F.col("rx") != F.col("ry")) & (~F.col("too") | (F.col("x") < F.col("y"))) & (100 * most >= percent * (F.col("nx") + F.col("ny") - most))
+    # No pair shares more than the lesser count of shared shingles in each slot of the hashes.
+    slots = F.aggregate(F.zip_with("lx", "ly", lambda p, q: F.least(p, q)), F.lit(0), lambda t, m: t + m)
+    close = close & F.when(F.col("lx").isNotNull() & F.col("ly").isNotNull(), 100 * slots >= percent * (F.col("nx") + F.col("ny") - slots)).otherwise(True)
     # A pair is made in the first list that both are in, and in no other.
     close = close & (F.array_intersect("vx", "vy")[0] == x["v"]) & (_estimate("sx", "sy") >= percent / 100 - 0.33)
     rest = x.join(y, (x["v"] == y["v"]) & close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
