@@ -228,7 +228,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Da
     asked = kinds.groupBy(*(F.col(f"r.{c}").alias(c) for c in KEY)).agg(F.collect_list(F.struct("g", "s", "r.p")).alias("asked"))
     one_each = _compact(texts.select(*KEY, "text")).join(asked, KEY).dropDuplicates(KEY).select("z", "asked")
     segments = scratch.write(one_each.mapInArrow(partial(_segments, depth=depth), "g long, s long, p long, bytes binary"), "segments")
-    strips = scratch.write(segments.mapInArrow(partial(_strips, depth=depth), "g long, s long, q int, core long, strip long"), "strips")
+    strips = segments.mapInArrow(partial(_strips, depth=depth), "g long, s long, q int, core long, strip long")
     equal = strips.groupBy("g", "q", "strip").agg(F.count("*").alias("c"), F.min("s").alias("one"), F.min("core").alias("core"))
     # A strip meets others than its equals if its core has more than one kind of strip.
     mixed = equal.groupBy("g", "q", "core").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -239,9 +239,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Da
     met = windows.groupBy("g", "w").agg(F.count("*").alias("c")).where("c > 1").select("g", "w")
     hits = windows.join(met, ["g", "w"]).groupBy("g", "s").agg(F.collect_list("k").alias("ks"))
     marks = kinds.select("g", "s", "c").join(hits, ["g", "s"], "left").join(same.groupBy("g", "s").agg(F.collect_list("q").alias("whole")), ["g", "s"], "left")
-    marks = scratch.write(marks.where("c > 1 or ks is not null or whole is not null"), "marks")
-    scratch.drop("windows")
-    scratch.drop("segments")
+    marks = marks.where("c > 1 or ks is not null or whole is not null")
     first, offset, n = F.shiftright("p", 20), F.shiftright("p", 10).bitwiseAND(1023), F.col("p").bitwiseAND(1023)
     one = F.transform(F.coalesce("ks", F.array().cast("array<int>")), lambda k: F.struct((first + k).alias("at"), F.lit(1).cast("long").alias("n")))
     low = lambda q: offset - F.least(q * STRIP + STRIP - 1, offset)
@@ -292,7 +290,7 @@ def substring_dedup(docs: DataFrame, depth: int = DEPTH, digest: bool = False) -
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substrings")
     texts = _keyed(docs)
-    spans = scratch.write(repeated_spans(texts, scratch, depth).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("found")), "found")
+    spans = repeated_spans(texts, scratch, depth).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("found"))
     numbers = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
     schema = T.StructType([texts.schema["row"], *numbers, T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(span))])
