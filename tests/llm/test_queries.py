@@ -4,6 +4,7 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skarn.llm.decontaminate import contamination
@@ -76,6 +77,16 @@ def test_stage_toxicity(spark, stages):
     assert ids(stages["toxicity"]) == ids(marked.where("score < 0.3")) and ids(stages["toxicity"]) < ids(docs)
 
 
+def test_stages_take_clashing_columns_and_empty_tables(spark, stages):
+    docs = stages["documents"].withColumns({"score": F.lit("mine"), "z": F.lit(1), "row": F.lit(2)}).limit(60)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, D)
+        assert docs.columns == [*stages["documents"].columns, "score", "z", "row"]
+    assert {r.score for r in docs.collect()} == {"mine"}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, stages["documents"].limit(0), D).count() == 0
+
+
 def test_stage_near_duplicates(stages):
     before = [(r.doc_id, r.text) for r in stages["toxicity"].collect()]
     groups = brute_components(before, 80)
