@@ -207,11 +207,12 @@ def token_windows(spark, d):
 
 @query("table_windows")
 def table_windows(spark, d):
-    """Lines of each source's short documents as table rows under a repeated header."""
+    """Whole lines of each document as table rows under a repeated header; a line too long for one row takes several."""
+    header, budget = "| a | b |", 600
 
     def pack(batches):
         for pdf in batches:
-            rows = [(int(i), k, w) for i, t in zip(pdf.doc_id, pdf.text) for k, w in enumerate(chunking.table_windows([x[:200] for x in t.split("\n")], "| a | b |", 600))]
+            rows = [(int(i), k, w) for i, t in zip(pdf.doc_id, pdf.text) for k, w in enumerate(chunking.table_windows(chunking.table_rows(t, header, budget), header, budget))]
             yield pd.DataFrame(rows, columns=["doc_id", "w", "passage"])
 
     return table(spark, d, "documents").select("doc_id", "text").mapInPandas(pack, "doc_id long, w int, passage string")

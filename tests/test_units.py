@@ -83,6 +83,21 @@ def test_table_windows():
         chunking.table_windows(["x" * 10], "head", 10)
 
 
+def test_table_windows_query_leaves_no_character_out(spark):
+    from skarn.plans import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    passages = {}
+    for r in sorted(QUERIES["table_windows"](spark, d).collect(), key=lambda r: (r.doc_id, r.w)):
+        header, rest = r.passage.split("\n", 1)
+        assert header == "| a | b |" and len(r.passage) <= 600
+        passages.setdefault(r.doc_id, []).append(rest.replace("\n", ""))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert any(len(line) > 590 for t in texts.values() for line in t.split("\n"))
+    assert {i: "".join(x) for i, x in passages.items()} == {i: t.replace("\n", "") for i, t in texts.items()}
+    assert chunking.table_rows("abc\n\nabcdefgh", "head", 10) == ["abc", "", "abcde", "fgh"]
+
+
 # --- text --------------------------------------------------------------------------------------
 
 
