@@ -4,13 +4,21 @@ Texts and items are lower-cased (A-Z) and every run of white space becomes one s
 random walk reads a text from a start: step j emits the byte under the cursor and moves
 on by a random bit that depends on j and that byte. Walks of two strings that differ by
 few edits fall into step again soon, so edit distance becomes Hamming distance. Each of
-REPETITIONS walks keeps SAMPLED of its STEPS coordinates as one key; item-sized windows of a
-text whose key equals that of an item at the same offset are candidates, and the edit distance to the
-best substring around the window decides: at most max_edits of the item's length.
-
-Windows start at words whose first bytes have an even hash. Both sides use that rule, so an item of n words
-has about n / 2 starts at which one clean walk of about 20 bytes finds it: the chance to
-miss an item with a tenth of its words changed is below 1e-4 (tests measure recall).
+REPETITIONS walks keeps SAMPLED of its coordinates as one key. Walks start at every byte of texts and items
+alike, so scripts without spaces are read as others are. A walk from a place of the text whose key equals that of an
+item's walk is a vote for the item at that offset; votes are counted in bins of offsets as wide as the edits may shift them.
+
+The parameters follow from max_edits e: a walk of s steps meets no edit with a chance of about (1 - e) (1 - e / 2)^(s - 1),
+so s is the most steps that leave a chance of CLEAN, and an item of n bytes with a share e of edits
+expects REPETITIONS * n * CLEAN votes. Item-sized windows with at least 1 / SLACK of those, or all but SPREAD times
+their square root, are candidates. The slack is for edits that lie evenly, so that 0.99 of the items with as many
+random edits as max_edits allows are found (tests measure it against brute force); fewer edits leave many times the votes.
+Candidates whose pieces of 64 bytes need more edits than the item may have are dropped, and the edit
+distance to the best substring around the window decides: at most max_edits of the item's length.
+
+Items of up to SHORT bytes expect too few votes. They are compared with every place of every text by bit vectors, many
+windows at a time, after an exact bound on shared 4-byte strings: no such item is ever missed. A longer item has
+a walk from each byte but its last few, so it always has keys.
 
 The items are a stated query set: they go to every task in blocks of at most ITEM_BYTES,
 so a larger benchmark costs more passes and not more memory. No document is shuffled.
@@ -21,22 +29,24 @@ bytes; a null id is carried; repeated rows each get their result; extra columns
 
 from __future__ import annotations
 
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import LOWER, SPACE, U64, binary_buffer, doc_blocks, mix, small_batches, text_bytes
+from skarn.llm.common import LOWER, SPACE, U64, binary_buffer, doc_blocks, small_batches, text_bytes
 
-REPETITIONS, STEPS, SAMPLED = 2, 40, 18
-MIN_ITEM = 32
-ITEM_BYTES = 16 << 20
-_WINDOWS = 1 << 17
-_rng = np.random.default_rng(7)
-_MOVE = _rng.integers(0, 2, (REPETITIONS, STEPS, 256)).astype(np.int32)
-_KEPT = np.stack([np.isin(np.arange(STEPS), _rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(REPETITIONS)])
+REPETITIONS, SAMPLED, CLEAN, SLACK, SPREAD = 2, 0.9, 0.1, 7, 4.5
+SHORT, MIN_ITEM = 64, 32
+ITEM_BYTES = 1 << 20
+#: Walks started at a time; their keys stay in the cache.
+_WALKS = 1 << 15
+_WINDOWS = 1 << 20
+#: Bytes of text that one window of the search for short items starts in.
+_LANE = 256
+_GRAM = 4
 
 
 def squeezed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,72 +61,205 @@ def squeezed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.searchsorted(place, offsets), place
 
 
-def window_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the words whose first four bytes have an even hash."""
-    if not len(data):
-        return np.zeros(0, np.int64)
-    first = data != 32
-    first[1:] &= data[:-1] == 32
-    cuts = offsets[:-1][offsets[:-1] < len(data)]
-    first[cuts] = data[cuts] != 32
-    at = np.flatnonzero(first)
-    near = np.concatenate([data, np.full(4, 32, np.uint8)])
-    code = near[at].astype(np.uint32)
-    for j in (1, 2, 3):
-        code = code * np.uint32(0x01000193) + near[at + j]
-    return at[(code * np.uint32(0x9E3779B1)) >> np.uint32(31) == 0]
-
-
-def walk_keys(data: np.ndarray, starts: np.ndarray, repetition: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sampled coordinates of the walk from each start as one key, and where the walk ended."""
-    at = starts.astype(np.int32)
-    key = np.full(len(at), repetition + 1, U64)
-    for j in range(STEPS):
-        c = data[at]
-        if _KEPT[repetition, j]:
-            key *= U64(0x100000001B3)
-            key ^= c
-        at += _MOVE[repetition, j][c]
-    return mix(key), at
+@lru_cache
+def walks(max_edits: float) -> tuple[np.ndarray, np.ndarray]:
+    """The moves of each repetition, step and byte, and which steps are kept, for that share of edits."""
+    e = min(max(max_edits, 0.01), 0.9)
+    steps = max(4, min(32, 1 + int(np.log(CLEAN / (1 - e)) / np.log(1 - e / 2)))) if CLEAN < 1 - e else 4
+    rng = np.random.default_rng(7)
+    moves = rng.integers(0, 2, (REPETITIONS, steps, 256)).astype(bool)
+    kept = np.stack([np.isin(np.arange(steps), rng.choice(steps, int(np.ceil(SAMPLED * steps)), replace=False)) for _ in range(REPETITIONS)])
+    return moves, kept
+
+
+def walk_keys(data: np.ndarray, n: int, moves: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The sampled coordinates of the walks from the first n bytes as one key each, from the last step back; data has a byte more a step."""
+    steps = len(kept)
+    bits = (moves.astype(np.uint32) << np.arange(steps, dtype=np.uint32)[:, None]).sum(0).astype(np.uint32)[data]
+    wide, key = data.astype(np.uint32), np.full(n + steps, 7, np.uint32)
+    for j in range(steps - 1, -1, -1):
+        stay = key[: n + j]
+        # The key of the next step here or a byte on, chosen by the move's bit without a branch.
+        key = key[1 : n + j + 1] ^ stay
+        key *= bits[: n + j] >> np.uint32(j) & np.uint32(1)
+        key ^= stay
+        if kept[j]:
+            key *= np.uint32(0x9E3779B1)
+            key ^= wide[: n + j]
+    key *= np.uint32(0x85EBCA6B)
+    return key ^ key >> np.uint32(15)
+
+
+def walk_ends(data: np.ndarray, n: int, moves: np.ndarray) -> np.ndarray:
+    """Where the walks from the first n bytes end."""
+    end = np.arange(n + len(moves))
+    for j in range(len(moves) - 1, -1, -1):
+        end = np.where(moves[j][data[: n + j]], end[1 : n + j + 1], end[: n + j])
+    return end
+
+
+def gram_codes(data: np.ndarray) -> np.ndarray:
+    """A 16-bit hash of the 4 bytes from each place; data has 3 bytes more."""
+    n = len(data) - _GRAM + 1
+    code = data[:n].astype(np.uint32)
+    for j in range(1, _GRAM):
+        code = code * np.uint32(0x01000193) + data[j : j + n]
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
 class Items:
     """The items' texts and their keys, sorted for lookup."""
 
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        self.ids, self.texts, keys, owners, shifts = [], [], [], [], []
+    def __init__(self, rows: list[tuple[int, bytes]], max_edits: float = 0.2):
+        self.ids, self.texts, self.max_edits, keys, owners, shifts = [], [], max_edits, [], [], []
+        self.moves, self.kept = walks(max_edits)
+        steps = self.kept.shape[1]
         for item_id, raw in rows:
             data, offsets, _ = squeezed(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             text = data.tobytes().strip()
             if len(text) < MIN_ITEM:
                 continue
-            data = np.frombuffer(text + b" " * (STEPS + 1), np.uint8)
-            starts = window_starts(data[: len(text)], np.array([0, len(text)]))
-            for r in range(REPETITIONS):
-                key, end = walk_keys(data, starts, r)
-                ok = end <= len(text)
-                keys.append(key[ok])
-                shifts.append(starts[ok])
-                owners.append(np.full(int(ok.sum()), len(self.ids)))
+            if len(text) > SHORT:
+                data = np.frombuffer(text + b" " * steps, np.uint8)
+                for r in range(REPETITIONS):
+                    starts = np.flatnonzero(walk_ends(data, len(text), self.moves[r]) <= len(text))
+                    keys.append(walk_keys(data, len(text), self.moves[r], self.kept[r])[starts].astype(np.uint64) | np.uint64(r << 32))
+                    shifts.append(starts)
+                    owners.append(np.full(len(starts), len(self.ids)))
             self.ids.append(item_id)
             self.texts.append(text)
+        self.short = [k for k, text in enumerate(self.texts) if len(text) <= SHORT]
         self.keys, self.owners, self.shifts = (np.concatenate([*x, np.zeros(0, t)]).astype(t) for x, t in ((keys, U64), (owners, np.int64), (shifts, np.int64)))
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.owners, self.shifts = self.keys[order], self.owners[order], self.shifts[order]
-        self.filter = np.zeros(1 << 18, bool)
-        self.filter[(self.keys & U64((1 << 18) - 1)).astype(np.int64)] = True
-
-    def candidates(self, data: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-        """(item, where its start would lie) for every window whose key is an item's; data is padded."""
-        out: set[tuple[int, int]] = set()
-        for i in range(0, len(starts), _WINDOWS):
-            part = starts[i : i + _WINDOWS]
+        # Sorted by slot: the repetition and the low bits of the key.
+        bits = min(22, max(12, int(len(self.keys) * 4).bit_length()))
+        self.mask = np.uint32((1 << bits) - 1)
+        slot = ((self.keys >> U64(32)) << U64(bits) | self.keys & U64(self.mask)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        self.owners, self.shifts = self.owners[order], self.shifts[order]
+        self.keys = self.keys[order].astype(np.uint32)
+        count = np.bincount(slot, minlength=REPETITIONS << bits)
+        self.count = count.reshape(REPETITIONS, -1).astype(np.int32)
+        self.first = (np.cumsum(count) - count).reshape(REPETITIONS, -1).astype(np.int32)
+        size = np.array([len(t) for t in self.texts], np.int64)
+        self.most = np.array([int(max_edits * len(t)) for t in self.texts], np.int64)
+        expected = REPETITIONS * CLEAN * size
+        self.votes = np.maximum(1, np.maximum(expected / SLACK, expected - SPREAD * np.sqrt(expected))).astype(np.int64)
+        self.before = max(map(len, self.texts), default=0)
+        cuts = [[len(t) * k // -(-len(t) // 64) for k in range(-(-len(t) // 64) + 1)] for t in self.texts]
+        self.pieces = np.array([len(c) - 1 for c in cuts], np.int64)
+        self.piece = np.cumsum(self.pieces) - self.pieces
+        self.cuts = np.array([a for c in cuts for a in c[:-1]], np.int64)
+        self.width = np.array([b - a for c in cuts for a, b in zip(c, c[1:])], np.int64)
+        self.masks = np.zeros((len(self.width), 256), U64)
+        for row, part in enumerate(t[a:b] for t, c in zip(self.texts, cuts) for a, b in zip(c, c[1:])):
+            for i, byte in enumerate(part):
+                self.masks[row, byte] |= U64(1 << i)
+
+    def voted(self, data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(item << 40 | bin of offsets, votes) of the walks from data[lo:hi]; data is padded."""
+        bins, steps = [], self.kept.shape[1]
+        for i in range(lo, hi, _WALKS):
+            n = min(_WALKS, hi - i)
             for r in range(REPETITIONS):
-                key, _ = walk_keys(data, part, r)
-                hit = np.flatnonzero(self.filter[(key & U64((1 << 18) - 1)).astype(np.int64)])
-                lo, hi = (np.searchsorted(self.keys, key[hit], side) for side in ("left", "right"))
-                for h, a, b in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                    out.update((int(self.owners[x]), int(part[h] - self.shifts[x])) for x in range(a, b))
+                key = walk_keys(data[i : i + n + steps], n, self.moves[r], self.kept[r])
+                slot = key & self.mask
+                count = self.count[r][slot]
+                hit = np.flatnonzero(count)
+                count = count[hit]
+                skipped = np.cumsum(count) - count
+                at = np.repeat(self.first[r][slot[hit]] - skipped, count) + np.arange(count.sum())
+                place = np.repeat(hit, count)
+                same = self.keys[at] == key[place]
+                at, place = at[same], place[same]
+                item = self.owners[at]
+                # Offsets may lie before the data; they are counted from there.
+                bins.append(item << 40 | (place + (i + self.before) - self.shifts[at]) // (self.most[item] + 1))
+        return np.unique(np.concatenate([*bins, np.zeros(0, np.int64)]), return_counts=True)
+
+    def candidates(self, data: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+        """(item, first and last place where its start may lie) of the windows with enough votes; data is size bytes and padding."""
+        if not len(self.keys):
+            return []
+        parts = [self.voted(data, i, min(size, i + _WINDOWS)) for i in range(0, size, _WINDOWS)]
+        bins, votes = parts[0] if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if len(parts) > 1:
+            bins, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            votes = np.bincount(at, np.concatenate([p[1] for p in parts]), len(bins)).astype(np.int64)
+        if not len(bins):
+            return []
+        both = votes.copy()  # of a bin and the next one: any two places that edits can shift apart lie in such a pair
+        both[:-1] += np.where(bins[1:] == bins[:-1] + 1, votes[1:], 0)
+        good = bins[both >= self.votes[bins >> 40]]
+        if not len(good):
+            return []
+        # Neighbouring bins are looked at together, up to four of them.
+        run = np.cumsum(np.r_[True, np.diff(good) != 1])
+        nth = np.arange(len(good)) - np.flatnonzero(np.r_[True, np.diff(run) != 0])[run - 1]
+        head = np.flatnonzero(nth % 4 == 0)
+        tail = np.r_[head[1:], len(good)] - 1
+        item, low = good[head] >> 40, (1 << 40) - 1
+        wide = self.most[item] + 1
+        first, last = (good[head] & low) * wide - self.before, ((good[tail] & low) + 2) * wide - self.before
+        # The pieces of an item have no fewer edits together than the item.
+        alive, spent = np.arange(len(item)), np.zeros(len(item), np.int64)
+        data = np.concatenate([data[:size], np.zeros(int((last - first + 2 * wide).max()) + 64, np.uint8)])
+        for p in range(int(self.pieces.max())):
+            more = alive[self.pieces[item[alive]] > p]
+            row = self.piece[item[more]] + p
+            lo = np.clip(first[more] - wide[more] + self.cuts[row], 0, size)
+            hi = np.clip(last[more] + wide[more] + self.cuts[row] + self.width[row], 0, size)
+            spent[more] += self.nearest(row, data, lo, hi - lo)
+            alive = alive[spent[alive] <= self.most[item[alive]]]
+        return list(zip(item[alive].tolist(), first[alive].tolist(), last[alive].tolist()))
+
+    def nearest(self, row: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lanes: int = 4096) -> np.ndarray:
+        """The edit distance of a piece of up to 64 bytes to the best substring of data from each start, or less: Myers' bit vectors, one window a lane.
+
+        Windows of about one size run together, each as long as the longest.
+        """
+        out, one = np.empty(len(row), np.int64), U64(1)
+        order = np.argsort(sizes, kind="stable")
+        for some in (order[i : i + lanes] for i in range(0, len(order), lanes)):
+            masks, base, at = self.masks.reshape(-1), row[some] * 256, np.minimum(starts[some], len(data) - int(sizes[some[-1]]))
+            width = self.width[row[some]]
+            top = (width - 1).astype(U64)
+            pv, mv = np.full(len(some), (1 << 64) - 1, U64), np.zeros(len(some), U64)
+            score = width.copy()
+            best = score.copy()
+            for j in range(int(sizes[some[-1]])):
+                eq = masks[base + data[at + j]]
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph, mh = mv | ~(xh | pv), pv & xh
+                score += (ph >> top & one).view(np.int64)
+                score -= (mh >> top & one).view(np.int64)
+                xv = eq | mv
+                ph <<= one
+                mh <<= one
+                pv, mv = mh | ~(xv | ph), ph & xv
+                np.minimum(best, score, out=best)
+            out[some] = best
+        return out
+
+    def lanes(self, data: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+        """The same for short items: exact, by windows of _LANE starts."""
+        out: list[tuple[int, int, int]] = []
+        if not self.short or not size:
+            return out
+        starts = np.arange(0, size, _LANE)
+        data = np.concatenate([data[:size], np.zeros(_LANE + 2 * SHORT + _GRAM, np.uint8)])
+        codes = gram_codes(data)
+        for k in self.short:
+            text, most = self.texts[k], int(self.most[k])
+            m, chosen = len(text), starts
+            if (shared := m - _GRAM + 1 - _GRAM * most) > 0:
+                # Each edit changes at most 4 of an item's strings of 4 bytes; the rest is in the window.
+                known = np.zeros(1 << 16, np.int32)
+                known[gram_codes(np.frombuffer(text, np.uint8))] = 1
+                count = np.concatenate([[0], np.cumsum(known[codes], dtype=np.int64)])
+                window = count[np.minimum(starts + _LANE + m + most, len(codes))] - count[starts]
+                chosen = starts[window >= shared]
+            distance = self.nearest(np.full(len(chosen), self.piece[k]), data, chosen, np.full(len(chosen), _LANE + m + most))
+            out += [(k, at, at + _LANE) for at in chosen[distance <= most].tolist()]
         return out
 
 
@@ -143,26 +286,27 @@ def best_substring(pattern: bytes, text: bytes, most: int) -> tuple[int, int] |
 def _matches(data: np.ndarray, offsets: np.ndarray, items: Items, max_edits: float):
     """(text, item, distance, start, stop) of the best match of each item in each text."""
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    padded = np.concatenate([data, np.full(STEPS + 1, 32, np.uint8)])
-    tried: dict[tuple[int, int], list[int]] = {}
-    for item, at in sorted(items.candidates(padded, window_starts(data, offsets))):
+    size = len(data)
+    padded = np.concatenate([data, np.full(items.kept.shape[1], 32, np.uint8)])
+    for item, first, last in items.candidates(padded, size) + items.lanes(data, size):
         pattern = items.texts[item]
         most = int(max_edits * len(pattern))
-        text = int(np.searchsorted(offsets, min(max(at + len(pattern) // 2, 0), len(data) - 1), "right")) - 1
-        lo, hi = max(int(offsets[text]), at - most), min(int(offsets[text + 1]), at + len(pattern) + most)
-        places = tried.setdefault((text, item), [])
-        if (text, item) in found and found[text, item][0] == 0 or any(abs(p - at) <= most // 2 for p in places):
+        lo, hi = max(0, first - most), min(size, last + len(pattern) + most)
+        if lo >= hi:
             continue
-        region = data[lo:hi].tobytes()
-        if (k := region.find(pattern)) >= 0:
-            new = (0, lo + k, lo + k + len(pattern))
-        elif end := best_substring(pattern, region, most):
-            back = best_substring(pattern[::-1], region[: end[1]][::-1], most)
-            new = (end[0], lo + end[1] - back[1], lo + end[1])
-        else:
-            continue
-        places.append(at)
-        found[text, item] = min(new, found.get((text, item), new))
+        for text in range(int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi, "left"))):
+            a, b = max(lo, int(offsets[text])), min(hi, int(offsets[text + 1]))
+            if b - a < len(pattern) - most or (text, item) in found and found[text, item][0] == 0:
+                continue
+            region = data[a:b].tobytes()
+            if (k := region.find(pattern)) >= 0:
+                new = (0, a + k, a + k + len(pattern))
+            elif most and (end := best_substring(pattern, region, most)):
+                back = best_substring(pattern[::-1], region[: end[1]][::-1], most)
+                new = (end[0], a + end[1] - back[1], a + end[1])
+            else:
+                continue
+            found[text, item] = min(new, found.get((text, item), new))
     return [(text, item, *x) for (text, item), x in sorted(found.items())]
 
 
@@ -188,20 +332,20 @@ def _clean(batches, items: Items, max_edits: float):
         yield b.drop_columns(["bytes of text"]).filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
 
-def item_blocks(benchmark: DataFrame, most: int = ITEM_BYTES) -> list[Items]:
+def item_blocks(benchmark: DataFrame, max_edits: float, most: int = ITEM_BYTES) -> list[Items]:
     """The items in blocks of about `most` bytes: one block unless the benchmark is larger."""
     small_batches(benchmark.sparkSession)
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // most))
     rows = benchmark.select(F.col("item_id").cast("long"), text_bytes().alias("text"))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [Items([(r[0], bytes(r[1])) for r in rows.where(block == k).distinct().collect()]) for k in range(n)]
+    return [Items([(r[0], bytes(r[1])) for r in rows.where(block == k).distinct().collect()], max_edits) for k in range(n)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2) -> DataFrame:
     """(doc_id, item_id, distance, start, stop): each item's best match in each text; places are bytes of the text."""
     texts, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")), None
-    for items in item_blocks(benchmark):
+    for items in item_blocks(benchmark, max_edits):
         part = texts.mapInArrow(partial(_report, items=items, max_edits=max_edits), "doc_id long, item_id long, distance long, start long, stop long")
         out = part if out is None else out.union(part)
     return out
@@ -209,6 +353,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2)
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2) -> DataFrame:
     """The rows of docs, columns unchanged, that hold no item."""
-    for items in item_blocks(benchmark):
+    for items in item_blocks(benchmark, max_edits):
         docs = docs.withColumn("bytes of text", text_bytes()).mapInArrow(partial(_clean, items=items, max_edits=max_edits), docs.schema)
     return docs

@@ -95,6 +95,39 @@ def test_contamination_recall():
     assert found >= 0.98 * total and total > 150
 
 
+def edited(text, edits, r):
+    out = bytearray(text)
+    for _ in range(edits):
+        at, kind = r.randrange(len(out)), r.randrange(3)
+        out[at : at + (kind > 0)] = bytes([r.randrange(97, 123)] * (kind < 2))
+    return bytes(out)
+
+
+def leaks(item, text):
+    """(found, there): what the operator says of one item in one text, and the comparison with every place of it."""
+    items = decontaminate.Items([(0, item)])
+    data, offsets, _ = decontaminate.squeezed(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    pattern = b" ".join(item.translate(LOWER).split())
+    best = decontaminate.best_substring(pattern, data.tobytes(), int(0.2 * len(pattern)))
+    got = decontaminate._matches(data, offsets, items, 0.2)
+    assert not got or best and got[0][2] == best[0]
+    return bool(got), best is not None
+
+
+def test_contamination_recall_up_to_the_most_edits():
+    r, found, there = random.Random(8), {}, {}
+    for share in (0.1, 0.15, 0.18, 0.2):
+        for k in range(100):
+            item = prose(4000 + k, 9 + k % 30).encode()
+            if k % 4 == 0:  # a script without spaces
+                item = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(30 + k % 40)).encode()
+            text = prose(k, 20).encode() + edited(item, int(share * len(item)), r) + prose(k + 9, 20).encode()
+            got, true = leaks(item, text)
+            found[share] = found.get(share, 0) + got
+            there[share] = there.get(share, 0) + true
+    assert min(there.values()) >= 95 and all(found[s] >= 0.99 * there[s] for s in there), (found, there)
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 
