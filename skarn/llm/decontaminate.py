@@ -23,8 +23,9 @@ a walk from each byte but its last few, so it always has keys.
 The items are a stated query set: they go to every task in blocks of at most ITEM_BYTES,
 so a larger benchmark costs more passes and not more memory. No document is shuffled.
 
-Defined results: null or empty texts and items match nothing, nor do items under MIN_ITEM
-bytes; a null id is carried; repeated rows each get their result; extra columns stay.
+Defined results: null or empty texts and items match nothing; an item of so few bytes that max_edits of
+them is less than one edit matches as an exact copy only; a null id is carried; repeated rows each get their
+result; extra columns stay.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from skarn.llm.common import LOWER, SPACE, U64, binary_buffer, doc_blocks, small_batches, text_bytes
 
 REPETITIONS, SAMPLED, CLEAN, SLACK, SPREAD = 2, 0.9, 0.1, 7, 4.5
-SHORT, MIN_ITEM = 64, 32
+SHORT = 64
 ITEM_BYTES = 1 << 20
 #: Walks started at a time; their keys stay in the cache.
 _WALKS = 1 << 15
@@ -117,7 +118,7 @@ class Items:
         for item_id, raw in rows:
             data, offsets, _ = squeezed(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             text = data.tobytes().strip()
-            if len(text) < MIN_ITEM:
+            if not text:
                 continue
             if len(text) > SHORT:
                 data = np.frombuffer(text + b" " * steps, np.uint8)

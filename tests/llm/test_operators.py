@@ -128,6 +128,29 @@ def test_contamination_recall_up_to_the_most_edits():
     assert min(there.values()) >= 95 and all(found[s] >= 0.99 * there[s] for s in there), (found, there)
 
 
+def test_contamination_misses_no_short_or_unspaced_item():
+    r = random.Random(9)
+    for n in range(1, 100):
+        words = prose(5000 + n, 30).encode()
+        unspaced = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(34)).encode()
+        for source in (words[r.randrange(20) :], unspaced):
+            item = source[:n].strip().decode(errors="ignore").encode()
+            if not item:
+                continue
+            edits = int(0.2 * len(item))
+            around = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(300)).encode()
+            assert leaks(item, around + item + around) == (True, True)
+            if len(item) <= decontaminate.SHORT:
+                got, there = leaks(item, around + edited(item, edits, r) + around)
+                assert got == there
+
+
+def test_contamination_keeps_short_matches_within_a_text(spark):
+    docs = spark.createDataFrame([(1, "xx ab"), (2, "cd yy"), (3, "zabcdz"), (4, "")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, "AbCd"), (8, " "), (9, None)], "item_id long, text string")
+    assert [tuple(x) for x in decontaminate.contamination(docs, bench).collect()] == [(3, 7, 0, 1, 5)]
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 
