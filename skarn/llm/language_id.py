@@ -6,7 +6,7 @@ codeword with the least loss, each bit's loss weighted by how well that bit's cl
 training; a text whose two best codewords lie within MARGIN of each other is ambiguous.
 
 The fit uses at most SAMPLE rows of each language, those whose ids have the least hashes
-(a documented bound) and the LANGUAGES most frequent languages; every text is read whole.
+(a documented bound); every language of a row with an id is learned, and every text is read whole.
 
 Defined results: a null text or one without a letter is `und` with score 0; without
 learned languages all are; a null id is kept; repeated rows and extra columns stay.
@@ -20,13 +20,14 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skarn.llm.common import small_batches, text_bytes
 from skarn.llm.ngrams import blocks, hashed, logistic
 
-BITS, SAMPLE, LANGUAGES, MARGIN = 15, 300, 100, 0.1
+BITS, SAMPLE, MARGIN = 15, 300, 0.1
 ORDERS = (2, 3, 4)
 SCALE = 30.0
 
@@ -38,7 +39,14 @@ def codewords(n: int) -> np.ndarray:
     if n <= 5:
         return np.array([[(k >> (n - 1 - i) & 1) if i else 0 for k in range(1, 1 << (n - 1))] for i in range(n)], np.int8)
     rng = np.random.default_rng(n)
-    best = max((rng.integers(0, 2, (n, int(np.ceil(10 * np.log2(n))))) for _ in range(50)), key=lambda c: min((c[i] != c[j]).sum() for i in range(n) for j in range(i)))
+
+    def nearest(c: np.ndarray) -> int:
+        signs = (2 * c - 1).astype(np.float32)
+        alike = signs @ signs.T
+        np.fill_diagonal(alike, -c.shape[1])
+        return int(c.shape[1] - alike.max()) // 2
+
+    best = max((rng.integers(0, 2, (n, int(np.ceil(10 * np.log2(n))))) for _ in range(50)), key=nearest)
     return best[:, (best.min(0) != best.max(0))].astype(np.int8)
 
 
@@ -72,8 +80,8 @@ class Model:
         if not self.names:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         margin = np.clip(frequencies(texts, self.weights) + self.bias, -30, 30)
-        signs = 2.0 * self.codes - 1
-        loss = np.stack([(self.trust * np.log1p(np.exp(-margin * s))).sum(1) for s in signs], 1) / self.trust.sum()
+        one, zero = (self.trust * np.log1p(np.exp(-margin * s)) for s in (1.0, -1.0))
+        loss = np.stack([np.where(c, one, zero).sum(1) for c in self.codes.astype(bool)], 1) / self.trust.sum()
         chance = np.exp(loss.min(1, keepdims=True) - loss)
         chance /= chance.sum(1, keepdims=True)
         ordered = np.sort(loss, 1)
@@ -99,7 +107,8 @@ def fit(texts: list[bytes], langs: list[str]) -> Model:
             columns.append((pairs & ((1 << BITS) - 1)).astype(np.int32))
             values.append((count * SCALE / np.maximum(len(ORDERS) * np.diff(offsets), 1)[text]).astype(np.float32))
     rows, columns, values = (np.concatenate(x) for x in (rows, columns, values))
-    targets = codes[[names.index(x) for x in langs]].astype(float)
+    place = {x: i for i, x in enumerate(names)}
+    targets = codes[[place[x] for x in langs]].astype(float)
     w, bias = logistic(rows, columns, values, targets, 1 << BITS, 1e-5, 60, 0.05)
     margins = frequencies(pa.array(texts, pa.binary()), w * SCALE) + bias
     right = ((margins > 0) == (targets > 0.5)).mean(0)
@@ -109,13 +118,14 @@ def fit(texts: list[bytes], langs: list[str]) -> Model:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on docs' text and lang; docs holds only rows that may be learned from."""
     known = docs.where("lang is not null and doc_id is not null")
-    langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    ids = [r[0] for lang in langs for r in known.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    # Rows of one id share a rank, and each task keeps only its first ranks of a language before the shuffle.
+    first = F.dense_rank().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("lang", F.col("doc_id").cast("long").alias("doc_id"), first.alias("at")).where(F.col("at") <= sample).select("lang", "doc_id").distinct().collect()
     if not ids:
         return Model()
-    chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
-    rows = known.select("doc_id", "lang", text_bytes().alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in ids], "lang string, doc_id long"))
+    rows = known.select("doc_id", "lang", text_bytes().alias("text")).join(chosen, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     return fit([bytes(r["text"]) for r in rows], [r["lang"] for r in rows])
 
 

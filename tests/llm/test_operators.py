@@ -401,6 +401,30 @@ def test_components(spark):
     assert {x.id: x.root for x in got.collect()} == {k: find(k) for k in root}
 
 
+def test_language_id_learns_rare_languages_too(spark):
+    def text(k, seed):  # each language has syllables of its own
+        r, own = random.Random(seed), random.Random(70000 + k)
+        words = ["".join(own.choice("bcdfghklmnprstvz") + own.choice("aeiou") for _ in range(3)) for _ in range(12)]
+        return " ".join(r.choice(words) for _ in range(40))
+
+    n = 120
+    learn = [(1000 * k + j, text(k, 1000 * k + j), f"l{k:03}") for k in range(n) for j in range(8 if k < 105 else 4)]
+    model = language_id.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    assert model.names == [f"l{k:03}" for k in range(n)]
+    names, _, _ = model.predict(pa.array([text(k, 900000 + k).encode() for k in range(n)], pa.binary()))
+    right = [name == f"l{k:03}" for k, name in enumerate(names)]
+    assert sum(right) >= 0.9 * n and sum(right[105:]) >= 13
+    few = language_id.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"), sample=1)
+    assert len(few.names) == n
+
+
+def test_language_id_codewords_are_as_far_apart_as_before():
+    c = language_id.codewords(7)
+    rng = np.random.default_rng(7)
+    best = max((rng.integers(0, 2, (7, 29)) for _ in range(50)), key=lambda c: min((c[i] != c[j]).sum() for i in range(7) for j in range(i)))
+    assert (c == best[:, best.min(0) != best.max(0)]).all()
+
+
 # --- 9 -------------------------------------------------------------------------------------------
 
 
