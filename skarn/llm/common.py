@@ -6,6 +6,7 @@ Everything here works on whole texts as UTF-8 bytes; a null text counts as empty
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -37,25 +38,54 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/skarn").rstrip("/")
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints/skarn"
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors.
+
+    What a result still reads stays until the driver ends and goes then; other tables can be dropped sooner.
+    """
+
+    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        files, path = self._files()
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
-        self.spark._jvm.System.gc()  # lets Spark delete the shuffle files behind the table
+        before = self.spark.conf.get(self._CLEANUP, "false")
+        self.spark.conf.set(self._CLEANUP, "true")  # the shuffle files behind the table go with the job that wrote it
+        try:
+            df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(self._CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Frees a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Frees tables that nothing reads any more."""
+        for name in names:
+            files, path = self._files(name)
+            files.delete(path, True)
+
+
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that docs does not use."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_batches(spark: SparkSession) -> None:

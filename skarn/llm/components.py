@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skarn.llm.common import Scratch
 
 
-def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(id, root) for every id in links (a, b): root is the smallest id reachable.
 
     Large-star then small-star: every step keeps one link an id, so nothing grows with
@@ -16,8 +16,9 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
     Nulls and self-links are ignored; an empty table gives an empty result.
     """
     at = scratch.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    seen = None
-    for k in range(1, rounds + 1):
+    k, changed = 0, True
+    while changed:
+        k += 1
         both = at.union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -25,12 +26,10 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after = scratch.write(small.where("u <> v").distinct(), f"{name}-{k}")
-        now = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum("v")).first()
-        if k > 1:
-            scratch.drop(f"{name}-{k - 2}")
+        # Both tables hold each link once, so they are equal if no link is in one alone.
+        side = at.withColumn("side", F.lit(1)).union(after.withColumn("side", F.lit(-1)))
+        changed = not side.groupBy("u", "v").agg(F.sum("side").alias("side")).where("side <> 0").isEmpty()
+        scratch.drop(f"{name}-{k - 1}")
         at = after
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
     roots = at.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.union(at.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()).groupBy("id").agg(F.min("root").alias("root"))
