@@ -6,7 +6,7 @@ among toxic and other texts; logistic regression is fitted to the features times
 the FEATURES whose frequencies differ most for their standard error take part.
 
 The fit uses at most SAMPLE labelled rows of each label, those whose ids have the least
-hashes (a documented bound); every text is scored whole, from its own bytes alone.
+hashes, and at most SAMPLE_BYTES of their texts (documented bounds); every text is scored whole, from its own bytes alone.
 
 Defined results: null and empty texts score as texts without features; a table without labels
 of both kinds scores 0 everywhere; a null id is scored too; a document with more
@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skarn.llm.common import small_batches, text_bytes
+from skarn.llm.common import small_batches, spare, text_bytes
 from skarn.llm.ngrams import ORDERS, distinct_features, logistic
+from skarn.llm.samples import sample_texts
 
 BITS, FEATURES, SAMPLE = 20, 10_000, 2000
+#: Bytes of sampled texts of a label.
+SAMPLE_BYTES = 32 << 20
 THRESHOLD = 0.3
 
 
@@ -84,22 +87,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on documents that have a label; docs holds only those that may be learned from."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # Only ids travel until the sample is known; texts are then read for those rows alone.
-    known = docs.select("doc_id").distinct().join(marks, "doc_id")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(marks, "doc_id")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
         return Model(None)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = [r for k in (0, 1) for r in known.where(F.col("toxic") == k).orderBy(*order).limit(sample).collect()]
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int"))
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([bytes(r["text"]) for r in rows], np.array([r["toxic"] for r in rows]), totals[1] / (totals[0] + totals[1]))
+    kind = T.StructField("toxic", T.IntegerType())
+    rows = sample_texts(docs, kind, [tuple(r) for r in ids], ["doc_id"], SAMPLE_BYTES)
+    return fit([t for *_, t in rows], np.array([k for _, k, _ in rows]), totals[1] / (totals[0] + totals[1]))
 
 
-def _score(batches, model):
+def _score(batches, model, given: str):
     for b in batches:
-        scores = model.value.scores(b.column("bytes of text"))
-        yield b.drop_columns(["bytes of text"]).append_column("score", pa.array(scores)).append_column("predicted", pa.array((scores >= THRESHOLD).astype(np.int32)))
+        scores = model.value.scores(b.column(given))
+        yield b.drop_columns([given]).append_column("score", pa.array(scores)).append_column("predicted", pa.array((scores >= THRESHOLD).astype(np.int32)))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -108,4 +110,5 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.withColumn("bytes of text", text_bytes()).mapInArrow(partial(_score, model=shared), schema)
+    given = spare(docs, "bytes of text")
+    return docs.withColumn(given, text_bytes()).mapInArrow(partial(_score, model=shared, given=given), schema)
