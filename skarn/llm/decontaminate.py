@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import LOWER, SPACE, U64, binary_buffer, doc_blocks, small_batches, text_bytes
+from skarn.llm.common import LOWER, SPACE, U64, binary_buffer, doc_blocks, small_batches, spare, text_bytes
 
 REPETITIONS, SAMPLED, CLEAN, SLACK, SPREAD = 2, 0.9, 0.1, 7, 4.5
 SHORT = 64
@@ -320,40 +320,48 @@ def _hits(texts: pa.Array, items: Items, max_edits: float):
             yield i + text, items.ids[item], distance, int(place[start]) - base, int(place[stop - 1]) + 1 - base
 
 
-def _report(batches, items: Items, max_edits: float):
+def _report(batches, items, max_edits: float):
     for b in batches:
-        rows = list(_hits(b.column("text"), items, max_edits))
+        rows = list(_hits(b.column("text"), items.value, max_edits))
         columns = list(zip(*rows)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "item_id", "distance", "start", "stop"])
 
 
-def _clean(batches, items: Items, max_edits: float):
+def _clean(batches, items, max_edits: float, given: str):
     for b in batches:
-        bad = {row for row, *_ in _hits(b.column("bytes of text"), items, max_edits)}
-        yield b.drop_columns(["bytes of text"]).filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
+        bad = {row for row, *_ in _hits(b.column(given), items.value, max_edits)}
+        yield b.drop_columns([given]).filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
 
-def item_blocks(benchmark: DataFrame, max_edits: float, most: int = ITEM_BYTES) -> list[Items]:
-    """The items in blocks of about `most` bytes: one block unless the benchmark is larger."""
+def item_blocks(benchmark: DataFrame, max_edits: float, most: int = ITEM_BYTES):
+    """Broadcasts of the items in blocks of about `most` bytes: one block unless the benchmark is larger.
+
+    The driver holds one block at a time.
+    """
     small_batches(benchmark.sparkSession)
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // most))
     rows = benchmark.select(F.col("item_id").cast("long"), text_bytes().alias("text"))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [Items([(r[0], bytes(r[1])) for r in rows.where(block == k).distinct().collect()], max_edits) for k in range(n)]
+    for k in range(n):
+        items = Items([(r[0], bytes(r[1])) for r in rows.where(block == k).distinct().collect()], max_edits)
+        yield benchmark.sparkSession.sparkContext.broadcast(items)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2) -> DataFrame:
     """(doc_id, item_id, distance, start, stop): each item's best match in each text; places are bytes of the text."""
     texts, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")), None
+    schema = "doc_id long, item_id long, distance long, start long, stop long"
     for items in item_blocks(benchmark, max_edits):
-        part = texts.mapInArrow(partial(_report, items=items, max_edits=max_edits), "doc_id long, item_id long, distance long, start long, stop long")
+        part = texts.mapInArrow(partial(_report, items=items, max_edits=max_edits), schema)
         out = part if out is None else out.union(part)
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2) -> DataFrame:
     """The rows of docs, columns unchanged, that hold no item."""
+    given = spare(docs, "bytes of text")
     for items in item_blocks(benchmark, max_edits):
-        docs = docs.withColumn("bytes of text", text_bytes()).mapInArrow(partial(_clean, items=items, max_edits=max_edits), docs.schema)
+        rows = docs.withColumn(given, text_bytes())
+        docs = rows.mapInArrow(partial(_clean, items=items, max_edits=max_edits, given=given), docs.schema)
     return docs

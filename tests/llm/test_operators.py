@@ -516,3 +516,58 @@ def test_fixity_of_missing_records(spark):
 def test_crc_mod(docs):
     got = docs.select("doc_id", crc_mod("doc_id", 7).alias("m")).collect()
     assert all(r.m == zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 for r in got)
+
+
+# --- scores of one text alone ------------------------------------------------------------------------
+
+
+def test_scores_depend_on_the_text_alone(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text", "lang"]).to_pylist()
+    texts = [(r["text"] or "").encode() for r in table] + [b"ok", b"a", b"", b"ok"]
+    known = [k for k, r in enumerate(table) if r["lang"] is not None]
+    ident = language_id.fit([texts[k] for k in known], [table[k]["lang"] for k in known])
+    tox = toxicity.fit(texts[:100], np.arange(100) % 2, 0.5)
+    together = ident.predict(pa.array(texts, pa.binary()))[1], tox.scores(pa.array(texts, pa.binary()))
+    for k, t in enumerate(texts):
+        alone = pa.array([t], pa.binary())
+        assert ident.predict(alone)[1][0] == together[0][k] and tox.scores(alone)[0] == together[1][k]
+
+
+def test_language_frequencies_count_every_gram_of_a_text_and_no_other():
+    r = random.Random(7)
+    texts = [bytes(r.choice(b"abc ") for _ in range(r.randrange(0, 40))) for _ in range(50)]
+    weights = language_id.whole(np.random.default_rng(1).normal(size=(1 << language_id.BITS, 2)))
+    got = language_id.frequencies(pa.array(texts, pa.binary()), weights)
+    for t, row in zip(texts, got):
+        data = np.frombuffer(b" " + squeeze(t) + b" ", np.uint8)
+        total, n = np.zeros(2), 0
+        for order in language_id.ORDERS:
+            for at in range(len(data) - order + 1):
+                total += weights[language_id.hashed(data[at : at + order], order, language_id.BITS)[0]]
+                n += 1
+        assert row == pytest.approx(total / max(n, 1) / language_id.ONE, abs=1e-9)
+
+
+def squeeze(t):
+    return decontaminate.squeezed(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tobytes()
+
+
+def test_sample_takes_one_text_an_id_in_any_order_and_no_more_bytes_than_allowed(spark):
+    from pyspark.sql import types as T
+
+    from skarn.llm.samples import sample_texts
+
+    rows = [(1, "a" * 50), (1, "b" * 60), (2, "c" * 500), (3, None), (4, "d"), (None, "e")]
+    kind, chosen = T.StructField("toxic", T.IntegerType()), [(2, 0), (1, 0), (3, 1), (4, 1), (9, 1)]
+    out = [sample_texts(spark.createDataFrame(x, "doc_id long, text string"), kind, chosen, ["doc_id"], 100) for x in (rows, rows[::-1])]
+    assert out[0] == out[1] and [(i, k) for i, k, _ in out[0]] == [(1, 0), (3, 1), (4, 1)]
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", "mine")], "doc_id long, text string, `bytes of text` string")
+    assert toxicity.scored(docs, toxicity.Model(None)).first()["bytes of text"] == "mine"
+    assert language_id.identified(docs, language_id.Model()).first()["bytes of text"] == "mine"
+    items = spark.createDataFrame([(1, "none of it")], "item_id long, text string")
+    assert decontaminate.decontaminated(docs, items).first()["bytes of text"] == "mine"
