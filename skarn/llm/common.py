@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Bytes hashed at a time; keeps the working arrays of a task at a few dozen MB.
@@ -197,7 +198,7 @@ def compressed(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[p
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.binary())], [*keep, "z"])
 
 
-def packed_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, z): whole texts compressed before they travel; about 0.4 of their bytes."""
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text_bytes().alias("text")).mapInArrow(lambda it: compressed(it, [key]), f"{key} {kind}, z binary")
+def packed_texts(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns keep of rows, and their bytes of text compressed before they travel, as z; about 0.4 of their bytes."""
+    kinds = T.StructType([*(rows.schema[c] for c in keep), T.StructField("z", T.BinaryType())])
+    return rows.select(*keep, "text").mapInArrow(lambda it: compressed(it, keep), kinds)

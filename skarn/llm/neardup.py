@@ -13,8 +13,8 @@ several components, those outside its largest are compared with every member, wh
 shingles (exact, in long lists) and sketches leave a link possible.
 
 Defined results: null, empty or word-less texts have an empty set and stand alone; a null
-doc_id stays a row of its own, linked with nothing; rows that repeat a doc_id are one document by that id's largest
-set fingerprint; extra columns are ignored; an empty table gives an empty result.
+doc_id stays a row of its own, linked with nothing; rows that repeat a doc_id are one document, by the text with the
+largest set (ties: fingerprint, then hash of the text), whatever the order of rows; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ SKETCH = 32
 CROWD = 64
 #: That bound is summed over so many ranges of shingle hashes, which makes it nearly tight.
 SLOTS = 32
+#: A class of equal sets is joined by broadcast if it has more rows than this and than the HEAVY-th part of all.
+HEAVY, HEAVY_ROWS = 4096, 64
 _INT64_MIN = np.uint64(1 << 63)
 
 
@@ -64,13 +66,37 @@ def _sketches(batches, width: int):
         sets = shingle_sets(b.column("text"), width)
         prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         small = [_signed(s[:SKETCH]) for s in sets]
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, small)]), pa.int32()), pa.array(np.concatenate([*small, np.zeros(0, np.int64)]), pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "n", "fp", "sketch"])
+        ends = pa.array(np.cumsum([0, *map(len, small)]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*small, np.zeros(0, np.int64)]), pa.int64()))
+        sizes = pa.array([len(s) for s in sets], pa.int64())
+        columns = [b.column("doc_id"), b.column("tag"), sizes, pa.array(prints, pa.binary()), lists]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "n", "fp", "sketch"])
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text): tag tells the texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("tag"), text_bytes().alias("text"))
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n: size of the set, fp: fingerprint of the set, sketch: its smallest values)."""
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(partial(_sketches, width=width), "doc_id long, n long, fp binary, sketch array<long>")
+    """(doc_id, tag: of its text, n: size of the set, fp: fingerprint of the set, sketch: its smallest values)."""
+    schema = "doc_id long, tag long, n long, fp binary, sketch array<long>"
+    return _tagged(docs).mapInArrow(partial(_sketches, width=width), schema)
+
+
+def _with_class(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """rows (doc_id, n, fp) with class_id and root of their fp; null for empty sets.
+
+    A class with more than one in HEAVY of all rows goes to every task; there are fewer than HEAVY such classes.
+    No task then reads much more than its share, however large a class is.
+    """
+    heavy = F.lit(max(HEAVY_ROWS, total // HEAVY))
+    found = classes.select("fp", "m", F.struct("class_id", "root").alias("own"))
+    large = F.broadcast(found.where(F.col("m") > heavy).select("fp", F.col("own").alias("large")))
+    marked = rows.join(large, "fp", "left")
+    done = marked.where("large is not null or n = 0").select("doc_id", "n", F.col("large").alias("own"))
+    rest = marked.where("large is null and n > 0").join(found.where(F.col("m") <= heavy), "fp")
+    return done.union(rest.select("doc_id", "n", "own")).select("doc_id", "n", "own.*")
 
 
 def _shingles(batches, width: int):
@@ -125,9 +151,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     small_batches(spark)
     scratch = Scratch(spark, "neardup")
     sk = scratch.write(sketches(docs, width), "sketches")
-    by_id = sk.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "fp")).alias("s")).select("doc_id", "s.n", "s.fp")
-    classes = by_id.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"))
-    reps = scratch.write(sk.join(classes.select("fp", F.col("class_id").alias("doc_id")), ["fp", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch"), "reps")
+    one = sk.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n", "fp", "tag")).alias("s"))
+    by_id = scratch.write(one.select("doc_id", "s.n", "s.fp", "s.tag"), "ids")
+    least = F.min(F.struct("doc_id", "tag"))
+    classes = by_id.where("n > 0").groupBy("fp").agg(least.alias("s"), F.count("*").alias("m"))
+    classes = scratch.write(classes.select("fp", "s.*", "m").withColumnRenamed("doc_id", "class_id"), "classes")
+    chosen = classes.select(F.col("class_id").alias("doc_id"), "tag")
+    reps = sk.join(chosen, ["doc_id", "tag"]).dropDuplicates(["doc_id"])
+    reps = scratch.write(reps.select("doc_id", "tag", "n", "sketch"), "reps")
 
     size = F.size("sketch")
     least = F.when(size >= SKETCH, need(percent)).otherwise(F.greatest(F.lit(1), F.floor(size / 2)))
@@ -138,9 +169,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     # How typical a text is of the lists it is in: the best pivots are those whose values most others share.
     typical = F.aggregate("vs", F.lit(0.0), lambda t, x: t + F.log(x["df"]))
     picked = listed.where(room > 0).select("doc_id", "n", typical.alias("typical"), F.transform(F.slice("vs", 1, room), lambda x: x["v"]).alias("vs"))
-    few = scratch.write(picked.join(reps.select("doc_id", "sketch"), "doc_id"), "few")
+    few = scratch.write(picked.join(reps.select("doc_id", "tag", "sketch"), "doc_id"), "few")
     lists = few.select("doc_id", "n", "typical", F.explode("vs").alias("v"))
-    texts = scratch.write(packed_texts(docs).join(few.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    packed = packed_texts(_tagged(docs), ["doc_id", "tag"])
+    texts = packed.join(few.select("doc_id", "tag"), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id"])
+    texts = scratch.write(texts.select("doc_id", "z"), "texts")
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes allow the threshold and whose sketches put it within five deviations."""
@@ -179,8 +212,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     more = scratch.write(_pairs_at_threshold(rest, texts, width, percent), "links-2")
     roots = components(links.union(more), scratch, "cc2")
 
-    grouped = by_id.join(classes.select("fp", "class_id"), "fp", "left").join(roots.withColumnRenamed("id", "class_id"), "class_id", "left")
-    out = grouped.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "class_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    rooted = classes.join(roots.withColumnRenamed("id", "class_id"), "class_id", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "class_id"))
+    out = _with_class(by_id.select("doc_id", "n", "fp"), rooted, by_id.count())
+    component, own = F.coalesce("root", "doc_id"), F.coalesce("class_id", "doc_id")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), own.alias("class_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = sk.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    scratch.drop("few", "texts", "apart", "bounded", "held", "parts", "reps", "links-1", "links-2", "roots-1")
     return out.union(nameless.select(out.columns))
