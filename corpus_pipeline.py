@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import Scratch
+from skarn.llm.common import Scratch, spare
 from skarn.llm.decontaminate import decontaminated
 from skarn.llm.neardup import near_duplicates
 from skarn.llm.packing import best_fit_packing
@@ -30,13 +30,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more of 5-word shingles."""
-    gone = near_duplicates(docs, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of 5-word shingles.
+
+    Rows that repeat an id count as that id's document; of rows with one and the same text with a word (they share an
+    id, or have none) one stays, so that the next stage does not take them for passages of each other.
+    """
+    scratch = Scratch(spark, "copies")
+    gone = scratch.write(near_duplicates(docs, percent=80).where("not kept").select("doc_id"), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    tag = spare(docs, "tag")
+    short = docs.select("doc_id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.md5("text")).alias(tag))
+    again = short.join(gone, "doc_id", "left_anti").where(F.col(f"`{tag}`").isNotNull()).groupBy(tag).agg(F.count("*").alias("n"))
+    again = scratch.write(again.where("n > 1").select(tag), "texts")
+    if again.isEmpty():  # neither ids nor texts repeat
+        return kept
+    kept = kept.withColumn(tag, F.md5("text"))
+    once = kept.join(again, tag, "left_semi").dropDuplicates([tag])
+    return kept.join(again, tag, "left_anti").select(docs.columns).union(once.select(docs.columns))
 
 
 def repeated_passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the characters that strings of 200 bytes found elsewhere too cover in full."""
+    """Documents without the characters that strings of 200 bytes found elsewhere too cover in full.
+
+    As operator 2 has it, no first copy of such a string stays: a passage that several documents hold leaves them all.
+    """
     kept = substring_dedup(docs)
     rest = [F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return kept.select(rest)

@@ -571,3 +571,43 @@ def test_columns_of_any_name_stay(spark):
     assert language_id.identified(docs, language_id.Model()).first()["bytes of text"] == "mine"
     items = spark.createDataFrame([(1, "none of it")], "item_id long, text string")
     assert decontaminate.decontaminated(docs, items).first()["bytes of text"] == "mine"
+
+
+def test_near_duplicates_of_repeated_ids_in_any_order(spark):
+    long, other = prose(1, 100), prose(2, 80)
+    rows = [(1, long), (1, other), (2, long.rsplit(" ", 3)[0]), (3, other + " more"), (4, ""), (4, "a b")]
+    seen = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        seen.add(tuple(sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got)))
+    assert seen == {((1, 96, 1, True), (2, 93, 1, False), (3, 77, 3, True), (4, 1, 4, True))}
+
+
+def test_near_duplicates_of_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HEAVY_ROWS", 4)
+    monkeypatch.setattr(neardup, "HEAVY", 2)
+    rows = near_rows() + [(1000 + k, prose(77, 50)) for k in range(200)] + [(2000 + k, None) for k in range(50)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 85)
+
+
+def test_packing_closes_the_fullest_when_all_bins_are_open():
+    bins, _ = packing.best_fit([60, 70, 80, 15, 35], 100, 2)
+    # 80 finds both bins too full: that of 70 closes, and 15 goes to that of 80, 35 to that of 60.
+    assert bins == [0, 1, 2, 2, 0]
+
+
+def test_fast_tokenizer_equals_the_named_one():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(BPE)
+    pieces = st.sampled_from(["it's", " 'll", "\n\n", "  ", " ", "　", "é", "漢字", "12,5", "<|endoftext|>", "​", "é", "🙂", "_x", "\x00"])
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.one_of(st.text(max_size=80), st.lists(st.one_of(pieces, st.text(max_size=4)), max_size=20).map("".join)))
+    def check(text):
+        assert packing.token_ids([text], BPE) == [exact.encode(text, add_special_tokens=False).ids]
+
+    check()

@@ -129,3 +129,16 @@ def test_stage_packing_and_run(spark, stages):
     assert ids(packed) == ids(stages["benchmark_decontamination"])
     assert packed.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
     assert corpus_pipeline.run(spark, D).count() == packed.count()
+
+
+def test_stages_keep_one_of_repeated_rows(spark):
+    from tests.llm.conftest import prose
+
+    text, other = prose(1, 200), prose(2, 200)
+    rows = [(1, text), (1, text), (2, other), (2, prose(3, 200)), (None, prose(4, 200)), (None, prose(4, 200)), (None, other), (3, ""), (3, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates_out(spark, docs.repartition(3), D)
+    left = sorted((r.text or "") for r in out.collect())
+    assert left == sorted([text, other, prose(3, 200), prose(4, 200), "", "", ""])
+    after = corpus_pipeline.repeated_passages_out(spark, out, D)
+    assert sorted(r.text for r in after.collect()) == left and after.columns == docs.columns
