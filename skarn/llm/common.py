@@ -202,3 +202,17 @@ def packed_texts(rows: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of rows, and their bytes of text compressed before they travel, as z; about 0.4 of their bytes."""
     kinds = T.StructType([*(rows.schema[c] for c in keep), T.StructField("z", T.BinaryType())])
     return rows.select(*keep, "text").mapInArrow(lambda it: compressed(it, keep), kinds)
+
+
+def salted_join(rows: DataFrame, side: DataFrame, keys: list[str], total: int, least: int = 256, salts: int = 64) -> DataFrame:
+    """rows joined with side on keys; side holds each key once, and as c how many of the rows have it.
+
+    Rows of keys with more than one in 4096 of all rows (total) are dealt over `salts` tasks and the key's row of side goes to
+    each; there are fewer than 4096 such keys, so that broadcasting them is safe.
+    """
+    most, hot, salt = max(least, total // 4096), "is hot", "salt of rows"
+    keyed = rows.join(F.broadcast(side.where(F.col("c") > most).select(*keys, F.lit(True).alias(hot))), keys, "left")
+    dealt = F.when(F.col(hot), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0)
+    keyed = keyed.withColumn(salt, dealt).drop(hot)
+    every = F.when(F.col("c") > most, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return keyed.join(side.withColumn(salt, F.explode(every)), [*keys, salt]).drop(salt)

@@ -14,13 +14,19 @@ at full depth are exactly the repeated windows:
    their windows; a strip leaves if the bytes that all its windows hold are found nowhere else.
 4. What is left of the strips gives a digit of full depth for each window.
 
-Digits are compared by 64-bit hashes, always within one bucket of the digit before (so by
-128 bits in effect). Rows are aggregated before they are shuffled and no bucket is gathered in
-a task, so a string that a third of all rows hold costs no more than others.
+A departure from the plain sort by position: there, pass one would move a row for each byte of the corpus, some 30 times its
+size; with digits taken at anchors a row stands for some 40 suffixes, and the groups at full depth are the same.
+
+Digits are compared by 64-bit hashes, always within one bucket of the digit before, so by 128 bits: two different
+windows among 2**40 are taken for equal with a chance below 2**-48. Rows are aggregated before they are shuffled, no bucket
+is gathered in a task and the rows of frequent digits are dealt over many tasks, so a string that a third of all rows
+hold costs no more than others.
+
+Texts are written once, compressed and numbered; the number tells rows apart, whatever their ids and texts.
 
 Defined results: null or empty texts have 0 bytes and nothing removed; texts shorter than
 `depth` keep all bytes; rows that repeat a doc_id are separate texts; a null doc_id is kept;
-extra columns are ignored; an empty table gives an empty result.
+extra columns stay in `row`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,17 +38,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skarn.llm.common import BYTE_HASH, U64, Scratch, binary_buffer, doc_blocks, mix, packer, small_batches, text_bytes
+from skarn.llm.common import BYTE_HASH, U64, Scratch, binary_buffer, doc_blocks, mix, packer, salted_join, small_batches, text_bytes
 
 DEPTH = 200
 DIGIT = 32
 #: A run has at most depth - DIGIT + 1 suffixes, in strips of so many.
 STRIP = 43
-KEY = ["id", "tag"]
 #: Suffixes of one text that are worked on together.
 _CHUNK = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -110,19 +116,28 @@ def _unpacked(p: int) -> tuple[int, int, int]:
     return p >> 20, p >> 10 & 1023, p & 1023
 
 
+def _texts(batches):
+    """A few texts at a time: the batch's other columns, and the texts' bytes as one binary array."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for b in _slices(batches):
+        yield b, pa.array([unpack(z) for z in b.column("z").to_pylist()], pa.binary())
+
+
 def _anchors(batches, depth: int):
-    for b in batches:
-        data, offsets = binary_buffer(b.column("text"))
-        ids, tags = b.column("id").to_numpy(), b.column("tag").to_numpy()
+    hashed = xxhash.xxh3_64_intdigest
+    for b, texts in _texts(batches):
+        data, offsets = binary_buffer(texts)
+        ids = b.column("id").to_numpy()
         for first, part, cuts, shift in _chunks(data, offsets, depth):
             if (found := runs(part, cuts, depth)) is None:
                 continue
             text, start, count, anchor, digit = found
-            view, hashed = memoryview(part), xxhash.xxh3_64_intdigest
+            view = memoryview(part)
             whole = np.fromiter((hashed(view[s : s + c + depth - 1]) for s, c in zip(start.tolist(), count.tolist())), U64, len(start))
             whole = mix(whole + (anchor * 512 + count).astype(U64))
-            columns = [digit.view(np.int64), whole.view(np.int64), ids[first + text], tags[first + text], _pack(start - cuts[text] + shift, anchor, count)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "s", *KEY, "p"])
+            packed = _pack(start - cuts[text] + shift, anchor, count)
+            columns = [digit.view(np.int64), whole.view(np.int64), ids[first + text], packed]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "s", "id", "p"])
 
 
 def _segments(batches, depth: int):
@@ -194,59 +209,68 @@ def _slices(batches, rows: int = 1024):
 
 
 def _packed(batches):
-    z = packer()
+    """The texts compressed, and numbered within the task that reads them; the table that is written holds the numbers."""
+    z, at = packer(), TaskContext.get().partitionId() << 40
     for b in _slices(batches):
         texts = [z.compress(x) for x in b.column("text").to_pylist()]
-        keep = [c for c in b.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.binary())], [*keep, "z"])
-
+        ids = pa.array(np.arange(at, at + b.num_rows))
+        at += b.num_rows
+        yield pa.RecordBatch.from_arrays([ids, b.column("row"), pa.array(texts, pa.binary())], ["id", "row", "z"])
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The other columns as row, text as bytes, and the key (id, tag): rows are one text if id and text are equal."""
-    text = text_bytes()
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("tag"), text.alias("text"))
 
-
-def _compact(texts: DataFrame) -> DataFrame:
-    """texts with the compressed bytes z in place of the text."""
-    kept = [f for f in texts.schema.fields if f.name != "text"]
-    return texts.mapInArrow(_packed, T.StructType([*kept, T.StructField("z", T.BinaryType())]))
+def packed_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, row: the other columns, z: the compressed text) of each row, as a written table."""
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(None).cast("long").alias("doc_id")]
+    rows = docs.select(F.struct(*columns).alias("row"), text_bytes().alias("text"))
+    kinds = [T.StructField("id", T.LongType()), rows.schema["row"], T.StructField("z", T.BinaryType())]
+    return scratch.write(rows.mapInArrow(_packed, T.StructType(kinds)), "texts")
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
-    """(id, tag, at, n): runs of n suffixes from byte at, all of whose windows repeat. texts is keyed."""
-    anchors = scratch.write(texts.select(*KEY, "text").mapInArrow(partial(_anchors, depth=depth), "g long, s long, id long, tag int, p long"), "anchors")
-    together = anchors.groupBy("g").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("c > 1").select("g", (F.col("lo") == F.col("hi")).alias("same"))
-    # Written first, so that both sides of the join are plain exchanges, whose large partitions Spark splits.
-    alive = scratch.write(anchors.join(scratch.write(together, "together"), "g"), "alive")
-    scratch.drop("anchors")
+    """(id, at, n): runs of n suffixes from byte at, all of whose windows repeat. texts: id, z."""
+    anchors = texts.select("id", "z").mapInArrow(partial(_anchors, depth=depth), "g long, s long, id long, p long")
+    anchors = scratch.write(anchors, "anchors")
+    total = anchors.count()
+    together = anchors.groupBy("g").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("c > 1")
+    together = scratch.write(together.select("g", "c", (F.col("lo") == F.col("hi")).alias("same")), "together")
+    alive = scratch.write(salted_join(anchors, together, ["g"], total).drop("c"), "alive")
+    scratch.drop("anchors", "together")
     spans = F.array(F.struct(F.shiftright("p", 20).alias("at"), F.col("p").bitwiseAND(1023).alias("n")))
-    whole = alive.where("same").select(*KEY, F.explode(spans).alias("x"))
-
-    opened = alive.where("not same")
-    kinds = scratch.write(opened.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct(*KEY, "p")).alias("r")), "kinds")
-    asked = kinds.groupBy(*(F.col(f"r.{c}").alias(c) for c in KEY)).agg(F.collect_list(F.struct("g", "s", "r.p")).alias("asked"))
-    one_each = _compact(texts.select(*KEY, "text")).join(asked, KEY).dropDuplicates(KEY).select("z", "asked")
-    segments = scratch.write(one_each.mapInArrow(partial(_segments, depth=depth), "g long, s long, p long, bytes binary"), "segments")
+    whole = alive.where("same").select("id", F.explode(spans).alias("x"))
+
+    opened = alive.where("not same").drop("same")
+    kinds = opened.groupBy("g", "s").agg(F.count("*").alias("c"), F.min(F.struct("id", "p")).alias("r"))
+    kinds = scratch.write(kinds, "kinds")
+    asked = kinds.groupBy(F.col("r.id").alias("id")).agg(F.collect_list(F.struct("g", "s", "r.p")).alias("asked"))
+    bytes_of = texts.select("id", "z").join(asked, "id").select("z", "asked")
+    segments = bytes_of.mapInArrow(partial(_segments, depth=depth), "g long, s long, p long, bytes binary")
+    segments = scratch.write(segments, "segments")
     strips = segments.mapInArrow(partial(_strips, depth=depth), "g long, s long, q int, core long, strip long")
     equal = strips.groupBy("g", "q", "strip").agg(F.count("*").alias("c"), F.min("s").alias("one"), F.min("core").alias("core"))
     # A strip meets others than its equals if its core has more than one kind of strip.
-    mixed = equal.groupBy("g", "q", "core").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    same = strips.join(equal.where("c > 1").select("g", "q", "strip"), ["g", "q", "strip"]).select("g", "s", "q")
-    to_open = equal.join(mixed, ["g", "q", "core"]).select("g", F.col("one").alias("s"), "q")
-    qs = to_open.groupBy("g", "s").agg(F.collect_list("q").alias("qs"))
-    windows = scratch.write(segments.join(qs, ["g", "s"]).mapInArrow(partial(_windows, depth=depth), "g long, s long, k int, w long"), "windows")
-    met = windows.groupBy("g", "w").agg(F.count("*").alias("c")).where("c > 1").select("g", "w")
-    hits = windows.join(met, ["g", "w"]).groupBy("g", "s").agg(F.collect_list("k").alias("ks"))
-    marks = kinds.select("g", "s", "c").join(hits, ["g", "s"], "left").join(same.groupBy("g", "s").agg(F.collect_list("q").alias("whole")), ["g", "s"], "left")
-    marks = marks.where("c > 1 or ks is not null or whole is not null")
+    mixed = equal.groupBy("g", "q", "core").agg(F.count("*").alias("c")).where("c > 1")
+    several = 4 * segments.count()
+    same = salted_join(strips.select("g", "s", "q", "strip"), equal.where("c > 1").select("g", "q", "strip", "c"), ["g", "q", "strip"], several)
+    same = same.groupBy("g", "s").agg(F.collect_list("q").alias("whole"))
+    to_open = salted_join(equal.select("g", "q", "core", "one"), mixed, ["g", "q", "core"], several)
+    qs = to_open.groupBy("g", F.col("one").alias("s")).agg(F.collect_list("q").alias("qs"))
+    windows = segments.join(qs, ["g", "s"]).mapInArrow(partial(_windows, depth=depth), "g long, s long, k int, w long")
+    windows = scratch.write(windows, "windows")
+    met = windows.groupBy("g", "w").agg(F.count("*").alias("c")).where("c > 1")
+    hits = salted_join(windows, met, ["g", "w"], windows.count()).groupBy("g", "s").agg(F.collect_list("k").alias("ks"))
+    marks = kinds.select("g", "s", "c").join(hits, ["g", "s"], "left").join(same, ["g", "s"], "left")
+    marks = scratch.write(marks.where("c > 1 or ks is not null or whole is not null"), "marks")
+    scratch.drop("windows", "segments", "kinds")
     first, offset, n = F.shiftright("p", 20), F.shiftright("p", 10).bitwiseAND(1023), F.col("p").bitwiseAND(1023)
-    one = F.transform(F.coalesce("ks", F.array().cast("array<int>")), lambda k: F.struct((first + k).alias("at"), F.lit(1).cast("long").alias("n")))
+    none, one_long = F.array().cast("array<int>"), F.lit(1).cast("long").alias("n")
+    one = F.transform(F.coalesce("ks", none), lambda k: F.struct((first + k).alias("at"), one_long))
     low = lambda q: offset - F.least(q * STRIP + STRIP - 1, offset)
     high = lambda q: offset - F.greatest(q * STRIP, offset - n + 1)
-    many = F.transform(F.coalesce("whole", F.array().cast("array<int>")), lambda q: F.struct((first + low(q)).alias("at"), (high(q) - low(q) + 1).alias("n")))
-    partly = opened.join(marks, ["g", "s"]).select(*KEY, F.explode(F.when(F.col("c") > 1, spans).otherwise(F.concat(one, many))).alias("x"))
-    return whole.union(partly).select(*KEY, "x.at", "x.n")
+    strip = lambda q: F.struct((first + low(q)).alias("at"), (high(q) - low(q) + 1).alias("n"))
+    many = F.transform(F.coalesce("whole", none), strip)
+    partly = salted_join(opened, marks, ["g", "s"], total)
+    partly = partly.select("id", F.explode(F.when(F.col("c") > 1, spans).otherwise(F.concat(one, many))).alias("x"))
+    return whole.union(partly).select("id", "x.at", "x.n")
 
 
 def _cut(batches, depth: int, digest: bool):
@@ -270,7 +294,9 @@ def _cut(batches, depth: int, digest: bool):
             else:
                 rows["kept_sha256"].append(None)
                 rows["kept_text"].append(kept_characters(data, edges))
-        yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))))], ["row", *rows])
+        places = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [places]
+        yield pa.RecordBatch.from_arrays([b.column("row"), *map(pa.array, rows.values(), kinds)], ["row", *rows])
 
 
 def kept_characters(data: bytes, edges: list[int]) -> str:
@@ -289,9 +315,11 @@ def substring_dedup(docs: DataFrame, depth: int = DEPTH, digest: bool = False) -
     """Per row of docs: row (its other columns), n_bytes, n_removed, n_spans, kept_sha256 (if digest) or kept_text, spans (in bytes)."""
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substrings")
-    texts = _keyed(docs)
-    spans = repeated_spans(texts, scratch, depth).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    texts = packed_rows(docs, scratch)
+    spans = repeated_spans(texts, scratch, depth).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("found"))
     numbers = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
-    schema = T.StructType([texts.schema["row"], *numbers, T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(span))])
-    return _compact(texts).join(spans, KEY, "left").select("row", "z", "found").mapInArrow(partial(_cut, depth=depth, digest=digest), schema)
+    kept = [T.StructField(c, T.StringType()) for c in ("kept_sha256", "kept_text")]
+    schema = T.StructType([texts.schema["row"], *numbers, *kept, T.StructField("spans", T.ArrayType(span))])
+    found = texts.join(spans, "id", "left").select("row", "z", "found")
+    return found.mapInArrow(partial(_cut, depth=depth, digest=digest), schema)
