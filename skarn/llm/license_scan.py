@@ -1,10 +1,11 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
 A text's words are lower-cased runs of ASCII letters, digits and non-ASCII characters. Hashes of
-all runs of K words are joined to the positions of the same runs in license templates; a hit
-votes for the diagonal (place in the text minus place in the template). Neighbouring
-diagonals, at most SLACK apart, merge to a span, which holds if at least MIN_COVER of
-the template's runs voted; its template's label is then the text's.
+all runs of K words are joined to the positions of the same runs in license templates, and the words
+behind them are compared; a hit votes for the diagonal (place in the text minus place in the template).
+Diagonals merge to bands of 2 * SLACK + 1 neighbours, one from each diagonal with a vote, so a statement is
+judged by what lies at its place, whatever else repeats its words. A band holds if hits of at least MIN_COVER of
+the template's runs lie in it; its template's label is then the text's. Of bands that overlap, the best (then the tightest, then the first) is a span.
 
 Beside it, fixed phrases are found where their words stand consecutively; their labels stay
 whatever the vote says. The templates are fixed in this module, so their broadcast is bounded.
@@ -18,9 +19,8 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 K, SLACK, MIN_COVER = 3, 3, 0.75
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,8 +51,18 @@ TEMPLATES = {
         "licensed under CC BY-NC 4.0",
         "licensed under the Creative Commons Attribution-NonCommercial 4.0 International License",
     ],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    ],
+    "mpl-2": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    ],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "cc0": ["The person who associated a work with this deed has dedicated the work to the public domain"],
+    "epl-2": ["made available under the terms of the Eclipse Public License 2.0"],
 }
 
 
@@ -83,31 +93,46 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """Per text: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, first word, last word, cover)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("tag"), F.regexp_extract_all(lowered(text), F.lit(WORD_RANGES), F.lit(0)).alias("words"))
+    words = F.regexp_extract_all(lowered(text), F.lit(WORD_RANGES), F.lit(0)).alias("words")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("tag"), words)
 
     statements = [(label, n, template_words(t)) for label, ts in TEMPLATES.items() for n, t in enumerate(ts)]
-    grams = [(f"{label}/{n}", label, i, len(w) - K + 1, *w[i : i + K]) for label, n, w in statements for i in range(len(w) - K + 1)]
-    columns = ["template", "label", "at", "runs", *(f"w{j}" for j in range(K))]
-    kinds = [T.StringType(), T.StringType(), T.IntegerType(), T.IntegerType(), *[T.StringType()] * K]
-    template = spark.createDataFrame(grams, T.StructType([T.StructField(c, k) for c, k in zip(columns, kinds)]))
-    template = F.broadcast(template.select("template", "label", "at", "runs", F.xxhash64(*columns[4:]).alias("h")))
+    grams = [(f"{label}/{n}", label, i, len(w) - K + 1, " ".join(w[i : i + K])) for label, n, w in statements for i in range(len(w) - K + 1)]
+    template = spark.createDataFrame(grams, "template string, label string, at int, runs int, gram string")
+    template = F.broadcast(template.withColumn("h", F.xxhash64("gram")))
 
     w = F.col("words")
-    rolling = F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(*(w[i + j] for j in range(K))))).otherwise(F.array().cast("array<bigint>"))
-    hits = texts.select("doc_id", "tag", F.posexplode(rolling).alias("pos", "h")).join(template, "h")
+    rolling = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.concat_ws(" ", *(w[i + j] for j in range(K))))
+    rolling = F.when(F.size(w) >= K, rolling).otherwise(F.array().cast("array<string>"))
+    each = texts.select("doc_id", "tag", F.posexplode(rolling).alias("pos", "gram")).withColumn("h", F.xxhash64("gram"))
+    hits = each.join(template, ["h", "gram"])
     key = ["doc_id", "tag", "template", "label", "runs"]
-    votes = hits.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    # A bit for each place of the template that voted; templates have fewer than 64.
+    bit = F.expr("shiftleft(1L, at)")
+    votes = hits.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal"))
+    votes = votes.agg(F.bit_or(bit).alias("bits"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     along = W.partitionBy(*key).orderBy("diagonal")
-    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > SLACK).cast("int"), F.lit(1))
-    merged = votes.withColumn("new", new).withColumn("group", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    merged = merged.groupBy(*key, "group").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    cover = F.size("ats") / F.col("runs")
-    spans = merged.withColumn("cover", cover).where((F.col("cover") >= MIN_COVER) & (F.col("hi") - F.col("lo") <= F.col("runs") + 2 * SLACK))
-    found = spans.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("label", F.col("lo").alias("first_word"), (F.col("hi") + K - 1).alias("last_word"), "cover"))).alias("spans"))
+    band = along.rangeBetween(0, 2 * SLACK)
+    bands = votes.select(*key, "diagonal", F.bit_or("bits").over(band).alias("bits"), F.min("lo").over(band).alias("lo"), F.max("hi").over(band).alias("hi"))
+    bands = bands.withColumn("cover", F.bit_count("bits") / F.col("runs"))
+    rank = F.struct("cover", (F.col("lo") - F.col("hi")).alias("tight"), (-F.col("diagonal")).alias("first"))
+    best = F.max(rank).over(along.rangeBetween(-2 * SLACK, 2 * SLACK))
+    spans = bands.withColumn("best", best == rank).where((F.col("cover") >= MIN_COVER) & F.col("best"))
+    span = F.struct("label", F.col("lo").alias("first_word"), (F.col("hi") + K - 1).alias("last_word"), "cover")
+    found = spans.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(span)).alias("spans"))
 
     places = [(label, _starts(w, phrase.split())) for phrase, label in PHRASES.items()]
     all_places = F.concat(*(p for _, p in places))
-    base = texts.select("doc_id", "tag", F.size(w).cast("long").alias("n_words"), F.size(all_places).cast("long").alias("n_base"), F.array_min(all_places).cast("long").alias("first_word"), F.array_max(all_places).cast("long").alias("last_word"), F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(p) > 0, label) for label, p in places)), lambda x: x.isNotNull()))).alias("base"))
+    labelled = F.filter(F.array(*(F.when(F.size(p) > 0, label) for label, p in places)), lambda x: x.isNotNull())
+    base = texts.select(
+        "doc_id",
+        "tag",
+        F.size(w).cast("long").alias("n_words"),
+        F.size(all_places).cast("long").alias("n_base"),
+        F.array_min(all_places).cast("long").alias("first_word"),
+        F.array_max(all_places).cast("long").alias("last_word"),
+        F.array_sort(F.array_distinct(labelled)).alias("base"),
+    )
     found = found.select(F.col("doc_id").alias("fd"), F.col("tag").alias("ft"), "spans")
     out = base.join(found, base["doc_id"].eqNullSafe(found["fd"]) & (F.col("tag") == F.col("ft")), "left")
     spans_col = F.coalesce("spans", F.expr("array()").cast("array<struct<label: string, first_word: int, last_word: int, cover: double>>"))

@@ -153,10 +153,10 @@ d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHI
 each_word AS (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM d),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS labels FROM ({phrases}) GROUP BY doc_id),
 hits AS (SELECT doc_id, template, label, runs, e.pos - t.place AS diagonal, t.place AS a, e.pos FROM each_word e JOIN t ON e.w[e.pos + 1] || ' ' || e.w[e.pos + 2] || ' ' || e.w[e.pos + 3] = g),
-votes AS (SELECT doc_id, template, label, runs, diagonal, list(a) AS ats, min(pos) AS lo, max(pos) AS hi FROM hits GROUP BY ALL),
-steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER v <= {SLACK} THEN 0 ELSE 1 END AS new FROM votes WINDOW v AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-clusters AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS c FROM steps),
-spans AS (SELECT doc_id, label, len(list_distinct(flatten(list(ats)))) / CAST(runs AS DOUBLE) AS cover FROM clusters GROUP BY doc_id, template, label, runs, c HAVING cover >= {MIN_COVER} AND max(hi) - min(lo) <= runs + {2 * SLACK}),
+votes AS (SELECT DISTINCT doc_id, template, diagonal FROM hits),
+bands AS (SELECT v.doc_id, v.template, v.diagonal, h.label, count(DISTINCT h.a) / CAST(h.runs AS DOUBLE) AS cover FROM votes v
+  JOIN hits h ON v.doc_id = h.doc_id AND v.template = h.template AND h.diagonal BETWEEN v.diagonal AND v.diagonal + {2 * SLACK} GROUP BY v.doc_id, v.template, v.diagonal, h.label, h.runs),
+spans AS (SELECT doc_id, label, cover FROM bands WHERE cover >= {MIN_COVER}),
 found AS (SELECT doc_id, list(label) AS labels, max(cover) AS cover FROM spans GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(b.labels, f.labels))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END AS score
