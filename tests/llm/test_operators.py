@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 
 from skarn.llm import decontaminate, language_id, lattice_lm, license_scan, max_score, neardup, packing, substring_dedup, toxicity, warc_fixity
-from skarn.llm.common import Scratch, crc_mod
+from skarn.llm.common import Scratch, crc_mod, salted_join
 from skarn.llm.components import components
 from tests.llm.conftest import ROWS, prose
 
@@ -226,21 +226,18 @@ def test_lattice_recursion_sums_all_segmentations():
         alpha = [0.0] + [-math.inf] * len(word)
         for j in range(1, len(word) + 1):
             terms = [alpha[i] + pieces[h] for i in range(max(0, j - vocab.longest), j) if (h := lattice_lm._spell(word[i:j])) in pieces]
-            alpha[j] = math.log(sum(map(math.exp, terms)))
+            alpha[j] = max(terms) + math.log(sum(math.exp(x - max(terms)) for x in terms))
         return alpha[-1]
 
-    texts = ["the information of things ünïcode", "Them zzz", "x" * 100]
+    r = random.Random(3)
+    texts = ["the information of things ünïcode", "Them zzz", "x" * 100, "", "information" * 60 + " " + "漢字" * 200]
+    texts += ["".join(r.choice("theingo") for _ in range(n)) for n in (62, 63, 64, 65, 127, 128, 129, 300)]
     w = lattice_lm.Words(pa.array([t.encode() for t in texts], pa.binary()))
     scores = lattice_lm.word_scores(w, vocab)
     order = [x for t in texts for x in words(t)]
     for token, k in zip(order, w.word):
-        spelled = b" " + token
-        parts = [spelled[i : i + lattice_lm.SEGMENT] for i in range(0, len(spelled), lattice_lm.SEGMENT)]
-        assert scores[k] == pytest.approx(sum(map(brute, parts)), abs=1e-9)
-    counts = lattice_lm.expected_counts(w, np.bincount(w.word), vocab)
-    letters = np.array([0] * len(counts))
-    lengths = {int(h): n for h, n in zip(vocab.hashes, letters)}
-    assert lengths and counts.sum() > 0 and np.exp(vocab.weights[:-1]).sum() + math.exp(vocab.end) == pytest.approx(1, abs=0.02)
+        assert scores[k] == pytest.approx(brute(b" " + token), abs=1e-8)
+    assert np.exp(vocab.weights[:-1]).sum() + math.exp(vocab.end) == pytest.approx(1, abs=0.02)
 
 
 # --- 4 -------------------------------------------------------------------------------------------
@@ -266,6 +263,14 @@ def test_license_scan(spark, docs, no_docs):
     assert got[5].labels == "" and got[6].n_words == 0 and got[6].score == 0.0 and got[None].labels == "cc-by-nc"
     for i, t in rows:
         assert got[i].n_words == len(re.findall(license_scan.WORD, (t or "").encode().translate(LOWER).decode()))
+    again = "licensed under the moon. " * 4 + "This is licensed under the GNU General Public License, version 3. " + "licensed under the sun " * 3
+    one = license_scan.license_scan(spark.createDataFrame([(1, again)], "doc_id long, text string")).first()
+    at = again.lower().replace(",", "").replace(".", "").split().index("gnu") - 3
+    assert (one.labels, one.score) == ("gpl-3", 1.0) and (one.spans[0].first_word, one.spans[0].last_word) == (at, at + 8)
+    # Without an id, texts whose short hashes are alike stay apart.
+    nameless = [(None, "cc by nc"), (None, again), (None, "plain")] * 2
+    out = license_scan.license_scan(spark.createDataFrame(nameless, "doc_id long, text string"))
+    assert sorted(r.labels for r in out.collect()) == ["", "", "cc-by-nc", "cc-by-nc", "gpl-3", "gpl-3"]
     out = license_scan.license_scan(docs)
     assert out.count() == len(ROWS) and out.where("n_base > 0").count() == 1
     assert license_scan.license_scan(no_docs).count() == 0
@@ -293,8 +298,41 @@ def test_max_score_is_exact(spark, monkeypatch):
 
 def test_max_score_beyond_doubles(spark):
     table = spark.createDataFrame([(k, [1e12 + k, 3.0]) for k in range(0, 60, 10)], "vec_id long, embedding array<double>")
-    got = max_score.max_score(table, table, 2).where("query_id = 50").orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in got] == [(0, (1 << 63) - 1), (10, (1 << 63) - 1)]
+    got = max_score.max_score(table, table, 2).where("query_id = 30").orderBy("rank").collect()
+    # Both sums are beyond a long; the true ones decide.
+    assert [(r.vec_id, r.score) for r in got] == [(50, (1 << 63) - 1), (40, (1 << 63) - 1)]
+    r = np.random.default_rng(2)
+    big = [(k, [float(x) for x in r.integers(-(1 << 28), 1 << 28, 6)]) for k in range(80)]
+    small = spark.createDataFrame([(k, [x / 256 for x in v]) for k, v in big], "vec_id long, embedding array<double>")
+    got = max_score.max_score(small, small.where("vec_id % 9 = 0"), 4).collect()
+    whole = {k: [math.floor(256 * (x / 256)) for x in v] for k, v in big}
+    for q in range(0, 80, 9):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), k) for k, v in whole.items() if k != q)[:4]
+        assert sorted((x.rank, x.vec_id, x.score) for x in got if x.query_id == q) == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
+
+
+def test_max_score_of_repeated_ids_in_any_order(spark):
+    rows = [(0, [1.0, 2.0]), (0, [2.0, 1.0]), (5, [1.0, 1.0]), (6, [3.0, 1.0]), (6, [3.0, 1.0]), (7, []), (8, [1.0])]
+    seen = set()
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "vec_id long, embedding array<float>").coalesce(1)
+        got = max_score.max_score(table, table.where("vec_id = 0"), 9).collect()
+        seen.add(tuple(sorted((r.rank, r.vec_id, r.score) for r in got)))
+    q = 256 * 256
+    assert seen == {((1, 6, 7 * q), (2, 6, 7 * q), (3, 5, 3 * q), (4, 8, 2 * q), (5, 7, 0))}
+
+
+def test_essential_terms_shrink_as_the_bar_rises():
+    width = np.array([9.0, 5.0, 3.0, 1.0])
+    assert [max_score.essential(width, room) for room in (-1, 0.5, 1.5, 4.5, 9.5, 99)] == [4, 4, 3, 2, 1, 0]
+    r = np.random.default_rng(3)
+    vectors = np.floor(r.normal(size=(5000, 16)) * 256)
+    ids = np.arange(5000)
+    got = list(max_score.top_k(ids[:40], vectors[:40], ids, vectors, 5))
+    scores = vectors[:40] @ vectors.T
+    for q in range(40):
+        best = [v for v in np.lexsort((ids, -scores[q])) if v != q][:5]
+        assert [v for a, v, _ in got if a == q] == best
 
 
 # --- 6 and 8 ---------------------------------------------------------------------------------------
@@ -611,3 +649,33 @@ def test_fast_tokenizer_equals_the_named_one():
         assert packing.token_ids([text], BPE) == [exact.encode(text, add_special_tokens=False).ids]
 
     check()
+
+
+def test_substrings_of_nameless_texts_whose_short_hashes_agree(spark):
+    from pyspark.sql import functions as F
+
+    # Two texts with one 32-bit hash: the first repeats in a third row, the second is unique.
+    r, seen = random.Random(1), {}
+    while True:
+        texts = ["".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(40000)]
+        hashes = [x.h for x in spark.createDataFrame([(t,) for t in texts], "t string").select(F.hash(F.concat("t", F.lit("q" * 292)).cast("binary")).alias("h")).collect()]
+        pair = next(((seen[h], t) for h, t in zip(hashes, texts) if seen.setdefault(h, t) != t), None)
+        if pair:
+            break
+    one, two = (t + "q" * 292 for t in pair)
+    for ids in ((None, None, None), (1, 1, 1), (1, 2, 3)):
+        rows = list(zip(ids, (one, prose(60, 60), one + "!")))
+        rows += [(ids[0], two.replace("q", "z")), (ids[0], ""), (ids[1], None)]
+        got = sorted((x.n_bytes, x.n_removed) for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        spans = brute_spans([(t or "").encode() for _, t in rows], 200)
+        assert got == sorted((len((t or "").encode()), sum(b - a for a, b in s)) for (_, t), s in zip(rows, spans))
+
+
+def test_substrings_of_frequent_digits(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "salted_join", lambda *a: salted_join(*a, least=2, salts=3))
+    r = random.Random(6)
+    passage = prose(70, 40)
+    rows = [(k, prose(800 + k, r.randrange(1, 30)) + passage[: r.randrange(150, 400)] + prose(900 + k, 9)) for k in range(60)]
+    rows += [(100 + k, passage) for k in range(40)] + [(200 + k, "same line " * 30) for k in range(20)]
+    got = {x.row.doc_id: [(s.start, s.stop) for s in x.spans] for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: s for (i, _), s in zip(rows, brute_spans([t.encode() for _, t in rows], 200))}
