@@ -129,9 +129,8 @@ class Library:
         """Retrieve, gate, pack, generate and resolve citations. A few rows reach the driver: the packed references."""
         rows = [r.asDict() for r in self.hybrid(question, self.settings.top_k, doc_id, rerank=True).collect()]
         place = lambda r: f"第{r['page_number']}页（物理页码）" if r["page_number"] else f"段落{r['paragraph_index']}" if r["paragraph_index"] else f"表格{r['table_index']}" if r["table_index"] else "位置未记录"
-        packed = evidence.pack([{"text": r["text"], "score": r["score"], "name": r["source_file"] or "来源信息未提供", "place": place(r), "chunk_id": r["chunk_id"]} for r in rows], self.settings.max_context_chars)
-        top = max((r["score"] for r in packed), default=None)
-        mode = "empty" if top is None else "low" if top < self.settings.low_relevance else "grounded"
+        packed = evidence.pack([{"text": r["text"], "score": r["score"], "name": r["source_file"] or evidence.NO_NAME, "place": place(r), "chunk_id": r["chunk_id"]} for r in rows], self.settings.max_context_chars)
+        mode = evidence.gate(packed, self.settings.low_relevance)
         if mode != "grounded":
             return {"mode": mode, "answer": "", "references": packed}
         context = evidence.SEPARATOR.join(evidence.HEADER.format(n=r["id"], name=r["name"], place=r["place"]) + r["text"] for r in packed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -40,8 +41,12 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/skarn").rstrip("/")
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints/skarn"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -61,14 +66,21 @@ def _words(node) -> str:
 
 
 def parse_docx(data: bytes) -> list[dict]:
-    """Paragraphs and top-level tables in body order; cells joined by tabs and rows by line feeds. Blank blocks keep their numbers but give no row."""
+    """Paragraphs and top-level tables in body order, numbered from 1; texts and cells trimmed, cells joined by tabs and rows by line feeds.
+
+    Blank blocks keep their numbers but give no row.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     out, counts = [], {"paragraph": 0, "table": 0}
-    for k, node in enumerate(n for n in body if n.tag in (f"{_W}p", f"{_W}tbl")):
+    cell_text = lambda cell: "\n".join(_words(p) for p in cell.findall(f"{_W}p")).strip()
+    for k, node in enumerate((n for n in body if n.tag in (f"{_W}p", f"{_W}tbl")), 1):
         kind = "paragraph" if node.tag == f"{_W}p" else "table"
         counts[kind] += 1
-        text = _words(node) if kind == "paragraph" else "\n".join("\t".join("\n".join(_words(p) for p in cell.findall(f"{_W}p")) for cell in row.findall(f"{_W}tc")) for row in node.findall(f"{_W}tr"))
+        if kind == "paragraph":
+            text = _words(node).strip()
+        else:
+            text = "\n".join("\t".join(map(cell_text, row.findall(f"{_W}tc"))) for row in node.findall(f"{_W}tr"))
         if text.strip():
             out.append({"text": text, "block_index": k, "block_type": kind, f"{kind}_index": counts[kind]})
     if not out:

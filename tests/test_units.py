@@ -143,6 +143,51 @@ def test_packing_cuts_at_a_sentence_in_the_second_half():
     assert evidence.pack([row("  ", 1.0)], 1000) == []
 
 
+def test_packing_refuses_a_budget_without_room_and_skips_bare_marks():
+    with pytest.raises(ValueError):
+        evidence.pack([row("a" * 50, 0.9)], 20)
+    assert evidence.pack([row("[图像区域 1] 12", 0.9)], 1000) == []
+    with pytest.raises(ValueError):
+        evidence.pack([row("a", float("nan"))], 1000)
+
+
+@pytest.mark.parametrize("most", [40, 60, 100, 199, 10**6])
+def test_token_budget_takes_the_largest_context_that_fits(most):
+    rows = [row("word " * 30, 0.9), row("other " * 20, 0.8), row("x. " * 9, 0.7)]
+    tokens = lambda packed: 10 + sum(len(r["text"].split()) for r in packed)
+    got = evidence.pack_tokens(rows, 600, tokens, most)
+    assert tokens(got) <= most
+    sizes = []
+    for budget in range(1, 601):
+        try:
+            sizes.append(tokens(evidence.pack(rows, budget)))
+        except ValueError:
+            pass
+    assert tokens(got) == max(n for n in sizes if n <= most)
+    with pytest.raises(ValueError):
+        evidence.pack_tokens(rows, 600, tokens, 9)
+
+
+def test_gate_notices_and_warnings():
+    assert evidence.gate([]) == "empty" and evidence.gate([{"score": 0.05}]) == "low" and evidence.gate([{"score": 0.05}, {"score": 0.1}]) == "grounded"
+    with pytest.raises(ValueError):
+        evidence.gate([{"score": 7.0}])
+    assert evidence.with_notice("a", "grounded") == "a" and evidence.with_notice("a", "empty").endswith("\n\na")
+    assert evidence.with_notice("a", "low", True) != evidence.with_notice("a", "low")
+    assert evidence.reference_warnings([{"warning": "w"}, {"warning": "w"}, {"excerpt": True}]) == ["w", evidence.EXCERPT_NOTE]
+
+
+def test_source_lists_are_built_anew():
+    answer = "A [参考文档2] and [参考文档7], again [参考文档2].\n## Sources\n- made up"
+    got = evidence.resolve_citations(answer, {1: ("a.pdf", "行1–2", False), 2: ("b.pdf", "位置未记录", True)})
+    assert got["answer"].endswith("## 参考来源\n- [参考文档2] b.pdf；位置未记录；正文已截断，仅展示已送入上下文的证据")
+    assert got["warnings"] == [evidence.PLACELESS_WARNING.format(n=2), evidence.UNKNOWN_WARNING.format(n=7)]
+    none = evidence.resolve_citations("x `[参考文档1]`", {1: ("a", "b")})
+    assert none["missing"] and none["warnings"] == [evidence.UNCITED_WARNING] and none["answer"].endswith(evidence.NO_SOURCES)
+    with pytest.raises(ValueError):
+        evidence.resolve_citations("  ", {})
+
+
 def test_citations_outside_code_only():
     answer = "See [参考文档1](http://x) and [参考文档9].\n```\n[参考文档2]\n```\n\n    [参考文档2]\n`[参考文档2]` again [参考文档1]\n## References\n[参考文档2]"
     got = evidence.resolve_citations(answer, {1: ("a_b.pdf", "行1–2"), 2: (None, "位置未记录")})
@@ -250,7 +295,7 @@ def docx(path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
     cell = lambda t: f"<w:tc>{p(t)}</w:tc>"
-    body = p("one") + p("") + f"<w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr><w:tr>{cell('c')}{cell('d')}</w:tr></w:tbl>" + p("two")
+    body = p(" one ") + p("") + f"<w:tbl><w:tr>{cell(' a ')}{cell('b')}</w:tr><w:tr>{cell('c')}{cell('d')}</w:tr></w:tbl>" + p("two")
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
@@ -269,7 +314,7 @@ def test_import_files(spark, tmp_path):
     loaded = files.load(files.import_tasks(files.scan_files(spark, str(tmp_path))))
     assert sorted(r.status for r in loaded.collect()) == ["failed"] * 4 + ["success"] * 2
     docs = sorted(files.documents(loaded).collect(), key=lambda r: (r.file_type, r.block_index or 0))
-    assert [(r.block_index, r.block_type, r.paragraph_index, r.table_index, r.text) for r in docs[:3]] == [(0, "paragraph", 1, None, "one"), (2, "table", None, 1, "a\tb\nc\td"), (3, "paragraph", 3, None, "two")]
+    assert [(r.block_index, r.block_type, r.paragraph_index, r.table_index, r.text) for r in docs[:3]] == [(1, "paragraph", 1, None, "one"), (3, "table", None, 1, "a\tb\nc\td"), (4, "paragraph", 3, None, "two")]
     assert docs[3].text == "Images reach 90 %.\r\nEnd" and (docs[3].line_start, docs[3].line_end) == (1, 2)
     assert files.load(files.scan_files(spark, str(tmp_path / "a.txt")), max_bytes=3).first().error == "the file is too large"
 
