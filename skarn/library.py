@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from skarn.config import Settings
 from skarn.functions.models import Encoder, Generator, HashEncoder, encoded
 from skarn.functions.text import expanded, is_placeholder, stripped_request, tokens
-from skarn.operators import evidence, index, retrieve
+from skarn.operators import evidence, index, lexical, retrieve
 from skarn.operators.chunking import chunks
 from skarn.sources import files
 from skarn.tables import Table
@@ -25,7 +26,8 @@ class Library:
     def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), make_encoder: Callable[[], Encoder] = HashEncoder):
         encoder = make_encoder()
         self.spark, self.settings, self._make = spark, settings, make_encoder
-        self._encoder = encoder
+        self._encoder, self._root = encoder, root
+        self._lexicon: tuple[list[str], lexical.Lexical] | None = None
         self.chunks = Table(spark, f"{root}/chunks", CHUNK, {"model": encoder.name, "revision": encoder.revision, "width": encoder.width, "space": "cosine"})
         self.manifest = Table(spark, f"{root}/manifest", MANIFEST)
 
@@ -101,9 +103,20 @@ class Library:
         q = self.spark.createDataFrame([(0, question)], "query_id long, question string")
         return q.select("query_id", expanded(stripped_request(F.col("question"))).alias("question"))
 
+    def lexicon(self) -> lexical.Lexical:
+        """The lexical index of the chunks as they are now; built again after a load or a delete."""
+        state = sorted(r[0] for r in self.chunks.read().select(F.input_file_name()).distinct().collect())
+        if self._lexicon is None or self._lexicon[0] != state:
+            root = f"{self._root}/lexical-{uuid.uuid4().hex}"
+            old, self._lexicon = self._lexicon, (state, lexical.build(index.bags(self.chunks.read(), normalize=True), root, "chunk_id"))
+            if old:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(old[1].root)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return self._lexicon[1]
+
     def bm25(self, question: str, k: int = 5, doc_id: str | None = None) -> DataFrame:
-        terms = self._question(question, k).select("query_id", F.explode(tokens(F.col("question"), True)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        scores = retrieve.bm25_scores(index.bags(self.chunks.read(), normalize=True), terms)
+        words = self.lexicon()
+        scores = words.scores(words.asked(self._question(question, k).withColumnRenamed("question", "text"), normalize=True))
         if doc_id is not None:  # statistics cover the corpus, candidates one document
             scores = scores.join(self.list_chunks(doc_id).select("chunk_id"), "chunk_id", "left_semi")
         return retrieve.top(scores, k, "query_id", F.desc("score"), F.col("chunk_id"))

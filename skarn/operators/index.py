@@ -16,22 +16,6 @@ def bags(chunks: DataFrame, key: str = "chunk_id", normalize: bool = False) -> D
     return chunks.select(key, tokens(F.col("text"), normalize).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def postings(bag: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, term, tf) of all terms."""
-    return bag.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def term_stats(bag: DataFrame) -> DataFrame:
-    """(term, df, idf): a negative idf is replaced by a quarter of the mean over all terms, negatives included.
-
-    Only distinct terms are shuffled, after a partial count in each task.
-    """
-    df = bag.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(bag.agg(F.count("*").alias("total")))).withColumn("raw", F.log(F.col("total") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-
-
 def insert_absent(store: DataFrame, new: DataFrame, key: str = "chunk_id", order: str = "seq") -> DataFrame:
     """Rows of new that the store lacks; of rows with one key the last by order."""
     last = new.withColumn("_at", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_at = 1").drop("_at")
@@ -60,6 +44,17 @@ def library_status(indexed: DataFrame, originals: DataFrame, manifest: DataFrame
     return both.select("doc_id", n.alias("chunks"), "expected", "complete", status.alias("status"))
 
 
+def corpus_fingerprint(hashes: DataFrame) -> DataFrame:
+    """(low, middle, high, n) of a table of hex SHA-256 hashes (h), whatever their order.
+
+    Two bitwise sums of 60 bits and one plain sum of 32, which also tells how often a hash occurs: each task keeps four numbers.
+    """
+    digits = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("long")
+    hexed = lambda c: F.hex(F.bit_xor(c))
+    high = F.sum(digits(31, 8).cast("decimal(38,0)")).cast("string")
+    return hashes.agg(hexed(digits(1, 15)).alias("low"), hexed(digits(16, 15)).alias("middle"), high.alias("high"), F.count("*").alias("n"))
+
+
 def load_audit(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(doc_id, expected, actual, ok): counts after a load against what was to be loaded."""
     a = actual.groupBy("doc_id").agg(F.count("*").alias("actual"))

@@ -69,12 +69,19 @@ def admissible(done: Column, mode: Column, answer: Column, citations: Column, wa
     return F.coalesce(done & ~mode.isin("empty", "low") & (F.length(F.trim(answer)) > 0) & (citations > 0) & (warnings == 0) & (invalid == 0) & ~missing, F.lit(False))
 
 
+#: Questions that are sent to every task.
+SMALL = 10_000
+
+
 def cache_lookup(questions: DataFrame, entries: DataFrame, similarity: Column, threshold: float = 0.97) -> DataFrame:
     """(query_id, entry, mode, similarity) of each question's hit: the same text first, else the most similar entry with equal constraints, the earliest of equals.
 
     questions: query_id, question, c (constraints), vector; entries: entry, e_question, e_c, e_vector. The constraints are
-    the join key, so similarity is computed within a key alone.
+    the join key, so similarity is computed within a key alone. Up to SMALL questions go to every task: entries then stay
+    where they are, and no key is gathered.
     """
+    if questions.limit(SMALL + 1).count() <= SMALL:
+        questions = F.broadcast(questions)
     exact = questions.join(entries, F.col("question") == F.col("e_question")).groupBy("query_id").agg(F.min("entry").alias("entry")).select("query_id", "entry", F.lit("exact").alias("mode"), F.lit(1.0).alias("similarity"))
     rest = questions.join(exact.select("query_id"), "query_id", "left_anti")
     near = rest.join(entries, F.col("c") == F.col("e_c")).withColumn("similarity", similarity).where(F.col("similarity") >= threshold)

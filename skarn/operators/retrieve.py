@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skarn.functions.text import cosine
-from skarn.operators.index import B, K1, term_stats
 
 RRF_K = 60
 
@@ -20,22 +19,6 @@ def top(df: DataFrame, k: int, by: str | None, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25_scores(bag: DataFrame, query_terms: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score) of every chunk that shares a term; query_terms: query_id, term, qtf of a small stated query set.
-
-    The query terms are joined to the exploded tokens before anything is grouped, so only hits are
-    shuffled; document frequencies of all terms are needed for the idf that replaces negative ones.
-    """
-    asked = F.broadcast(query_terms)
-    hits = bag.select(key, F.size("tokens").alias("n"), F.explode("tokens").alias("term")).join(asked, "term")
-    hits = hits.groupBy("query_id", key, "term", "qtf", "n").agg(F.count("*").alias("tf"))
-    stats = term_stats(bag).join(F.broadcast(query_terms.select("term").distinct()), "term")
-    hits = hits.join(F.broadcast(stats), "term").join(F.broadcast(bag.agg(F.avg(F.size("tokens")).alias("avgdl"))))
-    tf = F.col("tf")
-    part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("avgdl")))
-    return hits.groupBy("query_id", key).agg(F.sum(part).alias("score"))
-
-
 def vector_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id") -> DataFrame:
     """(query_id, key, score): cosine of every vector with every vector of a small stated query set (query_id, query)."""
     return vectors.join(F.broadcast(queries)).select("query_id", key, cosine(F.col("embedding"), F.col("query")).alias("score"))
@@ -51,11 +34,34 @@ def rrf(branches: list[DataFrame], key: str = "chunk_id", k: int = RRF_K) -> Dat
 
 
 def hybrid(bm25: DataFrame, vector: DataFrame, keep: Column | None, candidates: int = 20, k: int = 5, key: str = "chunk_id") -> DataFrame:
-    """Both branches cut to their candidates, fused, filtered and ranked."""
-    lists = [top(b, candidates, "query_id", F.desc("score"), F.col(key)) for b in (bm25, vector)]
-    fused = rrf([x.select("query_id", key, "rank") for x in lists], key)
-    fused = fused if keep is None else fused.where(keep)
-    return top(fused, k, "query_id", F.desc("score"), F.col(key))
+    """Both branches cut to their candidates, fused, filtered and ranked.
+
+    Where the filter leaves a query fewer than `candidates`, twice as many of both branches are fused, and twice that; a
+    query takes the first fusion that is enough, or from which the filter took nothing. One pass ranks the largest cut.
+    """
+    sizes = [candidates] if keep is None else [candidates, 2 * candidates, 4 * candidates]
+    lists = [top(b, sizes[-1], "query_id", F.desc("score"), F.col(key)).select("query_id", key, "rank") for b in (bm25, vector)]
+    both = lists[0].unionByName(lists[1])
+    share = 1 / (RRF_K + F.col("rank"))
+    fused = both.groupBy("query_id", key).agg(*(F.sum(F.when(F.col("rank") <= n, share)).alias(f"s{n}") for n in sizes))
+    if keep is None:
+        found = fused.withColumnRenamed(f"s{candidates}", "score")
+    else:
+        w = W.partitionBy("query_id")
+        marked = fused.withColumn("keep", F.coalesce(keep, F.lit(False)))
+        score = F.col(f"s{sizes[-1]}")
+        for n in sizes[-2::-1]:
+            s = F.col(f"s{n}")
+            good, fetched = F.count_if(s.isNotNull() & F.col("keep")).over(w), F.count(s).over(w)
+            score = F.when((good >= candidates) | (good == fetched), s).otherwise(score)
+        found = marked.withColumn("score", score).where(F.col("keep") & F.col("score").isNotNull())
+    found = found.withColumn("score", F.round("score", 12))
+    return top(found.select("query_id", key, "score"), k, "query_id", F.desc("score"), F.col(key))
+
+
+def mode(best: Column, threshold: float = 0.1) -> Column:
+    """empty, low or grounded, by the best reranked score of a request."""
+    return F.when(best.isNull(), "empty").when(best < threshold, "low").otherwise("grounded")
 
 
 def overlap_score(question_tokens: Column, passage_tokens: Column) -> Column:
@@ -63,11 +69,3 @@ def overlap_score(question_tokens: Column, passage_tokens: Column) -> Column:
     asked = F.array_distinct(question_tokens)
     share = F.size(F.array_intersect(asked, passage_tokens)) / F.greatest(F.size(asked), F.lit(1))
     return 1 / (1 + F.exp(-(2 * share - 1)))
-
-
-def hashed_vector(text_tokens: Column, width: int = 16) -> Column:
-    """An encoder's deterministic stand-in: a unit bag of tokens, each in the slot of its hash."""
-    slot = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % width
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(text_tokens, lambda t: slot(t) == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))

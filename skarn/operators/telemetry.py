@@ -28,6 +28,17 @@ def rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
+def attempt_usage(tokens: Column, failed: Column) -> list[Column]:
+    """Tokens of all attempts whose use is known, and whether that is not all: a use is unknown or an attempt failed."""
+    return [F.sum(tokens), F.bool_or(tokens.isNull() | F.coalesce(failed, F.lit(True)))]
+
+
+def within_deadline(seconds: Column, deadline: Column, status: Column) -> list[Column]:
+    """Whether a result came in time, and the status that counts: late results are timeouts and their content is discarded."""
+    in_time = F.coalesce(seconds <= deadline, F.lit(False))
+    return [in_time, F.when(in_time, status).otherwise("timeout")]
+
+
 def call_summary(status: Column, seconds: Column) -> list[Column]:
     """Started, completed, successes, failures, pending, success rate and mean seconds of tool calls."""
     ok, bad = F.count_if(status == "success"), F.count_if(status == "error")

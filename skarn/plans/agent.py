@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as tx
 from skarn.functions.calculator import calculate
-from skarn.operators import agent, evidence, retrieve
-from skarn.plans.conversation import candidates
-from skarn.plans.library import fixed_chunks
+from skarn.operators import agent, chunking, evidence, retrieve
+from skarn.plans.conversation import PACK_SQL, candidates
+from skarn.plans.library import CHUNKS_SQL, fixed_chunks
 from skarn.plans.registry import query, table
+from skarn.plans.retrieval import BM25_SQL, questions
 
 
 @query("route_intents", "WITH q AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'please list uploaded papers' WHEN 1 THEN 'what is the current time now' WHEN 2 THEN 'extract keywords of ' || text WHEN 3 THEN 'compare these papers' WHEN 4 THEN 'search the web for latest news' ELSE text END AS q FROM conversations) SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'paper_list' WHEN 1 THEN 'current_time' WHEN 2 THEN CASE WHEN regexp_matches(q, '(?i)extract[^!?;\\n]*keywords?\\b') THEN 'keyword_extract' ELSE '' END WHEN 3 THEN 'paper_compare' WHEN 4 THEN 'web_search' ELSE '' END AS intents, regexp_matches(q, '(?i)\\b(?:latest|recent|current advances)\\b') AS fresh FROM q")
@@ -21,7 +22,15 @@ def route_intents(spark, d):
     return c.select("conv_id", "turn", F.array_join(agent.intents(F.col("q")), ",").alias("intents"), agent.flag(F.col("q"), "fresh").alias("fresh"))
 
 
-@query("calculator")
+CALCULATOR_SQL = """
+WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, 5 * (CAST(l_quantity AS INT) + l_linenumber) AS x FROM lineitem),
+y AS (SELECT *, CAST(x // 6 AS VARCHAR) AS whole, x % 6 AS r, CAST(28 - length(CAST(x // 6 AS VARCHAR)) AS INT) AS digits FROM x)
+SELECT l_orderkey, l_linenumber, '(' || q || '+' || l_linenumber || ')*2.5÷3' AS expression,
+ whole || CASE r WHEN 0 THEN '' WHEN 1 THEN '.1' || repeat('6', digits - 2) || '7' WHEN 2 THEN '.' || repeat('3', digits) WHEN 3 THEN '.5' WHEN 4 THEN '.' || repeat('6', digits - 1) || '7' ELSE '.8' || repeat('3', digits - 1) END AS result FROM y
+"""
+
+
+@query("calculator", CALCULATOR_SQL)
 def calculator(spark, d):
     @F.pandas_udf("string")
     def result(s: pd.Series) -> pd.Series:
@@ -31,23 +40,44 @@ def calculator(spark, d):
     return e.withColumn("result", result("expression"))
 
 
-@query("paper_metadata", "SELECT doc_id, string_split(text, chr(10))[1] AS title, nullif(regexp_extract(text, '10\\.\\d{4,9}/[^\\s<>]+'), '') AS doi FROM documents")
+METADATA_SQL = """
+WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS lines FROM documents)
+SELECT doc_id, trim(lines[1]) AS title, nullif(regexp_extract(text, '10\\.\\d{4,9}/[^\\s<>]+'), '') AS doi,
+ CAST(nullif(regexp_extract(' ' || regexp_replace(text, '10\\.\\d{4,9}/\\S+', '', 'g') || ' ', '[^0-9]((?:19|20)[0-9][0-9])[^0-9]', 1), '') AS INT) AS year FROM l
+"""
+
+
+@query("paper_metadata", METADATA_SQL)
 def paper_metadata(spark, d):
-    doi = F.regexp_extract("text", r"10\.\d{4,9}/[^\s<>]+", 0)
-    return table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"), F.when(doi != "", doi).alias("doi"))
+    @F.pandas_udf("title string, doi string, year int")
+    def parsed(texts: pd.Series) -> pd.DataFrame:
+        rows = [agent.metadata((t or "").split("\n")) for t in texts]
+        return pd.DataFrame({"title": [r["title"] for r in rows], "doi": [r["doi"] for r in rows], "year": pd.array([r["year"] for r in rows], "Int32")})
+
+    return table(spark, d, "documents").select("doc_id", parsed("text").alias("m")).select("doc_id", "m.*")
+
 
+RAG_SQL = f"""WITH {PACK_SQL}, p AS (SELECT query_id, list(doc_id ORDER BY n) AS doc_ids, max(used) AS used, bool_or(truncated) AS truncated FROM walk WHERE taken GROUP BY query_id)
+SELECT item_id AS query_id, CASE WHEN doc_ids IS NULL THEN 'empty' ELSE 'grounded' END AS mode, array_to_string(doc_ids, ',') AS doc_ids, CAST(used AS INT) AS context_chars, truncated FROM benchmark LEFT JOIN p ON item_id = query_id"""
 
-@query("rag_answer")
+
+@query("rag_answer", RAG_SQL)
 def rag_answer(spark, d):
-    """Retrieve, pack, answer extractively and cite: one row a question with its sources and its gate."""
-    packed = evidence.packed_context(candidates(spark, d), 9000)
-    cited = packed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("id", "doc_id"))).alias("sources"), F.max("used").alias("context_chars"), F.bool_or("truncated").alias("truncated"))
-    asked = table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
-    mode = F.when(F.col("sources").isNull(), "empty").otherwise("grounded")
-    return asked.join(cited, "query_id", "left").select("query_id", mode.alias("mode"), F.transform("sources", lambda s: s["doc_id"]).alias("doc_ids"), "context_chars", "truncated")
+    """Retrieve, pack and cite for every item: one row a question with its sources and its gate."""
+    packed = evidence.packed_context(candidates(spark, d), 9000).where("id > 0")
+    sources = F.transform(F.array_sort(F.collect_list(F.struct("id", "doc_id"))), lambda x: x["doc_id"].cast("string"))
+    cited = packed.groupBy("query_id").agg(F.array_join(sources, ",").alias("doc_ids"), F.max("used").alias("context_chars"), F.bool_or("truncated").alias("truncated"))
+    mode = F.when(F.col("doc_ids").isNull(), "empty").otherwise("grounded")
+    return questions(spark, d).select("query_id").join(cited, "query_id", "left").select("query_id", mode.alias("mode"), "doc_ids", "context_chars", "truncated")
+
+
+SUMMARY_SQL = f"""WITH {CHUNKS_SQL}, t AS (SELECT doc_id, chunk_index, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks), h AS (SELECT doc_id, list_distinct(w) AS head FROM t WHERE chunk_index = 0),
+m AS (SELECT doc_id, max(chunk_index) + 1 AS m FROM t GROUP BY doc_id),
+s AS (SELECT doc_id, CAST(floor(4.0 * chunk_index / m) AS INT) AS section, chunk_index, round(1 / (1 + exp(-(2 * (len(list_intersect(head, w)) / CAST(greatest(len(head), 1) AS DOUBLE)) - 1))), 6) AS score FROM t JOIN h USING (doc_id) JOIN m USING (doc_id))
+SELECT doc_id, section, chunk_index, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY score DESC, chunk_index) = 1"""
 
 
-@query("paper_summary")
+@query("paper_summary", SUMMARY_SQL)
 def paper_summary(spark, d):
     """Four sections of each document: of each quarter of its chunks the one that shares most words with the document's start, by the reranker's stand-in."""
     c = fixed_chunks(spark, d).select("doc_id", "chunk_index", "text")
@@ -59,15 +89,27 @@ def paper_summary(spark, d):
     return best.select("doc_id", "section", (-F.col("b.i")).alias("chunk_index"), "b.score")
 
 
-@query("focus_evidence")
-def focus_evidence(spark, d):
-    """How-to questions: of each candidate document the two neighbouring sentences that fit best, statements of use first."""
-    from skarn.operators.chunking import sentence_bigrams
+FOCUS_SQL = f"""WITH {BM25_SQL}, c AS (SELECT query_id, b.doc_id, text FROM bm_top b JOIN documents d ON b.doc_id = d.doc_id),
+t AS (SELECT DISTINCT doc_id, text FROM c), p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?](?:\\s+|\\z))', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM t),
+e AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM p),
+n AS (SELECT doc_id, k, sum(length(part)) OVER w - length(part) AS start, sum(length(part)) OVER w AS stop1, part, lead(part) OVER w AS nxt FROM (SELECT doc_id, part, k FROM e) WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+x AS (SELECT doc_id, k, CAST(start AS INT) AS start, CAST(stop1 + coalesce(length(nxt), 0) AS INT) AS stop, part || coalesce(nxt, '') AS excerpt FROM n WHERE nxt IS NOT NULL OR k = 0),
+q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark),
+s AS (SELECT query_id, x.*, round(1 / (1 + exp(-(2 * (len(list_intersect(q, regexp_extract_all(lower(excerpt), '[a-z0-9]+'))) / CAST(greatest(len(q), 1) AS DOUBLE)) - 1))), 6) AS score FROM c JOIN x USING (doc_id) JOIN q ON item_id = query_id),
+r AS (SELECT *, CASE WHEN score >= 0.1 AND regexp_matches(excerpt, '(?i)\\b(?:we|our model)\\s+(?:use|employ|adopt|add)\\b|\\bare added to\\b|使用|采用|加入|添加') THEN 0 WHEN score >= 0.1 THEN 1 ELSE 2 END AS tier FROM s)
+SELECT query_id, doc_id, start, stop, score, CAST(tier AS INT) AS tier FROM r QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY tier, score DESC, k) = 1"""
+
 
-    c = candidates(spark, d).where("query_id = 0").select("doc_id", "text")
-    pairs = sentence_bigrams(c).join(c, "doc_id").withColumn("excerpt", F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")))
-    asked = F.broadcast(table(spark, d, "benchmark").where("item_id = 0").select(tx.tokens(F.col("text")).alias("q")))
-    scored = pairs.join(asked).withColumn("score", F.round(retrieve.overlap_score(F.col("q"), tx.tokens(F.col("excerpt"))), 6)).withColumn("chunk_id", F.col("k"))
+@query("focus_evidence", FOCUS_SQL)
+def focus_evidence(spark, d):
+    """Of each candidate document of each item the two neighbouring sentences that fit best, statements of use first."""
+    c = candidates(spark, d).select("query_id", "doc_id")
+    texts = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(c.select("doc_id").distinct()), "doc_id")
+    excerpt = F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start"))
+    pairs = chunking.sentence_bigrams(texts).join(texts, "doc_id").select("doc_id", "k", "start", "stop", excerpt.alias("excerpt"))
+    asked = F.broadcast(c.join(questions(spark, d), "query_id").select("query_id", "doc_id", tx.tokens(F.col("text")).alias("q")))
+    score = F.round(retrieve.overlap_score(F.col("q"), tx.tokens(F.col("excerpt"))), 6)
+    scored = pairs.join(asked, "doc_id").withColumn("score", score).withColumn("chunk_id", F.col("k"))
     main = F.col("score") >= 0.1
-    best = evidence.best_per_document(scored, [main & F.col("excerpt").rlike(r"(?i)\b(?:we|our model)\s+(?:use|employ|adopt|add)\b|使用|采用|加入|添加"), main])
-    return best.select("doc_id", "start", "stop", "score", "tier")
+    best = evidence.best_per_document(scored, [main & F.col("excerpt").rlike(evidence.STATES_USE), main], ["query_id", "doc_id"])
+    return best.select("query_id", "doc_id", "start", "stop", "score", "tier")

@@ -43,7 +43,24 @@ def candidates(spark, d):
     return docs.join(F.broadcast(best), "doc_id").select("query_id", "doc_id", "text", "score", "name", F.concat(F.lit("行1–"), F.size(F.split("text", "\n")).cast("string")).alias("place"))
 
 
-@query("context_pack")
+#: The greedy fold over each question's candidates, one recursion step a candidate.
+PACK_SQL = f"""{BM25_SQL.replace("posted AS", "RECURSIVE posted AS", 1)},
+cand AS (SELECT query_id, rank AS rk, b.doc_id, text, source AS name, '行1–' || len(string_split(text, chr(10))) AS place FROM bm_top b JOIN documents d ON b.doc_id = d.doc_id),
+walk AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS rk, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS chars, false AS truncated, false AS taken FROM cand
+ UNION ALL
+ SELECT query_id, rk, CASE WHEN ok THEN used + fixed + shown + CASE WHEN whole THEN 0 ELSE 8 END ELSE used END, CASE WHEN ok THEN n + 1 ELSE n END, doc_id, shown, NOT whole, ok
+ FROM (SELECT *, whole OR (room - 8 > 0 AND shown > 0) AS ok
+  FROM (SELECT *, CASE WHEN whole THEN length(text) WHEN 2 * last >= room - 8 THEN length(rtrim(substring(head, 1, last), blanks)) ELSE length(head) END AS shown
+   FROM (SELECT *, greatest(length(regexp_extract(head, '(?s)^(.*(?:\n|[。！？]))', 1)), length(regexp_extract(head, '(?s)^(.*[.!?])\\s', 1))) AS last
+    FROM (SELECT *, length(text) <= room AS whole, rtrim(substring(text, 1, greatest(room - 8, 0)), blanks) AS head
+     FROM (SELECT *, 9000 - used - fixed AS room
+      FROM (SELECT c.query_id, CAST(c.rk AS BIGINT) AS rk, w.used, w.n, c.doc_id, c.text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS blanks,
+        CASE WHEN w.n > 0 THEN 7 ELSE 0 END + length('[参考文档' || (w.n + 1) || '] 来源: ' || c.name || '；原始块位置: ' || c.place || chr(10)) AS fixed
+       FROM walk w JOIN cand c ON c.query_id = w.query_id AND c.rk = w.rk + 1)))))))
+"""
+
+
+@query("context_pack", f"WITH {PACK_SQL} SELECT query_id, CAST(n AS INT) AS id, doc_id, CAST(chars AS INT) AS chars, truncated, CAST(used AS INT) AS used FROM walk WHERE taken")
 def context_pack(spark, d):
     return evidence.packed_context(candidates(spark, d), 9000)
 
@@ -140,9 +157,9 @@ def conversations(spark, d):
     return table(spark, d, "conversations")
 
 
-@query("session_messages", "SELECT conv_id, turn, role, length(text) AS chars FROM conversations WHERE conv_id % 3 = 0")
+@query("session_messages", "SELECT conv_id, turn, role, length(text) AS chars FROM conversations")
 def session_messages(spark, d):
-    return conversations(spark, d).where("conv_id % 3 = 0").select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
+    return conversations(spark, d).select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
 
 
 @query("session_delete", "SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0 AND role = 'system')")
@@ -202,11 +219,19 @@ def summary_upsert(spark, d):
 # --- cache -----------------------------------------------------------------------------------
 
 
-@query("cache_lookup", "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), hits AS (SELECT q.vec_id AS query_id, c.vec_id AS entry, round(list_cosine_similarity(q.e, c.e), 9) AS s FROM v q JOIN v c ON q.label = c.label AND c.vec_id % 2 = 0 WHERE q.vec_id % 5 = 1) SELECT query_id, entry, 'semantic' AS mode, round(s, 6) AS similarity FROM hits WHERE s >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, entry) = 1")
+CACHE_LOOKUP_SQL = """
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+hits AS (SELECT q.vec_id AS query_id, c.vec_id AS entry, round(list_cosine_similarity(q.e, c.e), 9) AS s FROM v q JOIN v c ON q.label = c.label AND c.vec_id % 20 <> 0 WHERE q.vec_id % 20 = 0)
+SELECT query_id, entry, 'semantic' AS mode, round(s, 6) AS similarity FROM hits WHERE s >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, entry) = 1
+"""
+
+
+@query("cache_lookup", CACHE_LOOKUP_SQL)
 def cache_lookup(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 5 = 1").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("question"), F.col("label").alias("c"), F.col("embedding").alias("vector"))
-    held = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("entry"), F.concat(F.lit("e"), F.col("vec_id").cast("string")).alias("e_question"), F.col("label").alias("e_c"), F.col("embedding").alias("e_vector"))
+    """The stated query set asks; all other rows are what the cache holds."""
+    e, i = table(spark, d, "embeddings"), F.col("vec_id").cast("string")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("q"), i).alias("question"), F.col("label").alias("c"), F.col("embedding").alias("vector"))
+    held = e.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("entry"), F.concat(F.lit("e"), i).alias("e_question"), F.col("label").alias("e_c"), F.col("embedding").alias("e_vector"))
     hit = memory.cache_lookup(q, held, F.round(tx.cosine(F.col("vector"), F.col("e_vector")), 9), 0.2)
     return hit.select("query_id", "entry", "mode", F.round("similarity", 6).alias("similarity"))
 
@@ -224,9 +249,9 @@ def cache_admission(spark, d):
     return table(spark, d, "events").select("event_id", ok.alias("admitted"))
 
 
-@query("cache_bypass", "SELECT conv_id, turn, regexp_matches(lower(text), '\\b(?:it|this|that|these|those)\\b') AS bypass FROM conversations")
+@query("cache_bypass", "SELECT conv_id, turn, regexp_matches(lower(text), '刚才|之前|上一|前面|上述|它|这(?:篇|份|个|些)|本文|该(?:论文|文档)|\\b(?:it|this|that|previous|above)\\b') AS bypass FROM conversations")
 def cache_bypass(spark, d):
-    return conversations(spark, d).select("conv_id", "turn", F.lower("text").rlike(r"\b(?:it|this|that|these|those)\b").alias("bypass"))
+    return conversations(spark, d).select("conv_id", "turn", tx.refers_back(F.col("text")).alias("bypass"))
 
 
 # --- telemetry -------------------------------------------------------------------------------
@@ -298,7 +323,8 @@ def session_stats(spark, d):
 @query("attempt_usage", "SELECT user_id, CAST(sum(CASE WHEN event_id % 9 <> 0 THEN event_id % 30 END) AS BIGINT) AS tokens, bool_or(event_id % 9 = 0 OR event_type = 'error') AS incomplete FROM events GROUP BY user_id")
 def attempt_usage(spark, d):
     i = F.col("event_id")
-    return table(spark, d, "events").groupBy("user_id").agg(F.sum(F.when(i % 9 != 0, i % 30)).alias("tokens"), F.bool_or((i % 9 == 0) | (F.col("event_type") == "error")).alias("incomplete"))
+    tokens, incomplete = telemetry.attempt_usage(F.when(i % 9 != 0, i % 30), F.col("event_type") == "error")
+    return table(spark, d, "events").groupBy("user_id").agg(tokens.alias("tokens"), incomplete.alias("incomplete"))
 
 
 @query("trace_rows", "WITH m AS (SELECT event_id AS call_id, user_id, event_type AS phase FROM events WHERE event_id % 3 <> 0), t AS (SELECT event_id AS call_id, value AS seconds FROM events WHERE event_id % 2 = 0) SELECT coalesce(m.call_id, t.call_id) AS call_id, coalesce(phase, 'tool') AS phase, round(seconds, 3) AS seconds, CASE WHEN t.call_id IS NULL THEN 'no tool' WHEN m.call_id IS NULL THEN 'running' ELSE 'done' END AS status FROM m FULL JOIN t ON m.call_id = t.call_id")
@@ -318,8 +344,9 @@ def repeat_guard(spark, d):
 
 @query("late_results", "SELECT event_id, value <= 20 AS in_time, CASE WHEN value <= 20 THEN event_type ELSE 'timeout' END AS status FROM events")
 def late_results(spark, d):
-    ok = F.col("value") <= 20
-    return table(spark, d, "events").select("event_id", ok.alias("in_time"), F.when(ok, F.col("event_type")).otherwise("timeout").alias("status"))
+    """A result past its deadline counts as a timeout, whatever it was."""
+    in_time, status = telemetry.within_deadline(F.col("value"), F.lit(20), F.col("event_type"))
+    return table(spark, d, "events").select("event_id", in_time.alias("in_time"), status.alias("status"))
 
 
 @query("last_success", "SELECT user_id, max(epoch_us(ts)) FILTER (WHERE event_type = 'click') AS llm, max(epoch_us(ts)) FILTER (WHERE event_type IN ('click', 'view') AND event_id % 7 <> 0) AS vector_database FROM events GROUP BY user_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skarn.functions.text import is_blank, is_placeholder, tokens
 from skarn.operators import chunking, index
 from skarn.plans.registry import query, table
+from skarn.sources import files
 
 SIZE, OVERLAP = 512, 64
 #: DuckDB's twin of fixed chunking with ids, shared by several oracles.
@@ -48,11 +49,12 @@ def chunk_count(spark, d):
     return fixed_chunks(spark, d).agg(F.count("*").alias("n"))
 
 
-@query("verify_fingerprint", "SELECT sha256(text) AS doc_id, min(source) AS name, count(*) AS copies FROM documents GROUP BY sha256(text)")
+@query("verify_fingerprint", "SELECT sha256(text) AS doc_id, min(source) AS name, count(*) AS copies FROM documents WHERE doc_id % 7 <> 0 GROUP BY sha256(text)")
 def verify_fingerprint(spark, d):
-    named = table(spark, d, "documents").withColumn("id", F.sha2("text", 256))
-    # The first stored copy by name, its bytes hashed again before it counts.
-    return named.groupBy("id", "text").agg(F.min("source").alias("name"), F.count("*").alias("copies")).where(F.sha2("text", 256) == F.col("id")).select(F.col("id").alias("doc_id"), "name", "copies")
+    """Stored copies under the hash of what was uploaded; every seventh has changed since, and does not count."""
+    bytes_now = F.concat("text", F.when(F.col("doc_id") % 7 == 0, F.lit("!")).otherwise(F.lit(""))).cast("binary")
+    stored = table(spark, d, "documents").select(F.sha2("text", 256).alias("folder"), F.col("source").alias("name"), bytes_now.alias("content"))
+    return files.sound_originals(stored)
 
 
 @query("import_dedup", "SELECT sha256(source || chr(0) || text) AS task_id, min(doc_id) AS seq, min(source) AS name FROM documents GROUP BY 1")
@@ -61,10 +63,12 @@ def import_dedup(spark, d):
     return table(spark, d, "documents").groupBy(task.alias("task_id")).agg(F.min("doc_id").alias("seq"), F.min("source").alias("name"))
 
 
-@query("import_status", "SELECT doc_id, CASE WHEN n_chars > 8000 THEN 'failed' ELSE 'success' END AS status, CASE WHEN n_chars > 8000 THEN 'too large' END AS error FROM documents")
+@query("import_status", "SELECT doc_id, CASE WHEN strlen(text) > 8000 OR NOT regexp_matches(text, '\\S') THEN 'failed' ELSE 'success' END AS status, CASE WHEN strlen(text) > 8000 THEN 'the file is too large' WHEN NOT regexp_matches(text, '\\S') THEN 'the file is blank' END AS error FROM documents")
 def import_status(spark, d):
-    bad = F.col("n_chars") > 8000
-    return table(spark, d, "documents").select("doc_id", F.when(bad, "failed").otherwise("success").alias("status"), F.when(bad, "too large").alias("error"))
+    """Every document as an uploaded text file through the importer, with a limit of 8000 bytes."""
+    t, name = F.col("text").cast("binary"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    raw = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("task_id"), name.alias("path"), name.alias("name"), F.lit(".txt").alias("suffix"), F.sha2(t, 256).alias("doc_id"), F.octet_length("text").cast("long").alias("length"), t.alias("content"))
+    return files.load(raw, 8000).select(F.col("task_id").cast("long").alias("doc_id"), "status", "error")
 
 
 @query("pending_tasks", "SELECT doc_id, quality FROM labels WHERE quality = 0 OR (quality = 1 AND toxic = 1)")
@@ -122,13 +126,9 @@ def load_audit(spark, d):
     return index.load_audit(expected, fixed_chunks(spark, d))
 
 
-@query("corpus_fingerprint", "WITH h AS (SELECT sha256(text) AS h FROM documents), b AS (SELECT substring(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS s, count(*) AS n FROM h GROUP BY 1) SELECT sha256(string_agg(s, '' ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b")
+@query("corpus_fingerprint", "SELECT to_hex(CAST(bit_xor(CAST(('0x' || substring(h, 1, 15)) AS BIGINT)) AS BIGINT)) AS low, to_hex(CAST(bit_xor(CAST(('0x' || substring(h, 16, 15)) AS BIGINT)) AS BIGINT)) AS middle, CAST(sum(CAST(('0x' || substring(h, 31, 8)) AS BIGINT)) AS VARCHAR) AS high, count(*) AS n FROM (SELECT sha256(CAST(doc_id AS VARCHAR) || chr(0) || text) AS h FROM documents)")
 def corpus_fingerprint(spark, d):
-    """Independent of order: sorted hashes by their first three digits, then the 4096 digests of those."""
-    h = table(spark, d, "documents").select(F.sha2("text", 256).alias("h"))
-    b = h.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("s"), F.count("*").alias("n"))
-    digests = F.transform(F.array_sort(F.collect_list(F.struct("b", "s"))), lambda x: x["s"])
-    return b.agg(F.sha2(F.array_join(digests, ""), 256).alias("fingerprint"), F.sum("n").alias("n"))
+    return index.corpus_fingerprint(table(spark, d, "documents").select(F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), "text"), 256).alias("h")))
 
 
 @query("filter_blank", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '\\S')")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skarn.plans.registry import query, table
@@ -11,9 +10,8 @@ from skarn.streaming import jobs
 
 @query("stream_accumulate", "SELECT conv_id, turn, length(string_agg(text, '' ORDER BY turn) OVER w) AS chars, sha256(string_agg(text, '' ORDER BY turn) OVER w) AS snapshot FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
 def stream_accumulate(spark, d):
-    """The batch twin of a token stream: cumulative snapshots of the text so far."""
-    so_far = F.array_join(F.collect_list("text").over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)), "")
-    return table(spark, d, "conversations").select("conv_id", "turn", so_far.alias("t")).select("conv_id", "turn", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("snapshot"))
+    """A token stream: every part gives a cumulative snapshot of its conversation's text so far."""
+    return jobs.run(jobs.accumulated(jobs.stream(spark, d, "conversations")), "append", "accumulate")
 
 
 @query("stream_metrics", "SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS value, max(event_id) AS last FROM events GROUP BY user_id, event_type")
@@ -39,7 +37,16 @@ def stream_memory(spark, d):
     return state.groupBy("conv_id").agg(F.max(F.struct("stored", "retained", "chars", "newest")).alias("s")).select("conv_id", "s.*")
 
 
-@query("cache_replay")
+CACHE_REPLAY_SQL = """
+WITH e AS (SELECT user_id, event_id, strftime(ts, '%Y-%m-%d') AS scope, CAST(json_extract(props, '$.k') AS BIGINT) AS question FROM events),
+f AS (SELECT *, CASE WHEN scope IS NOT DISTINCT FROM lag(scope) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM e),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM f),
+r AS (SELECT user_id, run, count(*) AS n, count(DISTINCT question) AS kinds FROM g GROUP BY user_id, run)
+SELECT user_id, CAST(sum(n - kinds) AS BIGINT) AS hits, CAST(sum(kinds) AS BIGINT) AS misses, CAST(least(max_by(kinds, run), 100) AS BIGINT) AS held FROM r GROUP BY user_id
+"""
+
+
+@query("cache_replay", CACHE_REPLAY_SQL)
 def cache_replay(spark, d):
     e = jobs.stream(spark, d, "events").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("scope"), F.get_json_object("props", "$.k").cast("long").alias("question"))
     return jobs.run(jobs.cache_replay(e), "update", "cache", lambda b, p: b.write.mode("append").parquet(p))

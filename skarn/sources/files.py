@@ -155,11 +155,16 @@ def documents(loaded: DataFrame) -> DataFrame:
     return loaded.where("status = 'success'").select(F.explode("documents").alias("d")).select("d.*")
 
 
+def sound_originals(stored: DataFrame) -> DataFrame:
+    """(doc_id, name, copies) of stored files (folder, name, content) whose bytes still have the hash that names their folder; the first by name."""
+    sound = stored.where(F.col("folder") == F.sha2("content", 256))
+    return sound.groupBy(F.col("folder").alias("doc_id")).agg(F.min("name").alias("name"), F.count("*").alias("copies"))
+
+
 def library_originals(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, name) of stored originals under <path>/<64 hex digits>/<name> whose bytes still have that hash; the first file by name."""
+    """(doc_id, name, copies) of stored originals under <path>/<64 hex digits>/<name>, verified."""
     files = scan_files(spark, path).withColumn("folder", F.regexp_extract("path", r"/([0-9a-f]{64})/[^/]+$", 1))
-    sound = files.where((F.col("folder") == F.col("doc_id")) & F.col("suffix").isin(*SUFFIXES))
-    return sound.groupBy("doc_id").agg(F.min("name").alias("name"))
+    return sound_originals(files.where(F.col("suffix").isin(*SUFFIXES)))
 
 
 # --- logs ------------------------------------------------------------------------------------

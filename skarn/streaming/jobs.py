@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -75,6 +76,26 @@ def session_memory(messages: DataFrame, keep: int = 4) -> DataFrame:
     )
 
 
+def _accumulate(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    text = state.get[0] if state.exists else ""
+    h, out = hashlib.sha256(text.encode()), []
+    chars = len(text)
+    rows = sorted((int(t), x or "") for pdf in parts for t, x in zip(pdf.turn, pdf.text))
+    for turn, part in rows:
+        h.update(part.encode())  # only the new part is hashed
+        chars += len(part)
+        out.append((key[0], turn, chars, h.hexdigest()))
+    state.update((text + "".join(x for _, x in rows),))
+    yield pd.DataFrame(out, columns=["conv_id", "turn", "chars", "snapshot"])
+
+
+def accumulated(parts: DataFrame) -> DataFrame:
+    """Keyed state of each conversation: its text so far; a row for each part with the length and hash of the text up to it."""
+    return parts.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandasWithState(
+        _accumulate, "conv_id long, turn long, chars long, snapshot string", "text string", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def _replay(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, capacity: int) -> Iterator[pd.DataFrame]:
     scope, held = (state.get[0], list(state.get[1])) if state.exists else (None, [])
     hits = misses = 0
@@ -105,12 +126,10 @@ def insert_absent_sink(key: str) -> Callable[[DataFrame, str], None]:
     """A sink that appends rows whose key the table lacks; a batch that is run again adds nothing."""
 
     def sink(batch: DataFrame, path: str) -> None:
-        new = batch.dropDuplicates([key])
-        try:
-            new = new.join(batch.sparkSession.read.parquet(path).select(key), key, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        new, spark = batch.dropDuplicates([key]), batch.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            new = new.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti")
         new.write.mode("append").parquet(path)
 
     return sink
