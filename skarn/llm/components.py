@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import Scratch
+from skarn.llm.common import Scratch, salted_join
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
@@ -16,12 +16,13 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     Nulls and self-links are ignored; an empty table gives an empty result.
     """
     at = scratch.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    k, changed = 0, True
+    k, changed, total = 0, True, 2 * at.count()
     while changed:
         k += 1
         both = at.union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        # The middle of a large star has most of its component's links: they are dealt over many tasks.
+        large = salted_join(both, least, ["u"], total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))

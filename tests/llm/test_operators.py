@@ -679,3 +679,9 @@ def test_substrings_of_frequent_digits(spark, monkeypatch):
     rows += [(100 + k, passage) for k in range(40)] + [(200 + k, "same line " * 30) for k in range(20)]
     got = {x.row.doc_id: [(s.start, s.stop) for s in x.spans] for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert got == {i: s for (i, _), s in zip(rows, brute_spans([t.encode() for _, t in rows], 200))}
+
+
+def test_components_of_large_stars(spark):
+    links = [(5000, k) for k in range(1, 700)] + [(k, k + 3000) for k in range(100, 300)] + [(9000, 9001)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "stars")).collect()}
+    assert got == {**{k: 1 for k in range(1, 700)}, 5000: 1, **{k + 3000: 1 for k in range(100, 300)}, 9000: 9000, 9001: 9000}
