@@ -124,7 +124,7 @@ class Library:
     def vector(self, question: str, k: int = 5, doc_id: str | None = None) -> DataFrame:
         v = self._encoder.encode([self._question(question, k).first()["question"]])[0]
         q = self.spark.createDataFrame([(0, v)], "query_id long, query array<float>")
-        return retrieve.top(retrieve.vector_scores(self.list_chunks(doc_id), q, "chunk_id"), k, "query_id", F.desc("score"), F.col("chunk_id"))
+        return retrieve.top(retrieve.nearest(self.list_chunks(doc_id), q, k, "chunk_id"), k, "query_id", F.desc("score"), F.col("chunk_id"))
 
     def hybrid(self, question: str, k: int = 5, doc_id: str | None = None, rerank: bool = False) -> DataFrame:
         """Both branches, fused, without image placeholders; reranked by the stand-in if asked. Columns of the chunk and score, rank."""

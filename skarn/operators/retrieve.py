@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 from skarn.functions.text import cosine
 
 RRF_K = 60
+#: Questions that meet the vectors in one pass.
+QUESTIONS = 4096
 
 
 def top(df: DataFrame, k: int, by: str | None, *order: Column) -> DataFrame:
@@ -24,6 +30,52 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id") -
     return vectors.join(F.broadcast(queries)).select("query_id", key, cosine(F.col("embedding"), F.col("query")).alias("score"))
 
 
+def _nearest(batches, key: str, asked, k: int):
+    ids, query = asked.value
+    for b in batches:
+        if not b.num_rows:
+            continue
+        column = b.column("embedding")
+        flat = column.flatten()
+        if len(flat) != b.num_rows * query.shape[1] or column.null_count or flat.null_count:
+            raise ValueError("a vector is missing, has nulls, or is not as wide as the questions")
+        rows = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+        length = np.sqrt((rows * rows).sum(1))
+        if not (length > 0).all():
+            raise ValueError("a vector has no length")
+        score = np.round(np.clip(query @ (rows / length[:, None]).T, -1, 1), 9)
+        keys = b.column(key).to_numpy(zero_copy_only=False)
+        # The k best of the batch for each question; equal scores go by key.
+        order = np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :k]
+        found = np.take_along_axis(score, order, 1)
+        columns = [pa.array(np.repeat(ids, order.shape[1])), b.column(key).take(pa.array(order.ravel())), pa.array(found.ravel())]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", key, "score"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """(query_id, key, score): for each question (query_id, query) at least its k best vectors by cosine; ties go to the smaller key.
+
+    Every vector meets every question, by one matrix product a batch, and each batch gives on only its best k.
+    The questions go to every task in blocks of QUESTIONS, each a pass over the vectors.
+    """
+    spark, out = vectors.sparkSession, None
+    kind = vectors.schema[key].dataType.simpleString()
+    blocks = max(1, -(-queries.count() // QUESTIONS))
+    for n in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select(F.col("query_id").cast("long"), "query").collect()
+        if not part and out is not None:
+            continue
+        matrix = np.array([r[1] for r in part], np.float64).reshape(len(part), -1)
+        length = np.sqrt((matrix * matrix).sum(1))
+        if not (length > 0).all():
+            raise ValueError("a vector has no length")
+        asked = spark.sparkContext.broadcast((np.array([r[0] for r in part], np.int64), matrix / length[:, None]))
+        found = vectors.limit(0) if not part else vectors
+        found = found.select(key, "embedding").mapInArrow(partial(_nearest, key=key, asked=asked, k=k), f"query_id long, {key} {kind}, score double")
+        out = found if out is None else out.union(found)
+    return out
+
+
 def rrf(branches: list[DataFrame], key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
     """(query_id, key, score): sum of 1 / (k + rank) over branches (query_id, key, rank); a branch counts a key's first rank only."""
     firsts = [b.groupBy("query_id", key).agg(F.min("rank").alias("rank")) for b in branches]

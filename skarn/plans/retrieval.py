@@ -47,13 +47,15 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
     return words.scores(words.asked(questions(spark, d))).withColumn("score", F.round("score", 9))
 
 
-def vectors(spark: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
-    """Cosine of every vector with those that asked (vec_id) names; by default one for each benchmark item, the vector with its id."""
-    e = table(spark, d, "embeddings")
-    asked = questions(spark, d).select(F.col("query_id").alias("vec_id")) if asked is None else asked
-    queries = e.join(F.broadcast(asked), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    scores = retrieve.vector_scores(e.select(F.col("vec_id").alias("doc_id"), "embedding"), queries, "doc_id")
-    return scores.withColumn("score", F.round("score", 9))
+def asked_vectors(spark: SparkSession, d: str, asked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = questions(spark, d).select("query_id") if asked is None else asked
+    return e, e.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query")).join(F.broadcast(asked), "query_id")
+
+
+def vectors(spark: SparkSession, d: str, asked: DataFrame | None = None, k: int = 80) -> DataFrame:
+    """The k nearest vectors, at least, of each that asked (query_id) names; by default one for each benchmark item, the vector with its id."""
+    return retrieve.nearest(*asked_vectors(spark, d, asked), k, "doc_id")
 
 
 #: The stated query set of vector searches.
@@ -93,8 +95,8 @@ s AS (SELECT query_id, e.vec_id AS doc_id, e.label = q.label AS same, round(list
 
 @query("vector_topk", f"WITH {ASKED_SQL} SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, doc_id, round(score, 6) AS score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10")
 def vector_topk(spark, d):
-    asked = table(spark, d, "embeddings").where(TWENTIETH).select("vec_id")
-    return retrieve.top(vectors(spark, d, asked), 10, "query_id", F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", rounded())
+    asked = table(spark, d, "embeddings").where(TWENTIETH).select(F.col("vec_id").alias("query_id"))
+    return retrieve.top(vectors(spark, d, asked, 10), 10, "query_id", F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", rounded())
 
 
 @query("vector_topk_filtered", f"WITH {ASKED_SQL} SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, doc_id, round(score, 6) AS score FROM s WHERE same WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 5")
@@ -110,8 +112,9 @@ def vector_topk_filtered(spark, d):
 @query("cosine_matrix", f"WITH {ASKED_SQL} SELECT query_id AS a, doc_id AS b, round(score, 6) AS score FROM s")
 def cosine_matrix(spark, d):
     """The stated query set against all vectors."""
-    asked = table(spark, d, "embeddings").where(TWENTIETH).select("vec_id")
-    return vectors(spark, d, asked).select(F.col("query_id").alias("a"), F.col("doc_id").alias("b"), rounded())
+    asked = table(spark, d, "embeddings").where(TWENTIETH).select(F.col("vec_id").alias("query_id"))
+    scores = retrieve.vector_scores(*asked_vectors(spark, d, asked), "doc_id").withColumn("score", F.round("score", 9))
+    return scores.select(F.col("query_id").alias("a"), F.col("doc_id").alias("b"), rounded())
 
 
 FUSED_SQL = f"WITH {BM25_SQL}, {VEC_SQL}, fused AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM bm_top UNION ALL SELECT query_id, doc_id, rank FROM vs_top) GROUP BY query_id, doc_id)"
