@@ -4,13 +4,17 @@ Each page becomes one WARC response record. Records are ordered within archive f
 page id, url, html) and a record's range starts where the one before ends. A leaf is the SHA-256
 of the record with its range; every FAN neighbours on a level hash to one node of the next, up to one root a
 file. Two replicas compare roots; only children of unequal nodes are compared further, down to the
-corrupt records. Nodes of sound subtrees are never looked at below their roots.
+leaves that differ. Nodes of sound subtrees are never looked at below their roots.
 
-Files take FILE consecutive page ids; a null id goes to one of NAMELESS files by its content.
+Leaves that differ are then aligned by what they hold, within their file: records with one page id and digest are the same
+record, `moved` if its range is another one; of the others, those with one page id are a `corrupt` record and what it was;
+the rest is in one replica only, `missing` or `extra`. So a record lost in the middle of a file is the one that is
+missing, and sound records behind it have moved.
 
-Defined results: null urls and htmls count as empty; repeated rows are records of their own; a record
-in one replica only is `missing` or `extra`, and the records behind it in its file, whose
-ranges move, are `moved`; extra columns are ignored; empty tables give an empty result.
+Files take FILE consecutive page ids; records without an id are dealt by their content to as many files as they fill.
+
+Defined results: null urls and htmls count as empty; repeated rows are records of their own; replicas are cut into files
+alike if `nameless` is given to both; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -21,15 +25,17 @@ from pyspark.sql import functions as F
 
 from skarn.llm.common import Scratch
 
-FILE, FAN, NAMELESS = 4096, 16, 64
+FILE, FAN = 4096, 16
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(file, page_id, record): one WARC record of each page, as bytes."""
+def records(pages: DataFrame, nameless: int | None = None) -> DataFrame:
+    """(file, page_id, record): one WARC record of each page, as bytes. nameless: files for records without an id."""
+    if nameless is None:
+        nameless = max(1, -(-pages.where("page_id is null").count() // FILE))
     url, html = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("url", "html"))
     body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), html)
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    file = F.coalesce(F.floor(F.col("page_id") / FILE), -1 - F.pmod(F.xxhash64(url, html), F.lit(NAMELESS)))
+    file = F.coalesce(F.floor(F.col("page_id") / FILE), -1 - F.pmod(F.xxhash64(url, html), F.lit(nameless)))
     return pages.select(file.cast("long").alias("file"), F.col("page_id").cast("long").alias("page_id"), F.concat(head, body, F.lit("\r\n\r\n")).cast("binary").alias("record"))
 
 
@@ -59,7 +65,10 @@ def unequal(level: DataFrame) -> DataFrame:
 
 
 def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
-    """Per record range of replica a or b: file, seq, page_id, start, length, digest, status (sound, corrupt, moved, missing, extra), root_equal."""
+    """Per record range of replica a or b: file, seq, page_id, start, length, digest, status (sound, corrupt, moved, missing, extra), root_equal.
+
+    A row shows the range in replica a, but for extra records.
+    """
     scratch = Scratch(replica_a.sparkSession, "fixity")
     leaf = scratch.write(leaves(replica_a).withColumn("side", F.lit(0)).union(leaves(replica_b).withColumn("side", F.lit(1))), "leaves")
     last, height = leaf.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0], 1
@@ -72,18 +81,30 @@ def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
         # Children of unequal nodes only.
         up = suspects.withColumnRenamed("node", "up")
         suspects = unequal(level.withColumn("up", F.floor(F.col("node") / FAN)).join(up, ["file", "up"], "left_semi"))
-    suspects = suspects.withColumnRenamed("node", "seq").withColumn("found", F.lit(True))
-    at = lambda side: F.max(F.when(F.col("side") == side, F.struct("page_id", "start", "length", "digest"))).alias(f"r{side}")
-    both = leaf.groupBy("file", "seq").agg(at(0), at(1)).join(suspects, ["file", "seq"], "left").join(bad_files, "file", "left")
-    # A range whose bytes differ is corrupt; one whose bytes are the same has only moved.
-    status = (
-        F.when(F.col("found").isNull(), "sound")
-        .when(F.col("r1").isNull(), "missing")
-        .when(F.col("r0").isNull(), "extra")
-        .when(F.col("r0.digest") == F.col("r1.digest"), "moved")
-        .otherwise("corrupt")
-    )
-    return both.withColumn("r", F.coalesce("r0", "r1")).select("file", "seq", "r.*", status.alias("status"), F.col("bad").isNull().alias("root_equal"))
+    suspects = suspects.withColumnRenamed("node", "seq")
+    range_of = ["seq", "page_id", "start", "length", "digest"]
+    sound = leaf.where("side = 0").join(suspects, ["file", "seq"], "left_anti").select("file", *range_of, F.lit("sound").alias("status"))
+    odd = aligned(scratch.write(leaf.join(suspects, ["file", "seq"], "left_semi").select("side", "file", *range_of), "odd"))
+    both = sound.unionByName(odd).join(bad_files, "file", "left")
+    return both.select("file", *range_of, "status", F.col("bad").isNull().alias("root_equal"))
+
+
+def aligned(odd: DataFrame) -> DataFrame:
+    """(file, seq, page_id, start, length, digest, status) of leaves (side, file, seq, ...) that have no equal at their place."""
+    record = F.struct("seq", "page_id", "start", "length", "digest")
+
+    def matched(rows: DataFrame, *by: str) -> DataFrame:
+        """The n-th of either side with the same file, page id and `by` in one row."""
+        nth = F.row_number().over(W.partitionBy("side", "file", "page_id", *by).orderBy("seq"))
+        at = lambda side: F.max(F.when(F.col("side") == side, record)).alias(f"r{side}")
+        return rows.withColumn("nth", nth).groupBy("file", "page_id", *by, "nth").agg(at(0), at(1))
+
+    same = matched(odd, "digest").drop("page_id", "digest", "nth")
+    moved = same.where("r0 is not null and r1 is not null").withColumn("status", F.lit("moved"))
+    left = [same.where(f"r{1 - k} is null").select(F.lit(k).alias("side"), "file", f"r{k}.*") for k in (0, 1)]
+    other = matched(left[0].union(left[1])).drop("page_id", "nth")
+    other = other.withColumn("status", F.when(F.col("r1").isNull(), "missing").when(F.col("r0").isNull(), "extra").otherwise("corrupt"))
+    return moved.unionByName(other).select("file", F.coalesce("r0", "r1").alias("r"), "status").select("file", "r.*", "status")
 
 
 def aged(archive: DataFrame, modulus: int = 97) -> DataFrame:

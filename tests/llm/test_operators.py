@@ -541,13 +541,31 @@ def test_fixity_finds_what_brute_force_finds(spark):
 
 
 def test_fixity_of_missing_records(spark):
-    rows = [(k, "u", f"h{k}", 1) for k in range(40)]
-    whole, part = (warc_fixity.records(pages(spark, r)) for r in (rows, rows[:-1]))
-    assert Counter(r.status for r in warc_fixity.audit(whole, part).collect()) == {"sound": 39, "missing": 1}
-    assert Counter(r.status for r in warc_fixity.audit(part, whole).collect()) == {"sound": 39, "extra": 1}
+    rows = [(k, "u", f"h{k}", 1) for k in range(40)] + [(None, "u", f"n{k}", 1) for k in range(3)]
+    for lost in (39, 20, 0):
+        whole, part = (warc_fixity.records(pages(spark, r), 1) for r in (rows, [r for r in rows if r[0] != lost]))
+        for a, b, name in ((whole, part, "missing"), (part, whole, "extra")):
+            got = {(r.page_id, r.digest): r.status for r in warc_fixity.audit(a, b).collect()}
+            assert len(got) == 43 and {i: s for (i, _), s in got.items() if i is not None} == {k: name if k == lost else "sound" if k < lost else "moved" for k in range(40)}
     assert warc_fixity.audit(whole.limit(0), part.limit(0)).count() == 0
 
 
+def test_fixity_of_lost_changed_and_repeated_records_at_once(spark):
+    rows = [(k, "u", f"h{k}", 1) for k in range(300)] + [(7, "u", "h7", 1), (7, "u", "other", 1)]
+    changed = [(k, u, h + "!" if k == 100 else h, f) for k, u, h, f in rows if k != 50] + [(400, "u", "new", 1)]
+    got = Counter((r.page_id, r.status) for r in warc_fixity.audit(warc_fixity.records(pages(spark, rows)), warc_fixity.records(pages(spark, changed))).collect())
+    # One byte more at 100 makes up for nothing: what is behind 50 has moved.
+    assert got[(50, "missing")] == got[(100, "corrupt")] == got[(400, "extra")] == 1
+    assert sum(n for (i, s), n in got.items() if s == "moved") == 248 and got[(7, "sound")] == 3
+
+
+def test_nameless_records_fill_as_many_files_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(warc_fixity, "FILE", 50)
+    archive = warc_fixity.records(pages(spark, [(None, f"u{k}", "h", 1) for k in range(1000)]))
+    sizes = [r["count"] for r in archive.groupBy("file").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 100 and sum(sizes) == 1000
+
+
 # --- shared ----------------------------------------------------------------------------------------
 
 
