@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -9,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.config import Settings
-from skarn.functions.models import Encoder, Generator, HashEncoder, encoded
+from skarn.functions.models import Encoder, HashEncoder, encoded
 from skarn.functions.text import expanded, is_placeholder, stripped_request, tokens
 from skarn.operators import evidence, index, lexical, retrieve
 from skarn.operators.chunking import chunks
 from skarn.sources import files
 from skarn.tables import Table
 
-CHUNK = "chunk_id string, doc_id string, source_file string, file_type string, block_type string, page_number int, paragraph_index int, table_index int, line_start int, chunk_index int, start_index int, end_index int, text string, embedding array<float>"
+CHUNK = "chunk_id string, doc_id string, source_file string, file_type string, block_type string, page_number int, paragraph_index int, table_index int, line_start int, line_end int, chunk_index int, start_index int, end_index int, text string, embedding array<float>"
+ORIGINAL = "doc_id string, source_file string, content binary"
+#: The columns that chunks of one piece of a document share.
+PARENT = ["doc_id", "source_file", "file_type", "block_type", "page_number", "paragraph_index", "table_index"]
 MANIFEST = "doc_id string, source_file string, status string, error string, expected long, complete boolean"
 
 
@@ -30,6 +34,7 @@ class Library:
         self._lexicon: tuple[list[str], lexical.Lexical] | None = None
         self.chunks = Table(spark, f"{root}/chunks", CHUNK, {"model": encoder.name, "revision": encoder.revision, "width": encoder.width, "space": "cosine"})
         self.manifest = Table(spark, f"{root}/manifest", MANIFEST)
+        self.originals = Table(spark, f"{root}/originals", ORIGINAL)
 
     # --- import --------------------------------------------------------------------------------
 
@@ -52,6 +57,9 @@ class Library:
         rows = loaded.join(expected, "doc_id", "left").select("doc_id", "source_file", "status", "error", F.coalesce("expected", F.lit(0)).cast("long").alias("expected"), F.lit(False).alias("complete")).dropDuplicates(["doc_id"])
         # Kept before the chunks change what is new; a load that stops here is found incomplete and resumed.
         self.manifest.rewrite(held.join(rows.select("doc_id"), "doc_id", "left_anti").unionByName(rows))
+        good = tasks.join(loaded.where("status = 'success'").select("task_id"), "task_id", "left_semi")
+        kept = good.select("doc_id", F.col("name").alias("source_file"), "content")
+        self.originals.append(kept.join(self.originals.read().select("doc_id", "source_file"), ["doc_id", "source_file"], "left_anti"))
         self.chunks.append(new)
         return self.audit().join(tasks.select("doc_id").distinct(), "doc_id", "left_semi")
 
@@ -63,9 +71,10 @@ class Library:
         return self.manifest.read()
 
     def delete(self, doc_id: str) -> int:
-        """Removes a document's chunks and manifest row; the number of chunks that went."""
+        """Removes a document's chunks, then its stored original and manifest row; the number of chunks that went."""
         removed = self.list_chunks(doc_id).count()
         self.chunks.rewrite(self.chunks.read().where(F.col("doc_id") != doc_id))
+        self.originals.rewrite(self.originals.read().where(F.col("doc_id") != doc_id))
         self.manifest.rewrite(self.manifest.read().where(F.col("doc_id") != doc_id))
         return removed
 
@@ -78,11 +87,31 @@ class Library:
     def count(self) -> int:
         return self.chunks.read().count()
 
+    def stored(self) -> DataFrame:
+        """(doc_id, name, copies) of stored originals whose bytes still have the hash that names them."""
+        held = self.originals.read()
+        return files.sound_originals(held.select(F.col("doc_id").alias("folder"), F.col("source_file").alias("name"), "content"))
+
+    def original(self, doc_id: str) -> tuple[str, list[dict]]:
+        """Name and parsed pieces of a stored original; its bytes are verified. One file, of at most max_file_mb."""
+        if not re.fullmatch("[0-9a-f]{64}", doc_id):
+            raise ValueError("a document's id has 64 hex digits")
+        held = self.originals.read().where((F.col("doc_id") == doc_id) & (F.sha2("content", 256) == doc_id))
+        first = held.orderBy("source_file").limit(1).collect()
+        if not first:
+            raise ValueError("no sound original with that id is stored")
+        return first[0]["source_file"], files.parse_file(first[0]["source_file"], bytes(first[0]["content"]))
+
+    def scope(self) -> str:
+        """What an answer depends on beside its question: the chunks, the encoder and the settings."""
+        state = index.corpus_fingerprint(self.chunks.read().select(F.sha2("chunk_id", 256).alias("h"))).first()
+        return "|".join(map(str, [*state, self._encoder.name, self._encoder.revision, self.settings]))
+
     def status(self) -> DataFrame:
         """(doc_id, chunks, expected, complete, status) of every document known."""
         m = self.manifest.read().where("status = 'success'")
         n = self.chunks.read().groupBy("doc_id").agg(F.count("*").alias("chunks"))
-        return index.library_status(n, m.select("doc_id"), m.select("doc_id", "expected", F.lit(True).alias("complete"), F.lit(True).alias("readable")))
+        return index.library_status(n, self.stored().select("doc_id"), m.select("doc_id", "expected", F.lit(True).alias("complete"), F.lit(True).alias("readable")))
 
     def resolve(self, prefix: str) -> str:
         """The one document whose id starts with prefix (8 hex digits or more)."""
@@ -138,14 +167,15 @@ class Library:
         scored = best.withColumnRenamed("rank", "fused").join(q).withColumn("score", retrieve.overlap_score(F.col("q"), tokens(F.col("text"), True))).drop("q")
         return retrieve.top(scored, k, "query_id", F.desc("score"), F.col("fused"))
 
-    def answer(self, question: str, generator: Generator, doc_id: str | None = None) -> dict:
-        """Retrieve, gate, pack, generate and resolve citations. A few rows reach the driver: the packed references."""
-        rows = [r.asDict() for r in self.hybrid(question, self.settings.top_k, doc_id, rerank=True).collect()]
-        place = lambda r: f"第{r['page_number']}页（物理页码）" if r["page_number"] else f"段落{r['paragraph_index']}" if r["paragraph_index"] else f"表格{r['table_index']}" if r["table_index"] else "位置未记录"
-        packed = evidence.pack([{"text": r["text"], "score": r["score"], "name": r["source_file"] or evidence.NO_NAME, "place": place(r), "chunk_id": r["chunk_id"]} for r in rows], self.settings.max_context_chars)
-        mode = evidence.gate(packed, self.settings.low_relevance)
-        if mode != "grounded":
-            return {"mode": mode, "answer": "", "references": packed}
-        context = evidence.SEPARATOR.join(evidence.HEADER.format(n=r["id"], name=r["name"], place=r["place"]) + r["text"] for r in packed)
-        cited = evidence.resolve_citations(generator.generate(question, context), {r["id"]: (r["name"], r["place"]) for r in packed})
-        return {"mode": mode, "references": packed, **cited}
+    def expanded(self, found: DataFrame, question: str) -> tuple[list[dict], bool]:
+        """The rows of found with their texts joined by the neighbours that touch them, scored again, and whether that changed any."""
+        ids = [r[0] for r in found.select("doc_id").distinct().collect()]
+        near = evidence.stitched(self.chunks.read().where(F.col("doc_id").isin(ids)).drop("embedding"), PARENT)
+        q = F.broadcast(self._question(question, 1).select(tokens(F.col("question"), True).alias("q")))
+        both = found.select("chunk_id", "score", "rank").join(near, "chunk_id").join(q)
+        both = both.withColumn("again", retrieve.overlap_score(F.col("q"), tokens(F.col("text"), True))).drop("q")
+        rows = [r.asDict() for r in both.orderBy("rank").collect()]
+        changed = any(r["own_text"] != r["text"] for r in rows)
+        for r in rows:
+            r["score"] = r.pop("again") if changed else r["score"]
+        return rows, changed

@@ -86,3 +86,12 @@ def token_rules(cache_hit: Column, attempted: Column, reported_in: Column, repor
     i, o = F.when(skipped, 0).otherwise(reported_in), F.when(skipped, 0).otherwise(reported_out)
     source = F.when(cache_hit, "cache").when(skipped, "not_called").when((i + o).isNotNull(), "ollama").otherwise("unavailable")
     return [i.alias("input"), o.alias("output"), (i + o).alias("total"), source.alias("source")]
+
+
+def agent_record(request_id: str, user_id: str, session_id: str, question: str, event: str, metrics: dict, **facts) -> dict:
+    """One line of the agent's log: the whole trace only with the event that ends a request, else its last step."""
+    trace = metrics.get("trace") or []
+    shown = metrics if event == "done" else {k: v for k, v in metrics.items() if k != "trace"}
+    row = {"schema_version": 1, "request_id": request_id, "user_id": user_id, "session_id": session_id, "question": question, "event": event, "metrics": shown}
+    row |= {k: facts.get(k) for k in ("timestamp", "iteration", "stop_reason", "task_complete")}
+    return row if event == "done" or not trace else row | {"step": trace[-1]}

@@ -8,7 +8,9 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from html import unescape
 from pathlib import PurePosixPath
+from urllib.parse import parse_qs, urlparse
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -209,9 +211,28 @@ def fold_stream(lines: list[str]) -> dict:
     return {"text": text, "done_reason": done, "usage": usage, "error": error}
 
 
+def web_results(html: str, most: int = 5) -> list[dict]:
+    """(title, snippet, url) of a result page: links with a host, redirects unwrapped. A page that is no result page is an error."""
+    if re.search(r'id="challenge-form"|class="[^"]*\banomaly-modal\b', html):
+        raise ValueError("the search site asks for a verification")
+    out = []
+    blocks = re.split(r'<[a-z]+[^>]*class="(?:[^"]*\s)?result(?:\s[^"]*)?"[^>]*>', html)[1:]
+    for block in blocks:
+        link = re.search(r'(?s)<a\b(?=[^>]*class="[^"]*\bresult__a\b)[^>]*href="([^"]*)"[^>]*>(.*?)</a>', block)
+        if not link:
+            continue
+        url = unescape(link.group(1))
+        url = parse_qs(urlparse(url).query).get("uddg", [url])[0]
+        if urlparse(url).scheme not in ("http", "https") or not urlparse(url).hostname:
+            continue
+        text = re.search(r'(?s)class="[^"]*\bresult__snippet\b[^>]*>(.*?)</', block)
+        out.append({"title": html_text(link.group(2)), "snippet": html_text(text.group(1)) if text else "", "url": url})
+    if not out and not re.search(r'class="[^"]*\bno-results', html):
+        raise ValueError("the response is not a result page")
+    return out[:most]
+
+
 def html_text(html: str) -> str:
     """Visible text of a page: without head, scripts and styles, entities decoded."""
-    from html import unescape
-
     body = re.sub(r"(?is)<(script|style|head)\b.*?</\1>", " ", html)
     return re.sub(r"\s+", " ", unescape(re.sub(r"(?s)<[^>]+>", " ", body))).strip()

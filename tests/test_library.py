@@ -3,10 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skarn.assistant import Assistant, reading_order, run_session
 from skarn.config import Settings, load
 from skarn.functions.models import ExtractiveGenerator, HashEncoder
 from skarn.library import Library
+from skarn.operators import agent
 from skarn.sessions import Sessions
+from skarn.sources import files
 
 
 @pytest.fixture
@@ -28,8 +31,9 @@ def test_library_life(spark, library):
     assert lib.load(str(up)).count() == 0 and lib.count() == n
     top = lib.hybrid("accuracy of image classification", 2, rerank=True).orderBy("rank").collect()
     assert "accuracy" in top[0].text and top[0].score >= top[1].score
-    got = lib.answer("What accuracy does image classification reach?", ExtractiveGenerator())
+    got = Assistant(lib, ExtractiveGenerator()).answer("What accuracy does image classification reach?")
     assert got["mode"] == "grounded" and got["cited"] == [1] and "a.txt" in got["answer"]
+    assert {(r.name, r.copies) for r in lib.stored().collect()} == {("a.txt", 1), ("b.md", 1)} and lib.original(top[0].doc_id)[0] == "a.txt"
     one = top[0].doc_id
     assert lib.bm25("attention", 5, one).count() == 0 and lib.bm25("attention", 5).count() == 1
     assert lib.vector("attention", 1).first().rank == 1 and lib.resolve(one[:8]) == one
@@ -40,7 +44,9 @@ def test_library_life(spark, library):
     lib.load(str(up))
     assert lib.count() == n and {r.status for r in lib.status().collect()} == {"vectorised"}
     assert lib.delete(one) > 0 and lib.list_chunks(one).count() == 0 and one not in {r.doc_id for r in lib.status().collect()}
-    assert lib.health()["documents"] == 2
+    assert lib.health()["documents"] == 2 and [r.name for r in lib.stored().collect()] == ["b.md"]
+    with pytest.raises(ValueError):
+        lib.original(one)
     with pytest.raises(ValueError):
         Library(spark, str(tmp_path / "lib"), make_encoder=lambda: HashEncoder(8))
     with pytest.raises(ValueError):
@@ -72,3 +78,100 @@ def test_settings(monkeypatch):
     for bad in ({"top_k": 0}, {"chunk_overlap": 512}, {"chunk_strategy": "x"}, {"online_search": 1}, {"low_relevance": 2.0}):
         with pytest.raises(ValueError):
             Settings(**bad)
+
+
+# --- answers over a library -------------------------------------------------------------------------
+
+METHOD = "Abstract: We propose a patch encoder. The method uses attention over patches. We use the encoder by adding position vectors. It trains on ImageNet and other datasets for evaluation."
+OTHER = "Abstract: We propose contrastive learning of views. The model architecture has two branches. Conclusion: quantitative experimental results achieve 77 percent."
+
+
+@pytest.fixture
+def assistant(spark, tmp_path):
+    up = tmp_path / "up"
+    up.mkdir()
+    (up / "patch.txt").write_text(METHOD + "\nConclusions\nThe model reaches quantitative experimental results of 91 percent in 2021.")
+    (up / "views.txt").write_text(OTHER + "\nDatasets used for training and evaluation are small.")
+    lib = Library(spark, str(tmp_path / "lib"), Settings(chunk_strategy="fixed", chunk_size=90, chunk_overlap=10, low_relevance=0.05, online_search=True))
+    lib.load(str(up))
+    page = '<div class="result"><a class="result__a" href="//x/?uddg=https%3A%2F%2Fa.org%2Fp">One &amp; two</a><span class="result__snippet">s</span></div><div class="result"><a href="ftp://b" class="result__a">b</a></div>'
+    return Assistant(lib, ExtractiveGenerator(), str(tmp_path / "log"), lambda q: page), tmp_path
+
+
+def test_answers_are_cached_logged_and_forgotten_with_the_library(spark, assistant):
+    who, tmp_path = assistant
+    q = "How does the method use the patch encoder?"
+    first = who.answer(q)
+    assert first["status"] == "answered" and first["mode"] == "grounded" and not first.get("cache")
+    again = who.answer(q)
+    assert again["cache"]["mode"] == "exact" and again["answer"] == first["answer"]
+    assert "cache" not in who.answer("What does this paper use as the encoder?")  # leans on what was said
+    rows, invalid = files.read_requests(spark, str(tmp_path / "log"))
+    assert sorted(r.retrieval.status for r in rows.collect()) == ["cache", "success", "success"] and invalid.first()[0] == 0
+    views = next(r.doc_id for r in who.library.stored().collect() if r.name == "views.txt")
+    who.library.delete(views)
+    assert "cache" not in who.answer(q)
+    with pytest.raises(ValueError):
+        who.answer(" ")
+    with pytest.raises(ValueError):
+        who.answer(q, views)
+
+
+def test_low_relevance_waits_for_the_same_session(spark, assistant, monkeypatch):
+    who, _ = assistant
+    monkeypatch.setattr(who.library, "settings", Settings(chunk_strategy="fixed", chunk_size=90, chunk_overlap=10, low_relevance=0.99))
+    asked = who.answer("patch encoder attention", session_id="s")
+    assert asked["status"] == "needs_confirmation" and asked["answer"] and not asked["cited"]
+    for args in (("patch encoder attention", None, "other"), ("views", None, "s")):
+        with pytest.raises(ValueError):
+            who.answer(*args, confirm=asked["confirmation"])
+    good = who.answer("patch encoder attention", session_id="s", confirm=asked["confirmation"])
+    assert good["confirmed"] and good["cited"] and good["answer"].startswith("检索结果相关性低；已按你的确认")
+    who.library.delete(next(r.doc_id for r in who.library.stored().collect() if r.name == "views.txt"))
+    with pytest.raises(ValueError):
+        who.answer("patch encoder attention", session_id="s", confirm=asked["confirmation"])
+
+
+def test_tools_and_sessions(spark, assistant):
+    who, tmp_path = assistant
+    ids = {r.name: r.doc_id for r in who.library.stored().collect()}
+    tools = who.tools("s")
+    assert [t.name for t in tools] == [*agent.LOCAL_TOOLS, "web_search"] or {t.name for t in tools} == {*agent.LOCAL_TOOLS, "web_search"}
+    call = lambda name, **args: agent.execute(tools, name, args)
+    meta = call("paper_metadata", doc_id=ids["patch.txt"])["result"]
+    assert meta["year"] == 2021 and meta["title"].startswith("Abstract")
+    words = call("keyword_extract", doc_id=ids["patch.txt"])["result"]["keywords"]
+    assert 0 < len(words) <= 5 and all(w["lines"] for w in words)
+    summary = call("paper_summary", doc_id=ids["patch.txt"])["result"]
+    assert summary["status"] == "answered" and summary["answer"].count("###") == 4 and summary["cited"]
+    both = call("paper_compare", paper_a_id=ids["patch.txt"], paper_b_id=ids["views.txt"])["result"]
+    assert len(both["coverage"]) == 6 and {r["doc_id"] for r in both["references"]} == set(ids.values()) and [r["id"] for r in both["references"]] == list(range(1, len(both["references"]) + 1))
+    assert call("paper_compare", paper_a_id=ids["patch.txt"], paper_b_id=ids["patch.txt"])["error_kind"] == "input"
+    assert [r["source_file"] for r in call("paper_list")["result"]] == ["patch.txt", "views.txt"]
+    assert call("web_search", query="x")["result"]["results"] == [{"title": "One & two", "snippet": "s", "url": "https://a.org/p"}]
+    sessions = Sessions(spark, str(tmp_path / "s"))
+    mine = sessions.create("ann")
+    got = run_session(who, sessions, "ann", mine, "计算 2*21")
+    assert got["answer"] == '"42"' and got["stop"] == "task_complete" and set(got["trace"][0]) <= {"iteration", *agent.TRACE_KEYS}
+    assert run_session(who, sessions, "ann", mine, "总结论文 patch.txt")["results"][0]["result"]["doc_id"] == ids["patch.txt"]
+    assert sessions.messages("ann", mine).count() == 4
+    with pytest.raises(ValueError):
+        run_session(who, sessions, "ben", mine, "计算 1+1")
+    assert sessions.messages("ann", mine).count() == 4
+
+
+def test_web_results_tell_no_hits_from_no_result_page():
+    assert files.web_results('<div class="no-results">none</div>') == []
+    for page in ("<html>hello</html>", '<form id="challenge-form"></form>'):
+        with pytest.raises(ValueError):
+            files.web_results(page)
+    many = "".join(f'<div class="result results_links"><a class="result__a" href="https://a.org/{k}">t{k}</a></div>' for k in range(9))
+    assert [r["url"] for r in files.web_results(many)] == [f"https://a.org/{k}" for k in range(5)]
+
+
+def test_names_and_order():
+    names = [("a.pdf", "1"), ("deep a.pdf", "2"), ("b.txt", "3"), ("B.md", "4")]
+    assert agent.named_documents("compare Deep A.pdf with b.txt", names) == ["2", "3"]
+    assert agent.named_documents("what of b?", names) == [] and agent.named_documents("a and b.md", names) == ["1", "4"]
+    texts = ["title", "Abstract. x", "i", "ii", "iii", "iv", "v", "5. Conclusions", "after", "more", "last"]
+    assert reading_order(texts) == [1, 2, 3, 4, 5, 7, 8, 9, 6, 10]

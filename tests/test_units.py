@@ -281,6 +281,42 @@ def test_loop_completes_recovers_and_stops():
     assert agent.execute(tools(), "calculator", {"expression": float("nan")})["status"] == "error"
 
 
+def test_batches_have_a_deadline_and_a_common_capacity():
+    import threading
+    import time
+
+    stop, running, most = threading.Event(), [], []
+
+    def wait(n):
+        running.append(n)
+        most.append(len(running))
+        time.sleep(0.05)
+        running.remove(n)
+        return n
+
+    slow = [agent.Tool("wait", wait, {"n"}), agent.Tool("hang", lambda: stop.wait(5), set())]
+    rows = agent.execute_batch(slow, [("wait", {"n": k}) for k in range(6)], parallel=6)
+    assert [r["result"] for r in rows] == list(range(6)) and max(most) <= agent.CAPACITY
+    late = agent.execute_batch(slow, [("hang", {}), ("hang", {})], timeout=0.1)
+    assert {r["error_kind"] for r in late} == {"deadline"} and all(r["pending"] for r in late)
+    # Calls given up still hold their places.
+    assert agent.execute_batch(slow, [("wait", {"n": 1})], timeout=0.1)[0]["error_kind"] in ("capacity", "deadline")
+    stop.set()
+    time.sleep(0.1)
+    assert agent.execute_batch(slow, [("wait", {"n": 1})])[0]["status"] == "success"
+    p = agent.Progress()
+    for k in range(40):
+        p.put({"k": k})
+    assert [x["k"] for x in p.drain()] == list(range(8, 40)) and p.drain() == []
+
+
+def test_agent_records_show_the_trace_at_the_end_only():
+    metrics = {"trace": [{"a": 1}, {"a": 2}], "seconds": 1}
+    some = telemetry.agent_record("r", "u", "s", "q", "tool_result", metrics, iteration=1)
+    assert some["step"] == {"a": 2} and "trace" not in some["metrics"]
+    assert telemetry.agent_record("r", "u", "s", "q", "done", metrics, stop_reason="task_complete")["metrics"] == metrics
+
+
 def test_metadata_and_keywords():
     lines = ["A Title", "Someone 2021", "Abstract. First part", "second part", "1 Introduction", "doi 10.1234/abc.5, and"]
     got = agent.metadata(lines)
