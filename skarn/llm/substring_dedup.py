@@ -232,9 +232,9 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Da
     anchors = scratch.write(anchors, "anchors")
     total = anchors.count()
     together = anchors.groupBy("g").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("c > 1")
-    together = scratch.write(together.select("g", "c", (F.col("lo") == F.col("hi")).alias("same")), "together")
+    together = together.select("g", "c", (F.col("lo") == F.col("hi")).alias("same"))
     alive = scratch.write(salted_join(anchors, together, ["g"], total).drop("c"), "alive")
-    scratch.drop("anchors", "together")
+    scratch.drop("anchors")
     spans = F.array(F.struct(F.shiftright("p", 20).alias("at"), F.col("p").bitwiseAND(1023).alias("n")))
     whole = alive.where("same").select("id", F.explode(spans).alias("x"))
 
