@@ -106,14 +106,6 @@ def reading_order(spark, d):
     return c.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("tier", "chunk_index"))).drop("tier")
 
 
-@query("layout_captions")
-def layout_captions(spark, d):
-    line = table(spark, d, "lineitem")
-    captions = line.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("caption_id"), (F.col("l_quantity") * 3).alias("bottom"))
-    tables = line.where("l_linenumber between 2 and 4").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("table_id"), (F.col("l_quantity") * 3 + 20).alias("top"))
-    return evidence.assign_captions(captions, tables)
-
-
 # --- sets and lists --------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as tx
 from skarn.functions.calculator import calculate
-from skarn.operators import agent, chunking, evidence, index, memory, telemetry
+from skarn.operators import agent, chunking, evidence, index, layout, memory, telemetry
 from skarn.sources import files
 
 TEXTS = st.text(alphabet="ab .。！\n\r\t", max_size=200)
@@ -197,24 +197,51 @@ def test_citations_outside_code_only():
 
 
 def test_reading_order_and_glyphs(spark):
-    items = [(1, 0, 0.0, 0.0, 100.0, 10.0), (1, 1, 0.0, 20.0, 45.0, 60.0), (1, 2, 55.0, 15.0, 100.0, 60.0), (1, 3, 0.0, 62.0, 45.0, 90.0)]
+    # Across the top, two bodies on either side, across the middle, and one more on either side.
+    items = [(1, 0, 0.0, 0.0, 100.0, 10.0), (1, 1, 0.0, 20.0, 45.0, 60.0), (1, 2, 55.0, 15.0, 100.0, 60.0), (1, 3, 0.0, 62.0, 45.0, 90.0), (1, 4, 55.0, 61.0, 100.0, 90.0)]
+    items += [(1, 5, 0.0, 95.0, 100.0, 99.0), (1, 6, 55.0, 100.0, 100.0, 120.0), (1, 7, 0.0, 101.0, 45.0, 120.0)]
     df = spark.createDataFrame([(*i, 100.0) for i in items], "page int, n int, x0 double, y0 double, x1 double, y1 double, width double")
-    assert [r.n for r in evidence.reading_order(df).orderBy("order").collect()] == [0, 1, 3, 2]
+    assert [r.n for r in layout.reading_order(df).orderBy("order").collect()] == [0, 1, 3, 2, 4, 5, 7, 6]
+    # With one body on a side only, the page has one column.
+    assert [r.n for r in layout.reading_order(df.where("n < 4")).orderBy("order").collect()] == [0, 2, 1, 3]
     glyphs = [(1, 1, float(k), b, s, c) for k, (b, s, c) in enumerate([(10.0, 10.0, "x"), (6.0, 6.0, "2"), (12.0, 6.0, "i"), (10.0, 10.0, "y")])]
-    got = evidence.marked_lines(spark.createDataFrame(glyphs, "page int, line int, x double, baseline double, size double, char string")).first()
+    got = layout.marked_lines(spark.createDataFrame(glyphs, "page int, line int, x double, baseline double, size double, char string")).first()
     assert got.text == "x^{2}_{i}y"
 
 
 def test_tables(spark):
-    words = [(1, 0.0, 10.0, 5.0, "a"), (1, 30.0, 40.0, 5.5, "b"), (1, 0.0, 8.0, 20.0, "c"), (1, 31.0, 40.0, 20.0, "d")]
-    got = evidence.table_cells(spark.createDataFrame(words, "page int, x0 double, x1 double, y double, word string")).collect()
+    words = [(1, 0.0, 10.0, 5.0, "a"), (1, 30.0, 40.0, 5.5, "b"), (1, 0.0, 8.0, 20.0, "c"), (1, 31.0, 40.0, 20.0, "d"), (2, 0.0, 9.0, 5.0, "alone")]
+    got = layout.table_cells(spark.createDataFrame(words, "page int, x0 double, x1 double, y double, word string")).collect()
     assert sorted((r.row, r.col, r.text) for r in got) == [(0, 0, "a"), (0, 1, "b"), (1, 0, "c"), (1, 1, "d")]
-    frag = [("d", 1, 1, 700.0, 790.0, 800.0, [0.0, 50.0], [40.0, 90.0], "1", "h", False), ("d", 2, 1, 10.0, 300.0, 800.0, [1.0, 51.0], [41.0, 91.0], None, "h", False), ("d", 3, 1, 10.0, 90.0, 800.0, [1.0], [41.0], None, "h", False)]
-    df = spark.createDataFrame(frag, "doc_id string, page int, n int, top double, bottom double, height double, lefts array<double>, rights array<double>, number string, header string, continued boolean")
-    assert [r.table_id for r in evidence.stitched_tables(df).orderBy("page").collect()] == [1, 1, 2]
-    caps = spark.createDataFrame([(1, 1, 10.0), (1, 2, 30.0)], "page long, caption_id long, bottom double")
-    tabs = spark.createDataFrame([(1, 1, 40.0), (1, 2, 90.0)], "page long, table_id long, top double")
-    assert sorted((r.table_id, r.caption_id) for r in evidence.assign_captions(caps, tabs).collect()) == [(1, 1), (2, 2)]
+    box = "page long, {} long, x0 double, x1 double, top double, bottom double"
+    # The first caption may have either table, the second the lower one only; below a table counts too, and far aside does not.
+    caps = spark.createDataFrame([(1, 1, 0.0, 50.0, 0.0, 10.0), (1, 2, 0.0, 50.0, 62.0, 70.0), (1, 3, 300.0, 350.0, 62.0, 70.0)], box.format("caption_id"))
+    tabs = spark.createDataFrame([(1, 1, 0.0, 60.0, 30.0, 60.0), (1, 2, 0.0, 60.0, 75.0, 99.0)], box.format("table_id"))
+    assert sorted((r.table_id, r.caption_id) for r in layout.assign_captions(caps, tabs).collect()) == [(1, 1), (2, 2)]
+    assert layout.greedy_pairs([{"caption_id": 1, "gap": 1.0, "table_id": 1}, {"caption_id": 2, "gap": 2.0, "table_id": 1}, {"caption_id": 2, "gap": 5.0, "table_id": 2}]) == [{"table_id": 1, "caption_id": 1}, {"table_id": 2, "caption_id": 2}]
+    assert layout.markdown([["h", "a|b"], ["x\ny", "1\n2"], ["u\nv", "w"]]) == "| h | a\\|b |\n| --- | --- |\n| x | 1 |\n| y | 2 |\n| u<br>v | w |"
+
+
+def fragment(page, top, bottom, number=None, header="h", continued=False, left=0.0):
+    return {"page": page, "n": 1, "top": top, "bottom": bottom, "height": 800.0, "lefts": [left, 50.0], "rights": [40.0, 90.0], "number": number, "header": header, "continued": continued}
+
+
+def test_tables_over_pages():
+    first, rest = fragment(1, 700.0, 790.0, "1"), fragment(2, 10.0, 790.0)
+    assert layout.grouped([first, rest, fragment(3, 10.0, 90.0)]) == [1, 1, 1]  # the number of the first holds for all
+    assert layout.grouped([fragment(1, 700.0, 790.0), rest]) == [1, 2]  # a header alone is no sign
+    assert layout.grouped([first, fragment(2, 10.0, 90.0, "1", "x", True)]) == [1, 1]
+    for other in (fragment(2, 300.0, 400.0), fragment(3, 10.0, 90.0), fragment(2, 10.0, 90.0, "2"), fragment(2, 10.0, 90.0, left=9.0), fragment(2, 10.0, 90.0, header="x")):
+        assert layout.grouped([first, other]) == [1, 2]
+
+
+def test_pages_and_tables_become_documents(spark):
+    line = "doc_id string, page int, n int, x0 double, y0 double, x1 double, y1 double, width double, text string"
+    lines = [("d", 1, 1, 0.0, 5.0, 90.0, 15.0, 100.0, "Title"), ("d", 1, 2, 0.0, 680.0, 50.0, 690.0, 100.0, "Table 1 Results"), ("d", 2, 1, 0.0, 400.0, 90.0, 410.0, 100.0, "after"), ("d", 3, 1, 0.0, 4.0, 5.0, 9.0, 100.0, "  ")]
+    tab = "doc_id string, page int, n int, x0 double, x1 double, top double, bottom double, height double, lefts array<double>, rights array<double>, rows string"
+    tables = [("d", 1, 1, 0.0, 90.0, 700.0, 790.0, 800.0, [0.0, 50.0], [40.0, 90.0], json.dumps([["k", "v"], ["a", "1"]])), ("d", 2, 1, 0.0, 90.0, 10.0, 90.0, 800.0, [1.0, 51.0], [41.0, 91.0], json.dumps([["k", "v"], ["b", "2"]])), ("d", 2, 2, 0.0, 90.0, 500.0, 600.0, 800.0, [0.0, 9.0], [5.0, 90.0], json.dumps([["", "x"], ["", ""]]))]
+    got = layout.documents(spark.createDataFrame(lines, line), spark.createDataFrame(tables, tab)).collect()
+    assert sorted((r.page_number, r.page_end, r.content_type, r.text) for r in got) == [(1, 1, "text", "Title\nTable 1 Results"), (1, 2, "table", "Table 1 Results\n| k | v |\n| --- | --- |\n| a | 1 |\n| b | 2 |"), (2, 2, "text", "after")]
 
 
 # --- arithmetic and agent ------------------------------------------------------------------------
