@@ -75,18 +75,24 @@ def walks(max_edits: float) -> tuple[np.ndarray, np.ndarray]:
 
 def walk_keys(data: np.ndarray, n: int, moves: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """The sampled coordinates of the walks from the first n bytes as one key each, from the last step back; data has a byte more a step."""
-    steps = len(kept)
+    steps, one = len(kept), np.uint32(1)
     bits = (moves.astype(np.uint32) << np.arange(steps, dtype=np.uint32)[:, None]).sum(0).astype(np.uint32)[data]
     wide, key = data.astype(np.uint32), np.full(n + steps, 7, np.uint32)
+    other, moved = np.empty_like(key), np.empty_like(key)
     for j in range(steps - 1, -1, -1):
-        stay = key[: n + j]
+        m = n + j
         # The key of the next step here or a byte on, chosen by the move's bit without a branch.
-        key = key[1 : n + j + 1] ^ stay
-        key *= bits[: n + j] >> np.uint32(j) & np.uint32(1)
-        key ^= stay
+        stay, new, bit = key[:m], other[:m], moved[:m]
+        np.right_shift(bits[:m], np.uint32(j), out=bit)
+        bit &= one
+        np.bitwise_xor(key[1 : m + 1], stay, out=new)
+        new *= bit
+        new ^= stay
         if kept[j]:
-            key *= np.uint32(0x9E3779B1)
-            key ^= wide[: n + j]
+            new *= np.uint32(0x9E3779B1)
+            new ^= wide[:m]
+        key, other = other, key
+    key = key[:n]
     key *= np.uint32(0x85EBCA6B)
     return key ^ key >> np.uint32(15)
 
@@ -156,9 +162,9 @@ class Items:
             for i, byte in enumerate(part):
                 self.masks[row, byte] |= U64(1 << i)
 
-    def voted(self, data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """(item << 40 | bin of offsets, votes) of the walks from data[lo:hi]; data is padded."""
-        bins, steps = [], self.kept.shape[1]
+    def voted(self, data: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """item << 40 | offset + self.before of each vote of the walks from data[lo:hi], sorted; data is padded."""
+        out, steps = [np.zeros(0, np.int64)], self.kept.shape[1]
         for i in range(lo, hi, _WALKS):
             n = min(_WALKS, hi - i)
             for r in range(REPETITIONS):
@@ -172,35 +178,50 @@ class Items:
                 place = np.repeat(hit, count)
                 same = self.keys[at] == key[place]
                 at, place = at[same], place[same]
-                item = self.owners[at]
                 # Offsets may lie before the data; they are counted from there.
-                bins.append(item << 40 | (place + (i + self.before) - self.shifts[at]) // (self.most[item] + 1))
-        return np.unique(np.concatenate([*bins, np.zeros(0, np.int64)]), return_counts=True)
+                out.append(self.owners[at] << 40 | place + (i + self.before) - self.shifts[at])
+        return np.sort(np.concatenate(out))
+
+    def binned(self, votes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item << 40 | bin, votes, least and greatest offset) of sorted votes; a bin is as wide as edits can shift an item."""
+        item, offset = votes >> 40, votes & ((1 << 40) - 1)
+        bins = item << 40 | offset // (self.most[item] + 1)
+        first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]]) if len(bins) else np.zeros(0, np.int64)
+        last = np.r_[first[1:], len(bins)] - 1 if len(bins) else first
+        return bins[first], last - first + 1, offset[first], offset[last]
 
     def candidates(self, data: np.ndarray, size: int) -> list[tuple[int, int, int]]:
         """(item, first and last place where its start may lie) of the windows with enough votes; data is size bytes and padding."""
         if not len(self.keys):
             return []
-        parts = [self.voted(data, i, min(size, i + _WINDOWS)) for i in range(0, size, _WINDOWS)]
-        bins, votes = parts[0] if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        parts = [self.binned(self.voted(data, i, min(size, i + _WINDOWS))) for i in range(0, size, _WINDOWS)]
+        bins, votes, least, most = parts[0] if parts else (np.zeros(0, np.int64),) * 4
         if len(parts) > 1:
             bins, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             votes = np.bincount(at, np.concatenate([p[1] for p in parts]), len(bins)).astype(np.int64)
+            least, most = np.full(len(bins), 1 << 40), np.zeros(len(bins), np.int64)
+            np.minimum.at(least, at, np.concatenate([p[2] for p in parts]))
+            np.maximum.at(most, at, np.concatenate([p[3] for p in parts]))
         if not len(bins):
             return []
-        both = votes.copy()  # of a bin and the next one: any two places that edits can shift apart lie in such a pair
-        both[:-1] += np.where(bins[1:] == bins[:-1] + 1, votes[1:], 0)
-        good = bins[both >= self.votes[bins >> 40]]
-        if not len(good):
+        # Votes of a bin and the next one: any two places that edits can shift apart lie in such a pair.
+        pair = np.r_[bins[1:] == bins[:-1] + 1, False]
+        both, top = votes.copy(), most.copy()
+        both[:-1] += np.where(pair[:-1], votes[1:], 0)
+        top[:-1] = np.where(pair[:-1], most[1:], most[:-1])
+        chosen = np.flatnonzero(both >= self.votes[bins >> 40])
+        if not len(chosen):
             return []
+        good, least, top = bins[chosen], least[chosen], top[chosen]
         # Neighbouring bins are looked at together, up to four of them.
         run = np.cumsum(np.r_[True, np.diff(good) != 1])
         nth = np.arange(len(good)) - np.flatnonzero(np.r_[True, np.diff(run) != 0])[run - 1]
         head = np.flatnonzero(nth % 4 == 0)
         tail = np.r_[head[1:], len(good)] - 1
-        item, low = good[head] >> 40, (1 << 40) - 1
-        wide = self.most[item] + 1
-        first, last = (good[head] & low) * wide - self.before, ((good[tail] & low) + 2) * wide - self.before
+        # A true vote's offset is off the item's start, and off any of its places, by no more than its edits.
+        item = good[head] >> 40
+        wide = self.most[item]
+        first, last = least[head] - self.before, top[tail] - self.before
         # The pieces of an item have no fewer edits together than the item.
         alive, spent = np.arange(len(item)), np.zeros(len(item), np.int64)
         data = np.concatenate([data[:size], np.zeros(int((last - first + 2 * wide).max()) + 64, np.uint8)])
@@ -221,22 +242,41 @@ class Items:
         out, one = np.empty(len(row), np.int64), U64(1)
         order = np.argsort(sizes, kind="stable")
         for some in (order[i : i + lanes] for i in range(0, len(order), lanes)):
-            masks, base, at = self.masks.reshape(-1), row[some] * 256, np.minimum(starts[some], len(data) - int(sizes[some[-1]]))
+            masks, base = self.masks.reshape(-1), row[some] * 256
+            at = np.minimum(starts[some], len(data) - int(sizes[some[-1]]))
             width = self.width[row[some]]
             top = (width - 1).astype(U64)
             pv, mv = np.full(len(some), (1 << 64) - 1, U64), np.zeros(len(some), U64)
             score = width.copy()
             best = score.copy()
-            for j in range(int(sizes[some[-1]])):
-                eq = masks[base + data[at + j]]
-                xh = (((eq & pv) + pv) ^ pv) | eq
-                ph, mh = mv | ~(xh | pv), pv & xh
-                score += (ph >> top & one).view(np.int64)
-                score -= (mh >> top & one).view(np.int64)
-                xv = eq | mv
+            eq, xh, ph, mh, bit = (np.empty(len(some), U64) for _ in range(5))
+            place, byte = np.empty(len(some), np.int64), np.empty(len(some), np.uint8)
+            for _ in range(int(sizes[some[-1]])):
+                np.take(data, at, out=byte, mode="clip")  # without a check, which would copy
+                np.add(base, byte, out=place)
+                np.take(masks, place, out=eq, mode="clip")
+                at += 1
+                np.bitwise_and(eq, pv, out=xh)  # xh = ((eq & pv) + pv ^ pv) | eq
+                xh += pv
+                xh ^= pv
+                xh |= eq
+                np.bitwise_or(xh, pv, out=ph)  # ph = mv | ~(xh | pv)
+                np.invert(ph, out=ph)
+                ph |= mv
+                np.bitwise_and(pv, xh, out=mh)
+                np.right_shift(ph, top, out=bit)
+                bit &= one
+                score += bit.view(np.int64)
+                np.right_shift(mh, top, out=bit)
+                bit &= one
+                score -= bit.view(np.int64)
+                eq |= mv  # now xv
                 ph <<= one
                 mh <<= one
-                pv, mv = mh | ~(xv | ph), ph & xv
+                np.bitwise_or(eq, ph, out=pv)  # pv = mh | ~(xv | ph)
+                np.invert(pv, out=pv)
+                pv |= mh
+                np.bitwise_and(ph, eq, out=mv)
                 np.minimum(best, score, out=best)
             out[some] = best
         return out
