@@ -150,12 +150,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on docs' text and lang; docs holds only rows that may be learned from."""
     known = docs.where("lang is not null and doc_id is not null").withColumn("lang", F.col("lang").cast("string"))
     ids = known.select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"))
-    # Rows of one id share a rank. The first ranks of each part of a language hold those of the language,
-    # so no task sees more than a few times the sample of a language, however many rows it has.
-    rank = lambda *by: F.dense_rank().over(W.partitionBy("lang", *by).orderBy("h", "doc_id"))
-    ids = ids.withColumn("part", F.pmod("doc_id", F.lit(64)))
-    ids = ids.withColumn("at", rank("part")).where(F.col("at") <= sample).select("lang", "doc_id", "h").distinct()
-    ids = ids.withColumn("at", rank()).where(F.col("at") <= sample)
+    # Of a language with n ids, the sample lies among those whose hash is in the first 4 * sample / n of all hashes:
+    # some 4 * sample of them, fewer than the sample with no chance worth naming. Only these are ranked.
+    sizes = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.05).alias("n"))
+    near = F.col("h") / 2.0**64 + 0.5 < 4.0 * sample / F.col("n")
+    ids = ids.join(F.broadcast(sizes), "lang").where(near).select("lang", "doc_id", "h").distinct()
+    ids = ids.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("at") <= sample)
     ids = sorted(tuple(r) for r in ids.select("lang", "at", "doc_id").distinct().collect())
     if not ids:
         return Model()
