@@ -141,7 +141,8 @@ def _pairs_at_threshold(pairs: DataFrame, texts: DataFrame, width: int, percent:
 
 def _estimate(a: str, b: str):
     """Share of the union's smallest values that both sketches hold."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, F.greatest(F.lit(1), F.least(F.greatest(F.size(a), F.size(b)), F.lit(SKETCH))))
+    width = F.greatest(F.lit(1), F.least(F.greatest(F.size(a), F.size(b)), F.lit(SKETCH)))
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, width)
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
@@ -164,11 +165,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     least = F.when(size >= SKETCH, need(percent)).otherwise(F.greatest(F.lit(1), F.floor(size / 2)))
     values = reps.select("doc_id", "n", (size - least + 1).alias("room"), size.alias("size"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    listed = values.join(shared, "v").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("room").alias("room"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    own = [F.first(c).alias(c) for c in ("n", "room", "size")]
+    listed = values.join(shared, "v").groupBy("doc_id").agg(*own, F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     room = F.col("room") - (F.col("size") - F.size("vs"))
     # How typical a text is of the lists it is in: the best pivots are those whose values most others share.
     typical = F.aggregate("vs", F.lit(0.0), lambda t, x: t + F.log(x["df"]))
-    picked = listed.where(room > 0).select("doc_id", "n", typical.alias("typical"), F.transform(F.slice("vs", 1, room), lambda x: x["v"]).alias("vs"))
+    rarest = F.transform(F.slice("vs", 1, room), lambda x: x["v"])
+    picked = listed.where(room > 0).select("doc_id", "n", typical.alias("typical"), rarest.alias("vs"))
     few = scratch.write(picked.join(reps.select("doc_id", "tag", "sketch"), "doc_id"), "few")
     lists = few.select("doc_id", "n", "typical", F.explode("vs").alias("v"))
     packed = packed_texts(_tagged(docs), ["doc_id", "tag"])
@@ -179,7 +182,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
         """Pairs whose sizes allow the threshold and whose sketches put it within five deviations."""
         side = lambda x: few.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         p = pairs.join(side("b"), "b").join(side("a"), "a")
-        return p.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_estimate("sa", "sb") >= percent / 100 - 0.33)).select("a", "b")
+        sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        return p.where(sizes & (_estimate("sa", "sb") >= percent / 100 - 0.33)).select("a", "b")
 
     pivots = lists.groupBy("v").agg(F.max(F.struct("typical", (-F.col("doc_id")).alias("id"))).alias("top")).select("v", (-F.col("top.id")).alias("a"))
     stars = lists.join(pivots, "v").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
@@ -187,28 +191,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     roots = scratch.write(components(links, scratch, "cc1"), "roots-1")
 
     # Lists whose members are still apart: those outside the largest component meet every member.
-    rooted = lists.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    parts = rooted.groupBy("v", "root").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("long")).where("k > 1").select("v", F.col("top.root").alias("top"), "long")
+    rooted = lists.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "doc_id"))
+    parts = rooted.groupBy("v", "root").agg(F.count("*").alias("m")).groupBy("v")
+    parts = parts.agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("long"))
+    parts = parts.where("k > 1").select("v", F.col("top.root").alias("top"), "long")
     apart = scratch.write(rooted.join(scratch.write(parts, "parts"), "v"), "apart")
     # In long lists, what a text shares with any other there bounds its similarity with each.
     crowd = apart.where(F.col("long") > CROWD).select("doc_id").distinct()
-    held = scratch.write(texts.join(crowd, "doc_id", "left_semi").mapInArrow(partial(_shingles, width=width), "doc_id long, h long"), "held")
+    held = texts.join(crowd, "doc_id", "left_semi").mapInArrow(partial(_shingles, width=width), "doc_id long, h long")
+    held = scratch.write(held, "held")
     twice = held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
     slot = F.pmod("h", F.lit(SLOTS))
-    common = held.join(twice, "h").groupBy("doc_id").agg(F.count("*").alias("common"), F.array(*(F.count_if(slot == k).cast("int") for k in range(SLOTS))).alias("slots"))
-    known = few.select("doc_id", "sketch", "vs").join(common, "doc_id", "left")
-    apart = apart.join(known, "doc_id").withColumn("c", F.when(F.col("long") > CROWD, F.coalesce("common", F.lit(0))).otherwise(F.col("n"))).withColumn("slots", F.when(F.col("long") > CROWD, F.col("slots")))
-    apart = scratch.write(apart.where(100 * F.col("c") >= percent * F.col("n")).select("v", "doc_id", "root", "top", "n", "c", "slots", "vs", "sketch"), "bounded")
-    x = apart.where("root <> top").select("v", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("slots").alias("lx"), F.col("vs").alias("vx"), F.col("sketch").alias("sx"))
-    y = apart.select("v", F.col("doc_id").alias("y"), F.col("root").alias("ry"), (F.col("root") != F.col("top")).alias("too"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("slots").alias("ly"), F.col("vs").alias("vy"), F.col("sketch").alias("sy"))
+    slots = F.array(*(F.count_if(slot == k).cast("int") for k in range(SLOTS))).alias("slots")
+    common = held.join(twice, "h").groupBy("doc_id").agg(F.count("*").alias("common"), slots)
+    crowded = F.col("long") > CROWD
+    apart = apart.join(few.select("doc_id", "sketch", "vs").join(common, "doc_id", "left"), "doc_id")
+    apart = apart.withColumn("c", F.when(crowded, F.coalesce("common", F.lit(0))).otherwise(F.col("n")))
+    apart = apart.withColumn("slots", F.when(crowded, F.col("slots"))).where(100 * F.col("c") >= percent * F.col("n"))
+    apart = scratch.write(apart.select("v", "doc_id", "root", "top", "n", "c", "slots", "vs", "sketch"), "bounded")
+    short = {"doc_id": "", "root": "r", "n": "n", "c": "c", "slots": "l", "vs": "v", "sketch": "s"}
+    named = lambda side: [F.col(c).alias(f"{k}{side}") for c, k in short.items()]
+    x = apart.where("root <> top").select("v", *named("x"))
+    y = apart.select("v", (F.col("root") != F.col("top")).alias("too"), *named("y"))
     most = F.least("cx", "cy", "nx", "ny")
-    close = (F.col("rx") != F.col("ry")) & (~F.col("too") | (F.col("x") < F.col("y"))) & (100 * most >= percent * (F.col("nx") + F.col("ny") - most))
+    close = (F.col("rx") != F.col("ry")) & (~F.col("too") | (F.col("x") < F.col("y")))
+    close = close & (100 * most >= percent * (F.col("nx") + F.col("ny") - most))
     # No pair shares more than the lesser count of shared shingles in each slot of the hashes.
-    slots = F.aggregate(F.zip_with("lx", "ly", lambda p, q: F.least(p, q)), F.lit(0), lambda t, m: t + m)
-    close = close & F.when(F.col("lx").isNotNull() & F.col("ly").isNotNull(), 100 * slots >= percent * (F.col("nx") + F.col("ny") - slots)).otherwise(True)
+    shared = F.aggregate(F.zip_with("lx", "ly", lambda p, q: F.least(p, q)), F.lit(0), lambda t, m: t + m)
+    enough = 100 * shared >= percent * (F.col("nx") + F.col("ny") - shared)
+    close = close & F.when(F.col("lx").isNotNull() & F.col("ly").isNotNull(), enough).otherwise(True)
     # A pair is made in the first list that both are in, and in no other.
     close = close & (F.array_intersect("vx", "vy")[0] == x["v"]) & (_estimate("sx", "sy") >= percent / 100 - 0.33)
-    rest = x.join(y, (x["v"] == y["v"]) & close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = x.join(y, (x["v"] == y["v"]) & close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    rest = rest.distinct()
     more = scratch.write(_pairs_at_threshold(rest, texts, width, percent), "links-2")
     roots = components(links.union(more), scratch, "cc2")
 
@@ -218,6 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     component, own = F.coalesce("root", "doc_id"), F.coalesce("class_id", "doc_id")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), own.alias("class_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    nameless = sk.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    alone = {"doc_id": F.col("doc_id"), "n_shingles": F.col("n"), "component_id": F.col("doc_id"), "class_id": F.col("doc_id"), "kept": F.lit(True)}
+    nameless = sk.where("doc_id is null").select(*(c.alias(k) for k, c in alone.items()))
     scratch.drop("few", "texts", "apart", "bounded", "held", "parts", "reps", "links-1", "links-2", "roots-1")
     return out.union(nameless.select(out.columns))

@@ -63,7 +63,9 @@ def _pieces(batches, path: str, size: int, end: int):
             starts = cut_points(len(ids), size)
             rows += [(k, p, s, e - s, zlib.crc32(ids[s:e].tobytes())) for p, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)]))]
         columns = list(zip(*rows)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids, piece = b.column("doc_id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int32())
+        numbers = [pa.array(c, pa.int64()) for c in columns[2:]]
+        yield pa.RecordBatch.from_arrays([ids, piece, *numbers], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def best_fit(lengths: list[int], size: int, open_bins: int = OPEN) -> tuple[list[int], list[int]]:
@@ -98,7 +100,8 @@ def _packed(table: pa.Table, size: int) -> pa.Table:
     table = table.sort_by("at")  # the order of arrival, also where a lost task runs again
     bins, places = best_fit(table["length"].to_pylist(), size)
     group = table["part"][0].as_py()
-    return table.drop_columns(["part", "at"]).append_column("sequence_id", pa.array([(group << 32) + b for b in bins], pa.int64())).append_column("offset", pa.array(places, pa.int64()))
+    sequences = pa.array([(group << 32) + b for b in bins], pa.int64())
+    return table.drop_columns(["part", "at"]).append_column("sequence_id", sequences).append_column("offset", pa.array(places, pa.int64()))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> DataFrame:

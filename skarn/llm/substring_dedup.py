@@ -168,7 +168,9 @@ def _strips(batches, depth: int):
                 core = o - STRIP * q
                 rows.append((g, s, q, hashed(view[core : core + depth - STRIP + 1]), hashed(view[lo : hi + depth], hi - lo)))
         columns = list(zip(*rows)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), *(pa.array(np.array(c, U64).view(np.int64)) for c in columns[3:])], ["g", "s", "q", "core", "strip"])
+        whole = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32()))]
+        hashes = [pa.array(np.array(c, U64).view(np.int64)) for c in columns[3:]]
+        yield pa.RecordBatch.from_arrays([*whole, *hashes], ["g", "s", "q", "core", "strip"])
 
 
 def _windows(batches, depth: int):

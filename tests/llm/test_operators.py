@@ -703,3 +703,17 @@ def test_components_of_large_stars(spark):
     links = [(5000, k) for k in range(1, 700)] + [(k, k + 3000) for k in range(100, 300)] + [(9000, 9001)]
     got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "stars")).collect()}
     assert got == {**{k: 1 for k in range(1, 700)}, 5000: 1, **{k + 3000: 1 for k in range(100, 300)}, 9000: 9000, 9001: 9000}
+
+
+def test_language_sample_is_the_ids_with_the_least_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(k % 900, f"text {k}", "aa" if k % 900 < 800 else "bb") for k in range(2000)] + [(5000 + k, "t", f"r{k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(language_id, "sample_texts", lambda d, kind, chosen, keys, budget: seen.update(c=chosen) or [])
+    language_id.train(docs, sample=50)
+    hashes = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("doc_id")).distinct().collect()}
+    for lang in ("aa", "bb", "r1"):
+        least = sorted({i for i, _, x in rows if x == lang}, key=lambda i: (hashes[i], i))[:50]
+        assert sorted(least) == sorted(i for i, x in seen["c"] if x == lang)
