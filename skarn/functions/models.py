@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -72,3 +74,102 @@ def encoded(text: Column, make: Callable[[], Encoder], batch: int = 32) -> Colum
             yield pd.Series([v for i in range(0, len(texts), batch) for v in encoder.encode(texts[i : i + batch])], index=s.index)
 
     return run(text)
+
+
+# --- a model behind a URL -----------------------------------------------------------------------
+
+#: Sampling options and what each may be.
+OPTIONS: dict[str, Callable[[object], bool]] = {
+    "temperature": lambda v: _finite(v) and v >= 0,
+    "top_p": lambda v: _finite(v) and 0 < v <= 1,
+    "repeat_penalty": lambda v: _finite(v) and v > 0,
+    "top_k": lambda v: type(v) is int and v > 0,
+    "num_ctx": lambda v: type(v) is int and v > 0,
+    "num_predict": lambda v: type(v) is int and v > 0,
+    "seed": lambda v: type(v) is int,
+}
+
+
+def _finite(v: object) -> bool:
+    return type(v) in (int, float) and math.isfinite(v)
+
+
+def checked_options(options: dict) -> dict:
+    if bad := [k for k, v in options.items() if k not in OPTIONS or not OPTIONS[k](v)]:
+        raise ValueError(f"sampling options that are unknown or out of range: {', '.join(sorted(bad))}")
+    return dict(options)
+
+
+def error_class(error: BaseException) -> str:
+    """What a failed call of a model means for whoever asked: not_found, refused, busy, timeout, unreachable, format, input or model."""
+    code = getattr(error, "code", None)
+    if isinstance(code, int):
+        return {404: "not_found", 400: "refused"}.get(code, "busy")
+    if isinstance(error, TimeoutError) or isinstance(getattr(error, "reason", None), TimeoutError):
+        return "timeout"
+    if isinstance(error, OSError):
+        return "unreachable"
+    if isinstance(error, json.JSONDecodeError):
+        return "format"
+    return "input" if isinstance(error, ValueError) else "model"
+
+
+class ModelError(RuntimeError):
+    """A call that failed: its kind, and the text that had come by then."""
+
+    def __init__(self, kind: str, message: str, text: str = ""):
+        super().__init__(message)
+        self.kind, self.text = kind, text
+
+
+def post_lines(url: str, payload: dict, timeout: float = 300) -> Iterator[str]:
+    """The lines of the answer to a JSON request."""
+    body = json.dumps(payload, ensure_ascii=False).encode()
+    request = urllib.request.Request(url, body, {"Content-Type": "application/json"}, method="POST")
+    with urllib.request.urlopen(request, timeout=timeout) as response:
+        for line in response:
+            yield line.decode()
+
+
+class StreamGenerator:
+    """A generator that asks a chat model over NDJSON. post gives the lines of a response and can be replaced."""
+
+    def __init__(self, url: str, model: str, options: dict | None = None, post: Callable[[str, dict], Iterator[str]] = post_lines, show: Callable[[str], None] | None = None):
+        self.url, self.model, self.options, self._post, self._show = url.rstrip("/"), model, checked_options(options or {}), post, show
+        self.usage: dict = {}
+
+    def generate(self, question: str, context: str) -> str:
+        """The whole text; show gets the text so far with each part. A stream without its end is an error that keeps what came."""
+        messages = [{"role": "system", "content": context}, {"role": "user", "content": question}]
+        payload = {"model": self.model, "stream": True, "options": self.options, "messages": messages}
+        text = ""
+        try:
+            for line in self._post(f"{self.url}/api/chat", payload):
+                if not line.strip():
+                    continue
+                row = json.loads(line)
+                if row.get("error"):
+                    raise ModelError("model", str(row["error"]), text)
+                part = (row.get("message") or {}).get("content", "")
+                if not isinstance(part, str):
+                    raise ModelError("format", "a part of the answer is no text", text)
+                text += part
+                if part and self._show:
+                    self._show(text)
+                if row.get("done") is True:
+                    self.usage = {k: row.get(k) for k in ("prompt_eval_count", "eval_count", "done_reason")}
+                    return text
+            raise ModelError("model", "the stream ended early", text)
+        except ModelError:
+            raise
+        except Exception as e:
+            raise ModelError(error_class(e), str(e) or type(e).__name__, text) from e
+
+
+def model_health(url: str, model: str, get: Callable[[str], str]) -> dict:
+    """Whether the service answers, and whether it has the model; get gives the body behind a URL."""
+    try:
+        names = [m.get("name", "") for m in json.loads(get(f"{url.rstrip('/')}/api/tags"))["models"]]
+    except Exception as e:  # noqa: BLE001 - the failure is the report
+        return {"service": False, "model": False, "error": error_class(e)}
+    return {"service": True, "model": model in names or f"{model}:latest" in names, "error": None}

@@ -65,7 +65,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id")
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select(F.col("query_id").cast("long"), "query").collect()
         if not part and out is not None:
             continue
-        matrix = np.array([r[1] for r in part], np.float64).reshape(len(part), -1)
+        matrix = np.array([r[1] for r in part], np.float64).reshape(len(part), -1 if part else 0)
         length = np.sqrt((matrix * matrix).sum(1))
         if not (length > 0).all():
             raise ValueError("a vector has no length")

@@ -92,18 +92,24 @@ def distinct_pages(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).distinct()
 
 
-@query("project_refs", "SELECT doc_id, lang, source FROM documents WHERE n_chars > 1000")
+@query("project_refs", "SELECT doc_id, source AS source_file, n_chars % 9 AS page_number FROM documents")
 def project_refs(spark, d):
-    return table(spark, d, "documents").where("n_chars > 1000").select("doc_id", "lang", "source")
+    refs = table(spark, d, "documents").withColumnRenamed("source", "source_file").withColumn("page_number", F.col("n_chars") % 9)
+    return evidence.projected(refs).select("doc_id", "source_file", "page_number")
 
 
-@query("reading_order", f"WITH {CHUNKS_SQL}, t AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index BETWEEN 2 AND 6 THEN 0 WHEN chunk_index % 7 < 3 THEN 1 ELSE 2 END AS tier FROM chunks) SELECT doc_id, chunk_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tier, chunk_index) AS INT) AS place FROM t")
+# Every document gets an abstract in its second chunk, and conclusions now and then.
+READING_SQL = f"""WITH {CHUNKS_SQL}, h AS (SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS pos, CASE WHEN chunk_index % 7 = 5 THEN 1 ELSE 0 END AS ending FROM chunks),
+f AS (SELECT *, coalesce(min(CASE WHEN chunk_index = 1 AND pos < 5 THEN pos END) OVER (PARTITION BY doc_id), 0) AS first, max(ending) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS ends FROM h),
+t AS (SELECT *, CASE WHEN pos - first BETWEEN 0 AND 4 THEN 0 WHEN ends = 1 THEN 1 WHEN pos >= first THEN 2 END AS tier FROM f)
+SELECT doc_id, chunk_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tier, pos) AS INT) AS place FROM t WHERE tier IS NOT NULL"""
+
+
+@query("reading_order", READING_SQL)
 def reading_order(spark, d):
-    """Up to five chunks from the abstract on, then each conclusion with the two behind it, then the rest; here by chunk number."""
     i = F.col("chunk_index")
-    tier = F.when(i.between(2, 6), 0).when(i % 7 < 3, 1).otherwise(2)
-    c = fixed_chunks(spark, d).select("doc_id", "chunk_index", tier.alias("tier"))
-    return c.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("tier", "chunk_index"))).drop("tier")
+    text = F.when(i == 1, "Abstract: x").when(i % 7 == 5, "5. Conclusions\nx").otherwise("x")
+    return evidence.reading_places(fixed_chunks(spark, d).select("doc_id", i, text.alias("text"))).select("doc_id", "chunk_index", "place")
 
 
 # --- sets and lists --------------------------------------------------------------------------

@@ -180,23 +180,31 @@ def chunk_line_spans(spark, d):
 LINES_SQL = "SELECT doc_id, i AS line, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS s, CAST(length(l) AS INT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"
 
 
-@query("interval_overlap", f"WITH {CHUNKS_SQL}, lines AS ({LINES_SQL}) SELECT c.doc_id, c.chunk_index, count(*) AS lines, CAST(min(line) AS INT) AS first_line FROM chunks c JOIN lines l ON c.doc_id = l.doc_id AND l.s < c.end_index AND l.s + l.n > c.start_index GROUP BY ALL")
+OVERLAP_SQL = f"""WITH {CHUNKS_SQL}, lines AS (SELECT doc_id, line, CASE WHEN line % 11 <> 10 THEN s END AS s, n FROM ({LINES_SQL})),
+met AS (SELECT c.doc_id, c.chunk_index, line FROM chunks c JOIN lines l ON c.doc_id = l.doc_id AND l.s < c.end_index AND l.s + l.n > c.start_index
+ UNION ALL SELECT l.doc_id, f.chunk_index, line FROM lines l JOIN (SELECT doc_id, min(chunk_index) AS chunk_index FROM chunks GROUP BY doc_id) f ON l.doc_id = f.doc_id WHERE s IS NULL)
+SELECT doc_id, chunk_index, count(*) AS lines, CAST(min(line) AS INT) AS first_line FROM met GROUP BY ALL"""
+
+
+@query("interval_overlap", OVERLAP_SQL)
 def interval_overlap(spark, d):
-    """Lines of a page against its chunks: an equi-join on the document bounds the range join."""
+    """Lines of a document against its chunks; every eleventh line has no place."""
     docs = table(spark, d, "documents")
     parts = F.split("text", "\n")
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.element_at(parts, k).alias("l")))
-    lines = docs.select("doc_id", F.posexplode(starts).alias("line", "x")).select("doc_id", "line", F.length("x.l").alias("n"))
+    each = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.element_at(parts, k).alias("l")))
+    lines = docs.select("doc_id", F.posexplode(each).alias("line", "x")).select("doc_id", "line", F.length("x.l").alias("n"))
     before = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    lines = lines.withColumn("s", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).cast("int"))
-    c = fixed_chunks(spark, d).select("doc_id", "chunk_index", "start_index", "end_index")
-    both = c.join(lines, (c["doc_id"] == lines["doc_id"]) & (lines["s"] < c["end_index"]) & (lines["s"] + lines["n"] > c["start_index"]))
-    return both.groupBy(c["doc_id"], "chunk_index").agg(F.count("*").alias("lines"), F.min("line").alias("first_line"))
+    place = F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).cast("int")
+    lines = lines.withColumn("s", place).withColumn("s", F.when(F.col("line") % 11 != 10, F.col("s")))
+    both = chunking.lines_of_chunks(lines, fixed_chunks(spark, d))
+    return both.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("lines"), F.min("line").alias("first_line"))
 
 
-@query("origin_pointer", f"WITH {CHUNKS_SQL} SELECT chunk_id, first_value(chunk_id) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS origin_chunk_id FROM chunks")
+@query("origin_pointer", f"WITH {CHUNKS_SQL}, o AS (SELECT chunk_id, lang, first_value(chunk_id) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS origin_chunk_id FROM chunks) SELECT chunk_id, origin_chunk_id, CASE WHEN chunk_id = origin_chunk_id THEN lang END AS image FROM o")
 def origin_pointer(spark, d):
-    return fixed_chunks(spark, d).select("chunk_id", F.first_value("chunk_id").over(W.partitionBy("doc_id").orderBy("chunk_index")).alias("origin_chunk_id"))
+    """What belongs to a whole piece, such as its images, stays with its first chunk that is not blank."""
+    c = fixed_chunks(spark, d).select("doc_id", "chunk_index", "chunk_id", F.col("lang").alias("image"))
+    return chunking.with_origin(c, ["image"]).select("chunk_id", "origin_chunk_id", "image")
 
 
 @query("token_windows", "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents), w AS (SELECT doc_id, tokens, unnest(range(0, len(tokens), 192)) AS k FROM t) SELECT doc_id, CAST(k / 192 AS INT) AS w, array_to_string(tokens[k + 1 : k + 256], ' ') AS passage FROM w")
@@ -218,11 +226,12 @@ def table_windows(spark, d):
     return table(spark, d, "documents").select("doc_id", "text").mapInPandas(pack, "doc_id long, w int, passage string")
 
 
-@query("head_lines_budget", "WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), r AS (SELECT doc_id, CAST(i AS INT) AS line, length(l) AS n, sum(length(l)) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM lines) SELECT doc_id, line, n FROM r WHERE total <= 600")
+@query("head_lines_budget", "WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), r AS (SELECT doc_id, CAST(i AS INT) AS line, i // 4 + 1 AS page, length(l) AS n, sum(length(l)) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM lines) SELECT doc_id, line, n FROM r WHERE page <= 3 AND total <= 1500")
 def head_lines_budget(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")).withColumn("n", F.length("l").cast("long"))
-    total = F.sum("n").over(W.partitionBy("doc_id").orderBy("line"))
-    return lines.withColumn("total", total).where("total <= 600").select("doc_id", "line", "n")
+    """Whole lines of the first three pages, four lines a page, that fit the budget."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    lines = lines.withColumn("page", F.floor(F.col("line") / 4) + 1)
+    return chunking.head_lines(lines, 1500).select("doc_id", "line", F.length("text").cast("long").alias("n"))
 
 
 @query("sentence_bigrams", """WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?](?:\\s+|\\z))', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM documents),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as tx
 from skarn.functions.calculator import calculate
-from skarn.operators import agent, chunking, evidence, index, layout, memory, telemetry
+from skarn.operators import agent, chunking, evidence, index, layout, memory, retrieve, telemetry
 from skarn.sources import files
 
 TEXTS = st.text(alphabet="ab .。！\n\r\t", max_size=200)
@@ -214,9 +214,9 @@ def test_tables(spark):
     got = layout.table_cells(spark.createDataFrame(words, "page int, x0 double, x1 double, y double, word string")).collect()
     assert sorted((r.row, r.col, r.text) for r in got) == [(0, 0, "a"), (0, 1, "b"), (1, 0, "c"), (1, 1, "d")]
     box = "page long, {} long, x0 double, x1 double, top double, bottom double"
-    # The first caption may have either table, the second the lower one only; below a table counts too, and far aside does not.
+    # The first caption can have the upper table only; the second, nearer to it, then takes the lower one. Far aside does not count.
     caps = spark.createDataFrame([(1, 1, 0.0, 50.0, 0.0, 10.0), (1, 2, 0.0, 50.0, 62.0, 70.0), (1, 3, 300.0, 350.0, 62.0, 70.0)], box.format("caption_id"))
-    tabs = spark.createDataFrame([(1, 1, 0.0, 60.0, 30.0, 60.0), (1, 2, 0.0, 60.0, 75.0, 99.0)], box.format("table_id"))
+    tabs = spark.createDataFrame([(1, 1, 0.0, 60.0, 30.0, 60.0), (1, 2, 0.0, 60.0, 95.0, 120.0)], box.format("table_id"))
     assert sorted((r.table_id, r.caption_id) for r in layout.assign_captions(caps, tabs).collect()) == [(1, 1), (2, 2)]
     assert layout.greedy_pairs([{"caption_id": 1, "gap": 1.0, "table_id": 1}, {"caption_id": 2, "gap": 2.0, "table_id": 1}, {"caption_id": 2, "gap": 5.0, "table_id": 2}]) == [{"table_id": 1, "caption_id": 1}, {"table_id": 2, "caption_id": 2}]
     assert layout.markdown([["h", "a|b"], ["x\ny", "1\n2"], ["u\nv", "w"]]) == "| h | a\\|b |\n| --- | --- |\n| x | 1 |\n| y | 2 |\n| u<br>v | w |"
@@ -344,6 +344,33 @@ def test_agent_records_show_the_trace_at_the_end_only():
     assert telemetry.agent_record("r", "u", "s", "q", "done", metrics, stop_reason="task_complete")["metrics"] == metrics
 
 
+def test_vector_search_guards_and_ties(spark, monkeypatch):
+    rows = [(k, [1.0, float(k % 3)]) for k in range(9)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(10 + k, [1.0, float(k)]) for k in range(3)], "query_id long, query array<float>")
+    best = {(r.query_id, r.vec_id) for r in retrieve.top(retrieve.nearest(v, q, 2), 2, "query_id", F.desc("score"), F.col("vec_id")).collect()}
+    assert best == {(10, 0), (10, 3), (11, 1), (11, 4), (12, 2), (12, 5)}
+    monkeypatch.setattr(retrieve, "QUESTIONS", 1)
+    assert retrieve.nearest(v, q, 9).count() == 27 and retrieve.nearest(v, q.limit(0), 2).count() == 0
+    for bad in ([0.0, 0.0], [1.0], None, [None, 1.0]):
+        with pytest.raises(Exception):
+            retrieve.nearest(spark.createDataFrame([(1, bad)], v.schema), q, 1).collect()
+
+
+def test_late_events_are_left_out(spark, tmp_path):
+    from skarn.streaming import jobs
+
+    at = lambda h, m: f"2024-01-01 {h:02}:{m:02}:00"
+    batches = [[(at(1, 10), "a"), (at(5, 0), "a")], [(at(4, 50), "a"), (at(9, 0), "a")], [(at(1, 20), "a"), (at(12, 0), "a")], [(at(12, 1), "a")]]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema("ts timestamp_ntz, event_type string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = jobs.run(jobs.windows(jobs.event_time(stream, "1 hour"), "1 hour"), "append", "late")
+    # 04:50 comes while its hour is open; 01:20 comes when the watermark has passed its own.
+    assert {(r.start // 3600000000 % 24, r.n) for r in out.collect()} == {(1, 1), (4, 1), (5, 1), (9, 1)}
+
+
 def test_metadata_and_keywords():
     lines = ["A Title", "Someone 2021", "Abstract. First part", "second part", "1 Introduction", "doi 10.1234/abc.5, and"]
     got = agent.metadata(lines)
@@ -416,6 +443,30 @@ def test_model_stream():
     assert files.html_text("<head><title>x</title></head><p>a &amp; b<script>1</script>") == "a & b"
 
 
+def test_streamed_answers_and_their_errors():
+    from urllib.error import HTTPError, URLError
+
+    from skarn.functions.models import ModelError, StreamGenerator, checked_options, error_class, model_health
+
+    part = lambda t, **k: json.dumps({"message": {"content": t}, **k})
+    sent, shown = [], []
+    post = lambda lines: lambda url, payload: sent.append((url, payload)) or iter(lines)
+    good = StreamGenerator("http://h/", "m", {"top_k": 3}, post([part("a"), "", part("b", done=True, eval_count=2)]), shown.append)
+    assert good.generate("q", "c") == "ab" and shown == ["a", "ab"] and good.usage["eval_count"] == 2
+    assert sent[0][0] == "http://h/api/chat" and sent[0][1]["options"] == {"top_k": 3}
+    for lines, kind in (([part("a")], "model"), ([part("a"), "{"], "format"), ([part("a"), '{"error": "x"}'], "model"), ([part("a"), part(5)], "format")):
+        with pytest.raises(ModelError) as e:
+            StreamGenerator("http://h", "m", post=post(lines)).generate("q", "c")
+        assert (e.value.kind, e.value.text) == (kind, "a")
+    kinds = {"not_found": HTTPError("u", 404, "", {}, None), "refused": HTTPError("u", 400, "", {}, None), "busy": HTTPError("u", 503, "", {}, None), "timeout": URLError(TimeoutError()), "unreachable": URLError("x"), "input": ValueError()}
+    assert {k: error_class(v) for k, v in kinds.items()} == {k: k for k in kinds}
+    for bad in ({"temperature": -1}, {"top_p": 0}, {"top_k": 2.0}, {"other": 1}, {"temperature": float("nan")}):
+        with pytest.raises(ValueError):
+            checked_options(bad)
+    assert model_health("u", "m", lambda url: '{"models": [{"name": "m:latest"}]}') == {"service": True, "model": True, "error": None}
+    assert model_health("u", "m", lambda url: "{")["service"] is False
+
+
 def test_compaction_of_six_turns(spark):
     messages = spark.createDataFrame([(1, t, ("user", "assistant")[t % 2], f"m{t}") for t in range(12)], "conv_id int, turn int, role string, text string")
     pairs = memory.turn_pairs(messages)
