@@ -171,10 +171,8 @@ def chunk_semantic(spark, d):
 
 @query("chunk_line_spans", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, CAST(1 + length(substring(whole, 1, start_index)) - length(replace(substring(whole, 1, start_index), chr(10), '')) AS INT) AS line_start, CAST(1 + length(substring(whole, 1, end_index - 1)) - length(replace(substring(whole, 1, end_index - 1), chr(10), '')) AS INT) AS line_end FROM chunks")
 def chunk_line_spans(spark, d):
-    docs = table(spark, d, "documents").withColumn("whole", F.col("text"))
-    c = chunking.chunks(docs, "fixed", SIZE, OVERLAP)
-    line = lambda at: chunking.line_of(F.col("whole"), at, F.lit(1)).cast("int")
-    return c.select("doc_id", "chunk_index", line(F.col("start_index")).alias("line_start"), line(F.col("end_index") - 1).alias("line_end"))
+    docs = table(spark, d, "documents").withColumn("line_start", F.lit(1))
+    return chunking.chunks(docs, "fixed", SIZE, OVERLAP).select("doc_id", "chunk_index", "line_start", "line_end")
 
 
 LINES_SQL = "SELECT doc_id, i AS line, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS s, CAST(length(l) AS INT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"
@@ -190,9 +188,7 @@ SELECT doc_id, chunk_index, count(*) AS lines, CAST(min(line) AS INT) AS first_l
 def interval_overlap(spark, d):
     """Lines of a document against its chunks; every eleventh line has no place."""
     docs = table(spark, d, "documents")
-    parts = F.split("text", "\n")
-    each = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.element_at(parts, k).alias("l")))
-    lines = docs.select("doc_id", F.posexplode(each).alias("line", "x")).select("doc_id", "line", F.length("x.l").alias("n"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")).select("doc_id", "line", F.length("l").alias("n"))
     before = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
     place = F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).cast("int")
     lines = lines.withColumn("s", place).withColumn("s", F.when(F.col("line") % 11 != 10, F.col("s")))

@@ -63,6 +63,22 @@ def test_chunks_of_tables_and_blanks(spark):
     assert len({r.chunk_id for r in got}) == 3
 
 
+@pytest.mark.parametrize("strategy", ["fixed", "recursive", "semantic"])
+def test_chunks_are_cut_where_they_say(spark, strategy):
+    texts = ["é🙂 one. two\r\nthree\n" * 9, "x" * 23, "ab " * 30 + "\u2028end", "y"]
+    docs = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "doc_id int, text string, line_start int")
+    for size, overlap in ((10, 0), (10, 9), (10, 3), (64, 40), (500, 2)):
+        for r in chunking.chunks(docs, strategy, size, overlap).collect():
+            t = texts[r.doc_id]
+            ends = [m.end() for m in __import__("re").finditer(chunking.LINE_END, t)]
+            assert r.text == t[r.start_index : r.end_index] and len(r.text) <= size
+            assert (r.line_start, r.line_end) == tuple(5 + sum(e <= at for e in ends) for at in (r.start_index, r.end_index - 1))
+        if strategy == "fixed":
+            starts = {(r.doc_id, r.chunk_index): r.start_index for r in chunking.chunks(docs, strategy, size, overlap).collect()}
+            expected = {(d, k): k * (size - overlap) for d, t in enumerate(texts) for k in range(max(0, -(-(len(t) - size) // (size - overlap))) + 1) if t[k * (size - overlap) :][:size].strip()}
+            assert starts == expected
+
+
 @pytest.mark.parametrize("size, overlap", [(0, 0), (5, 5), (5, -1), (True, 0), (5.0, 0)])
 def test_bad_sizes(size, overlap):
     with pytest.raises(ValueError):
