@@ -24,8 +24,8 @@ The items are a stated query set: they go to every task in blocks of at most ITE
 so a larger benchmark costs more passes and not more memory. No document is shuffled.
 
 Defined results: null or empty texts and items match nothing; an item of so few bytes that max_edits of
-them is less than one edit matches as an exact copy only; a null id is carried; repeated rows each get their
-result; extra columns stay.
+them is less than one edit matches as an exact copy only; a null id is carried; items that repeat an id with another text
+are items of their own, those that repeat the text too are one; repeated documents each get their result; extra columns stay.
 """
 
 from __future__ import annotations

@@ -717,3 +717,11 @@ def test_language_sample_is_the_ids_with_the_least_hashes(spark, monkeypatch):
     for lang in ("aa", "bb", "r1"):
         least = sorted({i for i, _, x in rows if x == lang}, key=lambda i: (hashes[i], i))[:50]
         assert sorted(least) == sorted(i for i, x in seen["c"] if x == lang)
+
+
+def test_contamination_of_repeated_item_ids(spark):
+    one, two = prose(1, 20), prose(2, 20)
+    bench = spark.createDataFrame([(1, one), (1, two), (1, one), (None, two)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, f"x {one} y {two} z")], "doc_id long, text string")
+    got = sorted(((r.item_id, r.distance, r.start) for r in decontaminate.contamination(docs, bench).collect()), key=str)
+    assert got == sorted([(1, 0, 2), (1, 0, 5 + len(one)), (None, 0, 5 + len(one))], key=str)
