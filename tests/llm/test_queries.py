@@ -127,12 +127,13 @@ def test_stage_benchmark_leaks(spark, stages):
 
 
 def test_held_out_accuracy(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null").collect()}
     got = [r for r in queries()["op6_toxicity"](spark, d).collect() if r.held_out and r.doc_id in truth]
-    toxic = [r for r in got if truth[r.doc_id] == 1]
-    assert len(got) > 50 and sum(r.predicted == truth[r.doc_id] for r in got) >= 0.97 * len(got)
-    assert toxic and sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    toxic, other = ([r.score for r in got if truth[r.doc_id] == k] for k in (1, 0))
+    # About one label in twenty of this table marks a text with nothing toxic in it, in any language.
+    above = sum((x > y) + 0.5 * (x == y) for x in toxic for y in other) / (len(toxic) * len(other))
+    assert len(got) > 900 and above >= 0.9 and sum(r.predicted == truth[r.doc_id] for r in got) >= 0.93 * len(got)
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").where("lang is not null").collect()}
     got = [r for r in queries()["op8_language_id"](spark, d).collect() if r.held_out and r.doc_id in langs]
     sure = [r for r in got if not r.ambiguous]
