@@ -91,6 +91,24 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(archive, aged(archive))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.fingerprints import edited_neighbours
+
+    return edited_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.centroids import cluster_vectors
+
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.conversation_repair import damaged, repair
+
+    return repair(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -140,6 +158,63 @@ FROM l WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, digest)
 """
 
 
+#: crc32 by a table of 256 remainders; the pass over messages as a recursion that keeps the least (cost, audit) of each state.
+OP13_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+coded AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(key) + 1), lambda i: ord(key[i]))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS code FROM keyed, tab),
+damaged AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM coded, (VALUES (1), (2)) c(copy) WHERE code <> 0 AND (copy = 1 OR code = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || ':' || text)) AS pos FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS time, left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(role, 1) AS pair FROM placed),
+marked AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN time > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM seen),
+counts AS (SELECT conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+convs AS (SELECT DISTINCT c.conv_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+  FROM conversations c LEFT JOIN counts k ON c.conv_id IS NOT DISTINCT FROM k.conv_id),
+moves(kind, state, initial, onward, given) AS (VALUES ('D', 0, '', 0, ''), ('D', 1, '', 1, ''), ('D', 2, '', 2, ''), ('D', 3, '', 3, ''), ('K', 0, 's', 1, ''), ('K', 0, 'u', 2, ''), ('K', 1, 'u', 2, ''),
+  ('K', 2, 'a', 3, ''), ('K', 3, 'u', 2, ''), ('R', 0, '', 2, 'user'), ('R', 1, '', 2, 'user'), ('R', 2, '', 3, 'assistant'), ('R', 3, '', 2, 'user')),
+inserts(state, onward, letters, added) AS (VALUES (0, 0, '', CAST([] AS VARCHAR[])), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 2, 'I', ['user:']),
+  (1, 3, 'II', ['user:', 'assistant:']), (2, 3, 'I', ['assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (3, 2, 'I', ['user:']), (3, 3, 'II', ['user:', 'assistant:'])),
+pass(conv_id, pos, state, cost, audit, lines) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[]) FROM convs
+  UNION ALL
+  SELECT conv_id, pos, onward, cost, audit, lines FROM (
+    SELECT p.conv_id, r.pos, m.onward, p.cost + 5 * length(i.letters) + CASE m.kind WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN m.kind <> 'D' AND r.fault = 3 THEN 5 ELSE 0 END AS cost,
+      p.audit || i.letters || m.kind AS audit,
+      CASE m.kind WHEN 'D' THEN list_concat(p.lines, i.added) WHEN 'R' THEN list_concat(p.lines, i.added, [m.given || ':' || r.text]) ELSE list_concat(p.lines, i.added, [r.role || ':' || r.text]) END AS lines
+    FROM pass p JOIN marked r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND r.pos = p.pos + 1 JOIN inserts i ON i.state = p.state
+    JOIN moves m ON m.state = i.onward AND (m.kind = 'D' OR r.fault NOT IN (1, 2)) AND (m.kind <> 'K' OR m.initial = left(r.role, 1)))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, onward ORDER BY cost, audit) = 1),
+last AS (SELECT c.*, p.cost + 5 * length(i.letters) AS cost, p.audit || i.letters AS audit, list_concat(p.lines, i.added) AS lines
+  FROM convs c JOIN pass p ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.pos JOIN inserts i ON i.state = p.state AND i.onward IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY p.cost + 5 * length(i.letters), p.audit || i.letters) = 1)
+SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256 FROM last
+"""
+
+
+def clustering_sql(k: int = 8, width: int = 64, rounds: int = 10) -> str:
+    """Each round as a table of centroids, by plain distances of whole numbers."""
+    distance = f"list_sum(list_transform(range(1, {width + 1}), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))"
+    near = lambda r: f"SELECT v.n, v.vec_id, v.q, arg_min(c.cluster, ({distance}, c.cluster)) AS cluster, min({distance}) AS distance FROM v, c{r} c GROUP BY v.n, v.vec_id, v.q"
+    steps = [
+        f"""a{r} AS MATERIALIZED ({near(r)}),
+m{r} AS (SELECT cluster, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM (SELECT cluster, unnest(range(1, {width + 1})) AS i, unnest(q) AS x FROM a{r}) GROUP BY cluster, i),
+c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(any_value(g.q), any_value(c.q)) AS q FROM c{r} c LEFT JOIN (SELECT cluster, list(CAST(x AS BIGINT) ORDER BY i) AS q FROM m{r} GROUP BY cluster) g ON c.cluster = g.cluster GROUP BY c.cluster)"""
+        for r in range(rounds)
+    ]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor({1024} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS INT) AS cluster, q FROM v QUALIFY cluster < {k}),
+{",\n".join(steps)},
+f AS MATERIALIZED ({near(rounds)})
+SELECT vec_id, f.cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY f.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM f JOIN c{rounds} c ON f.cluster = c.cluster
+"""
+
+
 def license_sql() -> str:
     """The vote in SQL; the templates' runs and the phrases are written out as values."""
     from skarn.llm.license_scan import K, MIN_COVER, PHRASES, SLACK, TEMPLATES, template_words
@@ -166,4 +241,4 @@ FROM d LEFT JOIN base b ON d.doc_id = b.doc_id LEFT JOIN found f ON d.doc_id = f
 
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; the others are tested against brute force, round trips or held-out rows."""
-    return {"op4_license_scan": license_sql(), "op2_suffix_array_dedup": OP2_SQL, "op5_max_score": OP5_SQL, "op7_minhash_near_dedup": OP7_SQL, "op10_warc_fixity": OP10_SQL}
+    return {"op4_license_scan": license_sql(), "op2_suffix_array_dedup": OP2_SQL, "op5_max_score": OP5_SQL, "op7_minhash_near_dedup": OP7_SQL, "op10_warc_fixity": OP10_SQL, "op12_centroid_clustering": clustering_sql(), "op13_conversation_repair": OP13_SQL}
