@@ -26,6 +26,9 @@ COLUMNS = {
     "op8": ["doc_id", "held_out", "lang_pred", "score"],
     "op9": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op10": ["file", "seq", "page_id", "start", "length", "digest", "status"],
+    "op11": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op12": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+    "op13": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
 }
 
 
@@ -44,7 +47,7 @@ def test_query(spark, name):
     assert len(ours) > 0
     if name in oracle_sql():
         con = duckdb.connect()
-        for t in ("documents", "embeddings", "pages"):
+        for t in ("documents", "embeddings", "pages", "conversations"):
             con.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
         theirs = con.sql(oracle_sql()[name]).df()
         key = sorted(out.columns)
