@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skarn.config import Settings
 from skarn.functions.models import Encoder, HashEncoder, encoded
 from skarn.functions.text import expanded, is_placeholder, stripped_request, tokens
-from skarn.operators import evidence, index, lexical, retrieve
+from skarn.operators import evidence, index, ivf, lexical, retrieve
 from skarn.operators.chunking import chunks
 from skarn.sources import files
 from skarn.tables import Table
@@ -35,6 +35,7 @@ class Library:
         self.chunks = Table(spark, f"{root}/chunks", CHUNK, {"model": encoder.name, "revision": encoder.revision, "width": encoder.width, "space": "cosine"})
         self.manifest = Table(spark, f"{root}/manifest", MANIFEST)
         self.originals = Table(spark, f"{root}/originals", ORIGINAL)
+        self.vectors = Table(spark, f"{root}/vectors", "root string")
 
     # --- import --------------------------------------------------------------------------------
 
@@ -60,7 +61,10 @@ class Library:
         good = tasks.join(loaded.where("status = 'success'").select("task_id"), "task_id", "left_semi")
         kept = good.select("doc_id", F.col("name").alias("source_file"), "content")
         self.originals.append(kept.join(self.originals.read().select("doc_id", "source_file"), ["doc_id", "source_file"], "left_anti"))
+        if vectors := self.vector_index():
+            vectors.add(new := new.persist())  # encoded once, for the store and the index
         self.chunks.append(new)
+        new.unpersist()
         return self.audit().join(tasks.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def audit(self) -> DataFrame:
@@ -73,6 +77,8 @@ class Library:
     def delete(self, doc_id: str) -> int:
         """Removes a document's chunks, then its stored original and manifest row; the number of chunks that went."""
         removed = self.list_chunks(doc_id).count()
+        if vectors := self.vector_index():
+            vectors.delete(self.list_chunks(doc_id))
         self.chunks.rewrite(self.chunks.read().where(F.col("doc_id") != doc_id))
         self.originals.rewrite(self.originals.read().where(F.col("doc_id") != doc_id))
         self.manifest.rewrite(self.manifest.read().where(F.col("doc_id") != doc_id))
@@ -143,24 +149,47 @@ class Library:
                 folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
         return self._lexicon[1]
 
-    def bm25(self, question: str, k: int = 5, doc_id: str | None = None) -> DataFrame:
+    def _lexical(self, question: str, k: int, doc_id: str | None) -> DataFrame:
         words = self.lexicon()
         scores = words.scores(words.asked(self._question(question, k).withColumnRenamed("question", "text"), normalize=True))
         if doc_id is not None:  # statistics cover the corpus, candidates one document
             scores = scores.join(self.list_chunks(doc_id).select("chunk_id"), "chunk_id", "left_semi")
-        return retrieve.top(scores, k, "query_id", F.desc("score"), F.col("chunk_id"))
+        return scores
 
-    def vector(self, question: str, k: int = 5, doc_id: str | None = None) -> DataFrame:
+    def _similar(self, question: str, k: int, doc_id: str | None) -> DataFrame:
+        """At least the k most similar chunks: of one document by all of its vectors, of the library by its index, if it has one."""
         v = self._encoder.encode([self._question(question, k).first()["question"]])[0]
         q = self.spark.createDataFrame([(0, v)], "query_id long, query array<float>")
-        return retrieve.top(retrieve.nearest(self.list_chunks(doc_id), q, k, "chunk_id"), k, "query_id", F.desc("score"), F.col("chunk_id"))
+        if doc_id is None and (index := self.vector_index()):
+            return index.nearest(q, k).drop("rank")
+        return retrieve.nearest(self.list_chunks(doc_id), q, k, "chunk_id")
+
+    def bm25(self, question: str, k: int = 5, doc_id: str | None = None) -> DataFrame:
+        return retrieve.top(self._lexical(question, k, doc_id), k, "query_id", F.desc("score"), F.col("chunk_id"))
+
+    def vector(self, question: str, k: int = 5, doc_id: str | None = None) -> DataFrame:
+        return retrieve.top(self._similar(question, k, doc_id), k, "query_id", F.desc("score"), F.col("chunk_id"))
+
+    def index_vectors(self, cells: int | None = None) -> ivf.VectorIndex:
+        """Builds the vector index anew; searches of the whole library then read the cells near a question alone, and loads add to it."""
+        root = f"{self._root}/vectors-{uuid.uuid4().hex}"
+        ivf.build(self.chunks.read(), root, "chunk_id", cells)
+        self.vectors.rewrite(self.spark.createDataFrame([(root,)], "root string"))
+        return self.vector_index()
+
+    def vector_index(self) -> ivf.VectorIndex | None:
+        held = self.vectors.read().collect()
+        return ivf.VectorIndex(self.spark, held[0]["root"], "chunk_id", "string") if held else None
 
     def hybrid(self, question: str, k: int = 5, doc_id: str | None = None, rerank: bool = False) -> DataFrame:
-        """Both branches, fused, without image placeholders; reranked by the stand-in if asked. Columns of the chunk and score, rank."""
+        """Both branches, fused, without image placeholders; reranked by the stand-in if asked. Columns of the chunk and score, rank.
+
+        Where placeholders leave too few of the candidates, twice and four times as many of both branches are fused.
+        """
         n = max(self.settings.candidates, k)
-        lists = [b(question, n, doc_id).select("query_id", "chunk_id", "rank") for b in (self.bm25, self.vector)]
-        found = retrieve.rrf(lists, "chunk_id", self.settings.rrf_k).join(self.chunks.read().drop("embedding").where(~is_placeholder(F.col("text"))), "chunk_id")
-        best = retrieve.top(found, n if rerank else k, "query_id", F.desc("score"), F.col("chunk_id"))
+        texts = self.chunks.read().drop("embedding").where(~is_placeholder(F.col("text")))
+        fused = retrieve.hybrid(self._lexical(question, 4 * n, doc_id), self._similar(question, 4 * n, doc_id), texts, n, n if rerank else k, rrf_k=self.settings.rrf_k)
+        best = fused.join(texts, "chunk_id")
         if not rerank:
             return best
         q = F.broadcast(self._question(question, k).select(tokens(F.col("question"), True).alias("q")))

@@ -8,7 +8,6 @@ lie the terms (term, df, idf) and the three numbers that concern the whole corpu
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions.text import tokens
 from skarn.operators.index import B, EPSILON, K1, bags
-from skarn.sources.files import shared_dir
+from skarn.sources.files import built_once
 
 #: Terms of a search that go to every task; a search with more joins by shuffle.
 BROADCAST_TERMS = 1 << 20
@@ -80,18 +79,6 @@ def build(bag: DataFrame, root: str, key: str) -> Lexical:
     return Lexical(spark, root, key, total, (length or 0) / max(total, 1), mean or 0.0)
 
 
-_built: dict[tuple, Lexical] = {}
-
-
 def index_of(spark: SparkSession, path: str, key: str) -> Lexical:
     """The index over the texts of a Parquet table, built once a session and again when the table's files change."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
-    state = tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in system.listStatus(files)))
-    name = (spark.sparkContext.applicationId, path, key, state)
-    if name not in _built:
-        root = f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}"
-        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-        _built[name] = build(bags(spark.read.parquet(path), key), root, key)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return _built[name]
+    return built_once(spark, path, f"lexical {key}", lambda root: build(bags(spark.read.parquet(path), key), root, key))

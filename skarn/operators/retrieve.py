@@ -85,8 +85,8 @@ def rrf(branches: list[DataFrame], key: str = "chunk_id", k: int = RRF_K) -> Dat
     return both.groupBy("query_id", key).agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
 
 
-def hybrid(bm25: DataFrame, vector: DataFrame, keep: Column | None, candidates: int = 20, k: int = 5, key: str = "chunk_id") -> DataFrame:
-    """Both branches cut to their candidates, fused, filtered and ranked.
+def hybrid(bm25: DataFrame, vector: DataFrame, keep: Column | DataFrame | None, candidates: int = 20, k: int = 5, key: str = "chunk_id", rrf_k: int = RRF_K) -> DataFrame:
+    """Both branches cut to their candidates, fused, filtered and ranked. keep: a condition on the key, or a table of keys.
 
     Where the filter leaves a query fewer than `candidates`, twice as many of both branches are fused, and twice that; a
     query takes the first fusion that is enough, or from which the filter took nothing. One pass ranks the largest cut.
@@ -94,13 +94,16 @@ def hybrid(bm25: DataFrame, vector: DataFrame, keep: Column | None, candidates:
     sizes = [candidates] if keep is None else [candidates, 2 * candidates, 4 * candidates]
     lists = [top(b, sizes[-1], "query_id", F.desc("score"), F.col(key)).select("query_id", key, "rank") for b in (bm25, vector)]
     both = lists[0].unionByName(lists[1])
-    share = 1 / (RRF_K + F.col("rank"))
+    share = 1 / (rrf_k + F.col("rank"))
     fused = both.groupBy("query_id", key).agg(*(F.sum(F.when(F.col("rank") <= n, share)).alias(f"s{n}") for n in sizes))
     if keep is None:
         found = fused.withColumnRenamed(f"s{candidates}", "score")
     else:
         w = W.partitionBy("query_id")
-        marked = fused.withColumn("keep", F.coalesce(keep, F.lit(False)))
+        if isinstance(keep, DataFrame):
+            marked = fused.join(keep.select(key, F.lit(True).alias("keep")), key, "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+        else:
+            marked = fused.withColumn("keep", F.coalesce(keep, F.lit(False)))
         score = F.col(f"s{sizes[-1]}")
         for n in sizes[-2::-1]:
             s = F.col(f"s{n}")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skarn.functions import text as tx
-from skarn.operators import index, lexical, retrieve
+from skarn.operators import index, ivf, lexical, retrieve
 from skarn.plans.registry import query, table
 
 # DuckDB's twin of the lexical index over whole documents.
@@ -99,6 +99,15 @@ def vector_topk(spark, d):
     return retrieve.top(vectors(spark, d, asked, 10), 10, "query_id", F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", rounded())
 
 
+@query("vector_index_topk")
+def vector_index_topk(spark, d):
+    """The same questions by the inverted-file index, which is built once a session; a test holds its recall against vector_topk."""
+    e = table(spark, d, "embeddings")
+    asked = e.where(TWENTIETH).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = ivf.index_of(spark, f"{d}/embeddings.parquet").nearest(asked, 10)
+    return found.select("query_id", "rank", F.col("vec_id").alias("doc_id"), rounded())
+
+
 @query("vector_topk_filtered", f"WITH {ASKED_SQL} SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, doc_id, round(score, 6) AS score FROM s WHERE same WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 5")
 def vector_topk_filtered(spark, d):
     """Each query within its own label only."""

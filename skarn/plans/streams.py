@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skarn.plans.registry import query, table
+from skarn.plans import conversation  # noqa: F401 - its trace is what the stream has to give
+from skarn.plans.registry import ORACLES, query, table
 from skarn.streaming import jobs
 
 
@@ -32,9 +33,7 @@ def stream_ingest(spark, d):
 
 @query("stream_memory", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) SELECT conv_id, count(*) AS stored, count(*) FILTER (WHERE k <= 4) AS retained, CAST(sum(length(text)) FILTER (WHERE k <= 4) AS BIGINT) AS chars, max(turn) AS newest FROM r GROUP BY conv_id")
 def stream_memory(spark, d):
-    state = jobs.run(jobs.session_memory(jobs.stream(spark, d, "conversations")), "update", "memory", lambda b, p: b.write.mode("append").parquet(p))
-    # Updates of later batches replace those before; stored only grows.
-    return state.groupBy("conv_id").agg(F.max(F.struct("stored", "retained", "chars", "newest")).alias("s")).select("conv_id", "s.*")
+    return jobs.run(jobs.session_memory(jobs.stream(spark, d, "conversations")), "update", "memory", keys=["conv_id"])
 
 
 CACHE_REPLAY_SQL = """
@@ -49,7 +48,18 @@ SELECT user_id, CAST(sum(n - kinds) AS BIGINT) AS hits, CAST(sum(kinds) AS BIGIN
 @query("cache_replay", CACHE_REPLAY_SQL)
 def cache_replay(spark, d):
     e = jobs.stream(spark, d, "events").select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("scope"), F.get_json_object("props", "$.k").cast("long").alias("question"))
-    return jobs.run(jobs.cache_replay(e), "update", "cache", lambda b, p: b.write.mode("append").parquet(p))
+    return jobs.run(jobs.cache_replay(e), "update", "cache", keys=["user_id"])
+
+
+@query("stream_trace", ORACLES["trace_rows"])
+def stream_trace(spark, d):
+    """Phases of calls and their tools as two streams: what the other stream never matches leaves after the watermark."""
+    at = F.col("ts").cast("timestamp").alias("at")
+    m = jobs.stream(spark, d, "events").where("event_id % 3 <> 0").select(F.col("event_id").alias("call_id"), F.col("event_type").alias("phase"), at)
+    t = jobs.stream(spark, d, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("call_id"), F.col("value").alias("seconds"), at)
+    rows = jobs.joined_calls(jobs.ended(m, "phases-end"), jobs.ended(t, "tools-end"))
+    rows = jobs.run(rows, "append", "trace").where("call_id is not null")
+    return rows.select("call_id", "phase", F.round("seconds", 3).alias("seconds"), "status")
 
 
 @query("win_tumbling", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -169,6 +169,22 @@ def library_originals(spark: SparkSession, path: str) -> DataFrame:
     return sound_originals(files.where(F.col("suffix").isin(*SUFFIXES)))
 
 
+_built: dict[tuple, object] = {}
+
+
+def built_once(spark: SparkSession, path: str, what: str, make: Callable[[str], object]):
+    """What make(root) builds of a table, once a session and again when the table's files change; its folder goes with the session."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in system.listStatus(files)))
+    name = (spark.sparkContext.applicationId, path, what, state)
+    if name not in _built:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/built-{uuid.uuid4().hex}")
+        _built[name] = make(str(folder))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return _built[name]
+
+
 # --- logs ------------------------------------------------------------------------------------
 
 REQUEST = "schema_version int, request_id string, session_id string, timestamp string, status string, retrieval struct<status: string, score_model: string, score_revision: string, documents: array<struct<rank: int, text: string, score: double>>, top1_score: double>, timing struct<retrieval_seconds: double, generation_seconds: double, response_seconds: double>, tokens struct<input: long, output: long, total: long, source: string>, cache struct<hit: boolean, mode: string, similarity: double>"

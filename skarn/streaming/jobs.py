@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skarn.sources.files import scratch_path
@@ -24,23 +26,38 @@ def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def run(result: DataFrame, mode: str, name: str, sink: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
-    """Runs what is available now, checkpointed in the shared folder, and reads the sink's table.
+def run(result: DataFrame, mode: str, name: str, sink: Callable[[DataFrame, str], None] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Runs what is available now, checkpointed in the shared folder, and reads what was written.
 
-    complete and update results replace the table of the batch before; append adds to it.
+    A batch is written under its number, so one that is run again replaces itself. append results add up; of complete results the
+    last batch counts; of update results the last row of each key. A sink writes where it likes below the folder that it is given.
     """
     spark = result.sparkSession
+    if mode == "update" and not (keys or sink):
+        raise ValueError("update results need their keys")
     root = scratch_path(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         if sink:
             sink(batch, f"{root}/table")
         else:
-            batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{root}/table")
+            batch.write.mode("overwrite").parquet(f"{root}/table/batch={number}")
 
     q = result.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/table")
+    if sink:
+        return spark.read.parquet(f"{root}/table")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/table")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # there was no batch
+        return spark.createDataFrame([], result.schema)
+    rows = spark.read.schema(T.StructType([*result.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/table")
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == last).drop("batch")
+    rest = [c for c in result.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
 
 
 def event_time(events: DataFrame, delay: str = "40 days") -> DataFrame:
@@ -56,24 +73,53 @@ def online_latest(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("s")).select("user_id", "s.event_id", "s.event_type")
 
 
-def _remember(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, keep: int) -> Iterator[pd.DataFrame]:
-    turns, texts, stored = map(list, state.get) if state.exists else ([], [], [0])
-    rows = [(int(t), x) for pdf in parts for t, x in zip(pdf.turn, pdf.text)]
-    held = sorted([*zip(turns, texts), *rows])[-keep:]
-    stored = int(stored[0]) + len(rows)
-    state.update(([t for t, _ in held], [x for _, x in held], [stored]))
-    yield pd.DataFrame({"conv_id": [key[0]], "stored": [stored], "retained": [len(held)], "chars": [sum(len(x) for _, x in held)], "newest": [held[-1][0]]})
+class _Memory(StatefulProcessor):
+    """A session's newest messages as a list, what it has stored in all, and a timer that forgets it when it rests too long."""
 
+    def __init__(self, keep: int, idle_ms: int | None):
+        self.keep, self.idle_ms = keep, idle_ms
 
-def session_memory(messages: DataFrame, keep: int = 4) -> DataFrame:
-    """Keyed state of each session: its newest `keep` messages and how many it has stored in all."""
-    return messages.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandasWithState(
-        lambda k, p, s: _remember(k, p, s, keep),
-        "conv_id long, stored long, retained long, chars long, newest long",
-        "turns array<long>, texts array<string>, stored array<long>",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getListState("newest", "turn long, text string")
+        self.stored = handle.getValueState("stored", "n long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(t), x) for pdf in rows for t, x in zip(pdf.turn, pdf.text)]
+        held = sorted([*self.newest.get(), *new])[-self.keep :] if self.newest.exists() else sorted(new)[-self.keep :]
+        n, timer = self.stored.get() if self.stored.exists() else (0, 0)
+        self.newest.put(held)
+        if self.idle_ms:
+            if timer:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.stored.update((n + len(new), timer))
+        yield self._row(key, n + len(new), held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, _ = self.stored.get()
+        self.newest.clear()
+        self.stored.clear()
+        yield self._row(key, n, [])
+
+    def _row(self, key, stored: int, held: list) -> pd.DataFrame:
+        newest = pd.array([held[-1][0] if held else None], "Int64")
+        return pd.DataFrame({"conv_id": [key[0]], "stored": [stored], "retained": [len(held)], "chars": [sum(len(x) for _, x in held)], "newest": newest})
+
+
+def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, timed: bool) -> DataFrame:
+    """Keyed state of several variables, which only the RocksDB store keeps. With timers a run over what is available never ends."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Update", "ProcessingTime" if timed else "None")
+
+
+def session_memory(messages: DataFrame, keep: int = 4, idle_ms: int | None = None) -> DataFrame:
+    """Keyed state of each session: its newest `keep` messages and how many it has stored in all.
+
+    With idle_ms a session that gets nothing for so long gives a last row without messages and is forgotten.
+    """
+    return _with_state(messages.select("conv_id", "turn", "text"), "conv_id", _Memory(keep, idle_ms), "conv_id long, stored long, retained long, chars long, newest long", bool(idle_ms))
 
 
 def _accumulate(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -96,30 +142,72 @@ def accumulated(parts: DataFrame) -> DataFrame:
     )
 
 
-def _replay(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, capacity: int) -> Iterator[pd.DataFrame]:
-    scope, held = (state.get[0], list(state.get[1])) if state.exists else (None, [])
-    hits = misses = 0
-    rows = sorted((int(i), str(s), int(q)) for pdf in parts for i, s, q in zip(pdf.event_id, pdf.scope, pdf.question))
-    for _, new_scope, question in rows:
-        if new_scope != scope:
-            scope, held = new_scope, []
-        hit = question in held
-        hits, misses = hits + hit, misses + (not hit)
-        if not hit:
-            held = [*held, question][-capacity:]
-    state.update((scope, held))
-    yield pd.DataFrame({"user_id": [key[0]], "hits": [hits], "misses": [misses], "held": [len(held)]})
-
-
-def cache_replay(questions: DataFrame, capacity: int = 100) -> DataFrame:
-    """Each user's answer cache over a stream of (user_id, event_id, scope, question): a change of scope empties it, the oldest entries leave first."""
-    return questions.groupBy("user_id").applyInPandasWithState(
-        lambda k, p, s: _replay(k, p, s, capacity),
-        "user_id long, hits long, misses long, held long",
-        "scope string, held array<long>",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
+class _Cache(StatefulProcessor):
+    """A user's answer cache: questions by number and numbers by question, both maps; numbers in use are those from first to next - 1.
+
+    So the oldest entry is found without a scan, and a lookup reads one entry, whatever the cache holds.
+    """
+
+    def __init__(self, capacity: int, ttl_ms: int | None):
+        self.capacity, self.ttl_ms = capacity, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.facts = handle.getValueState("facts", "scope string, hits long, misses long, first long, next long")
+        self.by_number = handle.getMapState("by_number", "n long", "question long", self.ttl_ms)
+        self.by_question = handle.getMapState("by_question", "question long", "n long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        scope, hits, misses, first, after = self.facts.get() if self.facts.exists() else (None, 0, 0, 0, 0)
+        for _, new, question in sorted((int(i), str(s), int(q)) for pdf in rows for i, s, q in zip(pdf.event_id, pdf.scope, pdf.question)):
+            if new != scope:
+                self.by_number.clear()
+                self.by_question.clear()
+                scope, first, after = new, 0, 0
+            if self.by_question.containsKey((question,)):
+                hits += 1
+                continue
+            misses += 1
+            self.by_number.updateValue((after,), (question,))
+            self.by_question.updateValue((question,), (after,))
+            after += 1
+            if after - first > self.capacity:
+                if self.by_number.containsKey((first,)):  # else its time is over
+                    self.by_question.removeKey(self.by_number.getValue((first,)))
+                    self.by_number.removeKey((first,))
+                first += 1
+        self.facts.update((scope, hits, misses, first, after))
+        yield pd.DataFrame({"user_id": [key[0]], "hits": [hits], "misses": [misses], "held": [after - first]})
+
+
+def cache_replay(questions: DataFrame, capacity: int = 100, ttl_ms: int | None = None) -> DataFrame:
+    """Each user's answer cache over a stream of (user_id, event_id, scope, question): a change of scope empties it, the oldest entries leave first.
+
+    Rows count all events so far, so the last row of a user does not depend on how events were cut into batches. With
+    ttl_ms an entry that is so old answers no more.
+    """
+    return _with_state(questions.select("user_id", "event_id", "scope", "question"), "user_id", _Cache(capacity, ttl_ms), "user_id long, hits long, misses long, held long", bool(ttl_ms))
+
+
+def joined_calls(phases: DataFrame, tools: DataFrame, bound: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """(call_id, phase, seconds, status) of two streams, phases (call_id, phase, at) and tools (call_id, seconds, at), by call.
+
+    Both have watermarks and a call's two rows lie within `bound`, so a row without the other leaves the state, and
+    is given as such, once the watermark is `bound` past it.
+    """
+    p = phases.select(F.col("call_id").alias("p_id"), "phase", F.col("at").alias("p_at")).withWatermark("p_at", delay)
+    t = tools.select(F.col("call_id").alias("t_id"), "seconds", F.col("at").alias("t_at")).withWatermark("t_at", delay)
+    span = F.expr(f"p_id = t_id AND t_at BETWEEN p_at - INTERVAL {bound} AND p_at + INTERVAL {bound}")
+    status = F.when(F.col("t_id").isNull(), "no tool").when(F.col("p_id").isNull(), "running").otherwise("done")
+    return p.join(t, span, "full").select(F.coalesce("p_id", "t_id").alias("call_id"), F.coalesce("phase", F.lit("tool")).alias("phase"), "seconds", status.alias("status"))
+
+
+def ended(rows: DataFrame, name: str, at: str = "at") -> DataFrame:
+    """A stream that ends: behind its rows one more of year 9999, all else null, that moves the watermark past all of them."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, name)
+    last = [F.expr("timestamp '9999-01-01'").alias(c) if c == at else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+    spark.range(1).select(last).write.parquet(path)
+    return rows.union(spark.readStream.schema(rows.schema).parquet(path))
 
 
 def insert_absent_sink(key: str) -> Callable[[DataFrame, str], None]:

@@ -1,4 +1,4 @@
-"""Versioned tables in a folder: appends add files, rewrites make a new version that a pointer then names."""
+"""Versioned tables in a folder: appends add files, rewrites make a new version and add a pointer to it."""
 
 from __future__ import annotations
 
@@ -24,7 +24,6 @@ class Table:
         held = self._read("properties.json")
         if held is None:
             self._write("properties.json", stamp)
-            self._write("current", "0")
         elif held != stamp:
             raise ValueError(f"the table at {root} was made with {held}, not {stamp}")
 
@@ -39,21 +38,22 @@ class Table:
             stream.close()
 
     def _write(self, name: str, text: str) -> None:
-        """By rename, so a reader sees the old text or the new one."""
+        """A file that was not there before, by rename: a reader sees all of it or none."""
         temporary, path = self._path(f"{self.root}/.{name}.new"), self._path(f"{self.root}/{name}")
         stream = self._fs.create(temporary, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self._fs.delete(path, False)
         if not self._fs.rename(temporary, path):
-            raise OSError(f"could not replace {self.root}/{name}")
+            raise OSError(f"could not write {self.root}/{name}")
 
     def _version(self, n: int) -> str:
         return f"{self.root}/v{n}"
 
     @property
     def version(self) -> int:
-        return int(self._read("current"))
+        """The greatest number that a pointer has. Pointers are only added, so there is no moment without one."""
+        found = self._fs.globStatus(self._path(f"{self.root}/current-*")) or []
+        return max((int(f.getPath().getName().rpartition("-")[2]) for f in found), default=0)
 
     def read(self) -> DataFrame:
         path = self._version(self.version)
@@ -68,6 +68,7 @@ class Table:
         """Replaces the table by rows, which may read the table itself."""
         old = self.version
         rows.select(self.schema.names).write.mode("overwrite").parquet(self._version(old + 1))
-        self._write("current", str(old + 1))
+        self._write(f"current-{old + 1}", "")
         if old >= KEEP:
+            self._fs.delete(self._path(f"{self.root}/current-{old - KEEP}"), False)
             self._fs.delete(self._path(self._version(old - KEEP)), True)
