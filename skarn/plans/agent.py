@@ -22,6 +22,56 @@ def route_intents(spark, d):
     return c.select("conv_id", "turn", F.array_join(agent.intents(F.col("q")), ",").alias("intents"), agent.flag(F.col("q"), "fresh").alias("fresh"))
 
 
+#: Questions by turn of a conversation, and whether tools ran before.
+ASKED = [
+    "compare these papers",
+    "search the web for the latest news",
+    "please list uploaded papers",
+    "分别总结两篇论文",
+    "提取 a.pdf 的关键词 and 联网搜索",
+    "what is attention",
+    "计算 3*(4+5)",
+    "keyword_extract, then paper_summary",
+    "本文的结构改进",
+    "最新的论文",
+    "paper_summary of both, calculator too",
+    "hello there",
+    "历史会话说了什么",
+    "用 calculator",
+]
+
+
+def route_sql() -> str:
+    """The rules in SQL. Look-around, which the other engine lacks, becomes a character or an end."""
+    plain = lambda p: p.replace("(?<!调)用", "(?:^|[^调])用").replace("(?=$|[^A-Za-z0-9])", "(?:$|[^A-Za-z0-9])").replace("'", "''")
+    asked = ", ".join(f"({k}, '{q}')" for k, q in enumerate(ASKED))
+    shows = ", ".join(f"regexp_matches(trim(question), '(?i){plain(p)}') AS {n}_" for n, p in agent.FLAGS.items())
+    tools = ", ".join(f"CASE WHEN regexp_matches(question, '(?:^|[^A-Za-z0-9_]){t}(?:$|[^A-Za-z0-9_])') THEN {{'place': instr(question, '{t}'), 'tool': '{t}'}} END" for t in agent.LOCAL_TOOLS)
+    meant = ", ".join(f"CASE WHEN regexp_matches(trim(question), '(?i){plain(p)}') THEN '{t}' END" for t, p in agent.INTENTS.items())
+    known = ", ".join(f"'{t}'" for t in [*agent.LOCAL_TOOLS, "direct"])
+    return f"""
+WITH a(n, question) AS (VALUES {asked}),
+q AS (SELECT conv_id, turn, question, turn > 3 AS history, (conv_id + turn) % 5 = 0 AS executed FROM conversations JOIN a ON n = (3 * conv_id + turn) % {len(ASKED)}),
+m AS (SELECT *, {shows}, list_transform(list_sort(list_filter([{tools}], lambda x: x IS NOT NULL)), lambda x: x.tool) AS named, list_filter([{meant}], lambda x: x IS NOT NULL) AS meant FROM q),
+d AS (SELECT *, list_concat(named, list_filter(meant, lambda x: NOT list_contains(named, x))) AS every, list_contains(meant, 'web_search') AS web FROM m),
+r AS (SELECT *, CASE WHEN fresh_ AND len(named) = 0 AND NOT local_ AND NOT list_has_any(every, ['current_time', 'keyword_extract', 'paper_list']) THEN ['web_search'] ELSE every END AS asked FROM d),
+w AS (SELECT *, coalesce(asked[1], CASE WHEN local_ OR paper_ THEN 'knowledge_base_search' WHEN recent_ THEN 'model' WHEN concept_ THEN 'direct' WHEN arithmetic_ AND operator_ THEN 'calculator' END, 'model') AS wanted, len(asked) = 1 AND each_ AND two_ AS several FROM r),
+t AS (SELECT *, CASE WHEN dependent_ OR (local_ AND joined_ AND (web OR fresh_)) OR ((history OR executed) AND history_ AND len(named) = 0 AND NOT web AND NOT local_) THEN 'model' WHEN asked = ['web_search'] THEN 'missing'
+  WHEN executed OR ((history OR executed) AND len(asked) = 0 AND NOT regexp_matches(question, '(?i)\\.(?:pdf|docx|txt|md)(?:$|[^A-Za-z0-9])')) OR len(asked) > 1 OR wanted NOT IN ({known}) OR (several AND wanted NOT IN ('paper_metadata', 'keyword_extract', 'paper_summary')) THEN 'model' ELSE wanted END AS target FROM w)
+SELECT conv_id, turn, target, CASE WHEN several AND target NOT IN ('model', 'direct', 'missing') THEN 2 ELSE 1 END AS times FROM t
+"""
+
+
+@query("route_plan", route_sql())
+def route_plan(spark, d):
+    """Every turn's question to a tool, an answer or a model, by one expression over the table."""
+    c = table(spark, d, "conversations")
+    n = ((3 * F.col("conv_id") + F.col("turn")) % len(ASKED)).cast("int")
+    asked = F.element_at(F.array(*map(F.lit, ASKED)), n + 1)
+    questions = c.select("conv_id", "turn", asked.alias("question"), (F.col("turn") > 3).alias("history"), ((F.col("conv_id") + F.col("turn")) % 5 == 0).alias("executed"))
+    return agent.routed(questions, agent.LOCAL_TOOLS).select("conv_id", "turn", "target", "times")
+
+
 CALCULATOR_SQL = """
 WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS q, 5 * (CAST(l_quantity AS INT) + l_linenumber) AS x FROM lineitem),
 y AS (SELECT *, CAST(x // 6 AS VARCHAR) AS whole, x % 6 AS r, CAST(28 - length(CAST(x // 6 AS VARCHAR)) AS INT) AS digits FROM x)

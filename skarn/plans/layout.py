@@ -80,6 +80,55 @@ def layout_table(spark, d):
     return layout.table_cells(words).select("page", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "text")
 
 
+#: A line item is a page: a caption, four rules whose ends are alike but on every fifth, a second caption with three more on
+#: every third, and twelve words in three columns, of which long ones join columns below the head.
+RULES_SQL = """
+WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS page, min(l_partkey) AS a, min(l_suppkey) AS s, CAST(min(l_quantity) AS INT) AS q FROM lineitem GROUP BY 1),
+r AS (SELECT page, x0, 200.0 + (a + k) % 2 AS x1, y FROM (SELECT page, a, k, CAST(21 + (a + k) % 2 + CASE WHEN q % 5 = 0 THEN 6 * k ELSE 0 END AS DOUBLE) AS x0, CAST(120 + 40 * k AS DOUBLE) AS y FROM p, range(4) t(k)
+  UNION ALL SELECT page, a, k, 21.0, 420.0 + 30 * k FROM p, range(3) t(k) WHERE s % 3 = 0)),
+c AS (SELECT page, 1 AS caption_id, 20.0 AS x0, 190.0 AS x1, 100.0 AS top, 110.0 AS bottom FROM p UNION ALL SELECT page, 2, 20.0, 190.0, 400.0 - s % 4 * 20, 410.0 - s % 4 * 20 FROM p WHERE s % 3 = 0),
+w AS (SELECT page, CAST(25 + j % 3 * 60 + a % 7 AS DOUBLE) AS x0, CAST(45 + j % 3 * 60 + a % 7 + CASE WHEN j >= 6 THEN q ELSE 0 END AS DOUBLE) AS x1, y - 8 AS top, y, (s + j) || '' AS word FROM (SELECT *, CAST(130 + j // 3 * 20 + (s + j) % 3 AS DOUBLE) AS y FROM p, range(12) t(j))
+  UNION ALL SELECT page, CAST(30 + j * 70 AS DOUBLE), CAST(60 + j * 70 AS DOUBLE), 462.0, 470.0, 'n' || j FROM p, range(2) t(j) WHERE s % 3 = 0),
+g AS (SELECT page, round(x0 / 3) * 3 - 1 AS x0, round(x1 / 3) * 3 + 1 AS x1, list(DISTINCT y) AS ys FROM r GROUP BY ALL),
+b AS (SELECT page, caption_id, x0, x1, list_sort(list_filter(ys, lambda y: y >= foot AND y < below)) AS ys, foot FROM g JOIN (SELECT a.page, a.caption_id, a.bottom AS foot, coalesce(min(o.top), 800.0) AS below FROM c a LEFT JOIN c o ON o.page = a.page AND o.top > a.bottom GROUP BY ALL) c USING (page)),
+f AS (SELECT page, caption_id, x0, x1, ys[1] AS top, ys[2] AS head, ys[-1] AS bottom FROM b WHERE len(ys) >= 3 AND ys[1] - foot <= 65),
+i AS (SELECT f.page, caption_id, f.x0 AS t_x0, head, w.x0, w.x1, y, word, (w.top + y) / 2 AS mid FROM f JOIN w ON f.page = w.page AND (w.x0 + w.x1) / 2 BETWEEN f.x0 AND f.x1 AND (w.top + y) / 2 BETWEEN f.top AND f.bottom),
+k AS (SELECT *, CASE WHEN x0 - max(x1) OVER (PARTITION BY page, caption_id, t_x0 ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 5 THEN 1 ELSE 0 END AS gap FROM i),
+n AS (SELECT *, sum(gap) OVER (PARTITION BY page, caption_id, t_x0 ORDER BY x0, x1 RANGE UNBOUNDED PRECEDING) AS col FROM k),
+x AS (SELECT DISTINCT a.page, a.caption_id, a.t_x0 FROM n a JOIN n b ON a.page = b.page AND a.caption_id = b.caption_id AND a.t_x0 = b.t_x0 AND a.col = b.col AND a.mid < a.head AND b.mid < b.head AND b.x0 - a.x1 >= 5 AND abs(a.mid - b.mid) < 2
+  WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.page = a.page AND m.caption_id = a.caption_id AND m.t_x0 = a.t_x0 AND m.col = a.col AND m.mid < m.head AND abs(m.mid - a.mid) < 2 AND m.x0 < b.x0 AND m.x1 > a.x1)),
+"""
+CELLS_SQL = RULES_SQL.replace("WITH p", "WITH RECURSIVE p") + """
+z AS (SELECT n.* FROM n ANTI JOIN x USING (page, caption_id, t_x0) WHERE (page, caption_id, t_x0) IN (SELECT (page, caption_id, t_x0) FROM n GROUP BY page, caption_id, t_x0 HAVING max(col) > 0)),
+ys AS (SELECT page, caption_id, y, row_number() OVER (PARTITION BY page, caption_id ORDER BY y) AS nth FROM (SELECT DISTINCT page, caption_id, y FROM z WHERE mid >= head)),
+l AS (SELECT page, caption_id, nth, y AS line FROM ys WHERE nth = 1 UNION ALL SELECT l.page, l.caption_id, ys.nth, CASE WHEN ys.y - line > 2 THEN ys.y ELSE line END FROM l JOIN ys ON l.page = ys.page AND l.caption_id = ys.caption_id AND ys.nth = l.nth + 1),
+e AS (SELECT page, caption_id, (line + lag(line) OVER (PARTITION BY page, caption_id ORDER BY line)) / 2 AS edge FROM (SELECT DISTINCT page, caption_id, line FROM l)),
+o AS (SELECT z.*, CASE WHEN mid < head THEN 0 ELSE 1 + (SELECT count(*) FROM e WHERE e.page = z.page AND e.caption_id = z.caption_id AND edge <= y) END AS row FROM z)
+SELECT page, caption_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, string_agg(word, ' ' ORDER BY y, x0, word) AS text FROM o GROUP BY page, caption_id, row, col
+"""
+
+
+@query("layout_rule_tables", CELLS_SQL)
+def layout_rule_tables(spark, d):
+    """From rules, captions and words of pages to the cells of three-rule tables."""
+    p = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page")).agg(F.min("l_partkey").alias("a"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("int").alias("q"))
+    a, s, q, k, j = (F.col(c) for c in "asqkj")
+    many = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    page = [F.lit(250.0).alias("width"), F.lit(800.0).alias("height")]
+    rule = lambda x0, y: [x0.cast("double").alias("x0"), (200.0 + (a + k) % 2).alias("x1"), (y - 0.5).alias("y0"), (y + 0.5).alias("y1"), *page]
+    one = p.select("*", many(4, "k")).select("page", *rule(21 + (a + k) % 2 + F.when(q % 5 == 0, 6 * k).otherwise(0), 120.0 + 40 * k))
+    two = p.where("s % 3 = 0").select("*", many(3, "k")).select("page", *rule(F.lit(21), 420.0 + 30 * k))
+    box = [F.lit(20.0).alias("x0"), F.lit(190.0).alias("x1")]
+    captions = p.select("page", F.lit(1).alias("caption_id"), *box, F.lit(100.0).alias("top"), F.lit(110.0).alias("bottom"))
+    captions = captions.union(p.where("s % 3 = 0").select("page", F.lit(2), *box, 400.0 - s % 4 * 20, 410.0 - s % 4 * 20))
+    y = (130 + F.floor(j / 3) * 20 + (s + j) % 3).cast("double")
+    left = 25 + j % 3 * 60 + a % 7
+    words = p.select("*", many(12, "j")).select("page", left.cast("double").alias("x0"), (left + 20 + F.when(j >= 6, q).otherwise(0)).cast("double").alias("x1"), (y - 8).alias("top"), y.alias("y"), (s + j).cast("string").alias("word"))
+    words = words.union(p.where("s % 3 = 0").select("*", many(2, "j")).select("page", (30 + j * 70).cast("double"), (60 + j * 70).cast("double"), F.lit(462.0), F.lit(470.0), F.concat(F.lit("n"), j.cast("string"))))
+    tables = layout.rule_tables(one.union(two), captions, words)
+    return layout.rule_cells(tables, words).select("page", "caption_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "text")
+
+
 @query("layout_captions")
 def layout_captions(spark, d):
     line = table(spark, d, "lineitem")

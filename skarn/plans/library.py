@@ -245,6 +245,21 @@ def html_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(links).cast("long").alias("links"), F.coalesce(F.try_element_at(links, F.lit(1)), F.lit("")).alias("first_link"))
 
 
+PAGES_SQL = r"""
+WITH e AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS links FROM pages),
+u AS (SELECT page_id, links, trim(regexp_replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM e)
+SELECT page_id, title, len(links) AS links, links[1] AS first_link, links[-1] AS last_link FROM u
+"""
+
+
+@query("page_tree", PAGES_SQL)
+def page_tree(spark, d):
+    """Titles and links of pages by their tag trees, entities decoded."""
+    pages = files.parsed_pages(table(spark, d, "pages").select("page_id", "html"))
+    at = lambda n: F.try_element_at("links", F.lit(n))["href"]
+    return pages.select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.size("links").cast("long").alias("links"), at(1).alias("first_link"), at(-1).alias("last_link"))
+
+
 @query("url_parts", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') AS query FROM pages")
 def url_parts(spark, d):
     u = F.col("url")

@@ -7,13 +7,16 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from html import unescape
+from html.parser import HTMLParser
 from pathlib import PurePosixPath
-from urllib.parse import parse_qs, urlparse
+from urllib.parse import parse_qsl, urlparse
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,27 +230,116 @@ def fold_stream(lines: list[str]) -> dict:
     return {"text": text, "done_reason": done, "usage": usage, "error": error}
 
 
+# The class names of the search site's result pages.
+RESULT, LINK, SNIPPET, NO_RESULTS, CHALLENGES = "result", "result__a", "result__snippet", "no-results", ("challenge-form", "anomaly-modal")
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_SILENT = {"script", "style"}
+
+
+class TagTree(HTMLParser):
+    """The tags of a page as a tree: each node its tag, attributes, children and texts in order. Tags left open end with their parent."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.root = {"tag": "", "attrs": {}, "parts": []}
+        self._open = [self.root]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "parts": []}
+        self._open[-1]["parts"].append(node)
+        if tag not in _VOID:
+            self._open.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self._open[-1]["parts"].append({"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "parts": []})
+
+    def handle_endtag(self, tag):
+        depth = max((k for k, n in enumerate(self._open) if k and n["tag"] == tag), default=0)
+        if depth:
+            del self._open[depth:]
+
+    def handle_data(self, data):
+        self._open[-1]["parts"].append(data)
+
+
+def nodes(tree: dict, holds: Callable[[dict], bool], within: bool = True):
+    """Nodes below tree for which holds is true, in order; with within also those inside another such node."""
+    waiting = deque(p for p in tree["parts"] if isinstance(p, dict))
+    while waiting:
+        node = waiting.popleft()
+        found = holds(node)
+        if found:
+            yield node
+        if within or not found:
+            waiting.extendleft(p for p in reversed(node["parts"]) if isinstance(p, dict))
+
+
+def node_text(tree: dict) -> str:
+    out, waiting = [], [tree]
+    while waiting:
+        part = waiting.pop()
+        if isinstance(part, str):
+            out.append(part)
+        elif part["tag"] not in _SILENT:
+            waiting.extend(reversed(part["parts"]))
+    return re.sub(r"\s+", " ", " ".join(out)).strip()
+
+
+def marked(node: dict, *names: str) -> bool:
+    return bool({*node["attrs"].get("class", "").split(), node["attrs"].get("id", "")}.intersection(names))
+
+
 def web_results(html: str, most: int = 5) -> list[dict]:
     """(title, snippet, url) of a result page: links with a host, redirects unwrapped. A page that is no result page is an error."""
-    if re.search(r'id="challenge-form"|class="[^"]*\banomaly-modal\b', html):
+    tree = TagTree(html).root
+    if next(nodes(tree, lambda n: marked(n, *CHALLENGES)), None):
         raise ValueError("the search site asks for a verification")
+    first = lambda block, name: next(nodes(block, lambda n: marked(n, name)), None)
     out = []
-    blocks = re.split(r'<[a-z]+[^>]*class="(?:[^"]*\s)?result(?:\s[^"]*)?"[^>]*>', html)[1:]
-    for block in blocks:
-        link = re.search(r'(?s)<a\b(?=[^>]*class="[^"]*\bresult__a\b)[^>]*href="([^"]*)"[^>]*>(.*?)</a>', block)
-        if not link:
-            continue
-        url = unescape(link.group(1))
-        url = parse_qs(urlparse(url).query).get("uddg", [url])[0]
-        if urlparse(url).scheme not in ("http", "https") or not urlparse(url).hostname:
-            continue
-        text = re.search(r'(?s)class="[^"]*\bresult__snippet\b[^>]*>(.*?)</', block)
-        out.append({"title": html_text(link.group(2)), "snippet": html_text(text.group(1)) if text else "", "url": url})
-    if not out and not re.search(r'class="[^"]*\bno-results', html):
+    for block in nodes(tree, lambda n: marked(n, RESULT), within=False):
+        link, snippet = first(block, LINK), first(block, SNIPPET)
+        url = target(link["attrs"].get("href", "")) if link else None
+        if url:
+            out.append({"title": node_text(link), "snippet": node_text(snippet) if snippet else "", "url": url})
+    if not out and not next(nodes(tree, lambda n: marked(n, NO_RESULTS)), None):
         raise ValueError("the response is not a result page")
     return out[:most]
 
 
+def target(href: str) -> str | None:
+    """Where a link leads, past the site's redirect; None where that is no web address with a host."""
+    url = dict(parse_qsl(urlparse(href).query)).get("uddg", href)
+    parts = urlparse(url)
+    return url if parts.scheme in ("http", "https") and parts.hostname else None
+
+
+PAGE = "title string, links array<struct<href: string, text: string>>, text string"
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """pages (html, any others) with title, links and visible text of each page, by its tag tree, instead of html."""
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for html in b.column("html").to_pylist():
+                tree = TagTree(html or "").root
+                title = next(nodes(tree, lambda n: n["tag"] == "title"), None)
+                links = [{"href": n["attrs"]["href"], "text": node_text(n)} for n in nodes(tree, lambda n: n["tag"] == "a" and "href" in n["attrs"])]
+                body = next(nodes(tree, lambda n: n["tag"] == "body"), tree)
+                found.append({"title": node_text(title) if title else None, "links": links, "text": node_text(body)})
+            extra = pa.RecordBatch.from_pylist(found, kinds)
+            rest = b.drop_columns(["html"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *extra.columns], [*rest.schema.names, *extra.schema.names])
+
+    link = pa.struct([("href", pa.string()), ("text", pa.string())])
+    kinds = pa.schema([("title", pa.string()), ("links", pa.list_(link)), ("text", pa.string())])
+    pages = pages.drop("title", "links", "text")
+    return pages.mapInArrow(run, T.StructType([*(f for f in pages.schema if f.name != "html"), *T.StructType.fromDDL(PAGE)]))
+
+
 def html_text(html: str) -> str:
     """Visible text of a page: without head, scripts and styles, entities decoded."""
     body = re.sub(r"(?is)<(script|style|head)\b.*?</\1>", " ", html)

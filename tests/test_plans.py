@@ -9,9 +9,11 @@ from skarn.plans import QUERIES
 
 D = "/root/testdata/sf0.001"
 #: Queries whose work is a fold, a parser or keyed state.
-PYTHON = {"chunk_recursive", "chunk_semantic", "table_windows", "context_pack", "rag_answer", "layout_captions", "calculator", "paper_metadata", "import_status", "table_stitch", "chunk_line_spans"}
+PYTHON = {"chunk_recursive", "chunk_semantic", "table_windows", "context_pack", "rag_answer", "layout_captions", "calculator", "paper_metadata", "import_status", "chunk_line_spans"}
 #: Vector search is one matrix product a batch.
-PYTHON |= {"vector_topk", "rrf_fusion", "hybrid_search", "overfetch_topk"}
+PYTHON |= {"vector_topk", "rrf_fusion", "hybrid_search", "overfetch_topk", "vector_index_topk"}
+#: Pages are parsed as trees.
+PYTHON |= {"page_tree"}
 STREAMS = {n for n in QUERIES if n.startswith(("stream_", "win_")) or n == "cache_replay"}
 
 

@@ -235,20 +235,48 @@ def test_tables(spark):
     tabs = spark.createDataFrame([(1, 1, 0.0, 60.0, 30.0, 60.0), (1, 2, 0.0, 60.0, 95.0, 120.0)], box.format("table_id"))
     assert sorted((r.table_id, r.caption_id) for r in layout.assign_captions(caps, tabs).collect()) == [(1, 1), (2, 2)]
     assert layout.greedy_pairs([{"caption_id": 1, "gap": 1.0, "table_id": 1}, {"caption_id": 2, "gap": 2.0, "table_id": 1}, {"caption_id": 2, "gap": 5.0, "table_id": 2}]) == [{"table_id": 1, "caption_id": 1}, {"table_id": 2, "caption_id": 2}]
-    assert layout.markdown([["h", "a|b"], ["x\ny", "1\n2"], ["u\nv", "w"]]) == "| h | a\\|b |\n| --- | --- |\n| x | 1 |\n| y | 2 |\n| u<br>v | w |"
+    shown = lambda rows: spark.createDataFrame([(rows,)], "rows array<array<string>>").select(layout.markdown(F.col("rows"))).first()[0]
+    assert shown([["h", "a|b"], ["x\ny", "1\n2"], ["u\nv", "w"]]) == "| h | a\\|b |\n| --- | --- |\n| x | 1 |\n| y | 2 |\n| u<br>v | w |"
+    assert shown([]) == ""
 
 
 def fragment(page, top, bottom, number=None, header="h", continued=False, left=0.0):
     return {"page": page, "n": 1, "top": top, "bottom": bottom, "height": 800.0, "lefts": [left, 50.0], "rights": [40.0, 90.0], "number": number, "header": header, "continued": continued}
 
 
-def test_tables_over_pages():
+def test_tables_over_pages(spark):
+    schema = "doc_id int, page int, n int, top double, bottom double, height double, lefts array<double>, rights array<double>, number string, header string, continued boolean"
+
+    def grouped(fragments):
+        rows = spark.createDataFrame([{"doc_id": 1, **f} for f in fragments], schema)
+        return [r["table_id"] for r in layout.stitched_tables(rows).orderBy("page", "n").collect()]
+
     first, rest = fragment(1, 700.0, 790.0, "1"), fragment(2, 10.0, 790.0)
-    assert layout.grouped([first, rest, fragment(3, 10.0, 90.0)]) == [1, 1, 1]  # the number of the first holds for all
-    assert layout.grouped([fragment(1, 700.0, 790.0), rest]) == [1, 2]  # a header alone is no sign
-    assert layout.grouped([first, fragment(2, 10.0, 90.0, "1", "x", True)]) == [1, 1]
+    assert grouped([first, rest, fragment(3, 10.0, 90.0)]) == [1, 1, 1]  # the number of the first holds for all
+    assert grouped([fragment(1, 700.0, 790.0), rest]) == [1, 2]  # a header alone is no sign
+    assert grouped([first, fragment(2, 10.0, 90.0, "1", "x", True)]) == [1, 1]
     for other in (fragment(2, 300.0, 400.0), fragment(3, 10.0, 90.0), fragment(2, 10.0, 90.0, "2"), fragment(2, 10.0, 90.0, left=9.0), fragment(2, 10.0, 90.0, header="x")):
-        assert layout.grouped([first, other]) == [1, 2]
+        assert grouped([first, other]) == [1, 2]
+
+
+def test_tables_between_rules(spark):
+    """A table below its caption; one whose head has parts that its columns lack; one that a grid covers; two rules are none."""
+    rule = lambda page, y, x0=20.0, x1=200.0: (page, x0, x1, y, y + 1.0, 250.0, 800.0)
+    rules = [rule(p, y, 20.0 + k % 2, 201.0 - k % 2) for p in (1, 2, 3) for k, y in enumerate((120.0, 140.0, 200.0))] + [rule(4, 120.0), rule(4, 140.0)] + [rule(5, y) for y in (300.0, 320.0, 400.0)]
+    captions = [(p, 1, 20.0, 90.0, 100.0, 112.0) for p in range(1, 6)]
+    word = lambda page, x, y, text, wide=30.0: (page, x, x + wide, y - 8, y, text)
+    words = [word(p, x, y, f"{x:.0f}/{y:.0f}") for p in range(1, 6) for y in (135.0, 160.0, 161.5, 180.0) for x in (25.0, 120.0)]
+    words += [word(2, 60.0, 135.0, "more", 20.0), word(2, 30.0, 180.0, "long", 60.0)]
+    frames = [
+        spark.createDataFrame(rules, "page int, x0 double, x1 double, y0 double, y1 double, width double, height double"),
+        spark.createDataFrame(captions, "page int, caption_id int, x0 double, x1 double, top double, bottom double"),
+        spark.createDataFrame(words, "page int, x0 double, x1 double, top double, y double, word string"),
+    ]
+    grids = spark.createDataFrame([(3, 30.0, 60.0, 150.0, 170.0), (1, 30.0, 60.0, 500.0, 600.0)], "page int, x0 double, x1 double, top double, bottom double")
+    tables = layout.rule_tables(*frames, grids)
+    assert [(r["page"], r["caption_id"], r["top"], r["head"], r["bottom"]) for r in tables.collect()] == [(1, 1, 120.5, 140.5, 200.5)]
+    cells = {(r["row"], r["col"]): r["text"] for r in layout.rule_cells(tables, frames[2]).collect()}
+    assert cells == {(0, 0): "25/135", (0, 1): "120/135", (1, 0): "25/160 25/162", (1, 1): "120/160 120/162", (2, 0): "25/180", (2, 1): "120/180"}
 
 
 def test_pages_and_tables_become_documents(spark):
