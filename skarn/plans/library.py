@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skarn.functions.text import is_blank, is_placeholder, tokens
-from skarn.operators import chunking, index
+from skarn.operators import chunking, index, lateral
 from skarn.plans.registry import query, table
 from skarn.sources import files
 
@@ -169,6 +169,27 @@ def chunk_semantic(spark, d):
     return chunking.chunks(table(spark, d, "documents"), "semantic", SIZE, OVERLAP).select("doc_id", "chunk_index", "start_index", "end_index", "chunk_id")
 
 
+@query("chunk_lateral", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, start_index, end_index, text FROM chunks")
+def chunk_lateral(spark, d):
+    """The same by SQL alone, with a table function."""
+    lateral.register(spark)
+    return spark.sql(f"SELECT doc_id, c.* FROM {{docs}} d, LATERAL chunk_text(d.text, 'fixed', {SIZE}, {OVERLAP}) c", docs=table(spark, d, "documents"))
+
+
+@query("chunk_invariants", f"SELECT doc_id, strategy, true AS covered, CAST(0 AS BIGINT) AS oversize, CAST(0 AS BIGINT) AS overlapping FROM documents, (VALUES ('recursive'), ('semantic')) s(strategy) WHERE regexp_matches(text, '\\S')")
+def chunk_invariants(spark, d):
+    """Of either strategy whose cuts SQL cannot tell: chunks leave out blanks alone, none is above the size, none repeats more than the overlap."""
+    docs = table(spark, d, "documents")
+    both = [chunking.chunks(docs, s, SIZE, OVERLAP).select("doc_id", "start_index", "end_index", F.lit(s).alias("strategy")) for s in ("recursive", "semantic")]
+    w = W.partitionBy("doc_id", "strategy").orderBy("start_index", "end_index")
+    cut = both[0].union(both[1]).withColumns({"last": F.coalesce(F.lag("end_index").over(w), F.lit(0)), "next": F.lead("start_index").over(w)})
+    one = cut.join(docs.select("doc_id", "text"), "doc_id")
+    blank = lambda a, b: ~F.col("text").substr(a + 1, F.greatest(b - a, F.lit(0))).rlike(r"(?U)\S")
+    tail = F.when(F.col("next").isNull(), blank(F.col("end_index"), F.length("text"))).otherwise(True)
+    facts = [F.min(blank(F.col("last"), F.col("start_index")) & tail).alias("covered"), F.count_if(F.col("end_index") - F.col("start_index") > SIZE).alias("oversize"), F.count_if(F.col("last") - F.col("start_index") > OVERLAP).alias("overlapping")]
+    return one.groupBy("doc_id", "strategy").agg(*facts)
+
+
 @query("chunk_line_spans", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, CAST(1 + length(substring(whole, 1, start_index)) - length(replace(substring(whole, 1, start_index), chr(10), '')) AS INT) AS line_start, CAST(1 + length(substring(whole, 1, end_index - 1)) - length(replace(substring(whole, 1, end_index - 1), chr(10), '')) AS INT) AS line_end FROM chunks")
 def chunk_line_spans(spark, d):
     docs = table(spark, d, "documents").withColumn("line_start", F.lit(1))

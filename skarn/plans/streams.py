@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skarn.plans import conversation  # noqa: F401 - its trace is what the stream has to give
 from skarn.plans.registry import ORACLES, query, table
+from skarn.sources import files, readers
 from skarn.streaming import jobs
 
 
@@ -75,3 +76,14 @@ def win_sliding(spark, d):
 @query("win_session", "WITH f AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM f) SELECT user_id, min(t) AS start, max(t) + 21600000000 AS stop, count(*) AS n FROM g GROUP BY user_id, s")
 def win_session(spark, d):
     return jobs.run(jobs.sessions(jobs.event_time(jobs.stream(spark, d, "events")), "6 hours"), "complete", "sessions")
+
+
+@query("stream_lines", "SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY user_id")
+def stream_lines(spark, d):
+    """Events written as JSON lines, read back as a stream by bytes."""
+    readers.register(spark)
+    root = files.scratch_path(spark, "lines")
+    table(spark, d, "events").select(F.to_json(F.struct("event_id", "user_id", "event_type")).alias("value")).write.text(root)
+    lines = spark.readStream.format("skarn_lines").option("suffix", ".txt").load(root)
+    events = readers.parsed_lines(lines, "event_id long, user_id long").where("not invalid")
+    return jobs.run(events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last")), "complete", "lines-read")

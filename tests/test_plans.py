@@ -13,7 +13,7 @@ PYTHON = {"chunk_recursive", "chunk_semantic", "table_windows", "context_pack",
 #: Vector search is one matrix product a batch.
 PYTHON |= {"vector_topk", "rrf_fusion", "hybrid_search", "overfetch_topk", "vector_index_topk"}
 #: Pages are parsed as trees.
-PYTHON |= {"page_tree"}
+PYTHON |= {"page_tree", "chunk_lateral", "chunk_invariants"}
 STREAMS = {n for n in QUERIES if n.startswith(("stream_", "win_")) or n == "cache_replay"}
 
 
