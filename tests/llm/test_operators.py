@@ -725,3 +725,28 @@ def test_contamination_of_repeated_item_ids(spark):
     docs = spark.createDataFrame([(5, f"x {one} y {two} z")], "doc_id long, text string")
     got = sorted(((r.item_id, r.distance, r.start) for r in decontaminate.contamination(docs, bench).collect()), key=str)
     assert got == sorted([(1, 0, 2), (1, 0, 5 + len(one)), (None, 0, 5 + len(one))], key=str)
+
+
+def test_vocabularies_of_any_size_and_kind(spark, tmp_path):
+    """A unigram model that is written, not trained: its scores are log weights, whole numbers or not, and 256,000 pieces find their places."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    def model(pieces):
+        out = sentencepiece_model_pb2.ModelProto()
+        out.trainer_spec.model_type = out.trainer_spec.UNIGRAM
+        for piece, kind, score in [("<unk>", 2, 0.0), ("<s>", 3, 0.0), ("</s>", 3, 0.0), *((p, 1, s) for p, s in pieces)]:
+            entry = out.pieces.add()
+            entry.piece, entry.type, entry.score = piece, kind, score
+        (tmp_path / "m.model").write_bytes(out.SerializeToString())
+        return lattice_lm.load_vocabulary(str(tmp_path / "m.model"))
+
+    many = model([(f"▁w{k}", -float(k % 9 + 1)) for k in range(256_000)])
+    assert (many.ids(many.hashes) == np.arange(len(many.hashes))).all() and len(many.hashes) == 256_000 + 256
+    few = model([("▁", -1.0), ("a", -2.0), ("b", -3.0), ("ab", -2.0), ("▁ab", -4.0)])
+    weight = {b" ": math.exp(-1), b"a": math.exp(-2), b"b": math.exp(-3), b"ab": math.exp(-2), b" ab": math.exp(-4)}
+    least = min(weight.values())
+    sums = sum(weight.values()) + least * (256 - 3)
+    share = lambda *p: math.prod(weight[x] / (1.1 * sums) for x in p)
+    want = math.log(share(b" ", b"a", b"b") + share(b" ", b"ab") + share(b" ab"))
+    got = lattice_lm.word_scores(lattice_lm.Words(pa.array([b"ab"], pa.binary())), few)
+    assert got[0] == pytest.approx(want, rel=1e-9)

@@ -162,4 +162,10 @@ def test_stages_keep_one_of_repeated_rows(spark):
     left = sorted((r.text or "") for r in out.collect())
     assert left == sorted([text, other, prose(3, 200), prose(4, 200), "", "", ""])
     after = corpus_pipeline.repeated_passages_out(spark, out, D)
-    assert sorted(r.text for r in after.collect()) == left and after.columns == docs.columns
+    assert sorted((r.text or "") for r in after.collect()) == left and after.columns == docs.columns
+
+
+def test_passages_leave_null_texts_alone(spark):
+    rows = spark.createDataFrame([(1, None, None, "x"), (2, "", 0, "y"), (3, "a short one", 11, None)], "doc_id long, text string, n_chars long, source string")
+    kept = dict(corpus_pipeline.STAGES)["suffix_array_dedup"](spark, rows, D)
+    assert kept.columns == rows.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect()))
