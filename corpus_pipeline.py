@@ -17,12 +17,13 @@ from skarn.llm.queries import tokenizer_path
 from skarn.llm.substring_dedup import substring_dedup
 from skarn.llm.toxicity import scored, train
 
-#: SQL can express neither the classifier nor the sketches; tests hold each stage against brute force.
+#: SQL can express neither the classifier nor the sketches; tests hold stages and operators against plain versions.
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, does not call toxic."""
+    """Documents that the classifier, fitted on the labelled ones, does not call toxic; null and empty texts are judged as texts
+    without features, and rows that repeat share one judgement of their text."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     own = {c: f"own {c}" for c in ("score", "predicted")}  # columns of these names stay as they came
     kept = scored(docs.withColumnsRenamed(own), model).where("predicted = 0")
@@ -53,19 +54,23 @@ def repeated_passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents without the characters that strings of 200 bytes found elsewhere too cover in full.
 
     As operator 2 has it, no first copy of such a string stays: a passage that several documents hold leaves them all.
+    A null text stays null, with the n_chars that it came with.
     """
-    kept = substring_dedup(docs)
-    rest = [F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return kept.select(rest)
+    mark = spare(docs, "has text")
+    kept, whole = substring_dedup(docs.withColumn(mark, F.col("text").isNotNull())), F.col(f"row.`{mark}`")
+    text = F.when(whole, F.col("kept_text"))
+    length = F.when(whole, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    changed = {"text": text, "n_chars": length}
+    return kept.select([(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def benchmark_leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within a fifth of its length in edits."""
+    """Documents that hold no benchmark item within a fifth of its length in edits; null and empty texts hold none."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and the sequence that each goes to."""
+    """Pieces of at most 2048 tokens and the sequence that each goes to; null and empty texts are one token, repeats packed each."""
     return best_fit_packing(docs, tokenizer_path())
 
 
