@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skarn.config import Settings
 from skarn.functions.models import Encoder, HashEncoder, encoded
 from skarn.functions.text import expanded, is_placeholder, stripped_request, tokens
-from skarn.operators import evidence, index, ivf, lexical, retrieve
+from skarn.operators import evidence, index, ivf, retrieve, segments
 from skarn.operators.chunking import chunks
 from skarn.sources import files
 from skarn.tables import Table
@@ -21,9 +21,15 @@ CHUNK = "chunk_id string, doc_id string, source_file string, file_type string, b
 ORIGINAL = "doc_id string, source_file string, content binary"
 #: The columns that chunks of one piece of a document share.
 PARENT = ["doc_id", "source_file", "file_type", "block_type", "page_number", "paragraph_index", "table_index"]
+#: The fingerprint of the chunks, the version of their table that it is of, and whether a write has begun since.
+PRINT = "low string, middle string, high string, n long, version long, begun boolean"
 MANIFEST = "doc_id string, source_file string, status string, error string, expected long, complete boolean"
 
 
+def _stamp(state: dict) -> str:
+    return "|".join(str(state[c]) for c in ("low", "middle", "high", "n"))
+
+
 class Library:
     """Chunks with vectors and a manifest of imports. The encoder's name and revision are checked whenever it is opened."""
 
@@ -31,11 +37,12 @@ class Library:
         encoder = make_encoder()
         self.spark, self.settings, self._make = spark, settings, make_encoder
         self._encoder, self._root = encoder, root
-        self._lexicon: tuple[list[str], lexical.Lexical] | None = None
         self.chunks = Table(spark, f"{root}/chunks", CHUNK, {"model": encoder.name, "revision": encoder.revision, "width": encoder.width, "space": "cosine"})
         self.manifest = Table(spark, f"{root}/manifest", MANIFEST)
         self.originals = Table(spark, f"{root}/originals", ORIGINAL)
         self.vectors = Table(spark, f"{root}/vectors", "root string")
+        self.prints = Table(spark, f"{root}/prints", PRINT)
+        self.words = segments.Segments(spark, f"{root}/lexical", "chunk_id")
 
     # --- import --------------------------------------------------------------------------------
 
@@ -61,9 +68,16 @@ class Library:
         good = tasks.join(loaded.where("status = 'success'").select("task_id"), "task_id", "left_semi")
         kept = good.select("doc_id", F.col("name").alias("source_file"), "content")
         self.originals.append(kept.join(self.originals.read().select("doc_id", "source_file"), ["doc_id", "source_file"], "left_anti"))
+        new = new.persist()  # encoded once, for the store and both indexes
+        before = self.fingerprint()
+        after = index.combined(before, self._print_of(new))
+        self._note(before, begun=True)
+        if self._covered(before):  # else the next search brings the index up to date
+            self.words.add(index.bags(new, normalize=True), _stamp(after))
         if vectors := self.vector_index():
-            vectors.add(new := new.persist())  # encoded once, for the store and the index
+            vectors.add(new)
         self.chunks.append(new)
+        self._note(after)
         new.unpersist()
         return self.audit().join(tasks.select("doc_id").distinct(), "doc_id", "left_semi")
 
@@ -76,10 +90,16 @@ class Library:
 
     def delete(self, doc_id: str) -> int:
         """Removes a document's chunks, then its stored original and manifest row; the number of chunks that went."""
-        removed = self.list_chunks(doc_id).count()
+        gone, before = self.list_chunks(doc_id), self.fingerprint()
+        after = index.combined(before, lost := self._print_of(gone), -1)
+        removed = lost["n"]
+        self._note(before, begun=True)
+        if self._covered(before):
+            self.words.delete(index.bags(gone, normalize=True), _stamp(after))
         if vectors := self.vector_index():
-            vectors.delete(self.list_chunks(doc_id))
+            vectors.delete(gone)
         self.chunks.rewrite(self.chunks.read().where(F.col("doc_id") != doc_id))
+        self._note(after)
         self.originals.rewrite(self.originals.read().where(F.col("doc_id") != doc_id))
         self.manifest.rewrite(self.manifest.read().where(F.col("doc_id") != doc_id))
         return removed
@@ -108,10 +128,32 @@ class Library:
             raise ValueError("no sound original with that id is stored")
         return first[0]["source_file"], files.parse_file(first[0]["source_file"], bytes(first[0]["content"]))
 
+    def _print_of(self, rows: DataFrame) -> dict:
+        return index.corpus_fingerprint(rows.select(F.sha2("chunk_id", 256).alias("h"))).first().asDict()
+
+    def _note(self, state: dict, begun: bool = False) -> None:
+        row = (state["low"], state["middle"], state["high"], state["n"], self.chunks.version, begun)
+        self.prints.rewrite(self.spark.createDataFrame([row], PRINT).coalesce(1))
+
+    def _covered(self, state: dict) -> bool:
+        """Whether the lexical index is that of the chunks in this state."""
+        stamp = self.words.stamp()
+        return stamp == _stamp(state) or stamp is None and not state["n"]
+
+    def fingerprint(self) -> dict:
+        """The multiset hash of the chunks. Loads and deletes add to it and subtract from it, so no chunk is read.
+
+        It is counted again only where it can't be trusted: a write began and didn't end, or the table was rewritten by others.
+        """
+        held = self.prints.read().first()
+        if held is None or held["begun"] or held["version"] != self.chunks.version:
+            self._note(index.combined(self._print_of(self.chunks.read()), {"low": "", "middle": "", "high": "", "n": 0}))
+            held = self.prints.read().first()
+        return {c: held[c] for c in ("low", "middle", "high", "n")}
+
     def scope(self) -> str:
         """What an answer depends on beside its question: the chunks, the encoder and the settings."""
-        state = index.corpus_fingerprint(self.chunks.read().select(F.sha2("chunk_id", 256).alias("h"))).first()
-        return "|".join(map(str, [*state, self._encoder.name, self._encoder.revision, self.settings]))
+        return "|".join(map(str, [_stamp(self.fingerprint()), self._encoder.name, self._encoder.revision, self.settings]))
 
     def status(self) -> DataFrame:
         """(doc_id, chunks, expected, complete, status) of every document known."""
@@ -138,16 +180,12 @@ class Library:
         q = self.spark.createDataFrame([(0, question)], "query_id long, question string")
         return q.select("query_id", expanded(stripped_request(F.col("question"))).alias("question"))
 
-    def lexicon(self) -> lexical.Lexical:
-        """The lexical index of the chunks as they are now; built again after a load or a delete."""
-        state = sorted(r[0] for r in self.chunks.read().select(F.input_file_name()).distinct().collect())
-        if self._lexicon is None or self._lexicon[0] != state:
-            root = f"{self._root}/lexical-{uuid.uuid4().hex}"
-            old, self._lexicon = self._lexicon, (state, lexical.build(index.bags(self.chunks.read(), normalize=True), root, "chunk_id"))
-            if old:
-                folder = self.spark._jvm.org.apache.hadoop.fs.Path(old[1].root)
-                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-        return self._lexicon[1]
+    def lexicon(self) -> segments.Live:
+        """The lexical index of the chunks as they are now. Loads add segments and deletes tombstones; what was missed is made up for here."""
+        state = _stamp(self.fingerprint())
+        if self.words.stamp() != state:
+            self.words.sync(index.bags(self.chunks.read(), normalize=True), state)
+        return self.words.live()
 
     def _lexical(self, question: str, k: int, doc_id: str | None) -> DataFrame:
         words = self.lexicon()

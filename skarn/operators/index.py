@@ -55,6 +55,13 @@ def corpus_fingerprint(hashes: DataFrame) -> DataFrame:
     return hashes.agg(hexed(digits(1, 15)).alias("low"), hexed(digits(16, 15)).alias("middle"), high.alias("high"), F.count("*").alias("n"))
 
 
+def combined(a: dict, b: dict, sign: int = 1) -> dict:
+    """The fingerprint of a's hashes and b's together, or of a's without b's, which a has: bitwise sums undo themselves."""
+    a, b = ({"low": r["low"] or "0", "middle": r["middle"] or "0", "high": r["high"] or "0", "n": r["n"]} for r in (a, b))
+    bits = {c: f"{int(a[c], 16) ^ int(b[c], 16):X}" for c in ("low", "middle")}
+    return bits | {"high": str(int(a["high"]) + sign * int(b["high"])), "n": a["n"] + sign * b["n"]}
+
+
 def load_audit(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(doc_id, expected, actual, ok): counts after a load against what was to be loaded."""
     a = actual.groupBy("doc_id").agg(F.count("*").alias("actual"))

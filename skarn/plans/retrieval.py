@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skarn.functions import text as tx
-from skarn.operators import index, ivf, lexical, retrieve
+from skarn.operators import index, ivf, lexical, retrieve, segments
 from skarn.plans.registry import query, table
 
 # DuckDB's twin of the lexical index over whole documents.
@@ -87,6 +87,15 @@ def bm25_topk(spark, d):
     return retrieve.top(bm25(spark, d), 10, "query_id", F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", rounded())
 
 
+@query("segments_topk", f"WITH {BM25_SQL} SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(score, 6) AS score FROM bm_top WHERE rank <= 10")
+def segments_topk(spark, d):
+    """The same search over an index that three loads, a delete and another load put together."""
+    type_ = table(spark, d, "documents").schema["doc_id"].dataType.simpleString()
+    words = segments.grown(spark, f"{d}/documents.parquet", "doc_id", type_).live()
+    scores = words.scores(words.asked(questions(spark, d))).withColumn("score", F.round("score", 9))
+    return retrieve.top(scores, 10, "query_id", F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", rounded())
+
+
 ASKED_SQL = """
 q AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, e.vec_id AS doc_id, e.label = q.label AS same, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), v), 9) AS score FROM embeddings e, q)

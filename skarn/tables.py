@@ -61,6 +61,12 @@ class Table:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(path)
 
+    def earlier(self, column: str) -> set:
+        """Values of a column in the versions that stay behind the current one; for tables of few rows."""
+        found = self._fs.globStatus(self._path(f"{self.root}/v*")) or []
+        paths = [str(f.getPath()) for f in found]
+        return {r[0] for r in self.spark.read.schema(self.schema).parquet(*paths).select(column).distinct().collect()} if paths else set()
+
     def append(self, rows: DataFrame) -> None:
         rows.select(self.schema.names).write.mode("append").parquet(self._version(self.version))
 
