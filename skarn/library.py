@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skarn.config import Settings
 from skarn.functions.models import Encoder, HashEncoder, encoded
 from skarn.functions.text import expanded, is_placeholder, stripped_request, tokens
-from skarn.operators import evidence, index, ivf, retrieve, segments
+from skarn.operators import aliases, evidence, index, ivf, retrieve, segments
 from skarn.operators.chunking import chunks
 from skarn.sources import files
 from skarn.tables import Table
@@ -113,9 +113,11 @@ class Library:
     def count(self) -> int:
         return self.chunks.read().count()
 
-    def stored(self) -> DataFrame:
-        """(doc_id, name, copies) of stored originals whose bytes still have the hash that names them."""
+    def stored(self, question: str | None = None) -> DataFrame:
+        """(doc_id, name, copies) of stored originals whose bytes still have the hash that names them; of those a question may name, if one is given."""
         held = self.originals.read()
+        if question is not None:
+            held = held.where(aliases.may_name(question, F.col("source_file")))
         return files.sound_originals(held.select(F.col("doc_id").alias("folder"), F.col("source_file").alias("name"), "content"))
 
     def original(self, doc_id: str) -> tuple[str, list[dict]]:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skarn.functions import text as tx
-from skarn.operators import evidence, memory, retrieve, telemetry
+from skarn.operators import aliases, evidence, memory, retrieve, telemetry
 from skarn.plans.library import CHUNKS_SQL, fixed_chunks
 from skarn.plans.registry import query, table
 from skarn.plans.retrieval import BM25_SQL, bm25
@@ -87,6 +87,28 @@ def unique_alias(spark, d):
     return a.groupBy("alias").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most")).where("doc_id = most").drop("most")
 
 
+MENTIONS_SQL = """
+WITH n AS (SELECT doc_id, regexp_extract(lower(text), '[a-z]+ [a-z]+') AS name FROM documents),
+a AS (SELECT name AS alias, doc_id FROM n WHERE name <> '' UNION SELECT string_split(name, ' ')[1], doc_id FROM n WHERE name <> ''),
+u AS (SELECT alias, CASE WHEN count(DISTINCT doc_id) = 1 THEN min(doc_id) END AS doc, length(alias) AS size FROM a GROUP BY alias),
+t AS (SELECT conv_id, turn, x, unnest(generate_series(1, length(x))) AS i FROM (SELECT conv_id, turn, lower(text) AS x FROM conversations)),
+p AS (SELECT conv_id, turn, i, size, substr(x, i, size) AS alias FROM t, (SELECT DISTINCT size FROM u)
+ WHERE i + size <= length(x) + 1 AND (i = 1 OR NOT regexp_matches(substr(x, i - 1, 1), '[a-z0-9]')) AND NOT regexp_matches(substr(x, i + size, 1), '[a-z0-9]')),
+h AS (SELECT conv_id, turn, i - 1 AS start, i - 1 + p.size AS stop, alias, doc FROM p JOIN u USING (alias))
+SELECT conv_id, turn, CAST(start AS INT) AS start, alias, doc AS doc_id FROM h WHERE doc IS NOT NULL AND NOT EXISTS
+ (SELECT 1 FROM h e WHERE e.conv_id = h.conv_id AND e.turn = h.turn AND e.start <= h.start AND h.stop <= e.stop AND e.stop - e.start > h.stop - h.start)
+"""
+
+
+@query("alias_mentions", MENTIONS_SQL)
+def alias_mentions(spark, d):
+    """Documents that conversations name: by the first two plain words of their texts, or the first alone, where no other document has them."""
+    name = F.regexp_replace(F.regexp_extract(F.lower("text"), "[a-z]+ [a-z]+", 0), " ", ".")
+    held = aliases.aliases(table(spark, d, "documents").select("doc_id", name.alias("name"))).withColumn("alias", F.replace("alias", F.lit("."), F.lit(" ")))
+    found = aliases.mentions(table(spark, d, "conversations"), held, ["conv_id", "turn"])
+    return found.select("conv_id", "turn", "start", "alias", F.col("doc").alias("doc_id"))
+
+
 @query("distinct_pages", "SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page FROM lineitem")
 def distinct_pages(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).distinct()
