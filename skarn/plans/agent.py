@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as tx
 from skarn.functions.calculator import calculate
-from skarn.operators import agent, chunking, evidence, retrieve
+from skarn.operators import agent, chunking, evidence, retrieve, spans
 from skarn.plans.conversation import PACK_SQL, candidates
 from skarn.plans.library import CHUNKS_SQL, fixed_chunks
 from skarn.plans.registry import query, table
@@ -107,6 +107,28 @@ def paper_metadata(spark, d):
     return table(spark, d, "documents").select("doc_id", parsed("text").alias("m")).select("doc_id", "m.*")
 
 
+EVIDENCE_SQL = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents),
+w AS (SELECT doc_id, line, len(list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '')) AS n FROM (SELECT doc_id, unnest(lines) AS x, unnest(generate_series(1, len(lines))) AS line FROM l)),
+r AS (SELECT doc_id, line, sum(n) OVER (PARTITION BY doc_id ORDER BY line) - n AS first_word, n FROM w),
+o AS (SELECT doc_id, array_to_string(string_split(flat, ' ')[1:8], ' ') AS claim FROM l WHERE len(string_split(flat, ' ')) >= 8),
+c AS (SELECT doc_id, 'opening' AS field, claim FROM o UNION ALL SELECT doc_id - 1, 'next', claim FROM o),
+f AS (SELECT doc_id, field, claim, strpos(flat, claim) AS p, flat FROM c JOIN l USING (doc_id)),
+h AS (SELECT doc_id, field, len(string_split(substr(flat, 1, p), ' ')) - 1 AS pos FROM f WHERE p > 0)
+SELECT doc_id, field, CAST(min(line) AS INT) AS first_line, CAST(max(line) AS INT) AS last_line FROM h JOIN r USING (doc_id) WHERE n > 0 AND first_word < pos + 8 AND first_word + n > pos GROUP BY doc_id, field
+"""
+
+
+@query("paper_evidence", EVIDENCE_SQL)
+def paper_evidence(spark, d):
+    """Claims that each document opens with its own first eight words, and with those of the next: which hold, and on what lines."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    own = docs.where(F.size(words) >= 8).select("doc_id", F.lit("opening").alias("field"), F.array_join(F.slice(words, 1, 8), " ").alias("value"))
+    claims = own.unionByName(own.select(F.col("doc_id") - 1, F.lit("next"), "value").toDF("doc_id", "field", "value"))
+    return spans.verified(docs, claims).select("doc_id", "field", "first_line", "last_line")
+
+
 RAG_SQL = f"""WITH {PACK_SQL}, p AS (SELECT query_id, list(doc_id ORDER BY n) AS doc_ids, max(used) AS used, bool_or(truncated) AS truncated FROM walk WHERE taken GROUP BY query_id)
 SELECT item_id AS query_id, CASE WHEN doc_ids IS NULL THEN 'empty' ELSE 'grounded' END AS mode, array_to_string(doc_ids, ',') AS doc_ids, CAST(used AS INT) AS context_chars, truncated FROM benchmark LEFT JOIN p ON item_id = query_id"""
 

@@ -12,8 +12,8 @@ D = "/root/testdata/sf0.001"
 PYTHON = {"chunk_recursive", "chunk_semantic", "table_windows", "context_pack", "rag_answer", "layout_captions", "calculator", "paper_metadata", "import_status", "chunk_line_spans"}
 #: Vector search is one matrix product a batch.
 PYTHON |= {"vector_topk", "rrf_fusion", "hybrid_search", "overfetch_topk", "vector_index_topk"}
-#: Names are found by automata.
-PYTHON |= {"alias_mentions"}
+#: Names are found by automata, claims in normal forms.
+PYTHON |= {"alias_mentions", "paper_evidence"}
 #: Pages are parsed as trees.
 PYTHON |= {"page_tree", "chunk_lateral", "chunk_invariants"}
 STREAMS = {n for n in QUERIES if n.startswith(("stream_", "win_")) or n == "cache_replay"}
