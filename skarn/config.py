@@ -18,6 +18,8 @@ class Settings:
     rrf_k: int = 60
     max_context_chars: int = 9000
     max_prompt_chars: int = 18000
+    window_tokens: int = 16384
+    output_tokens: int = 1024
     low_relevance: float = 0.1
     cache_entries: int = 100
     cache_similarity: float = 0.97
@@ -46,6 +48,8 @@ class Settings:
                 raise ValueError(f"{f.name}: {v!r} is not allowed")
         if self.chunk_overlap >= self.chunk_size:
             raise ValueError("chunk_overlap must be less than chunk_size")
+        if self.output_tokens >= self.window_tokens:
+            raise ValueError("output_tokens must be less than window_tokens")
         if not (self.low_relevance < 1 and self.cache_similarity <= 1):
             raise ValueError("thresholds lie between 0 and 1")
 

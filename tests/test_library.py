@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import skarn.assistant as assistant_module
 from skarn.assistant import Assistant, reading_order, run_session
 from skarn.config import Settings, load
 from skarn.functions.models import ExtractiveGenerator, HashEncoder
@@ -175,3 +176,32 @@ def test_names_and_order():
     assert agent.named_documents("what of b?", names) == [] and agent.named_documents("a and b.md", names) == ["1", "4"]
     texts = ["title", "Abstract. x", "i", "ii", "iii", "iv", "v", "5. Conclusions", "after", "more", "last"]
     assert reading_order(texts) == [1, 2, 3, 4, 5, 7, 8, 9, 6, 10]
+
+
+def test_answers_fit_the_window_of_the_model(spark, assistant):
+    who, _ = assistant
+    q = "How does the method use the patch encoder?"
+    whole = who.answer(q, confirm=None)
+    counted = []
+
+    def tokens(question, context):
+        counted.append(len(context))
+        return len(context) // 2 + len(question)
+
+    narrow = Settings(**{**vars(who.library.settings), "window_tokens": 200, "output_tokens": 40})
+    who.library.settings = narrow
+    got = Assistant(who.library, ExtractiveGenerator(), tokens=tokens).answer(q)
+    size = lambda rows: len(assistant_module.context_of(rows))
+    assert size(got["references"]) // 2 + len(q) <= 160 < size(whole["references"]) // 2 + len(q) and got["references"] and len(counted) > 2
+    with pytest.raises(ValueError):
+        Assistant(who.library, ExtractiveGenerator(), tokens=lambda question, context: 161).answer(q)
+
+
+def test_long_questions_are_answered_by_their_equal_alone(spark, assistant):
+    who, _ = assistant
+    cache, base = who.cache, "what use has the encoder " * 11
+    kept = {"status": "answered", "mode": "grounded", "warnings": [], "invalid": [], "missing": False, "cited": [1], "answer": "x"}
+    assert len(base) > assistant_module.COMPARED and cache.put(base, kept, "s")
+    assert cache.lookup(base, "s")["cache"]["mode"] == "exact" and cache.lookup(base + "?", "s") is None
+    assert cache.put("what use has the encoder", kept, "s") and cache.lookup("what use has the encoder?", "s")["cache"]["mode"] == "semantic"
+    assert cache.lookup(base + "?", "s") is None

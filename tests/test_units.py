@@ -533,3 +533,12 @@ def test_unknown_is_not_zero(spark):
     df = spark.createDataFrame([(1, 2.0), (1, None), (2, 3.0)], "k int, v double")
     got = {r.k: r.s for r in df.groupBy("k").agg(telemetry.known_sum(F.col("v")).alias("s")).collect()}
     assert got == {1: None, 2: 3.0}
+
+
+def test_tokens_of_requests():
+    from skarn.config import Settings
+    from skarn.functions.models import request_tokens
+
+    assert request_tokens("", "") == 0 and request_tokens("ab", "") == 1 and request_tokens("abcde", "") == 2 and request_tokens("什么?", "a b") == 5
+    with pytest.raises(ValueError):
+        Settings(window_tokens=10, output_tokens=10)
