@@ -47,3 +47,12 @@ def test_metadata_with_authors_and_lines():
     assert got["missing"] == ["doi", "abstract"]
     none = agent.with_evidence(agent.metadata([]), [])
     assert none["evidence"] == {} and none["missing"] == ["title", "year", "doi", "abstract", "authors"]
+
+
+def test_exact_claims_are_taken_as_written(spark):
+    docs = [(1, "The The\n\n  the  the end"), (2, "lathe\tthe end"), (3, "THE END"), (4, "a  b\nc")]
+    claims = [(1, "f", "the the"), (1, "g", "e the"), (2, "f", "the the end"), (3, "f", "the end"), (4, "f", "a b c"), (4, "g", " ")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(claims, "doc_id long, field string, value string")
+    got = spans.verified(*frames, exact=True)
+    assert sorted(map(tuple, got.collect())) == [(1, "f", "the  the", 3, 3), (1, "g", "e\n\n  the", 1, 3), (2, "f", "the\tthe end", 1, 1), (4, "f", "a  b\nc", 1, 2)]
+    assert ("f", "THE END") in {(r.field, r.value) for r in spans.verified(*frames).collect()}
