@@ -240,6 +240,25 @@ def test_lattice_recursion_sums_all_segmentations():
     assert np.exp(vocab.weights[:-1]).sum() + math.exp(vocab.end) == pytest.approx(1, abs=0.02)
 
 
+def test_lattice_learns_words_and_pieces(spark):
+    """Held-out texts of known words cost about what the base says, new words made of known parts less than by the file's weights."""
+    r = random.Random(11)
+    parts = ["zorq", "vlim", "tekk", "hupo", "wyx", "gnad"]
+    common = ["".join(r.choices(parts, k=2)) for _ in range(12)]
+    rows = [(k, " ".join([*r.choices(common, k=60), "".join(r.choices(parts, k=5))])) for k in range(400)]
+    got = lattice_lm.lattice_scores(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()
+    assert all(math.isfinite(x.score) for x in got) and len(got) == len(rows)
+    base, score = (sum(x[c] for x in got if x.held_out) for c in ("base_score", "score"))
+    assert score > 1.3 * base
+    vocab = lattice_lm.load_vocabulary(PIECES)
+    fit = lattice_lm.fitted(vocab, [t.split()[-1].encode() for k, t in rows if k < 300])
+    new = lattice_lm.Words(pa.array([rows[-1][1].split()[-1].encode()], pa.binary()))
+    assert lattice_lm.word_scores(new, fit)[0] > lattice_lm.word_scores(new, vocab)[0] + 10
+    assert np.exp(fit.weights[:-1]).sum() == pytest.approx(1 / 1.1) and np.isfinite(fit.weights[:-1]).all()
+    learned = np.array([5, 3, 0])
+    assert (10 ** lattice_lm._mixed(learned, np.log([0.2, 0.3, 0.4]), 10, 3)).sum() == pytest.approx((8 + 3 * 0.9) / 13)
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 
