@@ -2,11 +2,13 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skarn.library import Library
-from skarn.operators import ivf, retrieve
+from skarn.operators import ivf, memory, retrieve
 from skarn.plans import QUERIES
 
 D = "/root/testdata/sf0.1"
@@ -87,3 +89,25 @@ def test_placeholders_are_fetched_past(spark, tmp_path):
     library.load(f"file://{tmp_path}/in")
     rows = library.hybrid("apple", 5).collect()
     assert len(rows) == 5 and all("says text" in r["text"] for r in rows)
+
+
+def test_products_are_bounded_and_hold_groups(spark, monkeypatch):
+    """Slices of a batch give what all pairs give, ties by key, each question within its group; one task gives on k rows a question."""
+    monkeypatch.setattr(retrieve, "PRODUCT", 64)
+    r = np.random.default_rng(5)
+    v, group = r.integers(-2, 3, (300, 4)) + 0.5, r.integers(0, 4, 300)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    ids, asks = np.arange(300)[::-1].copy(), np.arange(0, 300, 11)
+    shared = lambda x: type("Shared", (), {"value": x})
+    batch = lambda a, b: pa.RecordBatch.from_pydict({"vec_id": ids[a:b], "embedding": v[a:b].tolist(), "g": group[a:b]})
+    for by in (None, "g"):
+        asked = shared((asks, unit[asks], [None] * len(asks) if by is None else group[asks].tolist()))
+        found = pa.Table.from_batches(retrieve._nearest([batch(0, 170), batch(170, 300)], "vec_id", asked, 5, by)).to_pylist()
+        score = np.round(np.clip(unit[asks] @ unit.T, -1, 1), 9)
+        want = set()
+        for n, a in enumerate(asks):
+            rows = [x for x in range(300) if by is None or group[x] == group[a]]
+            want |= {(int(a), int(ids[x]), score[n, x]) for x in sorted(rows, key=lambda x: (-score[n, x], ids[x]))[:5]}
+        assert {(f["query_id"], f["vec_id"], f["score"]) for f in found} == want and len(found) == len(want)
+    pairs = pa.Table.from_batches(retrieve._scored([batch(0, 170), batch(170, 300)], "vec_id", shared((asks, unit[asks], None)))).to_pylist()
+    assert {(p["query_id"], p["vec_id"]): p["score"] for p in pairs} == {(int(a), int(ids[x])): score[n, x] for n, a in enumerate(asks) for x in range(300)}
