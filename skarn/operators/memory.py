@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skarn.operators.retrieve import nearest
+
 #: How roles of other systems map to human and ai; the rest has none.
 ROLES = {"user": "human", "human": "human", "assistant": "ai", "ai": "ai"}
 
@@ -73,17 +75,25 @@ def admissible(done: Column, mode: Column, answer: Column, citations: Column, wa
 SMALL = 10_000
 
 
-def cache_lookup(questions: DataFrame, entries: DataFrame, similarity: Column, threshold: float = 0.97) -> DataFrame:
+def cache_lookup(questions: DataFrame, entries: DataFrame, similarity: Column | None = None, threshold: float = 0.97) -> DataFrame:
     """(query_id, entry, mode, similarity) of each question's hit: the same text first, else the most similar entry with equal constraints, the earliest of equals.
 
     questions: query_id, question, c (constraints), vector; entries: entry, e_question, e_c, e_vector. The constraints are
     the join key, so similarity is computed within a key alone. Up to SMALL questions go to every task: entries then stay
-    where they are, and no key is gathered.
+    where they are, and no key is gathered. Without a similarity it is the cosine of the vectors to nine digits, as matrix products.
     """
+    plain = questions
     if questions.limit(SMALL + 1).count() <= SMALL:
         questions = F.broadcast(questions)
     exact = questions.join(entries, F.col("question") == F.col("e_question")).groupBy("query_id").agg(F.min("entry").alias("entry")).select("query_id", "entry", F.lit("exact").alias("mode"), F.lit(1.0).alias("similarity"))
     rest = questions.join(exact.select("query_id"), "query_id", "left_anti")
-    near = rest.join(entries, F.col("c") == F.col("e_c")).withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
+    if similarity is None:
+        # Constraints of any type as one text; those that are null fit none.
+        form = lambda c: F.when(F.col(c).isNotNull(), F.to_json(F.struct(c))).alias("c")
+        held = entries.select("entry", F.col("e_vector").alias("embedding"), F.col("e_c").alias("c")).withColumn("c", form("c"))
+        asked = plain.join(exact.select("query_id"), "query_id", "left_anti").select("query_id", F.col("vector").alias("query"), form("c"))
+        near = nearest(held, asked, 1, "entry", by="c").withColumnRenamed("score", "similarity").where(F.col("similarity") >= threshold)
+    else:
+        near = rest.join(entries, F.col("c") == F.col("e_c")).withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
     best = near.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("entry")).alias("e"))).alias("b"))
     return exact.union(best.select("query_id", (-F.col("b.e")).alias("entry"), F.lit("semantic").alias("mode"), "b.similarity"))

@@ -252,7 +252,7 @@ def cache_lookup(spark, d):
     e, i = table(spark, d, "embeddings"), F.col("vec_id").cast("string")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("q"), i).alias("question"), F.col("label").alias("c"), F.col("embedding").alias("vector"))
     held = e.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("entry"), F.concat(F.lit("e"), i).alias("e_question"), F.col("label").alias("e_c"), F.col("embedding").alias("e_vector"))
-    hit = memory.cache_lookup(q, held, F.round(tx.cosine(F.col("vector"), F.col("e_vector")), 9), 0.2)
+    hit = memory.cache_lookup(q, held, threshold=0.2)
     return hit.select("query_id", "entry", "mode", F.round("similarity", 6).alias("similarity"))
 
 

@@ -111,3 +111,9 @@ def test_products_are_bounded_and_hold_groups(spark, monkeypatch):
         assert {(f["query_id"], f["vec_id"], f["score"]) for f in found} == want and len(found) == len(want)
     pairs = pa.Table.from_batches(retrieve._scored([batch(0, 170), batch(170, 300)], "vec_id", shared((asks, unit[asks], None)))).to_pylist()
     assert {(p["query_id"], p["vec_id"]): p["score"] for p in pairs} == {(int(a), int(ids[x])): score[n, x] for n, a in enumerate(asks) for x in range(300)}
+
+
+def test_cache_by_products(spark):
+    q = spark.createDataFrame([(1, "a", "x", [1.0, 0.0]), (2, "b", "y", [0.0, 1.0]), (3, "c", None, [1.0, 0.0]), (4, "e7", "x", [1.0, 1.0])], "query_id long, question string, c string, vector array<double>")
+    held = spark.createDataFrame([(7, "e7", "x", [0.9, 0.1]), (5, "e5", "x", [1.8, 0.2]), (6, "e6", "y", [1.0, 0.1]), (9, "e9", None, [1.0, 0.0])], "entry long, e_question string, e_c string, e_vector array<double>")
+    assert sorted((r.query_id, r.entry, r.mode) for r in memory.cache_lookup(q, held, threshold=0.5).collect()) == [(1, 5, "semantic"), (4, 7, "exact")]
