@@ -58,31 +58,28 @@ def _placed(batches, centroids):
             yield out.append_column("home", pa.array(near[:, 0])).append_column("cell", pa.array(near[:, k]))
 
 
-def _probed(batches, centroids, probes: int):
-    """(query_id, cell, query, base) of each question's nearest cells; base is the question's product with the centroid."""
-    c = centroids.value
-    half = (c * c).sum(1) / 2
-    for b in batches:
-        if not b.num_rows:
-            continue
-        unit = _unit(b.column("query"), b.num_rows)
-        score = unit @ c.T
-        near = np.argsort(half - score, axis=1, kind="stable")[:, :probes]
-        n = near.shape[1]
-        ids = b.column("query_id").take(pa.array(np.repeat(np.arange(b.num_rows), n)))
-        query = pa.array(np.repeat(unit, n, 0).tolist(), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(near.ravel().astype(np.int32)), query, pa.array(np.take_along_axis(score, near, 1).ravel())], ["query_id", "cell", "query", "base"])
+def _probed(unit: np.ndarray, centroids: np.ndarray, probes: int) -> dict:
+    """Cell by cell which questions look into it, and the product of each with its centroid."""
+    score = unit @ centroids.T
+    near = np.argsort((centroids * centroids).sum(1) / 2 - score, axis=1, kind="stable")[:, :probes]
+    cells, asking = near.ravel(), np.repeat(np.arange(len(unit), dtype=np.int32), near.shape[1])
+    order = np.argsort(cells, kind="stable")
+    cells, asking = cells[order], asking[order]
+    first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+    parts = np.split(asking, first[1:]) if len(cells) else []
+    return {int(cells[a]): (who, score[who, cells[a]].astype(np.float32)) for a, who in zip(first, parts)}
 
 
 def _rough(batches, key: str, asked, shortlist: int):
     """(query_id, home, key, rough): of each batch the best rows of each question that looks into their cells."""
-    by_cell = asked.value
+    every, units, by_cell = asked.value
     for b in batches:
         cells = b.column("cell").to_numpy()
         for cell in np.unique(cells):
             if cell not in by_cell:
                 continue
-            ids, query, base = by_cell[cell]
+            who, base = by_cell[cell]
+            ids, query = every[who], units[who]
             rows = np.flatnonzero(cells == cell)
             code = np.frombuffer(b"".join(b.column("code").take(pa.array(rows)).to_pylist()), np.int8).reshape(len(rows), -1)
             score = base[:, None] + query @ (code.astype(np.float32).T * b.column("scale").to_numpy()[rows].astype(np.float32))
@@ -147,17 +144,20 @@ class VectorIndex:
         """(query_id, home, key, query): the rows that are worth an exact score. Questions go to the tasks in blocks of QUESTIONS."""
         spark, centroids = self.spark, self._centroids()
         probes = probes or self.probes()
-        shared = spark.sparkContext.broadcast(centroids)
         kind = queries.schema["query_id"].dataType.simpleString()
         blocks, out = max(1, -(-queries.count() // QUESTIONS)), None
         for n in range(blocks):
             part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", "query")
-            probed = part.mapInArrow(partial(_probed, centroids=shared, probes=probes), f"query_id {kind}, cell int, query array<double>, base double").collect()
-            by_cell: dict = {}
-            for r in probed:
-                by_cell.setdefault(r["cell"], []).append(r)
-            asked = {c: (np.array([r["query_id"] for r in x]), np.array([r["query"] for r in x], np.float32), np.array([r["base"] for r in x], np.float32)) for c, x in by_cell.items()}
-            held = self.rows().where(F.col("cell").isin([int(c) for c in asked])).select(self.key, "code", "scale", "home", "cell")
+            rows = part.collect()
+            unit = np.array([r["query"] for r in rows], np.float64).reshape(len(rows), -1 if rows else centroids.shape[-1])
+            length = np.sqrt((unit * unit).sum(1))
+            if not (length > 0).all():
+                raise ValueError("a vector is missing or has no length")
+            unit /= length[:, None]
+            by_cell = _probed(unit, centroids, probes)
+            # Each question's vector goes to the tasks once; its cells hold its number alone.
+            asked = np.array([r["query_id"] for r in rows]), unit.astype(np.float32), by_cell
+            held = self.rows().where(F.col("cell").isin(list(by_cell))).select(self.key, "code", "scale", "home", "cell")
             rough = held.mapInArrow(partial(_rough, key=self.key, asked=spark.sparkContext.broadcast(asked), shortlist=shortlist), f"query_id {kind}, home int, {self.key} {self.kind}, rough double")
             rough = rough.groupBy("query_id", "home", self.key).agg(F.max("rough").alias("rough"))
             best = top(rough, shortlist, "query_id", F.desc("rough"), F.col(self.key)).drop("rank", "rough").join(F.broadcast(part), "query_id")

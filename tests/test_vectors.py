@@ -113,6 +113,16 @@ def test_products_are_bounded_and_hold_groups(spark, monkeypatch):
     assert {(p["query_id"], p["vec_id"]): p["score"] for p in pairs} == {(int(a), int(ids[x])): score[n, x] for n, a in enumerate(asks) for x in range(300)}
 
 
+def test_probes_hold_numbers_of_questions():
+    r = np.random.default_rng(2)
+    unit, centroids = r.normal(size=(40, 6)), r.normal(size=(9, 6))
+    got = ivf._probed(unit, centroids, 3)
+    far = ((unit[:, None] - centroids) ** 2).sum(2)
+    assert {(int(w), c) for c, (who, _) in got.items() for w in who} == {(q, int(c)) for q in range(40) for c in np.argsort(far[q])[:3]}
+    assert all(np.allclose(base, unit[who] @ centroids[c], atol=1e-5) and base.nbytes == who.nbytes == 4 * len(who) for c, (who, base) in got.items())
+    assert ivf._probed(unit[:0], centroids, 3) == {}
+
+
 def test_cache_by_products(spark):
     q = spark.createDataFrame([(1, "a", "x", [1.0, 0.0]), (2, "b", "y", [0.0, 1.0]), (3, "c", None, [1.0, 0.0]), (4, "e7", "x", [1.0, 1.0])], "query_id long, question string, c string, vector array<double>")
     held = spark.createDataFrame([(7, "e7", "x", [0.9, 0.1]), (5, "e5", "x", [1.8, 0.2]), (6, "e6", "y", [1.0, 0.1]), (9, "e9", None, [1.0, 0.0])], "entry long, e_question string, e_c string, e_vector array<double>")
