@@ -74,3 +74,19 @@ def test_range_join_is_bound_to_a_document(spark):
 def test_adaptive_execution_is_on(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_whole_texts_go_to_python_in_bounded_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    from skarn.plans.registry import BATCH_BYTES, table
+
+    spark.createDataFrame([(k, "x" * 100_000) for k in range(200)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    held = spark.conf.get(key := "spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.set(key, str(1 << 30))
+        sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+        got = [r.n for r in table(spark, str(tmp_path), "documents").mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.set(key, held)
+    assert len(got) > 1 and max(got) <= BATCH_BYTES + (1 << 20)
