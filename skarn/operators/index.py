@@ -6,14 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skarn.functions.text import tokens
+from skarn.functions.text import counted, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Bytes of a table's files whose rows one task takes.
+SHARD = 4 << 20
 
 
 def bags(chunks: DataFrame, key: str = "chunk_id", normalize: bool = False) -> DataFrame:
     """(key, tokens) of chunks that have tokens. A chunk's tokens stay in its row, so counting within a chunk needs no shuffle."""
-    return chunks.select(key, tokens(F.col("text"), normalize).alias("tokens")).where(F.size("tokens") > 0)
+    # A filter would go below the tokens and take them apart a second time.
+    some = F.filter(F.array(tokens(F.col("text"), normalize)), lambda t: F.size(t) > 0)
+    return chunks.select(key, F.explode(some).alias("tokens"))
+
+
+def postings(bag: DataFrame, key: str) -> DataFrame:
+    """(key, n, term, tf) of bag (key, tokens), counted within the row of each."""
+    return bag.select(key, F.size("tokens").alias("n"), F.explode(counted(F.col("tokens"))).alias("t")).select(key, "n", "t.term", "t.tf")
+
+
+def dealt(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """Rows of the Parquet table at path dealt by key into shards of about SHARD bytes of its files, so that no task grows with the table."""
+    spark = rows.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = files.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(files).getLength()
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-size // SHARD)), key)
 
 
 def insert_absent(store: DataFrame, new: DataFrame, key: str = "chunk_id", order: str = "seq") -> DataFrame:

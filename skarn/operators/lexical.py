@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.text import tokens
-from skarn.operators.index import B, EPSILON, K1, bags
+from skarn.operators.index import B, EPSILON, K1, bags, dealt, postings
 from skarn.sources.files import built_once
 
 #: Terms of a search that go to every task; a search with more joins by shuffle.
@@ -63,16 +63,14 @@ class Lexical:
 
 
 def build(bag: DataFrame, root: str, key: str) -> Lexical:
-    """Writes the index of bag (key, tokens) below root. The documents' tokens are shuffled once, by document."""
+    """Writes the index of bag (key, tokens) below root, a shard for each of its partitions."""
     spark = bag.sparkSession
-    shards = bag.repartition(key).select(key, F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
-    postings = shards.groupBy(key, "n", "term").agg(F.count("*").alias("tf"))
-    postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
-    postings = spark.read.parquet(f"{root}/postings")
+    postings(bag, key).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
+    held = spark.read.parquet(f"{root}/postings")
     # A document's shares tf / n add up to one.
-    total, length = postings.agg(F.round(F.sum(F.col("tf") / F.col("n"))).cast("long"), F.sum("tf")).first()
+    total, length = held.agg(F.round(F.sum(F.col("tf") / F.col("n"))).cast("long"), F.sum("tf")).first()
     total = total or 0
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.withColumn("raw", F.log(F.lit(float(total)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     raw.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/terms")
     mean = spark.read.parquet(f"{root}/terms").agg(F.avg("raw")).first()[0]
@@ -81,4 +79,4 @@ def build(bag: DataFrame, root: str, key: str) -> Lexical:
 
 def index_of(spark: SparkSession, path: str, key: str) -> Lexical:
     """The index over the texts of a Parquet table, built once a session and again when the table's files change."""
-    return built_once(spark, path, f"lexical {key}", lambda root: build(bags(spark.read.parquet(path), key), root, key))
+    return built_once(spark, path, f"lexical {key}", lambda root: build(bags(dealt(spark.read.parquet(path).select(key, "text"), key, path), key), root, key))

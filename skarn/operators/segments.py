@@ -21,7 +21,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.operators.index import bags
+from skarn.operators import index
 from skarn.operators.lexical import Lexical
 from skarn.sources.files import built_once
 from skarn.tables import Table
@@ -108,9 +108,7 @@ class Segments:
     # --- commits -------------------------------------------------------------------------------
 
     def _counted(self, bag: DataFrame) -> DataFrame:
-        """Postings of bag (key, tokens), shuffled once, by document."""
-        rows = bag.repartition(self.key).select(self.key, F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
-        return rows.groupBy(self.key, "n", "term").agg(F.count("*").alias("tf"))
+        return index.postings(bag, self.key)
 
     def _save(self, rows: DataFrame, path: str) -> None:
         rows.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
@@ -199,8 +197,8 @@ def grown(spark: SparkSession, path: str, key: str, type_: str) -> Segments:
     """The index of a Parquet table, put together by loads, deletes and loads again; once a session and file state."""
 
     def make(root: str) -> Segments:
-        made, bag = Segments(spark, root, key, type_), bags(spark.read.parquet(path), key)
         third = F.pmod(F.xxhash64(key), F.lit(3))
+        made, bag = Segments(spark, root, key, type_), index.bags(index.dealt(spark.read.parquet(path).select(key, "text"), key, path), key)
         for part in range(3):
             made.add(bag.where(third == part))
         made.delete(bag.where(third == 1))

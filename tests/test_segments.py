@@ -1,6 +1,7 @@
 """The segmented lexical index against one that is built at once, and the maintained fingerprint of a library."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,18 @@ def test_library_keeps_its_fingerprint_and_index(spark, tmp_path, monkeypatch):
     assert lib.bm25("figs").count() == 0
     lib.load(str(up))
     assert lib.bm25("figs").count() == 1 and lib.bm25("pears").count() > 0
+
+
+def test_shards_grow_in_number_with_the_table(spark, tmp_path, monkeypatch):
+    """A task makes the postings of a bounded part of the files, within the rows of documents."""
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(k, f"w{k} Common common {k % 7} 注意") for k in range(4000)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    monkeypatch.setattr(index, "SHARD", 2000)
+    bag = index.bags(index.dealt(spark.read.parquet(path), "doc_id", path), "doc_id")
+    assert bag.rdd.getNumPartitions() > 8
+    rows = index.postings(bag, "doc_id")
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in text and len(re.findall("Exchange", text.split("== Initial Plan ==")[0])) == 1
+    got = {(r.term, r.tf) for r in rows.where("doc_id = 8").collect()}
+    assert got == {("w8", 1), ("common", 2), ("1", 1), ("注", 1), ("意", 1)} and rows.where("doc_id = 8 and n = 6").count() == 5
+    assert len(spark.read.parquet(f"{lexical.index_of(spark, path, 'doc_id').root.rstrip('/')}/postings").inputFiles()) > 8
