@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -108,10 +108,14 @@ class _Memory(StatefulProcessor):
         return pd.DataFrame({"conv_id": [key[0]], "stored": [stored], "retained": [len(held)], "chars": [sum(len(x) for _, x in held)], "newest": newest})
 
 
-def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, timed: bool) -> DataFrame:
-    """Keyed state of several variables, which only the RocksDB store keeps. With timers a run over what is available never ends."""
+def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, timed: bool, pandas: bool = True) -> DataFrame:
+    """Keyed state of several variables, which only the RocksDB store keeps. With timers a run over what is available never ends.
+
+    Without pandas the processor takes and gives plain rows, which costs far less for keys of few rows.
+    """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Update", "ProcessingTime" if timed else "None")
+    groups = rows.groupBy(key)
+    return (groups.transformWithStateInPandas if pandas else groups.transformWithState)(processor, schema, "Update", "ProcessingTime" if timed else "None")
 
 
 def session_memory(messages: DataFrame, keep: int = 4, idle_ms: int | None = None) -> DataFrame:
@@ -143,49 +147,47 @@ def accumulated(parts: DataFrame) -> DataFrame:
 
 
 class _Cache(StatefulProcessor):
-    """A user's answer cache: questions by number and numbers by question, both maps; numbers in use are those from first to next - 1.
+    """A user's answer cache: what it has counted, and the questions that it holds with the times they came, oldest first.
 
-    So the oldest entry is found without a scan, and a lookup reads one entry, whatever the cache holds.
+    A batch reads both once, replays its rows in memory and writes both once: a call to the state store costs more than
+    hundreds of rows. What is held has at most `capacity` entries.
     """
 
     def __init__(self, capacity: int, ttl_ms: int | None):
         self.capacity, self.ttl_ms = capacity, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.facts = handle.getValueState("facts", "scope string, hits long, misses long, first long, next long")
-        self.by_number = handle.getMapState("by_number", "n long", "question long", self.ttl_ms)
-        self.by_question = handle.getMapState("by_question", "question long", "n long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        scope, hits, misses, first, after = self.facts.get() if self.facts.exists() else (None, 0, 0, 0, 0)
-        for _, new, question in sorted((int(i), str(s), int(q)) for pdf in rows for i, s, q in zip(pdf.event_id, pdf.scope, pdf.question)):
-            if new != scope:
-                self.by_number.clear()
-                self.by_question.clear()
-                scope, first, after = new, 0, 0
-            if self.by_question.containsKey((question,)):
+        self.state = handle.getValueState("cache", "scope string, hits long, misses long, questions array<long>, since array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        scope, hits, misses, questions, since = self.state.get() or (None, 0, 0, [], [])
+        now, held = 0, dict(zip(questions, since))  # in the order in which entries came
+        if self.ttl_ms:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            held = {q: t for q, t in held.items() if now - t < self.ttl_ms}
+        new = ((i is None, i, s is None, s, q is None, q) for _, i, s, q in rows)
+        for _, _, _, s, _, question in sorted(new):
+            if s != scope:
+                held, scope = {}, s
+            if question is None or question in held:  # as in the query's SQL, no question is no miss
                 hits += 1
                 continue
             misses += 1
-            self.by_number.updateValue((after,), (question,))
-            self.by_question.updateValue((question,), (after,))
-            after += 1
-            if after - first > self.capacity:
-                if self.by_number.containsKey((first,)):  # else its time is over
-                    self.by_question.removeKey(self.by_number.getValue((first,)))
-                    self.by_number.removeKey((first,))
-                first += 1
-        self.facts.update((scope, hits, misses, first, after))
-        yield pd.DataFrame({"user_id": [key[0]], "hits": [hits], "misses": [misses], "held": [after - first]})
+            held[question] = now
+            if len(held) > self.capacity:
+                del held[next(iter(held))]
+        self.state.update((scope, hits, misses, list(held), list(held.values())))
+        yield Row(user_id=key[0], hits=hits, misses=misses, held=len(held))
 
 
 def cache_replay(questions: DataFrame, capacity: int = 100, ttl_ms: int | None = None) -> DataFrame:
     """Each user's answer cache over a stream of (user_id, event_id, scope, question): a change of scope empties it, the oldest entries leave first.
 
     Rows count all events so far, so the last row of a user does not depend on how events were cut into batches. With
-    ttl_ms an entry that is so old answers no more.
+    ttl_ms an entry that is so old answers no more and has left.
     """
-    return _with_state(questions.select("user_id", "event_id", "scope", "question"), "user_id", _Cache(capacity, ttl_ms), "user_id long, hits long, misses long, held long", bool(ttl_ms))
+    rows = questions.select("user_id", "event_id", "scope", "question")
+    return _with_state(rows, "user_id", _Cache(capacity, ttl_ms), "user_id long, hits long, misses long, held long", bool(ttl_ms), pandas=False)
 
 
 def joined_calls(phases: DataFrame, tools: DataFrame, bound: str = "1 hour", delay: str = "1 hour") -> DataFrame:

@@ -78,3 +78,56 @@ def test_a_table_always_has_a_version(spark, tmp_path):
     spark.range(99).withColumnRenamed("id", "k").write.parquet(f"file://{tmp_path}/t/v12")
     assert Table(spark, f"file://{tmp_path}/t", "k long").read().count() == 11
     assert len(list((tmp_path / "t").glob("current-*"))) <= 9
+
+
+class _Store:
+    """A state variable that counts how often it is read and written."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+class _Handle:
+    def __init__(self):
+        self.stores = []
+
+    def getValueState(self, *_):
+        self.stores.append(_Store())
+        return self.stores[-1]
+
+
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_a_batch_calls_the_state_store_a_few_times_however_many_rows_it_has(batches):
+    cache, handle = jobs._Cache(3, None), _Handle()
+    cache.init(handle)
+    rows = [r for r in EVENTS if r[0] == 1]
+    for n in range(batches):
+        part = rows[len(rows) * n // batches : len(rows) * (n + 1) // batches]
+        (out,) = cache.handleInputRows((1,), iter(part[::-1]), None)
+    assert (1, out.hits, out.misses, out.held) in replayed(rows, 3)
+    assert sum(s.calls for s in handle.stores) <= 2 * batches
+
+
+def test_an_entry_past_its_time_answers_no_more():
+    cache, handle = jobs._Cache(2, 1000), _Handle()
+    cache.init(handle)
+    ask = lambda now, *questions: next(cache.handleInputRows((1,), iter([(1, now + k, "s", q) for k, q in enumerate(questions)]), _Clock(now)))
+    assert ask(0, 7, 8, 7).asDict() == {"user_id": 1, "hits": 1, "misses": 2, "held": 2}
+    assert ask(999, 7).hits == 2
+    assert ask(1000, 7, None).asDict() == {"user_id": 1, "hits": 3, "misses": 3, "held": 1}
