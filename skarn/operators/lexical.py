@@ -72,7 +72,9 @@ def build(bag: DataFrame, root: str, key: str) -> Lexical:
     total = total or 0
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.withColumn("raw", F.log(F.lit(float(total)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/terms")
+    # Written before they are sorted: the bounds of the ranges are one more pass over what is sorted.
+    raw.write.mode("overwrite").parquet(f"{root}/counts")
+    spark.read.parquet(f"{root}/counts").repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/terms")
     mean = spark.read.parquet(f"{root}/terms").agg(F.avg("raw")).first()[0]
     return Lexical(spark, root, key, total, (length or 0) / max(total, 1), mean or 0.0)
 
