@@ -9,7 +9,7 @@ from skarn.functions import text as tx
 from skarn.operators import aliases, evidence, memory, retrieve, telemetry
 from skarn.plans.library import CHUNKS_SQL, fixed_chunks
 from skarn.plans.registry import query, table
-from skarn.plans.retrieval import BM25_SQL, bm25
+from skarn.plans.retrieval import BM25_SQL, bm25_best
 
 # --- evidence --------------------------------------------------------------------------------
 
@@ -38,7 +38,7 @@ def before_first_marker(spark, d):
 
 
 def candidates(spark, d):
-    best = retrieve.top(bm25(spark, d), 20, "query_id", F.desc("score"), F.col("doc_id"))
+    best = retrieve.top(bm25_best(spark, d, 20), 20, "query_id", F.desc("score"), F.col("doc_id"))
     docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("name"))
     return docs.join(F.broadcast(best), "doc_id").select("query_id", "doc_id", "text", "score", "name", F.concat(F.lit("行1–"), F.size(F.split("text", "\n")).cast("string")).alias("place"))
 
@@ -68,7 +68,7 @@ def context_pack(spark, d):
 @query("context_prefix", f"WITH {BM25_SQL}, c AS (SELECT query_id, rank, b.doc_id, length(text) AS n, sum(length(text) + 60) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM bm_top b JOIN documents d ON b.doc_id = d.doc_id) SELECT query_id, CAST(rank AS INT) AS rank, doc_id, CAST(used AS BIGINT) AS used FROM c WHERE used <= 9000")
 def context_prefix(spark, d):
     """The packing without skips: the longest prefix by rank that fits."""
-    best = retrieve.top(bm25(spark, d), 20, "query_id", F.desc("score"), F.col("doc_id"))
+    best = retrieve.top(bm25_best(spark, d, 20), 20, "query_id", F.desc("score"), F.col("doc_id"))
     c = table(spark, d, "documents").select("doc_id", F.length("text").alias("n")).join(F.broadcast(best), "doc_id").withColumn("cost", F.col("n") + 60)
     return memory.prefix_window(c, "cost", 9000, "query_id", "rank").select("query_id", "rank", "doc_id", F.col("spent").alias("used"))
 
