@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import LOWER, Scratch, binary_buffer, packed_texts, shingle_hashes, small_batches, span_hashes, text_bytes, word_spans
+from skarn.llm.common import LOWER, Scratch, binary_buffer, lean, packed_texts, shingle_hashes, small_batches, span_hashes, text_bytes, word_spans
 from skarn.llm.components import components
 
 SKETCH = 32
@@ -61,6 +61,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return (values ^ _INT64_MIN).view(np.int64)
 
 
+@lean
 def _sketches(batches, width: int):
     for b in batches:
         sets = shingle_sets(b.column("text"), width)
@@ -99,6 +100,7 @@ def _with_class(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     return done.union(rest.select("doc_id", "n", "own")).select("doc_id", "n", "own.*")
 
 
+@lean
 def _shingles(batches, width: int):
     """(doc_id, h): every shingle of every text."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -110,6 +112,7 @@ def _shingles(batches, width: int):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + (1 << 16)]), pa.array(np.concatenate(sets)[i : i + (1 << 16)].view(np.int64))], ["doc_id", "h"])
 
 
+@lean
 def _verify(batches, width: int, percent: int):
     unpack = zstandard.ZstdDecompressor().decompress
     cache: dict[int, np.ndarray] = {}

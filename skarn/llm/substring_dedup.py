@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skarn.llm.common import BYTE_HASH, U64, Scratch, binary_buffer, doc_blocks, mix, packer, salted_join, small_batches, text_bytes
+from skarn.llm.common import BYTE_HASH, U64, Scratch, binary_buffer, doc_blocks, lean, mix, packer, salted_join, small_batches, text_bytes
 
 DEPTH = 200
 DIGIT = 32
@@ -123,6 +123,7 @@ def _texts(batches):
         yield b, pa.array([unpack(z) for z in b.column("z").to_pylist()], pa.binary())
 
 
+@lean
 def _anchors(batches, depth: int):
     hashed = xxhash.xxh3_64_intdigest
     for b, texts in _texts(batches):
@@ -140,10 +141,11 @@ def _anchors(batches, depth: int):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "s", "id", "p"])
 
 
+@lean
 def _segments(batches, depth: int):
     """(g, s, p, bytes): the bytes under all windows of each run asked for."""
     unpack = zstandard.ZstdDecompressor().decompress
-    for b in batches:
+    for b in _slices(batches):
         rows: list[tuple] = []
         for i in range(b.num_rows):
             text = unpack(b.column("z")[i].as_py())
@@ -155,10 +157,11 @@ def _segments(batches, depth: int):
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["g", "s", "p", "bytes"])
 
 
+@lean
 def _strips(batches, depth: int):
     """(g, s, q, core, strip): digits of the strips of each run."""
     hashed = xxhash.xxh3_64_intdigest
-    for b in batches:
+    for b in _slices(batches):
         rows: list[tuple] = []
         for g, s, p, seg in zip(*(b.column(c).to_pylist() for c in ("g", "s", "p", "bytes"))):
             _, o, n = _unpacked(p)
@@ -173,6 +176,7 @@ def _strips(batches, depth: int):
         yield pa.RecordBatch.from_arrays([*whole, *hashes], ["g", "s", "q", "core", "strip"])
 
 
+@lean
 def _windows(batches, depth: int):
     """(g, s, k, w): a digit of full depth for window k of a run, of the strips asked for."""
     hashed = xxhash.xxh3_64_intdigest
@@ -210,6 +214,7 @@ def _slices(batches, rows: int = 1024):
         yield from (b.slice(i, rows) for i in range(0, b.num_rows, rows))
 
 
+@lean
 def _packed(batches):
     """The texts compressed, and numbered within the task that reads them; the table that is written holds the numbers."""
     z, at = packer(), TaskContext.get().partitionId() << 40
@@ -275,6 +280,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Da
     return whole.union(partly).select("id", "x.at", "x.n")
 
 
+@lean
 def _cut(batches, depth: int, digest: bool):
     unpack = zstandard.ZstdDecompressor().decompress
     for b in _slices(batches):

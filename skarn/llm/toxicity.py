@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skarn.llm.common import small_batches, spare, text_bytes
+from skarn.llm.common import lean, small_batches, spare, text_bytes
 from skarn.llm.ngrams import ORDERS, distinct_features, logistic
 from skarn.llm.samples import sample_texts
 
@@ -98,6 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([t for *_, t in rows], np.array([k for _, k, _ in rows]), totals[1] / (totals[0] + totals[1]))
 
 
+@lean
 def _score(batches, model, given: str):
     for b in batches:
         scores = model.value.scores(b.column(given))

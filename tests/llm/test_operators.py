@@ -769,3 +769,25 @@ def test_vocabularies_of_any_size_and_kind(spark, tmp_path):
     want = math.log(share(b" ", b"a", b"b") + share(b" ", b"ab") + share(b" ab"))
     got = lattice_lm.word_scores(lattice_lm.Words(pa.array([b"ab"], pa.binary())), few)
     assert got[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_a_worker_gives_back_what_a_step_has_freed():
+    import os
+
+    import numpy as np
+
+    from skarn.llm.common import lean
+
+    rss = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    pins, most = [], []
+
+    @lean
+    def step(batches):
+        held = [np.ones(1 << 13) for _ in range(4000)]  # 64 KB each, so that they lie in the heap
+        pins.append([np.ones(1 << 13) for _ in range(4)])  # above them, so that the heap can't just end sooner
+        most.append(rss())
+        del held
+        yield from batches
+
+    assert list(step(iter([1, 2]))) == [1, 2]
+    assert rss() < most[0] - 150
