@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import LOWER, SPACE, U64, binary_buffer, doc_blocks, small_batches, spare, text_bytes
+from skarn.llm.common import LOWER, SPACE, U64, binary_buffer, doc_blocks, lean, small_batches, spare, text_bytes
 
 REPETITIONS, SAMPLED, CLEAN, SLACK, SPREAD = 2, 0.9, 0.1, 7, 4.5
 SHORT = 64
@@ -353,13 +353,14 @@ def _matches(data: np.ndarray, offsets: np.ndarray, items: Items, max_edits: flo
 
 def _hits(texts: pa.Array, items: Items, max_edits: float):
     raw, cuts = binary_buffer(texts)
-    for i, j in doc_blocks(cuts):
+    for i, j in doc_blocks(cuts, _WINDOWS):
         data, offsets, place = squeezed(raw[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
         for text, item, distance, start, stop in _matches(data, offsets, items, max_edits) if len(data) else ():
             base = int(cuts[i + text] - cuts[i])
             yield i + text, items.ids[item], distance, int(place[start]) - base, int(place[stop - 1]) + 1 - base
 
 
+@lean
 def _report(batches, items, max_edits: float):
     for b in batches:
         rows = list(_hits(b.column("text"), items.value, max_edits))
@@ -367,6 +368,7 @@ def _report(batches, items, max_edits: float):
         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "item_id", "distance", "start", "stop"])
 
 
+@lean
 def _clean(batches, items, max_edits: float, given: str):
     for b in batches:
         bad = {row for row, *_ in _hits(b.column(given), items.value, max_edits)}

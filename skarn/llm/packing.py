@@ -21,18 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import Scratch, small_batches
+from skarn.llm.common import Scratch, lean, small_batches
 
 GROUP, OPEN = 32768, 32
 
 
 @lru_cache(2)
 def _encoder(path: str):
-    """(fast, exact, specials): the same byte-level BPE twice; texts with a special token's string take the exact one."""
+    """(a faster encoder of the byte-level BPE, its special tokens' strings)."""
     import json
 
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
@@ -41,12 +40,20 @@ def _encoder(path: str):
     specials = [t["content"] for t in model.get("added_tokens", ())]
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in specials}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(path), specials
+    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), specials
+
+
+@lru_cache(2)
+def _exact(path: str):
+    """The named encoder, for texts with a special token's string; a worker that meets none does not hold it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def token_ids(texts: list[str | None], path: str) -> list[list[int]]:
-    fast, exact, specials = _encoder(path)
-    return [exact.encode(t, add_special_tokens=False).ids if any(s in t for s in specials) else fast.encode_ordinary(t) for t in (t or "" for t in texts)]
+    fast, specials = _encoder(path)
+    return [_exact(path).encode(t, add_special_tokens=False).ids if any(s in t for s in specials) else fast.encode_ordinary(t) for t in (t or "" for t in texts)]
 
 
 def cut_points(n: int, size: int) -> list[int]:
@@ -55,8 +62,9 @@ def cut_points(n: int, size: int) -> list[int]:
     return [0, *range(first, n, size)] if n > size else [0]
 
 
+@lean
 def _pieces(batches, path: str, size: int, end: int):
-    for b in batches:
+    for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         rows: list[tuple] = []
         for k, ids in enumerate(token_ids(b.column("text").to_pylist(), path)):
             ids = np.array([*ids, end], "<u4")

@@ -50,7 +50,7 @@ DIGIT = 32
 #: A run has at most depth - DIGIT + 1 suffixes, in strips of so many.
 STRIP = 43
 #: Suffixes of one text that are worked on together.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _POSITION = U64((1 << 24) - 1)
 
@@ -100,7 +100,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, depth: int):
 
 def _chunks(data: np.ndarray, offsets: np.ndarray, depth: int):
     """Pieces of the buffer as (first text, bytes, offsets, shift): short texts together, long ones in overlapping parts."""
-    for i, j in doc_blocks(offsets):
+    for i, j in doc_blocks(offsets, _CHUNK):
         lo, hi = int(offsets[i]), int(offsets[j])
         for at in range(lo, max(lo + 1, hi - depth + 1), _CHUNK) if j == i + 1 else [lo]:
             end = min(hi, at + _CHUNK + depth - 1) if j == i + 1 else hi

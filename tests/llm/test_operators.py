@@ -791,3 +791,37 @@ def test_a_worker_gives_back_what_a_step_has_freed():
 
     assert list(step(iter([1, 2]))) == [1, 2]
     assert rss() < most[0] - 150
+
+
+def test_working_arrays_of_a_batch_are_small():
+    import tracemalloc
+
+    texts = pa.array([prose(k, 400).encode() for k in range(700)], pa.binary())  # about 2 MB
+    packed = pa.RecordBatch.from_arrays([pa.array(range(700), pa.int64()), pa.array([substring_dedup.packer().compress(t.as_py()) for t in texts], pa.binary())], ["id", "z"])
+    steps = {
+        "toxicity": lambda m=toxicity.Model(np.ones(1 << toxicity.BITS)): m.scores(texts),
+        "substrings": lambda: [None for _ in substring_dedup._anchors([packed], 200)],
+    }
+    for (name, step), most in zip(steps.items(), (60, 30)):
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        assert peak < most, (name, peak)
+
+
+def test_sample_starts_no_python_workers(spark, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.sql import types as T
+
+    from skarn.llm.samples import sample_texts
+
+    docs = spark.createDataFrame([(1, "a", "en"), (2, "b", "fr")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("an RDD of Python rows"))
+    assert sample_texts(docs, T.StructField("lang", T.StringType()), [(1, "en"), (2, "de")], ["doc_id", "lang"], 100) == [(1, "en", b"a")]
+
+
+def test_packing_loads_the_exact_tokenizer_only_for_special_strings():
+    packing._exact.cache_clear()
+    packing.token_ids(["plain words", None], BPE)
+    assert not packing._exact.cache_info().currsize
