@@ -259,6 +259,18 @@ def test_lattice_learns_words_and_pieces(spark):
     assert (10 ** lattice_lm._mixed(learned, np.log([0.2, 0.3, 0.4]), 10, 3)).sum() == pytest.approx((8 + 3 * 0.9) / 13)
 
 
+def test_lattice_scores_a_task_of_many_batches(spark, docs):
+    """A task that gets its texts in several batches scores each as one that gets them all at once."""
+    key = lambda df: sorted((str(x.doc_id), x.n_tokens, x.n_known, round(x.base_score, 6), round(x.score, 6)) for x in df.collect())
+    want = key(lattice_lm.lattice_scores(docs.coalesce(1), PIECES))
+    held = spark.conf.get(name := "spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, "2")
+    try:
+        assert key(lattice_lm.lattice_scores(docs.coalesce(1), PIECES)) == want
+    finally:
+        spark.conf.set(name, held)
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 
