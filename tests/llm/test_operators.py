@@ -271,6 +271,22 @@ def test_lattice_scores_a_task_of_many_batches(spark, docs):
         spark.conf.set(name, held)
 
 
+def test_lattice_fits_all_learned_words(spark):
+    """The table's fit is that of all its distinct words, however many and long; places of long words count as those of short ones."""
+    r = random.Random(5)
+    made = sorted({"".join(r.choices("abcdeghilnorst", k=r.randrange(3, 9))) for _ in range(44_000)} | {"".join(r.choices("theingo", k=n)) for n in (62, 63, 64, 200, 300)})
+    texts = spark.createDataFrame([(" ".join(made[k::40] + made[k:50]),) for k in range(40)], "text string")
+    hot, times, tokens, ends, kinds, table = lattice_lm._pass(texts, 16, lattice_lm.Scratch(spark, "lattice"))
+    assert kinds == len(made) > 1 << 15 and ends == 40 and tokens == 40 + sum(len(made[k::40] + made[k:50]) for k in range(40))
+    assert sorted(x.word.decode() for x in table.collect()) == made
+    vocab = lattice_lm.load_vocabulary(PIECES)
+    some = table.where("length(word) > 60 or word < cast('ac' as binary)")
+    one = lattice_lm.fitted(vocab, [bytes(x.word) for x in some.collect()])
+    assert np.allclose(lattice_lm.fitted_to(vocab, some).weights, one.weights)
+    few = lattice_lm.Words(pa.array([w.encode() for w in made if 40 < len(w) < 64], pa.binary()))
+    assert np.allclose(lattice_lm._times(few, vocab), lattice_lm._long_times(few, np.argsort(-few.lengths), vocab))
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 
